@@ -157,3 +157,244 @@ _make_count("count_user_day", {**C.USER_DAY_COUNTS, **C.USER_DAY_EXTRA_COUNTS})
 _make_count("count_user_hour", C.USER_HOUR_COUNTS)
 _make_count("count_user_half_hour", C.USER_HALF_HOUR_COUNTS)
 _make_count("count_user_query", C.USER_QUERY_COUNTS)
+
+
+# ------------------------------------------------------- row hygiene (P, U, J4)
+from clickfeat.operators import rows as R  # noqa: E402
+from clickfeat.operators import prior as PR  # noqa: E402
+from clickfeat.operators import rates as RT  # noqa: E402
+from clickfeat.operators import profile as PF  # noqa: E402
+from clickfeat.sources.standin import table  # noqa: E402
+
+_LI_ORDER = ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount"]
+
+
+@register("row_dedup_key", """
+SELECT l_orderkey, l_linenumber, l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount
+FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+                                   ORDER BY l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice,
+                                            l_discount, l_tax, l_returnflag, l_linestatus) AS rn
+      FROM lineitem) WHERE rn = 1""")
+def q_row_dedup_key(spark, sf):
+    li = table(spark, sf, "lineitem")
+    d = R.dedup_first(li, ["l_orderkey", "l_linenumber"], _LI_ORDER)
+    return d.select("l_orderkey", "l_linenumber", *_LI_ORDER)
+
+
+@register("row_distinct", EV + """
+SELECT DISTINCT user_id, item_id, day, is_trade FROM flog""")
+def q_row_distinct(spark, sf):
+    return R.distinct_rows(click_log(spark, sf).select("user_id", "item_id", "day", "is_trade"))
+
+
+@register("split_by_day", EV + """
+SELECT instance_id, day, CASE WHEN day < 24 THEN 'train' ELSE 'holdout' END AS part
+FROM flog WHERE day <= 24""")
+def q_split_by_day(spark, sf):
+    return R.tag_split(click_log(spark, sf), 24).select("instance_id", "day", "part")
+
+
+_EXCLUDED = [3, 17, 256, 1024, 4096, 9999, 31337]
+
+
+@register("row_exclude_ids", EV + f"""
+SELECT instance_id, user_id FROM flog WHERE instance_id NOT IN ({", ".join(map(str, _EXCLUDED))})""")
+def q_row_exclude_ids(spark, sf):
+    return R.exclude_ids(click_log(spark, sf), _EXCLUDED).select("instance_id", "user_id")
+
+
+@register("row_anti_join", """
+SELECT o_orderkey, o_custkey FROM orders
+WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""")
+def q_row_anti_join(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    ret = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return R.anti_by_key(o, ret, "o_orderkey")
+
+
+_DOC_LABELS = """
+dl AS (SELECT d.doc_id, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
+
+
+def _doc_labels(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id")
+    lab = table(spark, sf, "labels").select("doc_id", "quality", "toxic")
+    return d.join(lab, "doc_id", "left")
+
+
+@register("split_by_label_null", with_ctes(_DOC_LABELS) + """
+SELECT doc_id, CASE WHEN quality IS NULL THEN 'unlabelled' ELSE 'labelled' END AS part FROM dl""")
+def q_split_by_label_null(spark, sf):
+    lab, unl = R.split_by_label_null(_doc_labels(spark, sf), "quality")
+    return (lab.select("doc_id", F.lit("labelled").alias("part"))
+               .unionByName(unl.select("doc_id", F.lit("unlabelled").alias("part"))))
+
+
+@register("fill_label", with_ctes(_DOC_LABELS) + """
+SELECT doc_id, CAST(coalesce(quality, 0) AS INTEGER) AS quality FROM dl""")
+def q_fill_label(spark, sf):
+    return R.fill_label(_doc_labels(spark, sf), "quality").select("doc_id", "quality")
+
+
+@register("fill_sentinel", with_ctes(_DOC_LABELS) + """
+SELECT doc_id, coalesce(quality, -1) AS quality, coalesce(toxic, -1) AS toxic FROM dl""")
+def q_fill_sentinel(spark, sf):
+    return R.fill_sentinel(_doc_labels(spark, sf), -1).select("doc_id", "quality", "toxic")
+
+
+@register("replace_sentinel", EV + """
+SELECT instance_id, CASE WHEN shop_review_positive_rate = -1 THEN 0.0 ELSE shop_review_positive_rate END
+       AS shop_review_positive_rate FROM flog""")
+def q_replace_sentinel(spark, sf):
+    return R.replace_sentinel(click_log(spark, sf), "shop_review_positive_rate", -1, 0.0).select(
+        "instance_id", "shop_review_positive_rate")
+
+
+_NOT_FEATURES = ["time", "context_timestamp", "context_id", "item_category_list", "item_property_list",
+                 "predict_category_property", "minute", "is_trade"]
+
+
+@register("feature_columns", EV + """
+SELECT * EXCLUDE (time, context_timestamp, context_id, item_category_list, item_property_list,
+                  predict_category_property, minute, is_trade) FROM flog""")
+def q_feature_columns(spark, sf):
+    df = click_log(spark, sf)
+    return df.select(*R.feature_columns(df, _NOT_FEATURES))
+
+
+@register("union_train_test", EV + """
+SELECT instance_id, 'train' AS src, is_trade FROM flog WHERE day < 25
+UNION ALL
+SELECT instance_id, 'test' AS src, NULL AS is_trade FROM flog WHERE day >= 25""")
+def q_union_train_test(spark, sf):
+    df = click_log(spark, sf)
+    train = df.where("day < 25").select("instance_id", "is_trade")
+    test = df.where("day >= 25").select("instance_id")
+    return R.union_train_test(train, test, "src").select("instance_id", "src", "is_trade")
+
+
+# ------------------------------------------------------- prior trades
+def _prior_sql(pair, show, flag):
+    on = " AND ".join(f"a.{k} = s.{k}" for k in pair)
+    return EV + f""",
+st AS (SELECT {_in(pair)}, count(*) AS n,
+              max(CASE WHEN is_trade = 1 THEN context_timestamp END) AS tt
+       FROM flog WHERE day < 24 GROUP BY {_in(pair)})
+SELECT a.instance_id, CAST(s.n AS BIGINT) AS {show},
+       CASE WHEN s.tt IS NULL OR a.context_timestamp <= s.tt THEN 1 ELSE 0 END AS {flag}
+FROM flog a LEFT JOIN st s ON {on}
+WHERE a.day <= 24"""
+
+
+def _make_prior(name):
+    pair, show, flag = PR.PRIOR_PAIRS[name]
+
+    def q(spark, sf):
+        df = click_log(spark, sf).where("day <= 24")
+        train = df.where("day < 24")
+        return PR.prior_trade(df, train, pair, show, flag).select("instance_id", show, flag)
+    register(f"prior_trade_{name}", _prior_sql(pair, show, flag))(q)
+
+
+for _p in PR.PRIOR_PAIRS:
+    _make_prior(_p)
+
+
+# ------------------------------------------------------- smoothed rates
+def _rate_sql():
+    ctes, cols, joins = [], [], []
+    for i, (k, stem) in enumerate(RT.RATE_KEYS.items()):
+        ctes.append(f"""r{i} AS (SELECT {k}, count(*) AS n, sum(CASE WHEN is_trade = 1 THEN 1 END) AS t
+        FROM flog WHERE day < 24 AND {k} IS NOT NULL GROUP BY {k})""")
+        cols += [f"CAST(r{i}.n AS BIGINT) AS {stem}_count", f"CAST(r{i}.t AS BIGINT) AS trade_{stem}_count",
+                 f"r{i}.t / (r{i}.n + 10.0) AS {stem}_ctr"]
+        joins.append(f"LEFT JOIN r{i} ON a.{k} = r{i}.{k}")
+    return (EV + ",\n" + ",\n".join(ctes) + "\nSELECT a.instance_id, " + ", ".join(cols)
+            + "\nFROM flog a " + "\n".join(joins) + "\nWHERE a.day <= 24")
+
+
+@register("rate_smoothed", _rate_sql())
+def q_rate_smoothed(spark, sf):
+    df = click_log(spark, sf).where("day <= 24")
+    out = RT.add_smoothed_rates(df, df.where("day < 24"))
+    cols = [c for s in RT.RATE_KEYS.values() for c in (f"{s}_count", f"trade_{s}_count", f"{s}_ctr")]
+    return out.select("instance_id", *cols)
+
+
+# ------------------------------------------------------- frequency table
+FREQ_SCALARS = ["item_id", "item_brand_id", "item_city_id", "item_price_level", "item_sales_level",
+                "item_collected_level", "item_pv_level", "user_id", "user_gender_id", "user_age_level",
+                "user_occupation_id", "user_star_level", "context_page_id", "is_week", "hour", "shop_id",
+                "shop_review_num_level", "shop_star_level", "category_1"]
+
+
+def _freq_frame(spark, sf):
+    from clickfeat.functions.lists import predict_categories, tokens
+    df = click_log(spark, sf)
+    return df.select(*FREQ_SCALARS, "is_trade",
+                     tokens("item_property_list").alias("property_list"),
+                     predict_categories("predict_category_property").alias("predict_cat"))
+
+
+def _freq_sql():
+    parts = [f"SELECT '{c}' AS Field, CAST({c} AS VARCHAR) AS Value, is_trade AS y FROM flog" for c in FREQ_SCALARS]
+    parts.append("SELECT 'property_list', unnest(string_split(item_property_list, ';')), is_trade FROM flog")
+    parts.append("""SELECT 'predict_cat', split_part(t, ':', 1), is_trade
+        FROM (SELECT unnest(string_split(predict_category_property, ';')) AS t, is_trade FROM flog)
+        WHERE len(string_split(t, ':')) > 1""")
+    return EV + ",\nlong AS (" + "\nUNION ALL\n".join(parts) + """),
+ft AS (SELECT Field, Value, CAST(sum(1 - y) AS BIGINT) AS Neg, CAST(sum(y) AS BIGINT) AS Pos,
+              CAST(count(*) AS BIGINT) AS Total
+       FROM long GROUP BY Field, Value)
+"""
+
+
+@register("freq_feature_stats", _freq_sql() + """
+SELECT Field, Value, Neg, Pos, Total, round(Pos / Total, 5) AS Ratio FROM ft WHERE Total >= 10""")
+def q_freq_feature_stats(spark, sf):
+    t = RT.feature_value_table(_freq_frame(spark, sf), FREQ_SCALARS, ["property_list", "predict_cat"])
+    return t.orderBy("Total", "Field", "Value")
+
+
+@register("freq_frequent", _freq_sql() + """
+SELECT Field || '-' || Value AS feature, Total, round(Pos / Total, 5) AS Ratio FROM ft WHERE Total >= 50""")
+def q_freq_frequent(spark, sf):
+    t = RT.feature_value_table(_freq_frame(spark, sf), FREQ_SCALARS, ["property_list", "predict_cat"])
+    return RT.frequent_features(t, 50)
+
+
+@register("freq_high_ratio", _freq_sql() + """
+SELECT Field || '-' || Value AS feature, Total, round(Pos / Total, 5) AS Ratio FROM ft WHERE Total >= 10
+ORDER BY Ratio DESC, feature LIMIT 100""")
+def q_freq_high_ratio(spark, sf):
+    t = RT.feature_value_table(_freq_frame(spark, sf), FREQ_SCALARS, ["property_list", "predict_cat"])
+    return RT.high_ratio_features(t, 100, 10)
+
+
+# ------------------------------------------------------- profile
+_PROFILE_COLS = ["item_id", "user_id", "shop_id", "item_brand_id", "item_city_id", "category_1", "context_page_id",
+                 "user_gender_id", "user_age_level", "user_occupation_id", "user_star_level", "hour", "day"]
+
+
+@register("profile_distinct", EV + "\n" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS field, CAST(count(DISTINCT {c}) AS BIGINT) AS n_distinct FROM flog" for c in _PROFILE_COLS))
+def q_profile_distinct(spark, sf):
+    return PF.distinct_counts(click_log(spark, sf), _PROFILE_COLS)
+
+
+@register("profile_daily_cvr", EV + """
+SELECT day, CAST(count(*) AS BIGINT) AS rows, CAST(sum(is_trade) AS BIGINT) AS trades,
+       round(avg(CAST(is_trade AS DOUBLE)), 6) AS cvr FROM flog GROUP BY day""")
+def q_profile_daily_cvr(spark, sf):
+    return PF.daily_cvr(click_log(spark, sf))
+
+
+@register("profile_user_overlap", EV + """
+SELECT CAST(count(*) AS BIGINT) AS rows,
+       CAST(count(*) FILTER (WHERE user_id IN (SELECT user_id FROM flog WHERE day < 24)) AS BIGINT) AS overlap_rows,
+       round(count(*) FILTER (WHERE user_id IN (SELECT user_id FROM flog WHERE day < 24)) / count(*), 6) AS share
+FROM flog WHERE day = 24""")
+def q_profile_user_overlap(spark, sf):
+    df = click_log(spark, sf)
+    train, hold = R.split_by_day(df, 24)
+    return PF.user_overlap(train, hold)
