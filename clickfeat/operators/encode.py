@@ -2,27 +2,117 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from clickfeat.session import ensure_checkpoint_dir
+
+# Code tables with at most this many distinct values are broadcast to the
+# join (the count is measured while numbering, so the bound is proven).
+BROADCAST_MAX_CODES = 1_000_000
+_POS_BITS = 33  # monotonically_increasing_id: partition index << 33 | row position
+
+
+def consecutive_index(df: DataFrame, order: list, name: str = "idx") -> DataFrame:
+    """Number the rows 1..n in ``order`` without a single-partition window.
+
+    ``orderBy`` range-partitions and sorts in parallel; within a partition
+    ``monotonically_increasing_id`` is ``pid << 33 | position``; the row
+    count of every partition (one small row per partition, bounded by the
+    partition count) gives the offsets.  The sorted frame is checkpointed to
+    the shared folder first so both passes see the same partitioning.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    s = df.orderBy(*order).select("*", F.monotonically_increasing_id().alias("__mid")).checkpoint(eager=True)
+    pid = F.shiftright(F.col("__mid"), _POS_BITS)
+    sizes = s.groupBy(pid.alias("__pid")).agg(F.count(F.lit(1)).alias("__n")).collect()
+    offset, acc = {}, 0
+    for r in sorted(sizes, key=lambda r: r["__pid"]):
+        offset[r["__pid"]] = acc
+        acc += r["__n"]
+    if not offset:
+        return s.drop("__mid").withColumn(name, F.lit(None).cast("bigint"))
+    off = F.lit(0).cast("bigint")
+    m = F.create_map(*[x for p, o in offset.items() for x in (F.lit(p), F.lit(o).cast("bigint"))])
+    off = F.element_at(m, pid)
+    pos = F.col("__mid").bitwiseAND(F.lit((1 << _POS_BITS) - 1))
+    return s.select(*[c for c in s.columns if c != "__mid"], (off + pos + 1).cast("bigint").alias(name))
+
+
+def code_table(pop: DataFrame, c: str, order: list[str]) -> DataFrame:
+    """``(__v, __code)``: first-appearance codes of the distinct values of ``c``."""
+    dv = pop.groupBy(F.col(c).alias("__v")).agg(F.min(F.struct(*[F.col(o) for o in order])).alias("__first"))
+    return consecutive_index(dv, ["__first"], "__code").select("__v", "__code")
 
 
 def first_seen_codes(df: DataFrame, cols: list[str], order: list[str], suffix: str = "",
                      population: DataFrame | None = None) -> DataFrame:
-    """Code values 1..n by first appearance in ``order``; NULL is a value.
+    """E1 (and E2 with ``population`` = train ∪ test): values -> 1..n by first
+    appearance in ``order``; NULL is a value and gets its own code.
 
-    Only the *distinct values* go through a global order: per column,
-    ``groupBy(value).agg(min(order))`` (partial aggregation, skew-safe), then
-    ``row_number`` over the distinct values, then a join back.  The join is
-    null-safe (``<=>``) so a missing value gets its own code.
+    Only distinct values are ordered: ``groupBy(value).agg(min(order))``
+    (partial aggregation, skew-safe) then a distributed numbering.  The code
+    table is joined back null-safely (``<=>``); it is broadcast only when its
+    measured size is small.
     """
     pop = df if population is None else population
     out = df
     for c in cols:
-        first = F.min(F.struct(*[F.col(o) for o in order])).alias("__first")
-        dv = pop.groupBy(F.col(c).alias("__v")).agg(first)
-        codes = dv.select("__v", F.row_number().over(Window.orderBy("__first")).cast("bigint").alias("__code"))
-        out = (out.join(codes, out[c].eqNullSafe(codes["__v"]), "left")
-                  .drop("__v")
-                  .withColumnRenamed("__code", f"{c}{suffix}" if suffix else "__code"))
+        codes = code_table(pop, c, order)
+        n = codes.count()
+        if n <= BROADCAST_MAX_CODES:
+            codes = F.broadcast(codes)
+        name = f"{c}{suffix}" if suffix else "__code"
+        out = out.join(codes, out[c].eqNullSafe(codes["__v"]), "left").drop("__v").withColumnRenamed("__code", name)
         if not suffix:
             out = out.drop(c).withColumnRenamed("__code", c)
     return out
+
+
+def _minmax(df: DataFrame, cols: list[str]):
+    aggs = []
+    for c in cols:
+        aggs += [F.min(c).alias(f"mn_{c}"), F.max(c).alias(f"mx_{c}")]
+    return df.agg(*aggs).first()
+
+
+def equal_width_bins(df: DataFrame, cols: list[str], bins: int = 10, suffix: str = "_bin",
+                     stats: DataFrame | None = None) -> DataFrame:
+    """Pandas ``cut(x, bins)`` codes - equal-width, right-closed bins.
+
+    ``ceil((x-min)/width) - 1`` clamped at 0 (the lowest edge is open just
+    below min).  A constant column lands in the middle bin ``bins//2 - 1``;
+    NULL stays NULL (``greatest`` would skip it and give 0).  Min/max are two
+    scalars per column (one tiny aggregate).
+    """
+    m = _minmax(df if stats is None else stats, cols)
+    out = []
+    for c in cols:
+        mn, mx = m[f"mn_{c}"], m[f"mx_{c}"]
+        x = F.col(c)
+        if mn is None:
+            b = F.lit(None).cast("int")
+        elif mn == mx:
+            b = F.when(x.isNotNull(), F.lit(bins // 2 - 1))
+        else:
+            width = (F.lit(float(mx)) - F.lit(float(mn))) / F.lit(float(bins))
+            raw = F.ceil((x - F.lit(float(mn))) / width) - 1
+            b = F.when(x.isNotNull(), F.least(F.greatest(raw, F.lit(0)), F.lit(bins - 1)))
+        out.append(b.cast("int").alias(f"{c}{suffix}"))
+    return df.select("*", *out)
+
+
+def standardize(df: DataFrame, cols: list[str], suffix: str = "_std", stats: DataFrame | None = None) -> DataFrame:
+    """E5: ``(x - mean) / population sd`` (``StandardScaler`` uses sample sd)."""
+    src = df if stats is None else stats
+    aggs = []
+    for c in cols:
+        aggs += [F.avg(c).alias(f"mu_{c}"), F.stddev_pop(c).alias(f"sd_{c}")]
+    m = src.agg(*aggs).first()
+    out = []
+    for c in cols:
+        mu, sd = m[f"mu_{c}"], m[f"sd_{c}"]
+        if mu is None or not sd:
+            out.append(F.lit(None).cast("double").alias(f"{c}{suffix}"))
+        else:
+            out.append(((F.col(c) - F.lit(mu)) / F.lit(sd)).alias(f"{c}{suffix}"))
+    return df.select("*", *out)

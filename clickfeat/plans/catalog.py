@@ -398,3 +398,280 @@ def q_profile_user_overlap(spark, sf):
     df = click_log(spark, sf)
     train, hold = R.split_by_day(df, 24)
     return PF.user_overlap(train, hold)
+
+
+# ------------------------------------------------------- lists (A1-A4)
+from clickfeat.functions import lists as L  # noqa: E402
+from clickfeat.operators import vocab as V  # noqa: E402
+from clickfeat.operators import encode as EN  # noqa: E402
+from clickfeat.plans.oracle_base import CATEGORY_PATHS, ORDER_LOG, PREDICT_STRINGS  # noqa: E402
+from clickfeat.sources.standin import category_paths, order_log, predict_strings  # noqa: E402
+
+
+@register("list_category_levels", with_ctes(CATEGORY_PATHS) + """
+SELECT row_id,
+       TRY_CAST(coalesce(string_split(item_category_list, ';')[1], '-1') AS BIGINT) AS category_0,
+       TRY_CAST(coalesce(string_split(item_category_list, ';')[2], '-1') AS BIGINT) AS category_1,
+       TRY_CAST(coalesce(string_split(item_category_list, ';')[3], '-1') AS BIGINT) AS category_2
+FROM cpath""")
+def q_list_category_levels(spark, sf):
+    df = category_paths(spark, sf)
+    return df.select("row_id", *[L.category_level("item_category_list", i).alias(f"category_{i}") for i in range(3)])
+
+
+@register("list_predicted_category", EV + """
+SELECT instance_id,
+       TRY_CAST(coalesce(split_part(string_split(predict_category_property, ';')[1], ':', 1), '-1') AS BIGINT)
+         AS predict_category_0,
+       TRY_CAST(coalesce(split_part(string_split(predict_category_property, ';')[2], ':', 1), '-1') AS BIGINT)
+         AS predict_category_1,
+       TRY_CAST(coalesce(split_part(string_split(predict_category_property, ';')[3], ':', 1), '-1') AS BIGINT)
+         AS predict_category_2
+FROM flog""")
+def q_list_predicted_category(spark, sf):
+    df = click_log(spark, sf)
+    return df.select("instance_id", *[L.predicted_category("predict_category_property", i)
+                                      .alias(f"predict_category_{i}") for i in range(3)])
+
+
+_PARSE_SQL = """
+SELECT row_id,
+       array_to_string(list_transform(ok, lambda t: string_split(t, ':')[1]), ';') AS cats,
+       array_to_string(flatten(list_transform(ok, lambda t: CASE WHEN string_split(t, ':')[2] = '-1'
+                                                            THEN []::VARCHAR[]
+                                                            ELSE string_split(string_split(t, ':')[2], ',') END)),
+                       ',') AS props,
+       CAST(len(ok) AS BIGINT) AS n_cats,
+       CAST(len(flatten(list_transform(ok, lambda t: CASE WHEN string_split(t, ':')[2] = '-1'
+                                                     THEN []::VARCHAR[]
+                                                     ELSE string_split(string_split(t, ':')[2], ',') END))) AS BIGINT)
+         AS n_props
+FROM (SELECT row_id, list_filter(string_split(predict_category_property, ';'),
+                                 lambda t: len(string_split(t, ':')) > 1) AS ok FROM pstr)"""
+
+
+@register("list_predict_parse", with_ctes(PREDICT_STRINGS) + _PARSE_SQL)
+def q_list_predict_parse(spark, sf):
+    df = predict_strings(spark, sf)
+    cats = L.predict_categories("predict_category_property")
+    props = L.predict_properties("predict_category_property")
+    return df.select("row_id", F.array_join(cats, ";").alias("cats"), F.array_join(props, ",").alias("props"),
+                     F.size(cats).cast("bigint").alias("n_cats"), F.size(props).cast("bigint").alias("n_props"))
+
+
+@register("list_property_num", EV + """
+SELECT instance_id, CAST(len(string_split(item_property_list, ';')) AS BIGINT) AS item_property_num FROM flog""")
+def q_list_property_num(spark, sf):
+    df = click_log(spark, sf)
+    return df.select("instance_id", L.property_count("item_property_list").cast("bigint").alias("item_property_num"))
+
+
+# ------------------------------------------------------- vocabularies (V1-V4)
+@register("vocab_topk_positive", with_ctes(ORDER_LOG) + """
+SELECT token, CAST(count(*) AS BIGINT) AS cnt
+FROM (SELECT unnest(string_split(item_property_list, ';')) AS token FROM olog WHERE is_trade = 1)
+GROUP BY token ORDER BY cnt DESC, token LIMIT 10""")
+def q_vocab_topk_positive(spark, sf):
+    df = order_log(spark, sf)
+    return V.topk_tokens(df, L.tokens("item_property_list"), 10, positives_only=True)
+
+
+@register("vocab_topk", """
+SELECT token, CAST(count(*) AS BIGINT) AS cnt
+FROM (SELECT unnest(string_split(text, ' ')) AS token FROM documents)
+GROUP BY token ORDER BY cnt DESC, token LIMIT 100""")
+def q_vocab_topk(spark, sf):
+    docs = table(spark, sf, "documents").select("text")
+    return V.topk_tokens(docs.withColumn("is_trade", F.lit(0)), L.tokens("text", " "), 100)
+
+
+@register("vocab_topk_predict", EV + """
+SELECT * FROM (
+  SELECT 'cat' AS kind, token, CAST(count(*) AS BIGINT) AS cnt
+  FROM (SELECT string_split(t, ':')[1] AS token
+        FROM (SELECT unnest(string_split(predict_category_property, ';')) AS t FROM flog)
+        WHERE len(string_split(t, ':')) > 1)
+  GROUP BY token ORDER BY cnt DESC, token LIMIT 30)
+UNION ALL
+SELECT * FROM (
+  SELECT 'pro' AS kind, token, CAST(count(*) AS BIGINT) AS cnt
+  FROM (SELECT unnest(string_split(string_split(t, ':')[2], ',')) AS token
+        FROM (SELECT unnest(string_split(predict_category_property, ';')) AS t FROM flog)
+        WHERE len(string_split(t, ':')) > 1 AND string_split(t, ':')[2] <> '-1')
+  GROUP BY token ORDER BY cnt DESC, token LIMIT 25)""")
+def q_vocab_topk_predict(spark, sf):
+    df = click_log(spark, sf)
+    c = V.topk_tokens(df, L.predict_categories("predict_category_property"), 30)
+    p = V.topk_tokens(df, L.predict_properties("predict_category_property"), 25)
+    return (c.select(F.lit("cat").alias("kind"), "token", "cnt")
+             .unionByName(p.select(F.lit("pro").alias("kind"), "token", "cnt")))
+
+
+# ------------------------------------------------------- membership
+def _vocab_cte(name, k, positives=False):
+    where = "WHERE is_trade = 1 AND day < 24" if positives else "WHERE day < 24"
+    return f"""{name} AS (
+  SELECT token, row_number() OVER (ORDER BY cnt DESC, token) - 1 AS rnk FROM (
+    SELECT token, count(*) AS cnt
+    FROM (SELECT unnest(string_split(item_property_list, ';')) AS token FROM flog {where})
+    GROUP BY token ORDER BY cnt DESC, token LIMIT {k}))"""
+
+
+@register("list_vocab_overlap", EV + ",\n" + _vocab_cte("va", 5) + ",\n" + _vocab_cte("vp", 5, True) + """,
+toks AS (SELECT instance_id, list_distinct(string_split(item_property_list, ';')) AS t FROM flog)
+SELECT instance_id,
+  CAST(len(list_intersect(t, (SELECT list(token) FROM va))) AS BIGINT) AS most_property_num,
+  array_to_string(list_sort(list_intersect(t, (SELECT list(token) FROM va))), ';') AS most_property,
+  CAST(len(list_intersect(t, (SELECT list(token) FROM vp))) AS BIGINT) AS trade_most_property_num,
+  array_to_string(list_sort(list_intersect(t, (SELECT list(token) FROM vp))), ';') AS trade_most_property
+FROM toks""")
+def q_list_vocab_overlap(spark, sf):
+    df = click_log(spark, sf)
+    train = df.where("day < 24")
+    tok = L.tokens("item_property_list")
+    va = V.vocabulary(V.topk_tokens(train, tok, 5))
+    vp = V.vocabulary(V.topk_tokens(train, tok, 5, positives_only=True))
+    return df.select("instance_id",
+                     V.overlap_count(tok, va).cast("bigint").alias("most_property_num"),
+                     V.overlap_string(tok, va).alias("most_property"),
+                     V.overlap_count(tok, vp).cast("bigint").alias("trade_most_property_num"),
+                     V.overlap_string(tok, vp).alias("trade_most_property"))
+
+
+@register("list_vocab_ranks", EV + ",\n" + _vocab_cte("va", 8) + """,
+x AS (SELECT instance_id, unnest(list_distinct(string_split(item_property_list, ';'))) AS tok FROM flog),
+y AS (SELECT x.instance_id, string_agg(CAST(va.rnk AS VARCHAR), ',' ORDER BY va.rnk) AS s
+      FROM x JOIN va ON x.tok = va.token GROUP BY x.instance_id)
+SELECT f.instance_id, coalesce(y.s, '') AS most_proerty FROM flog f LEFT JOIN y ON f.instance_id = y.instance_id""")
+def q_list_vocab_ranks(spark, sf):
+    df = click_log(spark, sf)
+    tok = L.tokens("item_property_list")
+    va = V.vocabulary(V.topk_tokens(df.where("day < 24"), tok, 8))
+    return df.select("instance_id", F.array_join(V.overlap_ranks(tok, va), ",").alias("most_proerty"))
+
+
+def _multi_hot_sql():
+    cats = """pc AS (SELECT token, row_number() OVER (ORDER BY cnt DESC, token) - 1 AS rnk FROM (
+  SELECT token, count(*) AS cnt FROM (SELECT string_split(t, ':')[1] AS token
+    FROM (SELECT unnest(string_split(predict_category_property, ';')) AS t FROM flog WHERE day < 24)
+    WHERE len(string_split(t, ':')) > 1) GROUP BY token ORDER BY cnt DESC, token LIMIT 30))"""
+    pros = """pp AS (SELECT token, row_number() OVER (ORDER BY cnt DESC, token) - 1 AS rnk FROM (
+  SELECT token, count(*) AS cnt FROM (SELECT unnest(string_split(string_split(t, ':')[2], ',')) AS token
+    FROM (SELECT unnest(string_split(predict_category_property, ';')) AS t FROM flog WHERE day < 24)
+    WHERE len(string_split(t, ':')) > 1 AND string_split(t, ':')[2] <> '-1')
+  GROUP BY token ORDER BY cnt DESC, token LIMIT 25))"""
+    parsed = """pl AS (SELECT instance_id, string_split(item_property_list, ';') AS props,
+  list_transform(list_filter(string_split(predict_category_property, ';'), lambda t: len(string_split(t, ':')) > 1),
+                 lambda t: string_split(t, ':')[1]) AS pcat,
+  flatten(list_transform(list_filter(string_split(predict_category_property, ';'),
+                                     lambda t: len(string_split(t, ':')) > 1),
+          lambda t: CASE WHEN string_split(t, ':')[2] = '-1' THEN []::VARCHAR[]
+                    ELSE string_split(string_split(t, ':')[2], ',') END)) AS ppro
+  FROM flog)"""
+    cols = []
+    for prefix, lst, v, n in (("most_proerty", "props", "vq", 10), ("most_predict_cat", "pcat", "pc", 30),
+                              ("most_predict_pro", "ppro", "pp", 25)):
+        for j in range(n):
+            cols.append(f"coalesce(CAST(list_contains({lst}, (SELECT token FROM {v} WHERE rnk = {j})) AS INTEGER), 0)"
+                        f" AS {prefix}_{j}")
+    return (EV + ",\n" + _vocab_cte("vq", 10, True) + ",\n" + cats + ",\n" + pros + ",\n" + parsed
+            + "\nSELECT instance_id, " + ",\n ".join(cols) + "\nFROM pl")
+
+
+@register("list_multi_hot", _multi_hot_sql())
+def q_list_multi_hot(spark, sf):
+    df = click_log(spark, sf)
+    train = df.where("day < 24")
+    props = L.tokens("item_property_list")
+    pcat = L.predict_categories("predict_category_property")
+    ppro = L.predict_properties("predict_category_property")
+    vq = V.vocabulary(V.topk_tokens(train, props, 10, positives_only=True))
+    vc = V.vocabulary(V.topk_tokens(train, pcat, 30))
+    vr = V.vocabulary(V.topk_tokens(train, ppro, 25))
+    return df.select("instance_id", *V.multi_hot(props, vq, "most_proerty", 10),
+                     *V.multi_hot(pcat, vc, "most_predict_cat", 30),
+                     *V.multi_hot(ppro, vr, "most_predict_pro", 25))
+
+
+# ------------------------------------------------------- encoders
+def _first_seen_sql(src, col, name):
+    return f"""SELECT {col} AS v, CAST(row_number() OVER (ORDER BY context_timestamp, instance_id) AS BIGINT) AS {name}
+FROM (SELECT {col}, context_timestamp, instance_id,
+             row_number() OVER (PARTITION BY {col} ORDER BY context_timestamp, instance_id) AS r FROM {src})
+WHERE r = 1"""
+
+
+@register("enc_first_seen", EV + f""",
+c1 AS ({_first_seen_sql('flog', 'item_property_list', 'code')}),
+c2 AS ({_first_seen_sql('flog', 'user_id', 'code')})
+SELECT f.instance_id, c1.code AS item_property_list_code, c2.code AS user_id_code
+FROM flog f JOIN c1 ON f.item_property_list IS NOT DISTINCT FROM c1.v
+            JOIN c2 ON f.user_id IS NOT DISTINCT FROM c2.v""")
+def q_enc_first_seen(spark, sf):
+    df = click_log(spark, sf)
+    out = EN.first_seen_codes(df, ["item_property_list", "user_id"], ["context_timestamp", "instance_id"], "_code")
+    return out.select("instance_id", "item_property_list_code", "user_id_code")
+
+
+_JOINT = ["item_id", "user_id", "item_brand_id", "item_city_id", "user_occupation_id", "context_page_id",
+          "shop_id", "category_0", "category_1", "category_2", "hour"]
+
+
+def _joint_sql():
+    ctes = [f"j{i} AS ({_first_seen_sql('u', c, 'code')})" for i, c in enumerate(_JOINT)]
+    joins = " ".join(f"JOIN j{i} ON u.{c} IS NOT DISTINCT FROM j{i}.v" for i, c in enumerate(_JOINT))
+    cols = ", ".join(f"j{i}.code AS {c}" for i, c in enumerate(_JOINT))
+    return (EV + ",\nu AS (SELECT * FROM flog WHERE day <= 24),\n" + ",\n".join(ctes)
+            + f"\nSELECT u.instance_id, CASE WHEN u.day < 24 THEN 'train' ELSE 'holdout' END AS part, {cols}"
+            + f"\nFROM u {joins}")
+
+
+@register("enc_joint", _joint_sql())
+def q_enc_joint(spark, sf):
+    df = click_log(spark, sf)
+    train, hold = R.split_by_day(df, 24)
+    both = R.union_train_test(train, hold, None)
+    enc = EN.first_seen_codes(both, _JOINT, ["context_timestamp", "instance_id"])
+    return R.tag_split(enc, 24).select("instance_id", "part", *_JOINT)
+
+
+_BUCK = ["shop_review_positive_rate", "shop_score_service", "shop_score_delivery", "shop_score_description"]
+
+
+def _buck_sql():
+    rate = "CASE WHEN shop_review_positive_rate = -1 THEN 0.0 ELSE shop_review_positive_rate END"
+    base = (f"b0 AS (SELECT instance_id, context_timestamp, {rate} AS shop_review_positive_rate, "
+            "shop_score_service, shop_score_delivery, shop_score_description FROM flog)")
+    mm = "mm AS (SELECT " + ", ".join(f"min({c}) AS mn_{c}, max({c}) AS mx_{c}" for c in _BUCK) + " FROM b0)"
+    bins = ", ".join(
+        f"CASE WHEN {c} IS NULL THEN NULL WHEN mx_{c} = mn_{c} THEN 4 ELSE CAST(least(greatest("
+        f"ceil(({c} - mn_{c}) / ((mx_{c} - mn_{c}) / 10.0)) - 1, 0), 9) AS INTEGER) END AS {c}_bin"
+        for c in _BUCK)
+    b1 = f"b1 AS (SELECT b0.*, {bins} FROM b0, mm)"
+    ctes = [f"k{i} AS ({_first_seen_sql('b1', c + '_bin', 'code')})" for i, c in enumerate(_BUCK)]
+    joins = " ".join(f"JOIN k{i} ON b1.{c}_bin IS NOT DISTINCT FROM k{i}.v" for i, c in enumerate(_BUCK))
+    cols = ", ".join(f"b1.{c}_bin, k{i}.code AS {c}_buck" for i, c in enumerate(_BUCK))
+    return EV + ",\n" + base + ",\n" + mm + ",\n" + b1 + ",\n" + ",\n".join(ctes) + \
+        f"\nSELECT b1.instance_id, {cols} FROM b1 {joins}"
+
+
+@register("enc_equal_width", _buck_sql())
+def q_enc_equal_width(spark, sf):
+    df = R.replace_sentinel(click_log(spark, sf), "shop_review_positive_rate", -1, 0.0)
+    df = EN.equal_width_bins(df.select("instance_id", "context_timestamp", *_BUCK), _BUCK, 10, "_bin")
+    df = EN.first_seen_codes(df, [f"{c}_bin" for c in _BUCK], ["context_timestamp", "instance_id"], "_code")
+    return df.select("instance_id", *[x for c in _BUCK for x in
+                                      (F.col(f"{c}_bin"), F.col(f"{c}_bin_code").alias(f"{c}_buck"))])
+
+
+_STD = ["shop_review_positive_rate", "shop_score_service", "shop_score_delivery", "shop_score_description",
+        "item_price_level", "item_sales_level", "user_age_level", "user_star_level"]
+
+
+@register("enc_standardize", EV + """,
+mm AS (SELECT """ + ", ".join(f"avg({c}) AS mu_{c}, stddev_pop({c}) AS sd_{c}" for c in _STD) + """ FROM flog)
+SELECT instance_id, """ + ", ".join(f"round(({c} - mu_{c}) / sd_{c}, 6) AS {c}_std" for c in _STD) + """
+FROM flog, mm""")
+def q_enc_standardize(spark, sf):
+    df = EN.standardize(click_log(spark, sf), _STD)
+    return df.select("instance_id", *[F.round(f"{c}_std", 6).alias(f"{c}_std") for c in _STD])
