@@ -675,3 +675,208 @@ FROM flog, mm""")
 def q_enc_standardize(spark, sf):
     df = EN.standardize(click_log(spark, sf), _STD)
     return df.select("instance_id", *[F.round(f"{c}_std", 6).alias(f"{c}_std") for c in _STD])
+
+
+# ------------------------------------------------------- sparse text rows
+from clickfeat.operators import ffm as FF  # noqa: E402
+from clickfeat.operators import evaluate as EVL  # noqa: E402
+from clickfeat.operators import sample as SMP  # noqa: E402
+
+_FFM_SCALARS = ["item_id", "user_id", "shop_id", "item_brand_id", "hour", "is_week", "category_1"]
+_FFM_LISTS = ["most_proerty", "most_predict_cat", "most_predict_pro"]
+
+
+def _ffm_sql():
+    codes = [f"c{i} AS ({_first_seen_sql('flog', c, 'code')})" for i, c in enumerate(_FFM_SCALARS)]
+    vocabs = [
+        """v0 AS (SELECT token, row_number() OVER (ORDER BY cnt DESC, token) - 1 AS rnk FROM (
+  SELECT token, count(*) AS cnt FROM (SELECT unnest(string_split(item_property_list, ';')) AS token FROM flog)
+  GROUP BY token ORDER BY cnt DESC, token LIMIT 1000))""",
+        """v1 AS (SELECT token, row_number() OVER (ORDER BY cnt DESC, token) - 1 AS rnk FROM (
+  SELECT token, count(*) AS cnt FROM (SELECT string_split(t, ':')[1] AS token
+    FROM (SELECT unnest(string_split(predict_category_property, ';')) AS t FROM flog)
+    WHERE len(string_split(t, ':')) > 1) GROUP BY token ORDER BY cnt DESC, token LIMIT 30))""",
+        """v2 AS (SELECT token, row_number() OVER (ORDER BY cnt DESC, token) - 1 AS rnk FROM (
+  SELECT token, count(*) AS cnt FROM (SELECT unnest(string_split(string_split(t, ':')[2], ',')) AS token
+    FROM (SELECT unnest(string_split(predict_category_property, ';')) AS t FROM flog)
+    WHERE len(string_split(t, ':')) > 1 AND string_split(t, ':')[2] <> '-1')
+  GROUP BY token ORDER BY cnt DESC, token LIMIT 25))"""]
+    toks = """tk AS (
+  SELECT instance_id, 0 AS f, unnest(list_distinct(string_split(item_property_list, ';'))) AS tok FROM flog
+  UNION ALL
+  SELECT instance_id, 1, unnest(list_distinct(list_transform(list_filter(string_split(predict_category_property, ';'),
+      lambda t: len(string_split(t, ':')) > 1), lambda t: string_split(t, ':')[1]))) FROM flog
+  UNION ALL
+  SELECT instance_id, 2, unnest(list_distinct(flatten(list_transform(list_filter(
+      string_split(predict_category_property, ';'), lambda t: len(string_split(t, ':')) > 1),
+      lambda t: CASE WHEN string_split(t, ':')[2] = '-1' THEN []::VARCHAR[]
+                     ELSE string_split(string_split(t, ':')[2], ',') END)))) FROM flog),
+rk AS (
+  SELECT instance_id, f, rnk FROM tk JOIN v0 ON f = 0 AND tok = v0.token
+  UNION ALL SELECT instance_id, f, rnk FROM tk JOIN v1 ON f = 1 AND tok = v1.token
+  UNION ALL SELECT instance_id, f, rnk FROM tk JOIN v2 ON f = 2 AND tok = v2.token),
+ls AS (SELECT instance_id, f, string_agg(CAST(f AS VARCHAR) || ':' || CAST(rnk AS VARCHAR) || ':1 ', ''
+                                          ORDER BY rnk) AS s
+       FROM rk GROUP BY instance_id, f)"""
+    lists = " || ".join(f"coalesce((SELECT s FROM ls WHERE ls.instance_id = a.instance_id AND ls.f = {i}), '')"
+                        for i in range(3))
+    scal = " || ".join(f"'{3 + i}:' || CAST(c{i}.code AS VARCHAR) || ':1 '" for i in range(len(_FFM_SCALARS)))
+    joins = " ".join(f"JOIN c{i} ON a.{c} IS NOT DISTINCT FROM c{i}.v" for i, c in enumerate(_FFM_SCALARS))
+    return (EV + ",\n" + ",\n".join(codes + vocabs) + ",\n" + toks
+            + f"\nSELECT a.instance_id, CAST(a.is_trade AS VARCHAR) || ' ' || {lists} || {scal} AS line"
+            + f"\nFROM flog a {joins}")
+
+
+@register("ffm_rows", _ffm_sql())
+def q_ffm_rows(spark, sf):
+    df = click_log(spark, sf)
+    props = L.tokens("item_property_list")
+    pcat = L.predict_categories("predict_category_property")
+    ppro = L.predict_properties("predict_category_property")
+    v0 = V.vocabulary(V.topk_tokens(df, props, 1000))
+    v1 = V.vocabulary(V.topk_tokens(df, pcat, 30))
+    v2 = V.vocabulary(V.topk_tokens(df, ppro, 25))
+    df = df.select("instance_id", "is_trade", *_FFM_SCALARS, "context_timestamp",
+                   V.overlap_ranks(props, v0).alias("most_proerty"),
+                   V.overlap_ranks(pcat, v1).alias("most_predict_cat"),
+                   V.overlap_ranks(ppro, v2).alias("most_predict_pro"))
+    df = EN.first_seen_codes(df, _FFM_SCALARS, ["context_timestamp", "instance_id"])
+    return FF.ffm_rows(df, "is_trade", _FFM_LISTS, _FFM_SCALARS)
+
+
+@register("ffm_hash", """
+SELECT doc_id,
+       CAST(CAST('0x' || md5(text) AS UHUGEINT) % 999999 + 1 AS BIGINT) AS h_text,
+       CAST(CAST('0x' || md5(lang) AS UHUGEINT) % 999999 + 1 AS BIGINT) AS h_lang,
+       'text:' || CAST(CAST('0x' || md5(text) AS UHUGEINT) % 999999 + 1 AS VARCHAR) || ':1 '
+         || 'source:' || CAST(CAST('0x' || md5(source) AS UHUGEINT) % 999999 + 1 AS VARCHAR) || ':1' AS tokens
+FROM documents""")
+def q_ffm_hash(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", L.md5_bucket("text").alias("h_text"), L.md5_bucket("lang").alias("h_lang"),
+                    FF.hashed_tokens({"text": "text", "source": "source"}).alias("tokens"))
+
+
+# ------------------------------------------------------- evaluation and blending (M2, M4, M6)
+_P1 = "CAST((instance_id * 37) % 97 + 1 AS DOUBLE) / 99.0"
+_P2 = "CAST((instance_id * 53) % 89 + 1 AS DOUBLE) / 91.0"
+_P3 = "CAST((instance_id * 11) % 83 + 1 AS DOUBLE) / 85.0"
+_PART = "CASE WHEN day < 24 THEN 'train' WHEN day = 24 THEN 'holdout' ELSE 'test' END"
+
+
+def _scored(spark, sf, expr=_P1):
+    df = click_log(spark, sf)
+    return df.select("instance_id", "is_trade", "day", F.expr(_PART).alias("part"),
+                     F.expr(expr).alias("predicted_score"))
+
+
+@register("eval_log_loss", EV + f"""
+SELECT part, round(avg(-(is_trade * ln(greatest(least(p, 1 - 1e-15), 1e-15))
+                         + (1 - is_trade) * ln(1 - greatest(least(p, 1 - 1e-15), 1e-15)))), 6) AS log_loss,
+       CAST(count(*) AS BIGINT) AS rows
+FROM (SELECT is_trade, {_PART} AS part, {_P1} AS p FROM flog) GROUP BY part""")
+def q_eval_log_loss(spark, sf):
+    ll = EVL.log_loss(_scored(spark, sf), by=["part"])
+    return ll.select("part", F.round("log_loss", 6).alias("log_loss"), "rows")
+
+
+@register("eval_accuracy", EV + f"""
+SELECT part, round(avg(CAST(CAST(p > 0.5 AS INTEGER) = is_trade AS DOUBLE)), 6) AS accuracy,
+       CAST(count(*) AS BIGINT) AS rows
+FROM (SELECT is_trade, {_PART} AS part, {_P1} AS p FROM flog) GROUP BY part""")
+def q_eval_accuracy(spark, sf):
+    acc = EVL.accuracy(_scored(spark, sf), by=["part"])
+    return acc.select("part", F.round("accuracy", 6).alias("accuracy"), "rows")
+
+
+@register("blend_scores", EV + f"""
+SELECT instance_id, 'train' AS part, round(0.6 * {_P1} + 0.4 * {_P2}, 9) AS predicted_score FROM flog WHERE day < 25
+UNION ALL
+SELECT instance_id, 'test', round(0.8 * {_P1} + 0.1 * {_P2} + 0.1 * {_P3}, 9) FROM flog WHERE day >= 25""")
+def q_blend_scores(spark, sf):
+    a, b, c = _scored(spark, sf, _P1), _scored(spark, sf, _P2), _scored(spark, sf, _P3)
+    tr = EVL.blend([(a.where("day < 25"), 0.6), (b.where("day < 25"), 0.4)])
+    te = EVL.blend([(a.where("day >= 25"), 0.8), (b.where("day >= 25"), 0.1), (c.where("day >= 25"), 0.1)])
+    return (tr.select("instance_id", F.lit("train").alias("part"), F.round("predicted_score", 9).alias("predicted_score"))
+              .unionByName(te.select("instance_id", F.lit("test").alias("part"),
+                                     F.round("predicted_score", 9).alias("predicted_score"))))
+
+
+@register("blend_log_loss", EV + f"""
+SELECT round(avg(-(is_trade * ln(greatest(least(p, 1 - 1e-15), 1e-15))
+                  + (1 - is_trade) * ln(1 - greatest(least(p, 1 - 1e-15), 1e-15)))), 6) AS log_loss,
+       CAST(count(*) AS BIGINT) AS rows
+FROM (SELECT is_trade, 0.6 * {_P1} + 0.4 * {_P2} AS p FROM flog WHERE day < 25)""")
+def q_blend_log_loss(spark, sf):
+    a, b = _scored(spark, sf, _P1).where("day < 25"), _scored(spark, sf, _P2).where("day < 25")
+    bl = EVL.blend([(a, 0.6), (b, 0.4)]).join(a.select("instance_id", "is_trade"), "instance_id")
+    return EVL.log_loss(bl).select(F.round("log_loss", 6).alias("log_loss"), "rows")
+
+
+# ------------------------------------------------------- balanced negative chunks
+@register("sample_negative_chunks", EV + """
+SELECT instance_id, is_trade, CAST(floor((row_number() OVER (ORDER BY context_timestamp, instance_id) - 1) / 1000)
+                                   AS BIGINT) AS chunk
+FROM flog WHERE is_trade <> 1
+UNION ALL
+SELECT instance_id, is_trade, -1 FROM flog WHERE is_trade = 1""")
+def q_sample_negative_chunks(spark, sf):
+    df = click_log(spark, sf).select("instance_id", "is_trade", "context_timestamp")
+    return SMP.negative_chunks(df, 1000, ["context_timestamp", "instance_id"]).select("instance_id", "is_trade", "chunk")
+
+
+# ------------------------------------------------------- sources and sinks
+from clickfeat.session import scratch_path  # noqa: E402
+from clickfeat.sources import logs as IO  # noqa: E402
+from clickfeat.schema import RAW_LOG  # noqa: E402
+from clickfeat.sources.standin import events_log  # noqa: E402
+
+
+@register("src_read_log", EV + "\nSELECT " + ", ".join(f.name for f in RAW_LOG.fields) + " FROM log")
+def q_src_read_log(spark, sf):
+    path = scratch_path(spark, "raw-log")
+    IO.write_log(events_log(spark, sf), path)
+    return IO.read_log(spark, path)
+
+
+@register("sink_stage_roundtrip", EV + """,
+st AS (SELECT instance_id, day,
+  coalesce(string_agg(CASE WHEN day < 24 THEN CAST(is_trade AS VARCHAR) ELSE '0' END, ''
+                      ORDER BY context_timestamp, instance_id)
+           OVER (PARTITION BY user_id, day ORDER BY context_timestamp, instance_id
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS history,
+  coalesce(string_agg(CASE WHEN day < 24 THEN CAST(is_trade AS VARCHAR) ELSE '0' END, ''
+                      ORDER BY context_timestamp, instance_id)
+           OVER (PARTITION BY user_id ORDER BY context_timestamp, instance_id
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS all_history,
+  CAST(count(*) OVER (PARTITION BY user_id, day, half_hour) AS BIGINT) AS user_query_day_half_hour
+FROM flog)
+SELECT * FROM st WHERE day < 24""")
+def q_sink_stage_roundtrip(spark, sf):
+    df = click_log(spark, sf)
+    df = W.add_gaps(df, scopes=("day", "all"))
+    df = C.add_group_sizes(df, {"user_query_day_half_hour": ["user_id", "day", "half_hour"]})
+    path = scratch_path(spark, "stage")
+    IO.write_stage(df.select("instance_id", "day", "history", "all_history", "user_query_day_half_hour"), path)
+    train, _ = R.split_by_day(IO.read_stage(spark, path), 24)
+    return train.select("instance_id", "day", "history", "all_history", "user_query_day_half_hour")
+
+
+@register("sink_predictions", EV + f"""
+SELECT instance_id, {_P1} AS predicted_score FROM flog WHERE day >= 25""")
+def q_sink_predictions(spark, sf):
+    scored = _scored(spark, sf)
+    sub = click_log(spark, sf).where("day >= 25").select("instance_id")
+    out = EVL.attach_scores(sub, scored.select("instance_id", "predicted_score"))
+    path = scratch_path(spark, "predictions")
+    IO.write_predictions(out, path)
+    return IO.read_predictions(spark, path)
+
+
+@register("sink_freq_table", _freq_sql() + """
+SELECT Field, Value, Neg, Pos, Total, round(Pos / Total, 5) AS Ratio FROM ft WHERE Total >= 10""")
+def q_sink_freq_table(spark, sf):
+    t = RT.feature_value_table(_freq_frame(spark, sf), FREQ_SCALARS, ["property_list", "predict_cat"])
+    path = scratch_path(spark, "freq")
+    IO.write_freq_table(t, path)
+    return IO.read_freq_table(spark, path)
