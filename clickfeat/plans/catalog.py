@@ -139,9 +139,9 @@ def q_ordinal_first_last(spark, sf):
 
 
 # ------------------------------------------------------- group sizes
-def _count_sql(groups):
+def _count_sql(groups, where=""):
     cols = [f"CAST(count(*) OVER (PARTITION BY {_in(ks)}) AS BIGINT) AS {g}" for g, ks in groups.items()]
-    return EV + "\nSELECT instance_id, " + ",\n ".join(cols) + "\nFROM flog"
+    return EV + "\nSELECT instance_id, " + ",\n ".join(cols) + "\nFROM flog" + (f" WHERE {where}" if where else "")
 
 
 def _make_count(name, groups):
@@ -274,7 +274,7 @@ def q_union_train_test(spark, sf):
 
 
 # ------------------------------------------------------- prior trades
-def _prior_sql(pair, show, flag):
+def _prior_sql(pair, show, flag, rows_where="a.day <= 24"):
     on = " AND ".join(f"a.{k} = s.{k}" for k in pair)
     return EV + f""",
 st AS (SELECT {_in(pair)}, count(*) AS n,
@@ -283,7 +283,7 @@ st AS (SELECT {_in(pair)}, count(*) AS n,
 SELECT a.instance_id, CAST(s.n AS BIGINT) AS {show},
        CASE WHEN s.tt IS NULL OR a.context_timestamp <= s.tt THEN 1 ELSE 0 END AS {flag}
 FROM flog a LEFT JOIN st s ON {on}
-WHERE a.day <= 24"""
+WHERE {rows_where}"""
 
 
 def _make_prior(name):
@@ -880,3 +880,119 @@ def q_sink_freq_table(spark, sf):
     path = scratch_path(spark, "freq")
     IO.write_freq_table(t, path)
     return IO.read_freq_table(spark, path)
+
+
+# ------------------------------------------------------- composed pipelines
+from clickfeat.plans import features as FT  # noqa: E402
+
+
+def _oracle_join(names):
+    parts = [f"(\n{ORACLE[n]}\n) q{i}" for i, n in enumerate(names)]
+    sql = "SELECT * FROM " + parts[0]
+    for p in parts[1:]:
+        sql += "\nJOIN " + p + " USING (instance_id)"
+    return sql
+
+
+def _compact_sql():
+    subs = [ORACLE["list_vocab_overlap"], ORACLE["list_predicted_category"],
+            _count_sql({"user_query_day": ["user_id", "day"], "user_query_day_hour": ["user_id", "day", "hour"]},
+                       "day <= 24"),
+            ORACLE["rate_smoothed"], ORACLE["prior_trade_item"],
+            EV + """
+SELECT instance_id, CAST(len(string_split(item_property_list, ';')) AS BIGINT) AS item_property_num,
+       CAST(row_number() OVER (PARTITION BY item_id, user_id ORDER BY context_timestamp, instance_id) AS BIGINT)
+         AS sum_Times
+FROM flog WHERE day <= 24"""]
+    parts = [f"(\n{q}\n) q{i}" for i, q in enumerate(subs)]
+    sql = "SELECT q0.instance_id, q0.most_property_num, q0.trade_most_property_num, q1.* EXCLUDE (instance_id), " \
+          "q2.* EXCLUDE (instance_id), q3.* EXCLUDE (instance_id), q4.* EXCLUDE (instance_id), " \
+          "q5.* EXCLUDE (instance_id)\nFROM " + parts[0]
+    for i, p in enumerate(parts[1:], 1):
+        sql += f"\nJOIN {p} ON q0.instance_id = q{i}.instance_id"
+    return sql
+
+
+_COMPACT_OUT = ["instance_id", "most_property_num", "trade_most_property_num", "predict_category_0",
+                "predict_category_1", "predict_category_2", "user_query_day", "user_query_day_hour",
+                *[c for st in RT.RATE_KEYS.values() for c in (f"{st}_count", f"trade_{st}_count", f"{st}_ctr")],
+                "show", "trade_no", "item_property_num", "sum_Times"]
+
+
+@register("features_compact", _compact_sql())
+def q_features_compact(spark, sf):
+    out = FT.compact_features(click_log(spark, sf), vocab_k=5)
+    return out.select(*_COMPACT_OUT)
+
+
+def _full_out(df):
+    keep = ["instance_id"]
+    for s in W.SCOPES.values():
+        keep += [f"{s[1]}diff_{i}" for i in range(1, 5)] + [s[2]]
+    keep += list(FT.ALL_COUNTS) + ["user_day", "cat_1_user_show", "cat_1_trade_no", "shop_user_show", "shop_trade_no"]
+    keep += list(W.ORDINALS) + [c for c in df.columns if c.endswith("_first_day") or c.endswith("_last_day")]
+    keep += [c for c in df.columns if c.startswith("most_")]
+    return df.select(*keep)
+
+
+def _full_sql():
+    subs = []
+    for sc in W.SCOPES:
+        subs += [ORACLE[f"gap_{sc}"], ORACLE[f"history_{sc}"]]
+    subs.append(_count_sql({**FT.ALL_COUNTS, "user_day": ["user_id", "day"]}))
+    for name in ("cat", "shop"):
+        subs.append(_prior_sql(*PR.PRIOR_PAIRS[name], rows_where="TRUE"))
+    subs += [ORACLE["ordinal_click"], ORACLE["ordinal_first_last"], ORACLE["list_multi_hot"]]
+    parts = [f"(\n{q}\n) q{i}" for i, q in enumerate(subs)]
+    sql = "SELECT q0.instance_id, " + ", ".join(f"q{i}.* EXCLUDE (instance_id)" for i in range(len(parts))) + \
+          "\nFROM " + parts[0]
+    for i, p in enumerate(parts[1:], 1):
+        sql += f"\nJOIN {p} ON q0.instance_id = q{i}.instance_id"
+    return sql
+
+
+@register("features_full", _full_sql())
+def q_features_full(spark, sf):
+    return _full_out(FT.full_features(click_log(spark, sf)))
+
+
+# ------------------------------------------------------- pyspark.ml jobs (rows-only checks)
+from clickfeat.operators import learn as ML  # noqa: E402
+
+
+def _ml_frame(spark, sf):
+    df = FT.full_features(click_log(spark, sf), with_history=False, multi_hot=False).where("day <= 24")
+    feats = FT.numeric_features(df)
+    return df, feats
+
+
+@register("ml_gbt_score")
+def q_ml_gbt_score(spark, sf):
+    df, feats = _ml_frame(spark, sf)
+    model = ML.fit_gbt(df.where("day < 24"), feats, max_iter=20, max_depth=4)
+    return ML.score(model, df, feats, keep=["day"])
+
+
+@register("ml_temporal_eval")
+def q_ml_temporal_eval(spark, sf):
+    df, feats = _ml_frame(spark, sf)
+    model = ML.fit_gbt(df.where("day < 24"), feats, max_iter=20, max_depth=4)
+    s = ML.score(model, df, feats, keep=["day"])
+    s = s.withColumn("part", F.when(F.col("day") < 24, "train").otherwise("holdout"))
+    return EVL.log_loss(s, by=["part"])
+
+
+@register("ml_leaf_features")
+def q_ml_leaf_features(spark, sf):
+    df, feats = _ml_frame(spark, sf)
+    model = ML.fit_gbt(df.where("day < 24"), feats, max_iter=8, max_depth=3, leaf_col="leaves")
+    leaves = ML.leaf_features(model, df, feats)
+    cols = [c for c in leaves.columns if c.startswith("xgb_")]
+    return EN.first_seen_codes(leaves, cols, ["instance_id"])
+
+
+@register("ml_fm_score")
+def q_ml_fm_score(spark, sf):
+    df, feats = _ml_frame(spark, sf)
+    model = ML.fit_fm(df.where("day < 24"), feats, max_iter=20)
+    return ML.score(model, df, feats, keep=["day"])
