@@ -10,10 +10,10 @@ log per feature.  Here all groupings are evaluated in **one** aggregation:
    a hot key (one user or gender value holding a third of the rows)
    collapses to one row per task before the shuffle;
 3. the number of distinct keys of every group is measured (one tiny job,
-   one row per group reaches the driver).  Groups with a proven small key
-   set are broadcast-joined onto the log (map side, no shuffle); the rest
-   go through one skew-aware sort-merge join (AQE splits hot partitions)
-   and one pivot back to the row key.
+   one row per group reaches the driver).  Groups with a proven tiny key
+   set become literal-map lookups (no join at all); the rest go through
+   one skew-aware equi-join (AQE splits hot partitions), one fold of the
+   row's sizes into a map, and one join back on the row key.
 
 Rows whose grouping key contains NULL get a NULL size (pandas drops NaN
 keys before grouping, so the merge yields NaN).
@@ -91,9 +91,10 @@ USER_QUERY_COUNTS = {
 }
 
 _SEP = "\u001f"
-# A group whose distinct key count is at most this is broadcast (measured,
-# not guessed).  ~100 bytes a row -> a few tens of MB per broadcast at most.
-BROADCAST_MAX_KEYS = 250_000
+# A group with at most this many distinct keys (measured, not guessed) is
+# looked up in a literal map inside the projection: 256 keys x 44 groups is
+# a few hundred KB of plan at most.
+LITERAL_MAX_KEYS = 256
 
 
 def _encoded_key(keys: list[str]):
@@ -106,45 +107,79 @@ def _encoded_key(keys: list[str]):
     return F.when(~anynull, enc)
 
 
+def _long(df: DataFrame, groups: dict[str, list[str]], ids: list[str]) -> DataFrame:
+    """``(ids…, g, k)``: one row per (row, grouping); ``g`` is the grouping's
+    position (a small int, not its name, to keep shuffled rows narrow)."""
+    names = list(groups)
+    narrow = df.select(*ids, *[_encoded_key(groups[g]).alias(f"__k{i}") for i, g in enumerate(names)])
+    args = ", ".join(f"{i}, __k{i}" for i in range(len(names)))
+    long = narrow.select(*ids, F.expr(f"stack({len(names)}, {args}) AS (g, k)"))
+    return long.where(F.col("k").isNotNull())
+
+
 def group_size_table(df: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
     """``(g, k, n)``: size of every key of every grouping, one aggregation."""
-    narrow = df.select(*[_encoded_key(ks).alias(name) for name, ks in groups.items()])
-    long = narrow.unpivot([], list(groups), "g", "k")
-    return long.where(F.col("k").isNotNull()).groupBy("g", "k").agg(F.count(F.lit(1)).alias("n"))
+    return _long(df, groups, []).groupBy("g", "k").agg(F.count(F.lit(1)).alias("n"))
 
 
 def add_group_sizes(df: DataFrame, groups: dict[str, list[str]], key: str = "instance_id",
                     population: DataFrame | None = None,
-                    broadcast_max_keys: int = BROADCAST_MAX_KEYS) -> DataFrame:
+                    literal_max_keys: int = LITERAL_MAX_KEYS) -> DataFrame:
     """Add one bigint column per grouping: the size of the row's group.
 
     ``population`` (default: ``df`` itself) is the frame the sizes are counted
     on - e.g. train ∪ test as in the reference, or train only.  ``key`` must
-    be unique per row of ``df``; it is only used by the non-broadcast path.
+    be unique per row of ``df``.
+
+    Plan: one unpivot aggregation gives every group's sizes (checkpointed:
+    reused twice, lineage cut).  Groups with at most ``literal_max_keys``
+    keys (levels, genders, pages …; the count is measured) become literal
+    maps looked up inside the projection - no join, no exchange.  All other
+    groups share one path: unpivot the narrow ``(key, group keys)`` frame,
+    one equi-join with the sizes (AQE splits skewed partitions), one
+    ``groupBy(key)`` that folds the <= #groups sizes of a row into a map, and
+    one join back on the row key.
     """
     pop = df if population is None else population
     ensure_checkpoint_dir(df.sparkSession)
     # Materialised once in the shared checkpoint folder: reused by the size
     # probe and the joins, and lineage is cut (survives executor loss).
     sizes = group_size_table(pop, groups).checkpoint(eager=True)
-    n_keys = {r["g"]: r["n_keys"] for r in
+    names = list(groups)
+    n_keys = {names[r["g"]]: r["n_keys"] for r in
               sizes.groupBy("g").agg(F.count(F.lit(1)).alias("n_keys")).collect()}
-    small = [g for g in groups if n_keys.get(g, 0) <= broadcast_max_keys]
-    large = [g for g in groups if g not in small]
-
+    tiny = [g for g in groups if n_keys.get(g, 0) <= literal_max_keys]
+    large = [g for g in groups if g not in tiny]
+    gid = {g: i for i, g in enumerate(names)}
+
+    lookups = {}
+    if tiny:
+        # bounded: at most literal_max_keys rows per tiny group reach the driver
+        rows = sizes.where(F.col("g").isin([gid[g] for g in tiny])).collect()
+        per = {g: ([], []) for g in tiny}
+        for r in rows:
+            per[names[r["g"]]][0].append(r["k"])
+            per[names[r["g"]]][1].append(r["n"])
+        for g in tiny:
+            ks, ns = per[g]
+            if not ks:
+                lookups[g] = F.lit(None).cast("bigint")
+                continue
+            m = F.map_from_arrays(F.array(*[F.lit(k) for k in ks]), F.array(*[F.lit(n) for n in ns]))
+            lookups[g] = F.element_at(m, _encoded_key(groups[g]))
     out = df
-    for g in small:
-        t = sizes.where(F.col("g") == g).select(F.col("k").alias(f"__k_{g}"), F.col("n").alias(g))
-        out = (out.join(F.broadcast(t), _encoded_key(groups[g]) == F.col(f"__k_{g}"), "left")
-                  .drop(f"__k_{g}"))
     if large:
         sub = {g: groups[g] for g in large}
-        narrow = df.select(key, *[_encoded_key(ks).alias(g) for g, ks in sub.items()])
-        long = narrow.unpivot([key], large, "g", "k").where(F.col("k").isNotNull())
-        hit = long.join(sizes.where(F.col("g").isin(large)), ["g", "k"], "inner")
-        wide = hit.groupBy(key).pivot("g", large).agg(F.first("n"))
-        out = out.join(wide, key, "left")
-    return out.select(*df.columns, *[F.col(g).cast("bigint").alias(g) for g in groups])
+        # positions in ``sub`` differ from those in ``groups``: re-map on the join side
+        remap = F.create_map(*[x for j, g in enumerate(large) for x in (F.lit(gid[g]), F.lit(j))])
+        big = sizes.where(F.col("g").isin([gid[g] for g in large])).select(
+            F.element_at(remap, F.col("g")).alias("g"), "k", "n")
+        hit = _long(df, sub, [key]).join(big, ["g", "k"], "inner")
+        folded = hit.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("g", "n"))).alias("__sizes"))
+        out = out.join(folded, key, "left")
+        for j, g in enumerate(large):
+            lookups[g] = F.element_at(F.col("__sizes"), F.lit(j))
+    return out.select(*df.columns, *[lookups[g].cast("bigint").alias(g) for g in groups])
 
 
 def add_group_sizes_by_join(df: DataFrame, groups: dict[str, list[str]],

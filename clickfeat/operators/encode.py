@@ -38,10 +38,32 @@ def consecutive_index(df: DataFrame, order: list, name: str = "idx") -> DataFram
     return s.select(*[c for c in s.columns if c != "__mid"], (off + pos + 1).cast("bigint").alias(name))
 
 
-def code_table(pop: DataFrame, c: str, order: list[str]) -> DataFrame:
-    """``(__v, __code)``: first-appearance codes of the distinct values of ``c``."""
-    dv = pop.groupBy(F.col(c).alias("__v")).agg(F.min(F.struct(*[F.col(o) for o in order])).alias("__first"))
-    return consecutive_index(dv, ["__first"], "__code").select("__v", "__code")
+def code_tables(pop: DataFrame, cols: list[str], order: list[str]) -> tuple[DataFrame, dict, dict]:
+    """First-appearance codes of the distinct values of every column, in one pass.
+
+    ``(g, v, code)`` rows (``g`` = column position, ``v`` = value as string,
+    NULL kept as a value) plus per-column distinct counts.  One unpivot ->
+    one ``groupBy(g, v).agg(min(order))`` (partial aggregation: a value
+    holding a third of the rows is one row per task) -> one distributed
+    numbering over ``(g, first)``; a column's codes are its numbers minus the
+    column's first number.  Only #columns rows reach the driver.
+    """
+    args = ", ".join(f"{i}, CAST(`{c}` AS STRING)" for i, c in enumerate(cols))
+    first = F.struct(*[F.col(o) for o in order]).alias("__o")
+    long = pop.select(first, F.expr(f"stack({len(cols)}, {args}) AS (g, v)"))
+    dv = long.groupBy("g", "v").agg(F.min("__o").alias("__first"))
+    num = consecutive_index(dv, ["g", "__first"], "__idx")
+    stats = num.groupBy("g").agg(F.min("__idx").alias("start"), F.count(F.lit(1)).alias("n")).collect()
+    start = {r["g"]: r["start"] for r in stats}
+    counts = {cols[r["g"]]: r["n"] for r in stats}
+    m = F.create_map(*[x for g, st in start.items() for x in (F.lit(g), F.lit(st))])
+    codes = num.select("g", "v", (F.col("__idx") - F.element_at(m, F.col("g")) + 1).cast("bigint").alias("code"))
+    return codes, counts, {c: i for i, c in enumerate(cols)}
+
+
+# A column with at most this many distinct values is looked up in a literal
+# map inside the projection (count measured while numbering).
+LITERAL_MAX_CODES = 256
 
 
 def first_seen_codes(df: DataFrame, cols: list[str], order: list[str], suffix: str = "",
@@ -49,23 +71,44 @@ def first_seen_codes(df: DataFrame, cols: list[str], order: list[str], suffix: s
     """E1 (and E2 with ``population`` = train ∪ test): values -> 1..n by first
     appearance in ``order``; NULL is a value and gets its own code.
 
-    Only distinct values are ordered: ``groupBy(value).agg(min(order))``
-    (partial aggregation, skew-safe) then a distributed numbering.  The code
-    table is joined back null-safely (``<=>``); it is broadcast only when its
-    measured size is small.
+    All columns share one distinct-value pass and one numbering
+    (``code_tables``).  Small domains become literal-map lookups; larger ones
+    are joined back null-safely, broadcast only when the measured count is
+    below ``BROADCAST_MAX_CODES``.
     """
     pop = df if population is None else population
+    ensure_checkpoint_dir(df.sparkSession)
+    codes, counts, gid = code_tables(pop, cols, order)
+    codes = codes.checkpoint(eager=True)
+    tiny = [c for c in cols if counts.get(c, 0) <= LITERAL_MAX_CODES]
+    out_cols = {}
+    if tiny:
+        rows = codes.where(F.col("g").isin([gid[c] for c in tiny])).collect()
+        per = {c: {} for c in tiny}
+        for r in rows:
+            per[cols[r["g"]]][r["v"]] = r["code"]
+        for c in tiny:
+            d = per[c]
+            null_code = d.pop(None, None)
+            v = F.col(c).cast("string")
+            look = (F.element_at(F.map_from_arrays(F.array(*[F.lit(k) for k in d]),
+                                                   F.array(*[F.lit(x) for x in d.values()])), v)
+                    if d else F.lit(None).cast("bigint"))
+            out_cols[c] = F.when(v.isNull(), F.lit(null_code).cast("bigint")).otherwise(look)
     out = df
     for c in cols:
-        codes = code_table(pop, c, order)
-        n = codes.count()
-        if n <= BROADCAST_MAX_CODES:
-            codes = F.broadcast(codes)
-        name = f"{c}{suffix}" if suffix else "__code"
-        out = out.join(codes, out[c].eqNullSafe(codes["__v"]), "left").drop("__v").withColumnRenamed("__code", name)
-        if not suffix:
-            out = out.drop(c).withColumnRenamed("__code", c)
-    return out
+        if c in out_cols:
+            continue
+        t = codes.where(F.col("g") == gid[c]).select(F.col("v").alias(f"__v_{c}"), F.col("code").alias(f"__c_{c}"))
+        if counts.get(c, 0) <= BROADCAST_MAX_CODES:
+            t = F.broadcast(t)
+        out = out.join(t, F.col(c).cast("string").eqNullSafe(F.col(f"__v_{c}")), "left").drop(f"__v_{c}")
+        out_cols[c] = F.col(f"__c_{c}")
+    keep = [c for c in df.columns if suffix or c not in cols]
+    res = out.select(*[F.col(c) for c in keep], *[out_cols[c].alias(f"{c}{suffix}") for c in cols])
+    if not suffix:
+        res = res.select(*[c for c in df.columns])
+    return res
 
 
 def _minmax(df: DataFrame, cols: list[str]):

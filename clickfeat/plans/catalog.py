@@ -996,3 +996,19 @@ def q_ml_fm_score(spark, sf):
     df, feats = _ml_frame(spark, sf)
     model = ML.fit_fm(df.where("day < 24"), feats, max_iter=20)
     return ML.score(model, df, feats, keep=["day"])
+
+
+# ------------------------------------------------------- streaming (incremental G10)
+from clickfeat.streaming import stats as ST  # noqa: E402
+from clickfeat.sources.standin import events_to_log  # noqa: E402
+from clickfeat.plans.base import add_time_and_category  # noqa: E402
+
+
+@register("stream_daily_cvr", ORACLE["profile_daily_cvr"])
+def q_stream_daily_cvr(spark, sf):
+    schema = table(spark, sf, "events").schema
+    stream = ST.file_stream(spark, sf, "event[s].parquet", schema)
+    log = add_time_and_category(events_to_log(stream), category_list=None).select("day", "is_trade")
+    out, ck = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt")
+    ST.run_partial_stats(log, ["day"], out, ck)
+    return ST.totals(spark, out, ["day"])

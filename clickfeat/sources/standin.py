@@ -24,7 +24,11 @@ def _s(c):
 
 def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as the raw click log (one row per event, key ``instance_id``)."""
-    ev = table(spark, sf_dir, "events")
+    return events_to_log(table(spark, sf_dir, "events"))
+
+
+def events_to_log(ev: DataFrame) -> DataFrame:
+    """Row-wise derivation of the log from ``events`` rows (batch or stream)."""
     k = F.get_json_object("props", "$.k").cast("bigint")
     u = F.col("user_id")
     v = F.col("value")
