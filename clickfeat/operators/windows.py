@@ -94,3 +94,15 @@ def add_ordinals(df: DataFrame, ordinals: dict | None = None, ts: str = "context
             cols.append((rn == 1).cast("int").alias(f"{base}_first_day"))
             cols.append((rn == n).cast("int").alias(f"{base}_last_day"))
     return df.select("*", *cols)
+
+
+def add_recent_clicks(df: DataFrame, seconds: int = 3600, ts: str = "context_timestamp") -> DataFrame:
+    """Notes' idea: clicks repeated within a short time (RANGE frame on the
+    epoch seconds, ties included) and the duration of the day's clicks."""
+    t = F.col(ts)
+    rng = lambda *k: Window.partitionBy(*k).orderBy(t).rangeBetween(-seconds, 0)
+    day = Window.partitionBy("user_id", "day")
+    return df.select("*",
+                     F.count(F.lit(1)).over(rng("user_id")).cast("bigint").alias("clicks_last_hour"),
+                     F.count(F.lit(1)).over(rng("user_id", "item_id")).cast("bigint").alias("item_clicks_last_hour"),
+                     ((F.max(t).over(day) - F.min(t).over(day)) / 60.0).alias("day_span_minutes"))

@@ -988,7 +988,11 @@ def q_ml_leaf_features(spark, sf):
     model = ML.fit_gbt(df.where("day < 24"), feats, max_iter=8, max_depth=3, leaf_col="leaves")
     leaves = ML.leaf_features(model, df, feats)
     cols = [c for c in leaves.columns if c.startswith("xgb_")]
-    return EN.first_seen_codes(leaves, cols, ["instance_id"])
+    # the reference hands leaf features over as a space-delimited file (S3)
+    path = scratch_path(spark, "leaves")
+    IO.write_log(leaves, path)
+    back = IO.read_leaf_features(spark, path, len(cols))
+    return EN.first_seen_codes(back, cols, ["instance_id"])
 
 
 @register("ml_fm_score")
@@ -1012,3 +1016,60 @@ def q_stream_daily_cvr(spark, sf):
     out, ck = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt")
     ST.run_partial_stats(log, ["day"], out, ck)
     return ST.totals(spark, out, ["day"])
+
+
+# ------------------------------------------------------- staged CSV with explicit types
+from pyspark.sql import types as T  # noqa: E402
+
+STAGE_SCHEMA = T.StructType([T.StructField("instance_id", T.LongType()), T.StructField("day", T.IntegerType()),
+                             T.StructField("history", T.StringType()), T.StructField("all_history", T.StringType()),
+                             T.StructField("item_history", T.StringType()),
+                             T.StructField("cat1_history", T.StringType())])
+
+
+def _hist4_sql():
+    cols = []
+    for sc in W.SCOPES.values():
+        keys, _, hist = sc
+        cols.append(f"""coalesce(string_agg(CASE WHEN day < 24 THEN CAST(is_trade AS VARCHAR) ELSE '0' END, ''
+                      ORDER BY context_timestamp, instance_id)
+           OVER (PARTITION BY {_in(keys)} ORDER BY context_timestamp, instance_id
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS {hist}""")
+    return EV + "\nSELECT instance_id, day, " + ",\n ".join(cols) + "\nFROM flog"
+
+
+@register("src_read_stage", _hist4_sql())
+def q_src_read_stage(spark, sf):
+    """The reference's text stage: histories like ``0010`` must come back as
+    strings (explicit schema) and an empty history as an empty string."""
+    df = W.add_gaps(click_log(spark, sf))
+    path = scratch_path(spark, "csv-stage")
+    IO.write_log(df.select(*[f.name for f in STAGE_SCHEMA.fields]), path, null_value=IO.STAGE_NULL)
+    return IO.read_log(spark, path, STAGE_SCHEMA, null_value=IO.STAGE_NULL)
+
+
+# ------------------------------------------------------- ideas from the notes (optional, §2.13)
+@register("rate_bayes", EV + """,
+g AS (SELECT item_id, CAST(count(*) AS BIGINT) AS clicks, CAST(sum(is_trade) AS BIGINT) AS trades FROM flog
+      GROUP BY item_id),
+m AS (SELECT avg(CAST(trades AS DOUBLE) / clicks) AS mu, var_pop(CAST(trades AS DOUBLE) / clicks) AS v FROM g),
+ab AS (SELECT CASE WHEN v > 0 THEN mu * (mu * (1 - mu) / v - 1) ELSE 0 END AS a,
+              CASE WHEN v > 0 THEN (1 - mu) * (mu * (1 - mu) / v - 1) ELSE 0 END AS b FROM m)
+SELECT item_id, clicks, trades, round((trades + a) / (clicks + a + b), 6) AS bayes_ctr FROM g, ab""")
+def q_rate_bayes(spark, sf):
+    out = RT.bayes_smoothed_rate(click_log(spark, sf), "item_id")
+    return out.select("item_id", "clicks", "trades", F.round("bayes_ctr", 6).alias("bayes_ctr"))
+
+
+@register("clicks_recent", EV + """
+SELECT instance_id,
+  CAST(count(*) OVER (PARTITION BY user_id ORDER BY context_timestamp
+                      RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS BIGINT) AS clicks_last_hour,
+  CAST(count(*) OVER (PARTITION BY user_id, item_id ORDER BY context_timestamp
+                      RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS BIGINT) AS item_clicks_last_hour,
+  CAST(max(context_timestamp) OVER (PARTITION BY user_id, day) - min(context_timestamp) OVER (PARTITION BY user_id, day)
+       AS DOUBLE) / 60 AS day_span_minutes
+FROM flog""")
+def q_clicks_recent(spark, sf):
+    return W.add_recent_clicks(click_log(spark, sf), 3600).select(
+        "instance_id", "clicks_last_hour", "item_clicks_last_hour", "day_span_minutes")

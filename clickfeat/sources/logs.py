@@ -12,13 +12,23 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from clickfeat.schema import FREQ_TABLE, PREDICTIONS, RAW_LOG
 
 
-def read_log(spark: SparkSession, path: str, schema: T.StructType = RAW_LOG, sep: str = " ") -> DataFrame:
-    """Header + space-delimited log with an explicit schema."""
-    return spark.read.schema(schema).option("sep", sep).option("header", True).option("mode", "FAILFAST").csv(path)
+# Our own text stages mark NULL explicitly so that an empty string (the
+# first click's empty history) survives the round trip as an empty string;
+# the reference lost that distinction (its empty field came back missing).
+STAGE_NULL = "\\N"
 
 
-def write_log(df: DataFrame, path: str, sep: str = " ") -> None:
-    df.write.mode("overwrite").option("sep", sep).option("header", True).csv(path)
+def read_log(spark: SparkSession, path: str, schema: T.StructType = RAW_LOG, sep: str = " ",
+             null_value: str = "") -> DataFrame:
+    """Header + space-delimited log with an explicit schema.
+
+    ``null_value=""``: an empty field is missing (files written by pandas)."""
+    return (spark.read.schema(schema).option("sep", sep).option("header", True).option("mode", "FAILFAST")
+            .option("nullValue", null_value).csv(path))
+
+
+def write_log(df: DataFrame, path: str, sep: str = " ", null_value: str = "") -> None:
+    df.write.mode("overwrite").option("sep", sep).option("header", True).option("nullValue", null_value).csv(path)
 
 
 def write_stage(df: DataFrame, path: str, partition: str = "day") -> None:
