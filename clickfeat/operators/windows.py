@@ -66,23 +66,83 @@ def gap_history_columns(keys, prefix: str = "", history: str | None = "history",
     return cols
 
 
+def largest_groups(df: DataFrame, scopes: dict[str, list[str]]) -> dict[str, int]:
+    """Row count of the largest group of every scope - one aggregation for
+    all scopes (unpivot + partial aggregate), one row per scope to the driver."""
+    from clickfeat.operators.counts import group_size_table
+    names = list(scopes)
+    t = group_size_table(df, scopes).groupBy("g").agg(F.max("n").alias("m")).collect()
+    return {names[r["g"]]: int(r["m"]) for r in t}
+
+
+def _hot(df, scopes: dict[str, list[str]], max_group_rows):
+    if max_group_rows is None or not scopes:
+        return set()
+    big = largest_groups(df, scopes)
+    return {s for s, m in big.items() if m > max_group_rows}
+
+
 def add_gaps(df: DataFrame, scopes=("day", "all", "item", "cat1"), mask_day: int = 24,
              ts: str = "context_timestamp", key: str = "instance_id", label: str = "is_trade",
-             with_history: bool = True, scope_defs: dict | None = None) -> DataFrame:
-    """W1-W3 for the named scopes (default: all four of the reference)."""
+             with_history: bool = True, scope_defs: dict | None = None,
+             max_group_rows: int | None = None) -> DataFrame:
+    """W1-W3 for the named scopes (default: all four of the reference).
+
+    With ``max_group_rows`` set, the largest group of every scope is measured
+    first; scopes whose largest group exceeds it get W1/W2 from the
+    skew-safe range-split operator (``clickfeat.operators.ordered``) instead
+    of a window.  The history (W3) always uses a window: its output is
+    quadratic in the group size, so it is only meaningful for bounded groups.
+    """
     defs = scope_defs or SCOPES
+    hot = _hot(df, {s: defs[s][0] for s in scopes}, max_group_rows)
     cols = []
     for s in scopes:
         keys, prefix, hist = defs[s]
-        cols += gap_history_columns(keys, prefix, hist if with_history else None,
-                                    ts=ts, key=key, label=label, mask_day=mask_day)
-    return df.select("*", *cols)
+        h = hist if with_history else None
+        if s in hot:
+            cols += [c for c in gap_history_columns(keys, prefix, h, ts=ts, key=key, label=label,
+                                                     mask_day=mask_day)[4:]]
+        else:
+            cols += gap_history_columns(keys, prefix, h, ts=ts, key=key, label=label, mask_day=mask_day)
+    out = df.select("*", *cols)
+    if hot:
+        from clickfeat.operators.ordered import add_gaps_ordinals
+        for s in scopes:
+            if s in hot:
+                keys, prefix, _ = defs[s]
+                out = add_gaps_ordinals(out, keys, prefix, None, ts=ts, key=key, max_group_rows=0)
+    return out
 
 
 def add_ordinals(df: DataFrame, ordinals: dict | None = None, ts: str = "context_timestamp",
-                 key: str = "instance_id") -> DataFrame:
-    """W4 ordinals and W5 first/last flags (for every ``*_day`` ordinal)."""
+                 key: str = "instance_id", max_group_rows: int | None = None) -> DataFrame:
+    """W4 ordinals and W5 first/last flags (for every ``*_day`` ordinal).
+
+    ``max_group_rows``: as in ``add_gaps`` - hot scopes use the range-split
+    operator, the others windows."""
     ords = ordinals or ORDINALS
+    hot = _hot(df, dict(ords), max_group_rows)
+    if hot:
+        from clickfeat.operators.ordered import ordered_features
+        out = add_ordinals(df, {n: k for n, k in ords.items() if n not in hot}, ts, key) \
+            if len(hot) < len(ords) else df
+        for name in ords:
+            if name not in hot:
+                continue
+            o = ordered_features(df, ords[name], ts, key, max_group_rows=0).alias("__o")
+            cols = [F.col("__o.rn").alias(name)]
+            if name.endswith("_day"):
+                base = name[: -len("_day")]
+                cols += [(F.col("__o.rn") == 1).cast("int").alias(f"{base}_first_day"),
+                         (F.col("__o.rn") == F.col("__o.n")).cast("int").alias(f"{base}_last_day")]
+            out = out.join(o, key, "left").select(*[out[c] for c in out.columns], *cols)
+        order = list(df.columns)
+        for name in ords:
+            order.append(name)
+            if name.endswith("_day"):
+                order += [f"{name[:-4]}_first_day", f"{name[:-4]}_last_day"]
+        return out.select(*order)
     cols = []
     for name, keys in ords.items():
         w = Window.partitionBy(*keys).orderBy(ts, key)

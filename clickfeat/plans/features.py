@@ -21,6 +21,7 @@ from clickfeat.operators import prior as PR
 from clickfeat.operators import rates as RT
 from clickfeat.operators import vocab as V
 from clickfeat.operators import windows as W
+from clickfeat.operators.ordered import MAX_GROUP_ROWS
 
 ALL_COUNTS = {**C.USER_QUERY_COUNTS, **C.USER_CROSS_COUNTS, **C.USER_DAY_COUNTS, **C.USER_HOUR_COUNTS,
               **C.USER_HALF_HOUR_COUNTS, **C.GLOBAL_COUNTS}
@@ -29,10 +30,14 @@ ALL_COUNTS.pop("user_day")
 
 
 def full_features(df: DataFrame, holdout_day: int = 24, with_history: bool = True,
-                  multi_hot: bool = True) -> DataFrame:
-    """Entry A.  ``df``: the log with calendar and category columns."""
+                  multi_hot: bool = True, max_group_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
+    """Entry A.  ``df``: the log with calendar and category columns.
+
+    Scopes whose largest group exceeds ``max_group_rows`` (measured) use the
+    skew-safe range-split operator instead of windows.
+    """
     train = df.where(F.col("day") < holdout_day)
-    out = W.add_gaps(df, mask_day=holdout_day, with_history=with_history)
+    out = W.add_gaps(df, mask_day=holdout_day, with_history=with_history, max_group_rows=max_group_rows)
     out = C.add_group_sizes(out, ALL_COUNTS)
     out = out.withColumn("user_day", F.col("user_query_day"))
     if multi_hot:
@@ -46,7 +51,7 @@ def full_features(df: DataFrame, holdout_day: int = 24, with_history: bool = Tru
                          *V.multi_hot(pcat, vc, "most_predict_cat", 30),
                          *V.multi_hot(ppro, vr, "most_predict_pro", 25))
     out = PR.add_prior_trades(out, train, pairs=("cat", "shop"))
-    out = W.add_ordinals(out)
+    out = W.add_ordinals(out, max_group_rows=max_group_rows)
     return out
 
 

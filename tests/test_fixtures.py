@@ -147,3 +147,28 @@ def test_group_sizes_paths_agree(spark):
     assert lit == big
     assert lit[7][2] is None  # NULL key -> NULL size
     assert lit[0] == (14, 3, 20)
+
+
+def _skewed_log(spark):
+    from clickfeat.plans.base import click_log
+    df = click_log(spark, "/root/testdata/sf0.001")
+    # one user holds a third of all rows
+    return df.withColumn("user_id", F.when(F.col("instance_id") % 3 == 0, F.lit(-1)).otherwise(F.col("user_id")))
+
+
+def test_split_path_equals_windows_on_skew(spark):
+    from clickfeat.operators import ordered as O
+    df = _skewed_log(spark)
+    for keys in (["user_id"], ["user_id", "day"], ["item_id", "user_id"]):
+        a = O.ordered_features(df, keys, max_group_rows=None)
+        b = O.ordered_features(df, keys, max_group_rows=0, partitions=7)
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_gaps_and_ordinals_hot_scopes(spark):
+    df = _skewed_log(spark)
+    a = W.add_ordinals(W.add_gaps(df, with_history=False))
+    b = W.add_ordinals(W.add_gaps(df, with_history=False, max_group_rows=50), max_group_rows=50)
+    cols = [c for c in a.columns if "diff" in c or c.startswith("sum")]
+    a, b = a.select("instance_id", *cols), b.select("instance_id", *cols)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
