@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from clickfeat.session import ensure_checkpoint_dir
+from clickfeat.session import ensure_checkpoint_dir, ensure_parallelism
 
 # Output column -> grouping keys.  Names follow the reference.
 GLOBAL_COUNTS = {
@@ -111,12 +111,38 @@ def _long(df: DataFrame, groups: dict[str, list[str]], ids: list[str]) -> DataFr
     """``(ids…, g, k)``: one row per (row, grouping); ``g`` is the grouping's
     position (a small int, not its name, to keep shuffled rows narrow)."""
     names = list(groups)
-    narrow = df.select(*ids, *[_encoded_key(groups[g]).alias(f"__k{i}") for i, g in enumerate(names)])
+    used = sorted({c for g in names for c in groups[g]} - set(ids))
+    narrow = ensure_parallelism(df.select(*ids, *used))
+    narrow = narrow.select(*ids, *[_encoded_key(groups[g]).alias(f"__k{i}") for i, g in enumerate(names)])
     args = ", ".join(f"{i}, __k{i}" for i in range(len(names)))
     long = narrow.select(*ids, F.expr(f"stack({len(names)}, {args}) AS (g, k)"))
     return long.where(F.col("k").isNotNull())
 
 
+_INTEGRAL = {"tinyint", "smallint", "int", "bigint"}
+DENSE_MAX_SPAN = 4096
+
+
+def _literal_lookup(table: dict, keys: list[str], types: dict):
+    """Size of the row's key from a small measured table, without a join.
+
+    A single integral key with a dense range is an O(1) array index;
+    anything else a literal map (linear in its <= LITERAL_MAX_KEYS entries).
+    """
+    if not table:
+        return F.lit(None).cast("bigint")
+    if len(keys) == 1 and types.get(keys[0]) in _INTEGRAL:
+        vals = {int(k): n for k, n in table.items()}
+        lo, hi = min(vals), max(vals)
+        if hi - lo < DENSE_MAX_SPAN:
+            arr = F.array(*[F.lit(vals.get(v)).cast("bigint") for v in range(lo, hi + 1)])
+            idx = F.col(keys[0]).cast("bigint") - F.lit(lo) + 1
+            inside = (idx >= 1) & (idx <= hi - lo + 1)
+            return F.when(inside, F.try_element_at(arr, idx.cast("int")))
+    m = F.map_from_arrays(F.array(*[F.lit(k) for k in table]), F.array(*[F.lit(n) for n in table.values()]))
+    return F.element_at(m, _encoded_key(keys))
+
+
 def group_size_table(df: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
     """``(g, k, n)``: size of every key of every grouping, one aggregation."""
     return _long(df, groups, []).groupBy("g", "k").agg(F.count(F.lit(1)).alias("n"))
@@ -156,17 +182,12 @@ def add_group_sizes(df: DataFrame, groups: dict[str, list[str]], key: str = "ins
     if tiny:
         # bounded: at most literal_max_keys rows per tiny group reach the driver
         rows = sizes.where(F.col("g").isin([gid[g] for g in tiny])).collect()
-        per = {g: ([], []) for g in tiny}
+        per = {g: {} for g in tiny}
         for r in rows:
-            per[names[r["g"]]][0].append(r["k"])
-            per[names[r["g"]]][1].append(r["n"])
+            per[names[r["g"]]][r["k"]] = r["n"]
+        types = dict(df.dtypes)
         for g in tiny:
-            ks, ns = per[g]
-            if not ks:
-                lookups[g] = F.lit(None).cast("bigint")
-                continue
-            m = F.map_from_arrays(F.array(*[F.lit(k) for k in ks]), F.array(*[F.lit(n) for n in ns]))
-            lookups[g] = F.element_at(m, _encoded_key(groups[g]))
+            lookups[g] = _literal_lookup(per[g], groups[g], types)
     out = df
     if large:
         sub = {g: groups[g] for g in large}
@@ -175,10 +196,12 @@ def add_group_sizes(df: DataFrame, groups: dict[str, list[str]], key: str = "ins
         big = sizes.where(F.col("g").isin([gid[g] for g in large])).select(
             F.element_at(remap, F.col("g")).alias("g"), "k", "n")
         hit = _long(df, sub, [key]).join(big, ["g", "k"], "inner")
-        folded = hit.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("g", "n"))).alias("__sizes"))
+        # fold a row's sizes back into columns: one code-generated aggregate
+        folded = hit.groupBy(key).agg(*[F.max(F.when(F.col("g") == j, F.col("n"))).alias(f"__n{j}")
+                                        for j in range(len(large))])
         out = out.join(folded, key, "left")
         for j, g in enumerate(large):
-            lookups[g] = F.element_at(F.col("__sizes"), F.lit(j))
+            lookups[g] = F.col(f"__n{j}")
     return out.select(*df.columns, *[lookups[g].cast("bigint").alias(g) for g in groups])
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from clickfeat.session import ensure_checkpoint_dir
+from clickfeat.session import ensure_checkpoint_dir, ensure_parallelism
 
 # Code tables with at most this many distinct values are broadcast to the
 # join (the count is measured while numbering, so the bound is proven).
@@ -50,7 +50,8 @@ def code_tables(pop: DataFrame, cols: list[str], order: list[str]) -> tuple[Data
     """
     args = ", ".join(f"{i}, CAST(`{c}` AS STRING)" for i, c in enumerate(cols))
     first = F.struct(*[F.col(o) for o in order]).alias("__o")
-    long = pop.select(first, F.expr(f"stack({len(cols)}, {args}) AS (g, v)"))
+    long = ensure_parallelism(pop.select(first, *cols)).select(
+        "__o", F.expr(f"stack({len(cols)}, {args}) AS (g, v)"))
     dv = long.groupBy("g", "v").agg(F.min("__o").alias("__first"))
     num = consecutive_index(dv, ["g", "__first"], "__idx")
     stats = num.groupBy("g").agg(F.min("__idx").alias("start"), F.count(F.lit(1)).alias("n")).collect()

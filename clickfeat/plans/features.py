@@ -37,6 +37,11 @@ def full_features(df: DataFrame, holdout_day: int = 24, with_history: bool = Tru
     skew-safe range-split operator instead of windows.
     """
     train = df.where(F.col("day") < holdout_day)
+    if max_group_rows is not None:
+        # one measurement for every scope of the gaps and the ordinals
+        scopes = {**{f"gap_{s}": W.SCOPES[s][0] for s in W.SCOPES}, **W.ORDINALS}
+        if max(W.largest_groups(df, scopes).values(), default=0) <= max_group_rows:
+            max_group_rows = None  # every group is small: plain windows everywhere
     out = W.add_gaps(df, mask_day=holdout_day, with_history=with_history, max_group_rows=max_group_rows)
     out = C.add_group_sizes(out, ALL_COUNTS)
     out = out.withColumn("user_day", F.col("user_query_day"))
