@@ -31,6 +31,9 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from clickfeat.session import ensure_checkpoint_dir
 
 MAX_GROUP_ROWS = 2_000_000
+# Rows per range partition on the split path: one partition is handled as
+# one pandas frame of ~7 narrow columns (~100 MB at this size).
+ROWS_PER_PARTITION = 2_000_000
 
 
 def _window_path(df, keys, ts, key):
@@ -136,21 +139,28 @@ def _split_path(df, keys, ts, key, partitions):
     return j.select(fixed[key], "rn", "prev_ts", "next_ts", "n", "first_ts", "last_ts")
 
 
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    r = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0]
-    return int(r or 0)
+def largest_group(df: DataFrame, keys: list[str]) -> tuple[int, int]:
+    """(rows of the largest group, total rows): one partial aggregate."""
+    r = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c"), F.sum("c")).first()
+    return int(r[0] or 0), int(r[1] or 0)
 
 
 def ordered_features(df: DataFrame, keys: list[str], ts: str = "context_timestamp", key: str = "instance_id",
                      max_group_rows: int | None = MAX_GROUP_ROWS, partitions: int | None = None) -> DataFrame:
     """``key, rn, prev_ts, next_ts, n, first_ts, last_ts`` for scope ``keys``.
 
-    ``max_group_rows=None`` forces windows; ``0`` forces the split path.
+    ``max_group_rows=None`` forces windows; ``0`` forces the split path.  The
+    split path uses ``partitions`` range partitions, by default enough for
+    ``ROWS_PER_PARTITION`` rows each (and at least the shuffle partitions).
     """
-    if max_group_rows is not None and largest_group(df, keys) > max_group_rows:
-        n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return _split_path(df, keys, ts, key, n)
-    return _window_path(df, keys, ts, key)
+    if max_group_rows is None:
+        return _window_path(df, keys, ts, key)
+    biggest, total = largest_group(df, keys)
+    if biggest <= max_group_rows:
+        return _window_path(df, keys, ts, key)
+    n = partitions or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+                          -(-total // ROWS_PER_PARTITION))
+    return _split_path(df, keys, ts, key, n)
 
 
 def add_gaps_ordinals(df: DataFrame, keys: list[str], prefix: str = "", ordinal: str | None = None,
