@@ -148,9 +148,22 @@ def group_size_table(df: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
     return _long(df, groups, []).groupBy("g", "k").agg(F.count(F.lit(1)).alias("n"))
 
 
+def materialized_sizes(df: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
+    """``group_size_table`` checkpointed to the shared folder (reused by the
+    key-count probe, the joins and skew measurements; lineage is cut)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return group_size_table(df, groups).checkpoint(eager=True)
+
+
+def largest_sizes(sizes: DataFrame, groups: dict[str, list[str]]) -> dict[str, int]:
+    """Largest group of every grouping, from a size table (one row per grouping)."""
+    names = list(groups)
+    return {names[r["g"]]: int(r["m"]) for r in sizes.groupBy("g").agg(F.max("n").alias("m")).collect()}
+
+
 def add_group_sizes(df: DataFrame, groups: dict[str, list[str]], key: str = "instance_id",
                     population: DataFrame | None = None,
-                    literal_max_keys: int = LITERAL_MAX_KEYS) -> DataFrame:
+                    literal_max_keys: int = LITERAL_MAX_KEYS, sizes: DataFrame | None = None) -> DataFrame:
     """Add one bigint column per grouping: the size of the row's group.
 
     ``population`` (default: ``df`` itself) is the frame the sizes are counted
@@ -167,10 +180,10 @@ def add_group_sizes(df: DataFrame, groups: dict[str, list[str]], key: str = "ins
     one join back on the row key.
     """
     pop = df if population is None else population
-    ensure_checkpoint_dir(df.sparkSession)
     # Materialised once in the shared checkpoint folder: reused by the size
     # probe and the joins, and lineage is cut (survives executor loss).
-    sizes = group_size_table(pop, groups).checkpoint(eager=True)
+    if sizes is None:
+        sizes = materialized_sizes(pop, groups)
     names = list(groups)
     n_keys = {names[r["g"]]: r["n_keys"] for r in
               sizes.groupBy("g").agg(F.count(F.lit(1)).alias("n_keys")).collect()}

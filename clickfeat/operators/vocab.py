@@ -33,6 +33,30 @@ def topk_tokens(df: DataFrame, tokens_col, k: int, positives_only: bool = False,
     return top
 
 
+def vocabularies(df: DataFrame, specs: dict, label: str = "is_trade") -> dict[str, list[str]]:
+    """Several top-k vocabularies in one aggregation.
+
+    ``specs``: name -> (token array column, k, positives_only).  All token
+    lists are exploded with their name, counted in one ``groupBy(name,
+    token)`` (map-side combine), and the k best of every name are ranked on
+    the aggregated counts (at most #distinct tokens rows, never the log).
+    """
+    from pyspark.sql import Window
+    parts = []
+    for name, (col, _k, pos) in specs.items():
+        arr = F.when(F.col(label) == 1, col) if pos else col
+        parts.append(F.struct(F.lit(name).alias("v"), arr.alias("t")))
+    e = df.select(F.explode(F.array(*parts)).alias("s")).select("s.v", F.explode("s.t").alias("token"))
+    c = e.groupBy("v", "token").agg(F.count(F.lit(1)).alias("cnt"))
+    w = Window.partitionBy("v").orderBy(F.col("cnt").desc(), F.col("token"))
+    ks = F.create_map(*[x for n, (_c, k, _p) in specs.items() for x in (F.lit(n), F.lit(k))])
+    top = c.select("v", "token", F.row_number().over(w).alias("r")).where(F.col("r") <= F.element_at(ks, F.col("v")))
+    out = {n: [] for n in specs}
+    for r in sorted(top.collect(), key=lambda r: (r["v"], r["r"])):  # <= sum(k) rows
+        out[r["v"]].append(r["token"])
+    return out
+
+
 def vocabulary(top: DataFrame) -> list[str]:
     """Tokens of a top-k frame in rank order (bounded by k)."""
     rows = top.orderBy(F.col("cnt").desc(), F.col("token")).limit(VOCAB_MAX).collect()

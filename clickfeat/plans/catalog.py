@@ -585,9 +585,8 @@ def q_list_multi_hot(spark, sf):
     props = L.tokens("item_property_list")
     pcat = L.predict_categories("predict_category_property")
     ppro = L.predict_properties("predict_category_property")
-    vq = V.vocabulary(V.topk_tokens(train, props, 10, positives_only=True))
-    vc = V.vocabulary(V.topk_tokens(train, pcat, 30))
-    vr = V.vocabulary(V.topk_tokens(train, ppro, 25))
+    voc = V.vocabularies(train, {"q": (props, 10, True), "c": (pcat, 30, False), "r": (ppro, 25, False)})
+    vq, vc, vr = voc["q"], voc["c"], voc["r"]
     return df.select("instance_id", *V.multi_hot(props, vq, "most_proerty", 10),
                      *V.multi_hot(pcat, vc, "most_predict_cat", 30),
                      *V.multi_hot(ppro, vr, "most_predict_pro", 25))
@@ -733,9 +732,8 @@ def q_ffm_rows(spark, sf):
     props = L.tokens("item_property_list")
     pcat = L.predict_categories("predict_category_property")
     ppro = L.predict_properties("predict_category_property")
-    v0 = V.vocabulary(V.topk_tokens(df, props, 1000))
-    v1 = V.vocabulary(V.topk_tokens(df, pcat, 30))
-    v2 = V.vocabulary(V.topk_tokens(df, ppro, 25))
+    voc = V.vocabularies(df, {"p": (props, 1000, False), "c": (pcat, 30, False), "r": (ppro, 25, False)})
+    v0, v1, v2 = voc["p"], voc["c"], voc["r"]
     df = df.select("instance_id", "is_trade", *_FFM_SCALARS, "context_timestamp",
                    V.overlap_ranks(props, v0).alias("most_proerty"),
                    V.overlap_ranks(pcat, v1).alias("most_predict_cat"),

@@ -37,21 +37,25 @@ def full_features(df: DataFrame, holdout_day: int = 24, with_history: bool = Tru
     skew-safe range-split operator instead of windows.
     """
     train = df.where(F.col("day") < holdout_day)
+    # Every group size, once; every scope of the gaps and ordinals is one of
+    # these groupings, so the skew measurement reads the same table.
+    sizes = C.materialized_sizes(df, ALL_COUNTS)
     if max_group_rows is not None:
-        # one measurement for every scope of the gaps and the ordinals
-        scopes = {**{f"gap_{s}": W.SCOPES[s][0] for s in W.SCOPES}, **W.ORDINALS}
-        if max(W.largest_groups(df, scopes).values(), default=0) <= max_group_rows:
+        scope_keys = [W.SCOPES[s][0] for s in W.SCOPES] + list(W.ORDINALS.values())
+        measured = C.largest_sizes(sizes, ALL_COUNTS)
+        by_keys = {frozenset(ks): measured.get(g, 0) for g, ks in ALL_COUNTS.items()}
+        if all(frozenset(k) in by_keys for k in scope_keys) and \
+                max(by_keys[frozenset(k)] for k in scope_keys) <= max_group_rows:
             max_group_rows = None  # every group is small: plain windows everywhere
     out = W.add_gaps(df, mask_day=holdout_day, with_history=with_history, max_group_rows=max_group_rows)
-    out = C.add_group_sizes(out, ALL_COUNTS)
+    out = C.add_group_sizes(out, ALL_COUNTS, sizes=sizes)
     out = out.withColumn("user_day", F.col("user_query_day"))
     if multi_hot:
         props = L.tokens("item_property_list")
         pcat = L.predict_categories("predict_category_property")
         ppro = L.predict_properties("predict_category_property")
-        vq = V.vocabulary(V.topk_tokens(train, props, 10, positives_only=True))
-        vc = V.vocabulary(V.topk_tokens(train, pcat, 30))
-        vr = V.vocabulary(V.topk_tokens(train, ppro, 25))
+        voc = V.vocabularies(train, {"q": (props, 10, True), "c": (pcat, 30, False), "r": (ppro, 25, False)})
+        vq, vc, vr = voc["q"], voc["c"], voc["r"]
         out = out.select("*", *V.multi_hot(props, vq, "most_proerty", 10),
                          *V.multi_hot(pcat, vc, "most_predict_cat", 30),
                          *V.multi_hot(ppro, vr, "most_predict_pro", 25))
@@ -65,8 +69,8 @@ def compact_features(df: DataFrame, holdout_day: int = 24, vocab_k: int = 100) -
     rows = df.where(F.col("day") <= holdout_day)
     train = rows.where(F.col("day") < holdout_day)
     props = L.tokens("item_property_list")
-    va = V.vocabulary(V.topk_tokens(train, props, vocab_k))
-    vp = V.vocabulary(V.topk_tokens(train, props, vocab_k, positives_only=True))
+    voc = V.vocabularies(train, {"a": (props, vocab_k, False), "p": (props, vocab_k, True)})
+    va, vp = voc["a"], voc["p"]
     out = rows.select("*",
                       V.overlap_count(props, va).alias("most_property_num"),
                       V.overlap_string(props, va).alias("most_property"),
