@@ -163,7 +163,8 @@ def largest_sizes(sizes: DataFrame, groups: dict[str, list[str]]) -> dict[str, i
 
 def add_group_sizes(df: DataFrame, groups: dict[str, list[str]], key: str = "instance_id",
                     population: DataFrame | None = None,
-                    literal_max_keys: int = LITERAL_MAX_KEYS, sizes: DataFrame | None = None) -> DataFrame:
+                    literal_max_keys: int = LITERAL_MAX_KEYS, sizes: DataFrame | None = None,
+                    size_groups: dict[str, list[str]] | None = None) -> DataFrame:
     """Add one bigint column per grouping: the size of the row's group.
 
     ``population`` (default: ``df`` itself) is the frame the sizes are counted
@@ -184,9 +185,12 @@ def add_group_sizes(df: DataFrame, groups: dict[str, list[str]], key: str = "ins
     # probe and the joins, and lineage is cut (survives executor loss).
     if sizes is None:
         sizes = materialized_sizes(pop, groups)
-    names = list(groups)
+        size_groups = groups
+    # ``sizes`` may cover more groupings (``size_groups``) than are added here
+    names = list(size_groups or groups)
     n_keys = {names[r["g"]]: r["n_keys"] for r in
-              sizes.groupBy("g").agg(F.count(F.lit(1)).alias("n_keys")).collect()}
+              sizes.where(F.col("g").isin([names.index(g) for g in groups]))
+                   .groupBy("g").agg(F.count(F.lit(1)).alias("n_keys")).collect()}
     tiny = [g for g in groups if n_keys.get(g, 0) <= literal_max_keys]
     large = [g for g in groups if g not in tiny]
     gid = {g: i for i, g in enumerate(names)}

@@ -38,3 +38,20 @@ def add_prior_trades(df: DataFrame, stats: DataFrame, pairs=("cat", "shop", "ite
         keys, show, flag = PRIOR_PAIRS[p]
         df = prior_trade(df, stats, keys, show, flag, **kw)
     return df
+
+
+def prior_trade_windowed(df: DataFrame, pair: list[str], show: str, flag: str, in_stats,
+                         ts: str = "context_timestamp", label: str = "is_trade") -> DataFrame:
+    """``prior_trade`` when the statistics rows are a subset of ``df`` given by
+    the boolean column ``in_stats`` (e.g. ``day < 24``): two conditional
+    window aggregates over the pair - no join, and on a frame already
+    hash-partitioned by a key of the pair, no exchange.  Use it only when the
+    largest pair group is known to be small (the join form is skew-safe).
+    """
+    from pyspark.sql import Window
+    w = Window.partitionBy(*pair)
+    n = F.count(F.when(in_stats, F.lit(1))).over(w)
+    tt = F.max(F.when(in_stats & (F.col(label) == 1), F.col(ts))).over(w)
+    fl = F.when(tt.isNull() | (F.col(ts) <= tt), F.lit(1)).otherwise(F.lit(0))
+    # a pair absent from the statistics has no size (NULL), as the left join gives
+    return df.select("*", F.when(n > 0, n).cast("bigint").alias(show), fl.alias(flag))

@@ -172,3 +172,13 @@ def test_gaps_and_ordinals_hot_scopes(spark):
     cols = [c for c in a.columns if "diff" in c or c.startswith("sum")]
     a, b = a.select("instance_id", *cols), b.select("instance_id", *cols)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_prior_trade_windowed_equals_join(spark):
+    from clickfeat.plans.base import click_log
+    df = click_log(spark, "/root/testdata/sf0.001")
+    for p in ("cat", "shop", "item"):
+        keys, show, flag = PR.PRIOR_PAIRS[p]
+        a = PR.prior_trade(df, df.where("day < 24"), keys, show, flag).select("instance_id", show, flag)
+        b = PR.prior_trade_windowed(df, keys, show, flag, F.col("day") < 24).select("instance_id", show, flag)
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
