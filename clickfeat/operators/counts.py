@@ -139,20 +139,26 @@ def _literal_lookup(table: dict, keys: list[str], types: dict):
             idx = F.col(keys[0]).cast("bigint") - F.lit(lo) + 1
             inside = (idx >= 1) & (idx <= hi - lo + 1)
             return F.when(inside, F.try_element_at(arr, idx.cast("int")))
-    m = F.map_from_arrays(F.array(*[F.lit(k) for k in table]), F.array(*[F.lit(n) for n in table.values()]))
+    m = F.map_from_arrays(F.array(*[F.lit(k) for k in table]),
+                          F.array(*[F.lit(n).cast("bigint") for n in table.values()]))
     return F.element_at(m, _encoded_key(keys))
 
 
-def group_size_table(df: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
-    """``(g, k, n)``: size of every key of every grouping, one aggregation."""
-    return _long(df, groups, []).groupBy("g", "k").agg(F.count(F.lit(1)).alias("n"))
+def group_size_table(df: DataFrame, groups: dict[str, list[str]], label: str | None = None) -> DataFrame:
+    """``(g, k, n[, t])``: size (and, with ``label``, number of positive rows -
+    NULL when there is none) of every key of every grouping, one aggregation."""
+    long = _long(df, groups, [label] if label else [])
+    aggs = [F.count(F.lit(1)).alias("n")]
+    if label:
+        aggs.append(F.sum(F.when(F.col(label) == 1, F.lit(1))).cast("bigint").alias("t"))
+    return long.groupBy("g", "k").agg(*aggs)
 
 
-def materialized_sizes(df: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
+def materialized_sizes(df: DataFrame, groups: dict[str, list[str]], label: str | None = None) -> DataFrame:
     """``group_size_table`` checkpointed to the shared folder (reused by the
     key-count probe, the joins and skew measurements; lineage is cut)."""
     ensure_checkpoint_dir(df.sparkSession)
-    return group_size_table(df, groups).checkpoint(eager=True)
+    return group_size_table(df, groups, label).checkpoint(eager=True)
 
 
 def largest_sizes(sizes: DataFrame, groups: dict[str, list[str]]) -> dict[str, int]:
@@ -164,7 +170,8 @@ def largest_sizes(sizes: DataFrame, groups: dict[str, list[str]]) -> dict[str, i
 def add_group_sizes(df: DataFrame, groups: dict[str, list[str]], key: str = "instance_id",
                     population: DataFrame | None = None,
                     literal_max_keys: int = LITERAL_MAX_KEYS, sizes: DataFrame | None = None,
-                    size_groups: dict[str, list[str]] | None = None) -> DataFrame:
+                    size_groups: dict[str, list[str]] | None = None, label: str | None = None,
+                    trades: dict[str, str] | None = None) -> DataFrame:
     """Add one bigint column per grouping: the size of the row's group.
 
     ``population`` (default: ``df`` itself) is the frame the sizes are counted
@@ -179,12 +186,16 @@ def add_group_sizes(df: DataFrame, groups: dict[str, list[str]], key: str = "ins
     one equi-join with the sizes (AQE splits skewed partitions), one
     ``groupBy(key)`` that folds the <= #groups sizes of a row into a map, and
     one join back on the row key.
+
+    With ``label`` and ``trades`` (grouping -> output name) the number of
+    positive rows of the row's group is added too, from the same aggregation.
     """
     pop = df if population is None else population
+    trades = trades or {}
     # Materialised once in the shared checkpoint folder: reused by the size
     # probe and the joins, and lineage is cut (survives executor loss).
     if sizes is None:
-        sizes = materialized_sizes(pop, groups)
+        sizes = materialized_sizes(pop, groups, label if trades else None)
         size_groups = groups
     # ``sizes`` may cover more groupings (``size_groups``) than are added here
     names = list(size_groups or groups)
@@ -200,26 +211,37 @@ def add_group_sizes(df: DataFrame, groups: dict[str, list[str]], key: str = "ins
         # bounded: at most literal_max_keys rows per tiny group reach the driver
         rows = sizes.where(F.col("g").isin([gid[g] for g in tiny])).collect()
         per = {g: {} for g in tiny}
+        per_t = {g: {} for g in tiny}
         for r in rows:
             per[names[r["g"]]][r["k"]] = r["n"]
+            if trades:
+                per_t[names[r["g"]]][r["k"]] = r["t"]
         types = dict(df.dtypes)
         for g in tiny:
             lookups[g] = _literal_lookup(per[g], groups[g], types)
+            if g in trades:
+                lookups[trades[g]] = _literal_lookup(per_t[g], groups[g], types)
     out = df
     if large:
         sub = {g: groups[g] for g in large}
         # positions in ``sub`` differ from those in ``groups``: re-map on the join side
         remap = F.create_map(*[x for j, g in enumerate(large) for x in (F.lit(gid[g]), F.lit(j))])
         big = sizes.where(F.col("g").isin([gid[g] for g in large])).select(
-            F.element_at(remap, F.col("g")).alias("g"), "k", "n")
+            F.element_at(remap, F.col("g")).alias("g"), "k", "n", *(["t"] if trades else []))
         hit = _long(df, sub, [key]).join(big, ["g", "k"], "inner")
         # fold a row's sizes back into columns: one code-generated aggregate
-        folded = hit.groupBy(key).agg(*[F.max(F.when(F.col("g") == j, F.col("n"))).alias(f"__n{j}")
-                                        for j in range(len(large))])
+        aggs = [F.max(F.when(F.col("g") == j, F.col("n"))).alias(f"__n{j}") for j in range(len(large))]
+        aggs += [F.max(F.when(F.col("g") == j, F.col("t"))).alias(f"__t{j}")
+                 for j, g in enumerate(large) if g in trades]
+        folded = hit.groupBy(key).agg(*aggs)
         out = out.join(folded, key, "left")
         for j, g in enumerate(large):
             lookups[g] = F.col(f"__n{j}")
-    return out.select(*df.columns, *[lookups[g].cast("bigint").alias(g) for g in groups])
+            if g in trades:
+                lookups[trades[g]] = F.col(f"__t{j}")
+    extra = [trades[g] for g in groups if g in trades]
+    return out.select(*df.columns, *[lookups[g].cast("bigint").alias(g) for g in groups],
+                      *[lookups[t].cast("bigint").alias(t) for t in extra])
 
 
 def add_group_sizes_by_join(df: DataFrame, groups: dict[str, list[str]],

@@ -18,7 +18,7 @@ RATE_KEYS = {
 
 
 def add_smoothed_rates(df: DataFrame, stats: DataFrame, keys: dict | None = None,
-                       label: str = "is_trade", prior: float = 10.0) -> DataFrame:
+                       label: str = "is_trade", prior: float = 10.0, row_key: str = "instance_id") -> DataFrame:
     """Per key impressions, trades and ``trades / (impressions + 10)``.
 
     Trades are NULL (not 0) for a key without any trade, so the rate is NULL
@@ -27,16 +27,15 @@ def add_smoothed_rates(df: DataFrame, stats: DataFrame, keys: dict | None = None
     by the category id).
     """
     keys = keys or RATE_KEYS
-    out = df
-    for k, stem in keys.items():
-        t = (stats.where(F.col(k).isNotNull()).groupBy(k)
-                  .agg(F.count(F.lit(1)).alias(f"{stem}_count"),
-                       F.sum(F.when(F.col(label) == 1, F.lit(1))).alias(f"trade_{stem}_count")))
-        t = t.select(k, F.col(f"{stem}_count").cast("bigint").alias(f"{stem}_count"),
-                     F.col(f"trade_{stem}_count").cast("bigint").alias(f"trade_{stem}_count"),
-                     (F.col(f"trade_{stem}_count") / (F.col(f"{stem}_count") + F.lit(prior))).alias(f"{stem}_ctr"))
-        out = out.join(t, k, "left")
-    return out
+    from clickfeat.operators.counts import add_group_sizes
+    groups = {f"{stem}_count": [k] for k, stem in keys.items()}
+    trades = {f"{stem}_count": f"trade_{stem}_count" for stem in keys.values()}
+    # every key's impressions and trades in one aggregation (see counts.py)
+    out = add_group_sizes(df, groups, key=row_key, population=stats, label=label, trades=trades)
+    rates = [(F.col(f"trade_{stem}_count") / (F.col(f"{stem}_count") + F.lit(prior))).alias(f"{stem}_ctr")
+             for stem in keys.values()]
+    return out.select(*df.columns, *[c for stem in keys.values() for c in
+                                     (F.col(f"{stem}_count"), F.col(f"trade_{stem}_count"))], *rates)
 
 
 def bayes_smoothed_rate(df: DataFrame, key: str, label: str = "is_trade") -> DataFrame:

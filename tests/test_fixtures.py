@@ -182,3 +182,19 @@ def test_prior_trade_windowed_equals_join(spark):
         a = PR.prior_trade(df, df.where("day < 24"), keys, show, flag).select("instance_id", show, flag)
         b = PR.prior_trade_windowed(df, keys, show, flag, F.col("day") < 24).select("instance_id", show, flag)
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_group_trades_paths_agree(spark):
+    rows = [(i, i % 3, i % 5, 1 if i % 7 == 0 else 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "instance_id long, user_id long, item_id long, is_trade int")
+    groups = {"u": ["user_id"], "ui": ["user_id", "item_id"]}
+    trades = {"u": "t_u", "ui": "t_ui"}
+    cols = ["instance_id", "u", "ui", "t_u", "t_ui"]
+    a = C.add_group_sizes(df, groups, label="is_trade", trades=trades).select(*cols)
+    b = C.add_group_sizes(df, groups, label="is_trade", trades=trades, literal_max_keys=0).select(*cols)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    r = {x["instance_id"]: tuple(x[1:]) for x in a.collect()}
+    # user 0: rows 0,3,…,57 (20); trades where i % 21 == 0 -> 0, 21, 42 (3)
+    assert r[0][0] == 20 and r[0][2] == 3
+    # (user 1, item 1): rows 1, 16, 31, 46 -> no trade -> NULL
+    assert r[1][1] == 4 and r[1][3] is None
