@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 VOCAB_MAX = 100_000
+TOPK_BUCKETS = 64
 
 
 def topk_tokens(df: DataFrame, tokens_col, k: int, positives_only: bool = False,
@@ -48,9 +49,17 @@ def vocabularies(df: DataFrame, specs: dict, label: str = "is_trade") -> dict[st
         parts.append(F.struct(F.lit(name).alias("v"), arr.alias("t")))
     e = df.select(F.explode(F.array(*parts)).alias("s")).select("s.v", F.explode("s.t").alias("token"))
     c = e.groupBy("v", "token").agg(F.count(F.lit(1)).alias("cnt"))
-    w = Window.partitionBy("v").orderBy(F.col("cnt").desc(), F.col("token"))
     ks = F.create_map(*[x for n, (_c, k, _p) in specs.items() for x in (F.lit(n), F.lit(k))])
-    top = c.select("v", "token", F.row_number().over(w).alias("r")).where(F.col("r") <= F.element_at(ks, F.col("v")))
+    kmax = F.element_at(ks, F.col("v"))
+    order = [F.col("cnt").desc(), F.col("token")]
+    # exact two-phase top-k: the k best of each of TOPK_BUCKETS hash buckets
+    # of a vocabulary contain its k best, so no task ranks all distinct
+    # tokens of one vocabulary (an open token space can be huge)
+    b = F.pmod(F.xxhash64("token"), F.lit(TOPK_BUCKETS))
+    w1 = Window.partitionBy("v", b).orderBy(*order)
+    pre = c.select("v", "token", "cnt", F.row_number().over(w1).alias("r1")).where(F.col("r1") <= kmax)
+    w2 = Window.partitionBy("v").orderBy(*order)
+    top = pre.select("v", "token", F.row_number().over(w2).alias("r")).where(F.col("r") <= kmax)
     out = {n: [] for n in specs}
     for r in sorted(top.collect(), key=lambda r: (r["v"], r["r"])):  # <= sum(k) rows
         out[r["v"]].append(r["token"])
