@@ -170,7 +170,8 @@ _LI_ORDER = ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedpr
 
 
 @register("row_dedup_key", """
-SELECT l_orderkey, l_linenumber, l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount
+SELECT l_orderkey, l_linenumber, CAST(floor(epoch(l_shipdate)) AS BIGINT) AS l_shipdate, l_partkey, l_suppkey,
+       l_quantity, l_extendedprice, l_discount
 FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
                                    ORDER BY l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice,
                                             l_discount, l_tax, l_returnflag, l_linestatus) AS rn
@@ -178,7 +179,9 @@ FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
 def q_row_dedup_key(spark, sf):
     li = table(spark, sf, "lineitem")
     d = R.dedup_first(li, ["l_orderkey", "l_linenumber"], _LI_ORDER)
-    return d.select("l_orderkey", "l_linenumber", *_LI_ORDER)
+    # timestamps leave as epoch seconds: one representation for every engine
+    return d.select("l_orderkey", "l_linenumber", F.unix_timestamp("l_shipdate").alias("l_shipdate"),
+                    *_LI_ORDER[1:])
 
 
 @register("row_distinct", EV + """

@@ -76,11 +76,11 @@ def compact_features(df: DataFrame, holdout_day: int = 24, vocab_k: int = 100) -
     voc = V.vocabularies(train, {"a": (props, vocab_k, False), "p": (props, vocab_k, True)})
     va, vp = voc["a"], voc["p"]
     out = rows.select("*",
-                      V.overlap_count(props, va).alias("most_property_num"),
+                      V.overlap_count(props, va).cast("bigint").alias("most_property_num"),
                       V.overlap_string(props, va).alias("most_property"),
-                      V.overlap_count(props, vp).alias("trade_most_property_num"),
+                      V.overlap_count(props, vp).cast("bigint").alias("trade_most_property_num"),
                       V.overlap_string(props, vp).alias("trade_most_property"),
-                      L.property_count("item_property_list").alias("item_property_num"),
+                      L.property_count("item_property_list").cast("bigint").alias("item_property_num"),
                       *[L.predicted_category("predict_category_property", i).alias(f"predict_category_{i}")
                         for i in range(3)])
     out = C.add_group_sizes(out, {"user_query_day": ["user_id", "day"],
