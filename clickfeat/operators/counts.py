@@ -190,6 +190,8 @@ def add_group_sizes(df: DataFrame, groups: dict[str, list[str]], key: str = "ins
     With ``label`` and ``trades`` (grouping -> output name) the number of
     positive rows of the row's group is added too, from the same aggregation.
     """
+    if not groups:
+        return df
     pop = df if population is None else population
     trades = trades or {}
     # Materialised once in the shared checkpoint folder: reused by the size

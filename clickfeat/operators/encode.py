@@ -77,6 +77,8 @@ def first_seen_codes(df: DataFrame, cols: list[str], order: list[str], suffix: s
     are joined back null-safely, broadcast only when the measured count is
     below ``BROADCAST_MAX_CODES``.
     """
+    if not cols:
+        return df
     pop = df if population is None else population
     ensure_checkpoint_dir(df.sparkSession)
     codes, counts, gid = code_tables(pop, cols, order)

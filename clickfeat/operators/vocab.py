@@ -43,6 +43,8 @@ def vocabularies(df: DataFrame, specs: dict, label: str = "is_trade") -> dict[st
     the aggregated counts (at most #distinct tokens rows, never the log).
     """
     from pyspark.sql import Window
+    if not specs:
+        return {}
     parts = []
     for name, (col, _k, pos) in specs.items():
         arr = F.when(F.col(label) == 1, col) if pos else col
