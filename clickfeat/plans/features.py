@@ -30,7 +30,8 @@ ALL_COUNTS.pop("user_day")
 
 
 def full_features(df: DataFrame, holdout_day: int = 24, with_history: bool = True,
-                  multi_hot: bool = True, max_group_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
+                  multi_hot: bool = True, max_group_rows: int | None = MAX_GROUP_ROWS,
+                  with_gaps: bool = True) -> DataFrame:
     """Entry A.  ``df``: the log with calendar and category columns.
 
     Scopes whose largest group exceeds ``max_group_rows`` (measured) use the
@@ -47,7 +48,9 @@ def full_features(df: DataFrame, holdout_day: int = 24, with_history: bool = Tru
         if all(frozenset(k) in by_keys for k in scope_keys) and \
                 max(by_keys[frozenset(k)] for k in scope_keys) <= max_group_rows:
             max_group_rows = None  # every group is small: plain windows everywhere
-    out = W.add_gaps(df, mask_day=holdout_day, with_history=with_history, max_group_rows=max_group_rows)
+    # ``with_gaps=False``: ``df`` is a stage that already carries gaps/histories
+    out = W.add_gaps(df, mask_day=holdout_day, with_history=with_history,
+                     max_group_rows=max_group_rows) if with_gaps else df
     # (window counts on the user exchange were measured slower: one sort of
     # the wide frame per grouping; the narrow unpivot path wins)
     out = C.add_group_sizes(out, ALL_COUNTS, sizes=sizes)
