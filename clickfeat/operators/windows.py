@@ -101,8 +101,8 @@ def add_gaps(df: DataFrame, scopes=("day", "all", "item", "cat1"), mask_day: int
         keys, prefix, hist = defs[s]
         h = hist if with_history else None
         if s in hot:
-            cols += [c for c in gap_history_columns(keys, prefix, h, ts=ts, key=key, label=label,
-                                                     mask_day=mask_day)[4:]]
+            # history only: W1/W2 of a hot scope come from the split operator below
+            cols += gap_history_columns(keys, prefix, h, ts=ts, key=key, label=label, mask_day=mask_day)[4:]
         else:
             cols += gap_history_columns(keys, prefix, h, ts=ts, key=key, label=label, mask_day=mask_day)
     out = df.select("*", *cols)
@@ -112,6 +112,11 @@ def add_gaps(df: DataFrame, scopes=("day", "all", "item", "cat1"), mask_day: int
             if s in hot:
                 keys, prefix, _ = defs[s]
                 out = add_gaps_ordinals(out, keys, prefix, None, ts=ts, key=key, max_group_rows=0)
+        order = list(df.columns)
+        for s in scopes:
+            keys, prefix, hist = defs[s]
+            order += [f"{prefix}diff_{i}" for i in range(1, 5)] + ([hist] if with_history else [])
+        out = out.select(*order)
     return out
 
 

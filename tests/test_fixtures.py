@@ -198,3 +198,11 @@ def test_group_trades_paths_agree(spark):
     assert r[0][0] == 20 and r[0][2] == 3
     # (user 1, item 1): rows 1, 16, 31, 46 -> no trade -> NULL
     assert r[1][1] == 4 and r[1][3] is None
+
+
+def test_hot_path_keeps_column_order(spark):
+    df = _skewed_log(spark)
+    a = W.add_gaps(df, scopes=("day", "all"))
+    b = W.add_gaps(df, scopes=("day", "all"), max_group_rows=50)
+    assert a.columns == b.columns
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
