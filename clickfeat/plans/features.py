@@ -31,7 +31,7 @@ ALL_COUNTS.pop("user_day")
 
 def full_features(df: DataFrame, holdout_day: int = 24, with_history: bool = True,
                   multi_hot: bool = True, max_group_rows: int | None = MAX_GROUP_ROWS,
-                  with_gaps: bool = True) -> DataFrame:
+                  with_gaps: bool = True, narrow: bool = True) -> DataFrame:
     """Entry A.  ``df``: the log with calendar and category columns.
 
     Scopes whose largest group exceeds ``max_group_rows`` (measured) use the
@@ -48,12 +48,29 @@ def full_features(df: DataFrame, holdout_day: int = 24, with_history: bool = Tru
         if all(frozenset(k) in by_keys for k in scope_keys) and \
                 max(by_keys[frozenset(k)] for k in scope_keys) <= max_group_rows:
             max_group_rows = None  # every group is small: plain windows everywhere
-    # ``with_gaps=False``: ``df`` is a stage that already carries gaps/histories
-    out = W.add_gaps(df, mask_day=holdout_day, with_history=with_history,
-                     max_group_rows=max_group_rows) if with_gaps else df
-    # (window counts on the user exchange were measured slower: one sort of
-    # the wide frame per grouping; the narrow unpivot path wins)
-    out = C.add_group_sizes(out, ALL_COUNTS, sizes=sizes)
+    key = "instance_id"
+    if narrow:
+        # Order-dependent features on a narrow projection: its exchange and
+        # its ~12 sorts move only the scope keys, time and label; the results
+        # are attached to the wide log by key together with the folded group
+        # sizes, so the wide log is shuffled once and never sorted.
+        scope_cols = sorted({c for s in W.SCOPES.values() for c in s[0]}
+                            | {c for ks in W.ORDINALS.values() for c in ks} | {"day"})
+        base = df.select(key, *scope_cols, "context_timestamp", "is_trade")
+        win = W.add_gaps(base, mask_day=holdout_day, with_history=with_history,
+                         max_group_rows=max_group_rows) if with_gaps else base
+        win = PR.add_prior_trades(win, base.where(F.col("day") < holdout_day), pairs=("cat", "shop"))
+        win = W.add_ordinals(win, max_group_rows=max_group_rows)
+        win_cols = [c for c in win.columns if c not in base.columns]
+        out = C.add_group_sizes(df, ALL_COUNTS, sizes=sizes)
+        out = out.join(win.select(key, *win_cols), key, "left")
+    else:
+        # ``with_gaps=False``: ``df`` is a stage that already carries gaps/histories
+        out = W.add_gaps(df, mask_day=holdout_day, with_history=with_history,
+                         max_group_rows=max_group_rows) if with_gaps else df
+        out = C.add_group_sizes(out, ALL_COUNTS, sizes=sizes)
+        out = PR.add_prior_trades(out, train, pairs=("cat", "shop"))
+        out = W.add_ordinals(out, max_group_rows=max_group_rows)
     out = out.withColumn("user_day", F.col("user_query_day"))
     if multi_hot:
         props = L.tokens("item_property_list")
@@ -64,10 +81,6 @@ def full_features(df: DataFrame, holdout_day: int = 24, with_history: bool = Tru
         out = out.select("*", *V.multi_hot(props, vq, "most_proerty", 10),
                          *V.multi_hot(pcat, vc, "most_predict_cat", 30),
                          *V.multi_hot(ppro, vr, "most_predict_pro", 25))
-    # pair statistics by aggregate + join (skew-safe; the windowed form
-    # ``prior_trade_windowed`` measured no faster here)
-    out = PR.add_prior_trades(out, train, pairs=("cat", "shop"))
-    out = W.add_ordinals(out, max_group_rows=max_group_rows)
     return out
 
 
