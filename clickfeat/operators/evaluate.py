@@ -42,3 +42,19 @@ def blend(tables: list[tuple[DataFrame, float]], key: str = "instance_id",
 def attach_scores(rows: DataFrame, scores: DataFrame, key: str = "instance_id") -> DataFrame:
     """Keep every submission row; scores joined by key (NULL if absent)."""
     return rows.join(scores, key, "left")
+
+
+def mean_adjust(scores: DataFrame, target_rate: float, score: str = "predicted_score") -> DataFrame:
+    """Notes' idea: rescale scores so their mean equals ``target_rate`` (e.g.
+    the conversion rate of the latest training day, given the declining daily
+    trend).  One aggregate gives the current mean; two scalars reach the driver."""
+    mean = scores.agg(F.avg(score)).first()[0]
+    factor = (target_rate / mean) if mean else 1.0
+    return scores.withColumn(score, F.col(score) * F.lit(factor))
+
+
+def latest_day_rate(df: DataFrame, before_day: int, day: str = "day", label: str = "is_trade") -> float:
+    """Conversion rate of the last day before ``before_day`` (one small aggregate)."""
+    r = (df.where(F.col(day) < before_day).groupBy(day).agg(F.avg(F.col(label).cast("double")).alias("r"))
+           .orderBy(F.col(day).desc()).limit(1).collect())
+    return float(r[0]["r"]) if r else 0.0

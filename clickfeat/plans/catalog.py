@@ -1074,3 +1074,17 @@ FROM flog""")
 def q_clicks_recent(spark, sf):
     return W.add_recent_clicks(click_log(spark, sf), 3600).select(
         "instance_id", "clicks_last_hour", "item_clicks_last_hour", "day_span_minutes")
+
+
+@register("score_mean_adjust", EV + f""",
+tgt AS (SELECT avg(CAST(is_trade AS DOUBLE)) AS r FROM flog
+        WHERE day = (SELECT max(day) FROM flog WHERE day < 24)),
+sc AS (SELECT instance_id, {_P1} AS p FROM flog WHERE day = 24),
+m AS (SELECT avg(p) AS mp FROM sc)
+SELECT instance_id, round(p * (r / mp), 9) AS predicted_score FROM sc, tgt, m""")
+def q_score_mean_adjust(spark, sf):
+    df = click_log(spark, sf)
+    target = EVL.latest_day_rate(df, 24)
+    s = _scored(spark, sf).where("day = 24").select("instance_id", "predicted_score")
+    out = EVL.mean_adjust(s, target)
+    return out.select("instance_id", F.round("predicted_score", 9).alias("predicted_score"))
