@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from clickfeat.session import ensure_parallelism
 
 # key column -> output stem; outputs {stem}_count, trade_{stem}_count, {stem}_ctr
 RATE_KEYS = {
@@ -67,7 +66,6 @@ def feature_value_table(df: DataFrame, scalar_fields: list[str], list_fields: li
     counts), then one ``groupBy(Field, Value)`` with map-side combine; rows
     with ``Total < min_total`` are dropped, ``Ratio = round(Pos/Total, 5)``.
     """
-    df = ensure_parallelism(df.select(label, *scalar_fields, *(list_fields or [])))
     y = F.col(label)
     parts = []
     if scalar_fields:

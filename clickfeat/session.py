@@ -61,13 +61,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     (under the local temp folder) when nothing is configured, as in tests.
     """
     sc = spark.sparkContext
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        jdir = sc._jsc.sc().getCheckpointDir()
-        d = jdir.get() if jdir.isDefined() else None
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="clickfeat-ckpt-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return d
 
@@ -78,32 +75,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if "://" not in base:
         base = "file://" + os.path.abspath(base.replace("file:", ""))
     return f"{base}/clickfeat-stage/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def input_partitions(df) -> int | None:
-    """Largest split count among the file scans feeding ``df``, read from the
-    physical plan's leaves - no job runs (unlike ``df.rdd``, which under AQE
-    materialises shuffle stages).  ``None`` when there is no file scan."""
-    try:
-        leaves = df._jdf.queryExecution().sparkPlan().collectLeaves()
-        best = None
-        for i in range(leaves.size()):
-            leaf = leaves.apply(i)
-            if leaf.nodeName().startswith("Scan") and hasattr(leaf, "inputRDD"):
-                n = leaf.inputRDD().getNumPartitions()
-                best = n if best is None else max(best, n)
-        return best
-    except Exception:  # noqa: BLE001 - plan introspection is best effort
-        return None
-
-
-def ensure_parallelism(df):
-    """Spread a (narrow) frame over the cluster before a row-multiplying step
-    (unpivot/explode) when its file input has fewer splits than the default
-    parallelism - e.g. one large unsplittable file.  On real inputs (many
-    splits) this is a no-op and adds no exchange."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    n = input_partitions(df)
-    if n is not None and n < target:
-        return df.repartition(target)
-    return df
