@@ -17,14 +17,30 @@ from clickfeat.operators import rows as R
 SF = "/root/testdata/sf0.001"
 
 
-def _plan(df, run=True):
-    """The physical plan as ``explain()`` prints it (the final AQE plan once run)."""
+@pytest.fixture(autouse=True)
+def _no_cache(spark):
+    # cached relations from other test modules would change the plans
+    spark.catalog.clearCache()
+
+
+def _plan(df, run=False):
+    """The physical plan as ``explain()`` prints it: the planned exchanges and
+    joins (AQE may later only coalesce partitions or demote joins to
+    broadcasts).  ``run=True`` executes first and keeps the final plan."""
     if run:
         df.write.format("noop").mode("overwrite").save()
     buf = io.StringIO()
     with contextlib.redirect_stdout(buf):
         df.explain()
-    return buf.getvalue()
+    return final_plan(buf.getvalue())
+
+
+def final_plan(text):
+    """After execution AQE prints the final and the initial plan: keep the final one."""
+    head = text.split("\n", 3)[:2]
+    if any("AdaptiveSparkPlan isFinalPlan=true" in h for h in head):
+        text = text.split("== Final Plan ==", 1)[1].split("== Initial Plan ==", 1)[0]
+    return text
 
 
 def _exchanges(plan):
@@ -55,12 +71,12 @@ def test_stage_filter_prunes_partitions(spark):
     path = scratch_path(spark, "plan-test")
     IO.write_stage(df.select("instance_id", "day"), path)
     _, hold = R.split_by_day(IO.read_stage(spark, path), 24)
-    plan = _plan(hold.select("instance_id"), run=False)
+    plan = _plan(hold.select("instance_id"))
     assert re.search(r"PartitionFilters: \[[^\]]*day", plan)
 
 
 def test_filter_pushed_to_scan(spark):
-    plan = _plan(E.queries()["row_anti_join"](spark, SF), run=False)
+    plan = _plan(E.queries()["row_anti_join"](spark, SF))
     assert "EqualTo(l_returnflag,R)" in plan
 
 
@@ -68,3 +84,4 @@ def test_filter_pushed_to_scan(spark):
 def test_lookup_queries_final_plan_has_no_join(spark, name):
     plan = _plan(E.queries()[name](spark, SF))
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
+
