@@ -40,7 +40,7 @@ def _window_path(df, keys, ts, key):
     w = Window.partitionBy(*keys).orderBy(ts, key)
     g = Window.partitionBy(*keys)
     t = F.col(ts)
-    return df.select(key, F.row_number().over(w).cast("bigint").alias("rn"),
+    return df.select(key, t.alias("value"), F.row_number().over(w).cast("bigint").alias("rn"),
                      F.lag(t).over(w).alias("prev_ts"), F.lead(t).over(w).alias("next_ts"),
                      F.count(F.lit(1)).over(g).cast("bigint").alias("n"),
                      F.min(t).over(g).alias("first_ts"), F.max(t).over(g).alias("last_ts"))
@@ -130,13 +130,13 @@ def _split_path(df, keys, ts, key, partitions):
     rn = F.col("local_rn") + F.when(F.col("is_first_run"), off).otherwise(F.lit(0))
     prev = F.coalesce(F.col("prev_ts"), F.when(F.col("pos") == 0, lit_map(prev_fix, "bigint")))
     nxt = F.coalesce(F.col("next_ts"), F.when(F.col("is_last_run"), lit_map(next_fix, "bigint")))
-    fixed = local.select(key, *[F.col(f"__k_{k}").alias(k) for k in keys], rn.cast("bigint").alias("rn"),
-                         prev.alias("prev_ts"), nxt.alias("next_ts"))
+    fixed = local.select(key, F.col("ts").alias("value"), *[F.col(f"__k_{k}").alias(k) for k in keys],
+                         rn.cast("bigint").alias("rn"), prev.alias("prev_ts"), nxt.alias("next_ts"))
     stats = narrow.groupBy(*keys).agg(F.count(F.lit(1)).cast("bigint").alias("n"),
                                       F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
     cond = [fixed[k].eqNullSafe(stats[k]) for k in keys]
     j = fixed.join(stats, cond, "left")
-    return j.select(fixed[key], "rn", "prev_ts", "next_ts", "n", "first_ts", "last_ts")
+    return j.select(fixed[key], "value", "rn", "prev_ts", "next_ts", "n", "first_ts", "last_ts")
 
 
 def largest_group(df: DataFrame, keys: list[str]) -> tuple[int, int]:
@@ -147,7 +147,8 @@ def largest_group(df: DataFrame, keys: list[str]) -> tuple[int, int]:
 
 def ordered_features(df: DataFrame, keys: list[str], ts: str = "context_timestamp", key: str = "instance_id",
                      max_group_rows: int | None = MAX_GROUP_ROWS, partitions: int | None = None) -> DataFrame:
-    """``key, rn, prev_ts, next_ts, n, first_ts, last_ts`` for scope ``keys``.
+    """``key, value, rn, prev_ts, next_ts, n, first_ts, last_ts`` for scope ``keys``
+    (``value`` is the row's ordering value ``ts``).
 
     ``max_group_rows=None`` forces windows; ``0`` forces the split path.  The
     split path uses ``partitions`` range partitions, by default enough for
@@ -180,3 +181,29 @@ def add_gaps_ordinals(df: DataFrame, keys: list[str], prefix: str = "", ordinal:
             cols.append((F.col("__o.rn") == 1).cast("int").alias(f"{base}_first_day"))
             cols.append((F.col("__o.rn") == F.col("__o.n")).cast("int").alias(f"{base}_last_day"))
     return df.join(o.alias("__o"), key, "left").select(*[df[c] for c in df.columns], *cols)
+
+
+def recent_counts(df: DataFrame, keys: list[str], seconds: int, ts: str = "context_timestamp",
+                  key: str = "instance_id", name: str = "recent", **kw) -> DataFrame:
+    """Rows of the row's group with time in ``[t - seconds, t]`` (a RANGE frame,
+    ties included) without a window over the group: ``key, name``.
+
+    Merge the rows with query points in one sort per bound and read ranks:
+    with values ``2t+1`` for rows and ``2(t-w)`` for queries, a query's rank
+    minus its rank among queries (its ordinal) counts rows with time
+    ``< t-w``; with ``2t`` for rows and ``2t+1`` for queries it counts rows
+    with time ``<= t``.  The ordinals cancel, so the count is the difference
+    of the two merged ranks.  Both merges use ``ordered_features`` (skew-safe
+    split path for hot groups, windows otherwise).
+    """
+    base = df.select(key, *keys, F.col(ts).cast("bigint").alias("__t"))
+    t = F.col("__t")
+
+    def merged(data_v, query_v, query_parity):
+        u = base.select(key, *keys, data_v.alias("__v")).unionByName(base.select(key, *keys, query_v.alias("__v")))
+        o = ordered_features(u, keys, "__v", key, **kw)
+        return o.where(F.pmod(F.col("value"), F.lit(2)) == query_parity).select(key, "rn")
+
+    lower = merged(t * 2 + 1, (t - seconds) * 2, 0).withColumnRenamed("rn", "__lo")
+    upper = merged(t * 2, t * 2 + 1, 1).withColumnRenamed("rn", "__hi")
+    return lower.join(upper, key).select(key, (F.col("__hi") - F.col("__lo")).cast("bigint").alias(name))

@@ -161,13 +161,35 @@ def add_ordinals(df: DataFrame, ordinals: dict | None = None, ts: str = "context
     return df.select("*", *cols)
 
 
-def add_recent_clicks(df: DataFrame, seconds: int = 3600, ts: str = "context_timestamp") -> DataFrame:
+def add_recent_clicks(df: DataFrame, seconds: int = 3600, ts: str = "context_timestamp",
+                      key: str = "instance_id", max_group_rows: int | None = None) -> DataFrame:
     """Notes' idea: clicks repeated within a short time (RANGE frame on the
-    epoch seconds, ties included) and the duration of the day's clicks."""
+    epoch seconds, ties included) and the duration of the day's clicks.
+
+    With ``max_group_rows`` set, scopes whose largest group exceeds it use the
+    merge-and-rank form (``clickfeat.operators.ordered.recent_counts``) and a
+    partial aggregate for the day span instead of windows."""
     t = F.col(ts)
+    scopes = {"clicks_last_hour": ["user_id"], "item_clicks_last_hour": ["user_id", "item_id"],
+              "day_span_minutes": ["user_id", "day"]}
+    hot = _hot(df, scopes, max_group_rows)
     rng = lambda *k: Window.partitionBy(*k).orderBy(t).rangeBetween(-seconds, 0)
-    day = Window.partitionBy("user_id", "day")
-    return df.select("*",
-                     F.count(F.lit(1)).over(rng("user_id")).cast("bigint").alias("clicks_last_hour"),
-                     F.count(F.lit(1)).over(rng("user_id", "item_id")).cast("bigint").alias("item_clicks_last_hour"),
-                     ((F.max(t).over(day) - F.min(t).over(day)) / 60.0).alias("day_span_minutes"))
+    cols = {}
+    if "clicks_last_hour" not in hot:
+        cols["clicks_last_hour"] = F.count(F.lit(1)).over(rng("user_id")).cast("bigint")
+    if "item_clicks_last_hour" not in hot:
+        cols["item_clicks_last_hour"] = F.count(F.lit(1)).over(rng("user_id", "item_id")).cast("bigint")
+    if "day_span_minutes" not in hot:
+        day = Window.partitionBy("user_id", "day")
+        cols["day_span_minutes"] = (F.max(t).over(day) - F.min(t).over(day)) / 60.0
+    out = df.select("*", *[c.alias(n) for n, c in cols.items()])
+    if hot:
+        from clickfeat.operators.ordered import recent_counts
+        for n in ("clicks_last_hour", "item_clicks_last_hour"):
+            if n in hot:
+                out = out.join(recent_counts(df, scopes[n], seconds, ts, key, n, max_group_rows=0), key, "left")
+        if "day_span_minutes" in hot:
+            span = df.groupBy("user_id", "day").agg(((F.max(t) - F.min(t)) / 60.0).alias("day_span_minutes"))
+            out = out.join(span, ["user_id", "day"], "left")
+        out = out.select(*df.columns, *scopes)
+    return out

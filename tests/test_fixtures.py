@@ -206,3 +206,21 @@ def test_hot_path_keeps_column_order(spark):
     b = W.add_gaps(df, scopes=("day", "all"), max_group_rows=50)
     assert a.columns == b.columns
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_recent_clicks_merge_rank_equals_range_window(spark):
+    df = _skewed_log(spark)
+    cols = ["instance_id", "clicks_last_hour", "item_clicks_last_hour", "day_span_minutes"]
+    a = W.add_recent_clicks(df, 3600).select(*cols)
+    b = W.add_recent_clicks(df, 3600, max_group_rows=50).select(*cols)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_recent_counts_ties(spark):
+    from clickfeat.operators import ordered as O
+    rows = [(1, 7, 100), (2, 7, 100), (3, 7, 3700), (4, 7, 3701), (5, 7, 9000)]
+    df = spark.createDataFrame(rows, "instance_id long, user_id long, context_timestamp long")
+    got = {r["instance_id"]: r["recent"] for r in
+           O.recent_counts(df, ["user_id"], 3600, max_group_rows=0, partitions=3).collect()}
+    # [t-3600, t]: 100 -> both ties; 3700 -> 100,100,3700; 3701 -> 3700,3701 (100 < 101)
+    assert got == {1: 2, 2: 2, 3: 3, 4: 2, 5: 1}
