@@ -85,3 +85,15 @@ def test_lookup_queries_final_plan_has_no_join(spark, name):
     plan = _plan(E.queries()[name](spark, SF))
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
 
+
+
+def test_spread_only_for_few_files(spark):
+    from clickfeat.sources.standin import spread, table
+    one = table(spark, SF, "events")
+    assert "REPARTITION_BY_NUM" in _plan(spread(one, "user_id"))
+    path = scratch_path(spark, "many-files")
+    slots = spark.sparkContext.defaultParallelism
+    one.repartition(slots * 2).write.parquet(path)
+    many = spark.read.parquet(path)
+    assert len(many.inputFiles()) >= slots
+    assert "Exchange" not in _plan(spread(many, "user_id"))
