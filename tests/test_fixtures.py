@@ -224,3 +224,33 @@ def test_recent_counts_ties(spark):
            O.recent_counts(df, ["user_id"], 3600, max_group_rows=0, partitions=3).collect()}
     # [t-3600, t]: 100 -> both ties; 3700 -> 100,100,3700; 3701 -> 3700,3701 (100 < 101)
     assert got == {1: 2, 2: 2, 3: 3, 4: 2, 5: 1}
+
+
+def test_distinct_counts_exact_and_approx(spark):
+    from clickfeat.operators import profile as PF
+    rows = [(i, i % 7, None if i % 11 == 0 else i % 3) for i in range(200)]
+    df = spark.createDataFrame(rows, "a long, b long, c long")
+    exact = {r["field"]: r["n_distinct"] for r in PF.distinct_counts(df, ["a", "b", "c"]).collect()}
+    assert exact == {"a": 200, "b": 7, "c": 3}
+    approx = {r["field"]: r["n_distinct"] for r in PF.distinct_counts(df, ["a", "b", "c"], approx=True).collect()}
+    assert approx["b"] == 7 and approx["c"] == 3 and abs(approx["a"] - 200) <= 10
+
+
+def test_exclude_ids_paths(spark, monkeypatch):
+    from clickfeat.operators import rows as R
+    df = spark.createDataFrame([(i,) for i in range(50)], "instance_id long")
+    ids = [1, 2, 3, 49]
+    a = {r[0] for r in R.exclude_ids(df, ids).collect()}
+    monkeypatch.setattr(R, "INLIST_MAX", 2)  # force the broadcast anti-join
+    b = {r[0] for r in R.exclude_ids(df, ids).collect()}
+    c = {r[0] for r in R.exclude_ids(df, spark.createDataFrame([(i,) for i in ids], "x long")).collect()}
+    assert a == b == c == set(range(50)) - set(ids)
+
+
+def test_group_sizes_by_join_equals_one_pass(spark):
+    rows = [(i, i % 3, i % 5, None if i == 7 else i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "instance_id long, user_id long, item_id long, lvl int")
+    groups = {"a": ["user_id"], "b": ["user_id", "item_id"], "c": ["lvl"]}
+    x = C.add_group_sizes(df, groups).select("instance_id", *groups)
+    y = C.add_group_sizes_by_join(df, groups).select("instance_id", *groups)
+    assert x.exceptAll(y).count() == 0 and y.exceptAll(x).count() == 0
