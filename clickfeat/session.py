@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -55,14 +54,15 @@ def build_session(master: str | None = None, app: str = "clickfeat",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by the cluster.
-
-    The cluster names it in ``spark.checkpoint.dir``; we only create our own
-    (under the local temp folder) when nothing is configured, as in tests.
-    """
+    """The shared checkpoint folder that the cluster names in
+    ``spark.checkpoint.dir``.  A local session without that setting (tests)
+    gets a temporary one; any other master without it is an error, since a
+    machine-local folder would be invisible to the other executors."""
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="clickfeat-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
@@ -70,8 +70,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared checkpoint folder for staged tables."""
+    """A fresh sub-folder of the shared checkpoint folder for a staged table,
+    under the folder exactly as configured (Hadoop resolves its scheme)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    if "://" not in base:
-        base = "file://" + os.path.abspath(base.replace("file:", ""))
     return f"{base}/clickfeat-stage/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Remove a staged table through the file system that holds it."""
+    if "/clickfeat-stage/" not in path:
+        raise ValueError(f"not a staged table: {path}")
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
