@@ -5,14 +5,23 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clickfeat.llm.common import read
+from clickfeat.llm.decontaminate import decontaminate, joined_digest
 from clickfeat.llm.minhash import near_duplicates
 
 
+def op9_decontaminate(spark, sf_dir):
+    """Benchmark windows of 10 words in all documents."""
+    found = decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        joined_digest("items").alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op10_minhash(spark, sf_dir):
     """Near-duplicate components of all documents over 4-word shingles."""
     return near_duplicates(read(spark, sf_dir, "documents"), k=4).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 QUERIES = {
+    "op9_decontaminate": op9_decontaminate,
     "op10_minhash": op10_minhash,
 }
