@@ -7,6 +7,17 @@ from pyspark.sql import functions as F
 from clickfeat.llm.common import read
 from clickfeat.llm.decontaminate import decontaminate, joined_digest
 from clickfeat.llm.minhash import near_duplicates
+from clickfeat.llm.packing import pack
+
+
+def byte_bpe() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_packing(spark, sf_dir):
+    """All documents in sequences of at most 2048 tokens."""
+    return pack(read(spark, sf_dir, "documents"), byte_bpe())
 
 
 def op9_decontaminate(spark, sf_dir):
@@ -22,6 +33,7 @@ def op10_minhash(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_packing": op1_packing,
     "op9_decontaminate": op9_decontaminate,
     "op10_minhash": op10_minhash,
 }
