@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clickfeat.llm.common import read
+from clickfeat.llm import language, toxicity
+from clickfeat.llm.common import fold, read
 from clickfeat.llm.decontaminate import decontaminate, joined_digest
 from clickfeat.llm.minhash import near_duplicates
 from clickfeat.llm.packing import pack
@@ -20,6 +21,20 @@ def op1_packing(spark, sf_dir):
     return pack(read(spark, sf_dir, "documents"), byte_bpe())
 
 
+def op7_toxicity(spark, sf_dir):
+    """Toxicity of all documents, learnt from two thirds of the labels."""
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, read(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
+    return toxicity.toxicity(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op8_language(spark, sf_dir):
+    """Language of all documents, learnt from two thirds of them."""
+    docs = read(spark, sf_dir, "documents")
+    model = language.learn(docs.where(fold("doc_id", 3) != 1))
+    return language.identify(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op9_decontaminate(spark, sf_dir):
     """Benchmark windows of 10 words in all documents."""
     found = decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -34,6 +49,8 @@ def op10_minhash(spark, sf_dir):
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op7_toxicity": op7_toxicity,
+    "op8_language": op8_language,
     "op9_decontaminate": op9_decontaminate,
     "op10_minhash": op10_minhash,
 }
