@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clickfeat.llm import chat, language, pii, toxicity, urls, vafile
+from clickfeat.llm import chat, hmm, language, pii, toxicity, urls, vafile
 from clickfeat.llm.common import fold, read
 from clickfeat.llm.decontaminate import decontaminate, joined_digest
 from clickfeat.llm.minhash import near_duplicates
@@ -43,6 +43,11 @@ def op4_pii(spark, sf_dir):
                        *[pii.counts("spans", k).alias(f"n_{k}") for k in kinds])
 
 
+def op5_hmm(spark, sf_dir):
+    """Scores of all documents by a model learnt from four fifths of them."""
+    return hmm.score(read(spark, sf_dir, "documents"), fold("doc_id", 5) == 1)
+
+
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
          ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 SPAM_HOSTS = [f"{name}.example.{top}" for name in ("ads-track", "casino-win", "cheap-pills", "spam-farm") for top in ("com", "net", "org")]
@@ -84,6 +89,7 @@ QUERIES = {
     "op2_topk": op2_topk,
     "op3_chat": op3_chat,
     "op4_pii": op4_pii,
+    "op5_hmm": op5_hmm,
     "op6_urls": op6_urls,
     "op7_toxicity": op7_toxicity,
     "op8_language": op8_language,
