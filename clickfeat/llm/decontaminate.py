@@ -138,6 +138,16 @@ def chain_columns(columns) -> np.ndarray:
     return out
 
 
+def _numbered(texts: pa.Array, block: TestIndex):
+    """A shard's words as numbers of the block's: first word of each row, all
+    numbers laid out, place of each row's first."""
+    _, _, h, first = words(*raw(texts), ALNUM)
+    ids = np.full(len(h), UNKNOWN, np.uint32)
+    at, rank = block.vocabulary.find(h)
+    ids[at] = rank + 1
+    return first, *_lay_out(ids, first, block.window + 1)
+
+
 def _scan(index):
     """One pass: the document rows with this block's matches added to theirs."""
     def run(batches):
@@ -145,11 +155,7 @@ def _scan(index):
         for batch in batches:
             for lo in range(0, batch.num_rows, SHARD_ROWS):
                 part = batch.slice(lo, SHARD_ROWS)
-                _, _, h, first = words(*raw(part.column("text")), ALNUM)
-                ids = np.full(len(h), UNKNOWN, np.uint32)
-                at, rank = block.vocabulary.find(h)
-                ids[at] = rank + 1
-                seq, start = _lay_out(ids, first, block.window + 1)
+                first, seq, start = _numbered(part.column("text"), block)
                 p, t, n = block.search(seq)
                 doc = np.searchsorted(start, p, "right") - 1
                 item = np.searchsorted(block.row_start, t, "right") - 1
@@ -186,25 +192,43 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     have no words; items without an id or words match nothing; repeated rows
     count each (documents) or as one item (benchmark); an empty benchmark
     leaves every document clean."""
-    spark = docs.sparkSession
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("n_words"),
+                      F.lit(0).cast("long").alias("n_hit"), F.array().cast(MATCHES).alias("matches"))
+    for index in _blocks(benchmark, window):
+        out = out.mapInArrow(_scan(index), f"doc_id long, text string, n_words long, n_hit long, matches {MATCHES}")
+    return out.select("doc_id", "n_words", "n_hit", "matches", F.array_distinct("matches.item_id").alias("items"))
+
+
+def _blocks(benchmark: DataFrame, window: int):
+    """The benchmark's blocks, indexed and broadcast one by one."""
+    spark = benchmark.sparkSession
     items = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(size // BLOCK_BYTES) + 1
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("n_words"),
-                      F.lit(0).cast("long").alias("n_hit"), F.array().cast(MATCHES).alias("matches"))
     for i in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i).toArrow()
-        index = TestIndex(block["item_id"].to_numpy().astype(np.int64), block["text"], window)
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(index)),
-                             f"doc_id long, text string, n_words long, n_hit long, matches {MATCHES}")
-    return out.select("doc_id", "n_words", "n_hit", "matches", F.array_distinct("matches.item_id").alias("items"))
+        yield spark.sparkContext.broadcast(TestIndex(block["item_id"].to_numpy().astype(np.int64), block["text"], window))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """The document rows without any hit, all columns kept.  Documents are
-    told apart by ``doc_id``; rows without one cannot be named and stay."""
-    found = decontaminate(docs, benchmark, window).where("n_hit > 0").select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(found, docs["doc_id"] == found["__hit"], "left_anti")
+    """The document rows without any hit, all columns kept as they are: a row
+    filter for each block, without a join."""
+    at = docs.columns.index("text")
+
+    def without(index):
+        def run(batches):
+            block: TestIndex = index.value
+            for batch in batches:
+                for lo in range(0, batch.num_rows, SHARD_ROWS):
+                    part = batch.slice(lo, SHARD_ROWS)
+                    _, seq, start = _numbered(part.column(at), block)
+                    hit = np.zeros(part.num_rows, bool)
+                    hit[np.searchsorted(start, block.search(seq)[0], "right") - 1] = True
+                    yield part.filter(pa.array(~hit))
+        return run
+    for index in _blocks(benchmark, window):
+        docs = docs.mapInArrow(without(index), docs.schema)
+    return docs
 
 
 def joined_digest(items: str) -> Column:
