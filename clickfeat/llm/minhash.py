@@ -10,11 +10,13 @@ neighbouring table cells.
 1. Documents with equal sets form one class (a digest of the sorted set), and
    only classes go on: exact copies cost one partial aggregate.
 2. Signature bands are bucketed; every member of a bucket is paired with its
-   least member (linear in the bucket, whatever its size) and the pair is
-   verified on the full sets.
-3. Links become components.  A bucket whose members still belong to different
-   components may hide links away from its least member, so the pairs across
-   its components, and only those, are verified too.
+   hub, the member that shares most buckets (linear in the bucket, whatever its
+   size), and the pair is verified on the full sets.  Links become components.
+3. A hub's cell is all that ever shared a bucket with it.  Where a cell still
+   holds several components there may be links away from the hub, so members
+   outside the hub's component are compared with the whole cell: in blocks of
+   bounded size, by matrix products inside a task that returns a spanning set
+   of the links it finds.  No pair becomes a row.
 
 Bands of 5 out of 200 coordinates, 40 of them: a pair at similarity 0.8 shares
 no bucket with probability below 2e-7.  Links are exact (on 64-bit shingle
@@ -112,25 +114,101 @@ def _sets(k: int):
     return run
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """The pairs ``(u, v)`` of classes whose full sets are similar enough.
-
-    Only the texts of classes in a pair are read again; sets that could not
-    reach the threshold by their sizes alone are left out before that."""
-    size = classes.select("node", "n")
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs ``(u, v)`` whose full sets are similar enough.  Pairs that could
+    not be by their sizes alone go no further than those."""
+    size = sets.select("node", "n")
     p = (pairs.join(size.toDF("u", "nu"), "u").join(size.toDF("v", "nv"), "v")
               .where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * SIMILARITY))
-    p = staged(p.select("u", "v", "nu", "nv"), "pairs")
-    wanted = p.select(F.col("u").alias("node")).unionByName(p.select(F.col("v").alias("node"))).distinct()
-    ids = classes.join(wanted, "node").select(F.col("doc_id").alias("__id")).distinct()
-    texts = docs.join(ids, docs["doc_id"] == ids["__id"], "left_semi").select("text")
-    sets = texts.mapInArrow(_sets(k), "node long, shingles array<long>")
-    sets = staged(sets.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
-    both = (p.join(sets.toDF("u", "su"), "u").join(sets.toDF("v", "sv"), "v")
+    full = sets.select("node", "shingles")
+    both = (p.join(full.toDF("u", "su"), "u").join(full.toDF("v", "sv"), "v")
              .withColumn("same", F.size(F.array_intersect("su", "sv"))))
     return both.where(F.col("same") * 100 >= (F.col("nu") + F.col("nv") - F.col("same")) * SIMILARITY).select("u", "v")
 
 
+BLOCK_SHINGLES, BLOCK_SETS, COLUMNS = 1 << 18, 1024, 1024
+
+
+def _links_between(left, right):
+    """A spanning set of the links between two lists of ``(node, root, set)``
+    that join different roots."""
+    rows = [*left, *right]
+    flat = np.concatenate([s for _, _, s in rows])
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = np.cumsum(times > 1) - 1  # a shingle of one set alone adds to no intersection
+    owner = np.repeat(np.arange(len(rows)), [len(s) for _, _, s in rows])
+    keep = times[column] > 1
+    column, owner = shared[column[keep]], owner[keep]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    same = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [lo, lo + COLUMNS])
+        has = np.zeros((len(rows), COLUMNS), np.float32)
+        has[owner[a:b], column[a:b] - lo] = 1
+        same += has[:len(left)] @ has[len(left):].T
+    n = np.array([len(s) for _, _, s in rows], np.float64)
+    same = same.astype(np.float64)
+    similar = same * 100 >= (n[:len(left), None] + n[None, len(left):] - same) * SIMILARITY
+    head: dict[int, int] = {}
+
+    def find(r):
+        while head.get(r, r) != r:
+            r = head[r]
+        return r
+    for i, j in np.argwhere(similar):
+        a, b = find(left[i][1]), find(right[j][1])
+        if a != b:
+            head[max(a, b)] = min(a, b)
+            yield left[i][0], right[j][0]
+
+
+def _cells(batches):
+    """Rows sorted by (hub, i, j): the sets of two blocks of a cell each."""
+    names = ["hub", "i", "j", "left", "right", "node", "root", "shingles"]
+
+    def links(rows):
+        left, right = ([(n, r, s) for side, n, r, s in rows if side[k]] for k in (0, 1))
+        found = list(_links_between(left, right)) if left and right else []
+        return [u for u, _ in found], [v for _, v in found]
+
+    key, rows, out = None, [], ([], [])
+    for b in batches:
+        shingles = b.column("shingles")
+        flat, cut = shingles.flatten().to_numpy(), shingles.offsets.to_numpy()
+        base = cut[0]
+        for r, (hub, i, j, left, right, node, root) in enumerate(zip(*(b.column(c).to_pylist() for c in names[:-1]))):
+            if key != (hub, i, j):
+                for a, x in zip(out, links(rows)):
+                    a.extend(x)
+                key, rows = (hub, i, j), []
+            rows.append(((left, right), node, root, flat[cut[r] - base:cut[r + 1] - base].copy()))
+    for a, x in zip(out, links(rows)):
+        a.extend(x)
+    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["u", "v"])
+
+
+def _across(cells: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links within cells ``(hub, node)`` that join different roots."""
+    home = roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
+    t = (cells.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+              .join(home, "hub", "left").withColumn("out", F.col("root") != F.coalesce("hub_root", "hub"))
+              .join(sets.select("node", "n"), "node"))
+    blocks = lambda own: F.ceil(F.greatest(F.sum(F.when(own, F.col("n"))) / BLOCK_SHINGLES,
+                                           F.count(F.when(own, 1)) / BLOCK_SETS)).cast("int")
+    size = t.groupBy("hub").agg(blocks(F.col("out")).alias("outs"), F.coalesce(blocks(~F.col("out")), F.lit(0)).alias("ins")).where("outs > 0")
+    t = t.join(size, "hub")
+    own = F.when(F.col("out"), F.pmod("node", F.col("outs"))).otherwise(F.col("outs") + F.pmod("node", F.greatest("ins", F.lit(1)))).cast("int")
+    # a member outside meets every block, one inside the outer blocks; a block pair is (outer i, any j >= i)
+    others = F.sequence(F.lit(0), F.when(F.col("out"), F.col("outs") + F.col("ins") - 1).otherwise(F.col("outs") - 1))
+    t = t.withColumn("own", own).withColumn("other", F.explode(others))
+    t = t.select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                 (F.col("own") <= F.col("other")).alias("left"), (F.col("own") >= F.col("other")).alias("right"), "node", "root")
+    t = t.join(sets.select("node", "shingles"), "node")
+    return (t.select("hub", "i", "j", "left", "right", "node", "root", "shingles").repartition("hub", "i", "j")
+             .sortWithinPartitions("hub", "i", "j").mapInArrow(_cells, "u long, v long"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
     """``docs (doc_id, text, ...)`` -> one row per document: ``doc_id,
     n_shingles, component_id, kept``.
@@ -145,19 +223,21 @@ def near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
                          .agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands")),
                      "classes")
     banded = classes.select("node", F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    met = staged(banded.join(hubs.select("band", "hub"), "band"), "buckets")
-    stars = met.where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
-    links = staged(_verified(stars, classes, docs, k), "links")
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    met = staged(banded.join(shared, "band"), "buckets")
+    central = met.groupBy("node").agg(F.sum("c").alias("met"))
+    ranked = met.select("band", "node").join(central, "node").withColumn("rank", F.struct("met", "node"))
+    hubs = ranked.groupBy("band").agg(F.max("rank").alias("hub")).select("band", F.col("hub.node").alias("hub"))
+    cells = staged(met.select("band", "node").join(hubs, "band").select("hub", "node").distinct(), "cells")
+    # the full sets of all that met: their texts are read again
+    wanted = classes.select("node", "doc_id", "n").join(central.select("node"), "node", "left_semi")
+    ids = wanted.select(F.col("doc_id").alias("__id")).distinct()
+    texts = docs.join(ids, docs["doc_id"] == ids["__id"], "left_semi").select("text")
+    sets = texts.mapInArrow(_sets(k), "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    sets = staged(sets.join(wanted.select("node", "n"), "node"), "sets")
+    links = staged(_similar(cells.where("hub <> node").toDF("u", "v"), sets), "links")
     roots = staged(components(links), "roots")
-    # buckets that still hold several components: the pairs across them
-    tagged = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = tagged.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band")
-    left = staged(tagged.join(open_, "band", "left_semi").select("band", "hub", "node", "root"), "open")
-    a = left.select("band", F.col("node").alias("u"), F.col("root").alias("ru"), "hub")
-    b = left.select("band", F.col("node").alias("v"), F.col("root").alias("rv"))
-    across = a.join(b, "band").where("u < v and ru <> rv and u <> hub").select("u", "v").distinct()
-    more = staged(_verified(across, classes, docs, k), "links")
+    more = staged(_across(cells, roots, sets), "links")
     if not more.isEmpty():
         roots = staged(components(links.unionByName(more)), "roots")
     linked = classes.select("node", "doc_id").join(roots, "node")
@@ -170,3 +250,17 @@ def near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
     component = F.when(F.col("doc_id").isNotNull(), component)
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5) -> DataFrame:
+    """The rows of the documents that ``near_duplicates`` keeps, all columns as
+    they are.  Rows repeated under one ``doc_id`` are one document: the row with
+    the least text hash stays.  Rows without a ``doc_id`` stay."""
+    found = near_duplicates(docs, k).where("doc_id is not null")
+    state = staged(found.groupBy(F.col("doc_id").alias("__id"))
+                        .agg(F.max("kept").alias("__kept"), F.count(F.lit(1)).alias("__rows")), "kept")
+    once = docs.join(state.where("not __kept or __rows > 1").select("__id"), docs["doc_id"] == F.col("__id"), "left_anti")
+    again = docs.join(state.where("__kept and __rows > 1").select("__id"), docs["doc_id"] == F.col("__id"), "left_semi")
+    again = (again.groupBy(docs["doc_id"].alias("__id")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("__row"))
+                  .select("__row.*"))
+    return once.unionByName(again)

@@ -82,3 +82,22 @@ def test_chain_of_links_is_one_component(spark):
 def test_components_of_a_path(spark):
     e = spark.range(60).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     assert {(r.node, r.root) for r in components(e).collect()} == {(i, 0) for i in range(61)}
+
+
+@pytest.mark.parametrize("block", [1024, 7])
+def test_a_cloud_of_near_copies(spark, monkeypatch, block):
+    """Copies with more and more changes: links lead away from any one hub."""
+    import random
+
+    from clickfeat.llm import minhash
+    monkeypatch.setattr(minhash, "BLOCK_SETS", block)
+    r = random.Random(3)
+    base, rows = [f"w{i}" for i in range(150)], []
+    for d in range(160):
+        w = list(base)
+        for _ in range(r.choice([1, 3, 6, 8, 12, 30])):
+            w[r.randrange(150)] = r.choice(["x", "y"]) + str(r.randrange(60))
+        rows.append((d, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 4)
+    assert result(df, 4) == want and 20 < len({v[1] for v in want.values()}) < 140
