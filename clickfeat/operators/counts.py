@@ -1,19 +1,15 @@
 """Group sizes added to every row (G1-G5, G7, and the pair sizes of J3).
 
 The reference computes ~40 ``groupby(keys).size()`` tables and merges each
-back on its keys.  Done literally on Spark that is one shuffle of the wide
-log per feature.  Here all groupings are evaluated in **one** aggregation:
+back on its keys.  Here there are two forms, and neither shuffles the wide log
+once per feature:
 
-1. a narrow projection ``(row key, grouping keys)`` is unpivoted into
-   ``(row key, group name, encoded key)`` rows;
-2. ``groupBy(group, key).count()`` - partial (map-side) aggregation first, so
-   a hot key (one user or gender value holding a third of the rows)
-   collapses to one row per task before the shuffle;
-3. the number of distinct keys of every group is measured (one tiny job,
-   one row per group reaches the driver).  Groups with a proven tiny key
-   set become literal-map lookups (no join at all); the rest go through
-   one skew-aware equi-join (AQE splits hot partitions), one fold of the
-   row's sizes into a map, and one join back on the row key.
+* groupings that contain the user (33 of them) are counted by windows over one
+  exchange by user (``clickfeat.operators.ordered``, which cuts very large users);
+* all other groupings share one aggregation: the narrow key columns are
+  unpivoted and counted by (grouping, key) with map-side combine, and the sizes
+  are written once.  Each grouping is then an equi-join with its own sizes,
+  broadcast where their measured bytes allow it.
 
 Rows whose grouping key contains NULL get a NULL size (pandas drops NaN
 keys before grouping, so the merge yields NaN).
@@ -23,7 +19,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from clickfeat.session import ensure_checkpoint_dir
+from clickfeat.operators.ordered import CHUNK_ROWS, add_scopes
+from clickfeat.session import scratch_path
 
 # Output column -> grouping keys.  Names follow the reference.
 GLOBAL_COUNTS = {
@@ -91,10 +88,8 @@ USER_QUERY_COUNTS = {
 }
 
 _SEP = "\u001f"
-# A group with at most this many distinct keys (measured, not guessed) is
-# looked up in a literal map inside the projection: 256 keys x 44 groups is
-# a few hundred KB of plan at most.
-LITERAL_MAX_KEYS = 256
+# A table of sizes is broadcast up to so many measured bytes.
+BROADCAST_BYTES = 16 << 20
 
 
 def _encoded_key(keys: list[str]):
@@ -118,31 +113,6 @@ def _long(df: DataFrame, groups: dict[str, list[str]], ids: list[str]) -> DataFr
     return long.where(F.col("k").isNotNull())
 
 
-_INTEGRAL = {"tinyint", "smallint", "int", "bigint"}
-DENSE_MAX_SPAN = 4096
-
-
-def _literal_lookup(table: dict, keys: list[str], types: dict):
-    """Size of the row's key from a small measured table, without a join.
-
-    A single integral key with a dense range is an O(1) array index;
-    anything else a literal map (linear in its <= LITERAL_MAX_KEYS entries).
-    """
-    if not table:
-        return F.lit(None).cast("bigint")
-    if len(keys) == 1 and types.get(keys[0]) in _INTEGRAL:
-        vals = {int(k): n for k, n in table.items()}
-        lo, hi = min(vals), max(vals)
-        if hi - lo < DENSE_MAX_SPAN:
-            arr = F.array(*[F.lit(vals.get(v)).cast("bigint") for v in range(lo, hi + 1)])
-            idx = F.col(keys[0]).cast("bigint") - F.lit(lo) + 1
-            inside = (idx >= 1) & (idx <= hi - lo + 1)
-            return F.when(inside, F.try_element_at(arr, idx.cast("int")))
-    m = F.map_from_arrays(F.array(*[F.lit(k) for k in table]),
-                          F.array(*[F.lit(n).cast("bigint") for n in table.values()]))
-    return F.element_at(m, _encoded_key(keys))
-
-
 def group_size_table(df: DataFrame, groups: dict[str, list[str]], label: str | None = None) -> DataFrame:
     """``(g, k, n[, t])``: size (and, with ``label``, number of positive rows -
     NULL when there is none) of every key of every grouping, one aggregation."""
@@ -154,110 +124,60 @@ def group_size_table(df: DataFrame, groups: dict[str, list[str]], label: str | N
 
 
 def materialized_sizes(df: DataFrame, groups: dict[str, list[str]], label: str | None = None) -> DataFrame:
-    """``group_size_table`` checkpointed to the shared folder (reused by the
-    key-count probe, the joins and skew measurements; lineage is cut)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return group_size_table(df, groups, label).checkpoint(eager=True)
-
-
-def largest_sizes(sizes: DataFrame, groups: dict[str, list[str]]) -> dict[str, int]:
-    """Largest group of every grouping, from a size table (one row per grouping)."""
-    names = list(groups)
-    return {names[r["g"]]: int(r["m"]) for r in sizes.groupBy("g").agg(F.max("n").alias("m")).collect()}
+    """``group_size_table`` written once to the shared folder."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "sizes")
+    t = group_size_table(df, groups, label)
+    t.write.parquet(path)
+    return spark.read.schema(t.schema).parquet(path)
+
+
+def _join_sizes(df: DataFrame, groups: dict[str, list[str]], pop: DataFrame, label, trades: dict) -> DataFrame:
+    sizes = materialized_sizes(pop, groups, label if trades else None)
+    width = F.octet_length("k") + F.lit(24)
+    nbytes = {r["g"]: r["b"] for r in sizes.groupBy("g").agg(F.sum(width).alias("b")).collect()}  # a row per grouping
+    out, cols = df, []
+    for i, (g, keys) in enumerate(groups.items()):
+        t = sizes.where(F.col("g") == i).select(F.col("k").alias(f"__k{i}"), F.col("n").alias(f"__n{i}"),
+                                                *([F.col("t").alias(f"__t{i}")] if trades else []))
+        if nbytes.get(i, 0) <= BROADCAST_BYTES:
+            t = F.broadcast(t)
+        out = out.join(t, _encoded_key(keys) == F.col(f"__k{i}"), "left")
+        cols.append(F.col(f"__n{i}").cast("bigint").alias(g))
+    more = [F.col(f"__t{i}").cast("bigint").alias(trades[g]) for i, g in enumerate(groups) if g in trades]
+    return out.select(*df.columns, *cols, *more)
+
+
+def user_specs(groups: dict[str, list[str]], anchor: str = "user_id") -> dict:
+    """Specs (see ``ordered.add_scopes``) of the anchor's groupings with other keys."""
+    return {f"__size_{g}": (keys, ("n",)) for g, keys in groups.items() if anchor in keys and len(keys) > 1}
+
+
+def size_column(g: str, keys: list[str]):
+    """The size out of the scope columns; NULL where a key is NULL."""
+    there = F.lit(True)
+    for k in keys:
+        there = there & F.col(k).isNotNull()
+    return F.when(there, F.col(f"__size_{g}__n")).alias(g)
 
 
 def add_group_sizes(df: DataFrame, groups: dict[str, list[str]], key: str = "instance_id",
-                    population: DataFrame | None = None,
-                    literal_max_keys: int = LITERAL_MAX_KEYS, sizes: DataFrame | None = None,
-                    size_groups: dict[str, list[str]] | None = None, label: str | None = None,
-                    trades: dict[str, str] | None = None) -> DataFrame:
+                    population: DataFrame | None = None, label: str | None = None,
+                    trades: dict[str, str] | None = None, ts: str = "context_timestamp",
+                    max_group_rows: int | None = CHUNK_ROWS) -> DataFrame:
     """Add one bigint column per grouping: the size of the row's group.
 
     ``population`` (default: ``df`` itself) is the frame the sizes are counted
-    on - e.g. train ∪ test as in the reference, or train only.  ``key`` must
-    be unique per row of ``df``.
-
-    Plan: one unpivot aggregation gives every group's sizes (checkpointed:
-    reused twice, lineage cut).  Groups with at most ``literal_max_keys``
-    keys (levels, genders, pages …; the count is measured) become literal
-    maps looked up inside the projection - no join, no exchange.  All other
-    groups share one path: unpivot the narrow ``(key, group keys)`` frame,
-    one equi-join with the sizes (AQE splits skewed partitions), one
-    ``groupBy(key)`` that folds the <= #groups sizes of a row into a map, and
-    one join back on the row key.
-
-    With ``label`` and ``trades`` (grouping -> output name) the number of
-    positive rows of the row's group is added too, from the same aggregation.
+    on - e.g. train only.  With ``label`` and ``trades`` (grouping -> output
+    name) the number of positive rows of the row's group is added too (NULL for
+    none), from the same aggregation.
     """
     if not groups:
         return df
-    pop = df if population is None else population
-    trades = trades or {}
-    # Materialised once in the shared checkpoint folder: reused by the size
-    # probe and the joins, and lineage is cut (survives executor loss).
-    if sizes is None:
-        sizes = materialized_sizes(pop, groups, label if trades else None)
-        size_groups = groups
-    # ``sizes`` may cover more groupings (``size_groups``) than are added here
-    names = list(size_groups or groups)
-    n_keys = {names[r["g"]]: r["n_keys"] for r in
-              sizes.where(F.col("g").isin([names.index(g) for g in groups]))
-                   .groupBy("g").agg(F.count(F.lit(1)).alias("n_keys")).collect()}
-    tiny = [g for g in groups if n_keys.get(g, 0) <= literal_max_keys]
-    large = [g for g in groups if g not in tiny]
-    gid = {g: i for i, g in enumerate(names)}
-
-    lookups = {}
-    if tiny:
-        # bounded: at most literal_max_keys rows per tiny group reach the driver
-        rows = sizes.where(F.col("g").isin([gid[g] for g in tiny])).collect()
-        per = {g: {} for g in tiny}
-        per_t = {g: {} for g in tiny}
-        for r in rows:
-            per[names[r["g"]]][r["k"]] = r["n"]
-            if trades:
-                per_t[names[r["g"]]][r["k"]] = r["t"]
-        types = dict(df.dtypes)
-        for g in tiny:
-            lookups[g] = _literal_lookup(per[g], groups[g], types)
-            if g in trades:
-                lookups[trades[g]] = _literal_lookup(per_t[g], groups[g], types)
-    out = df
-    if large:
-        sub = {g: groups[g] for g in large}
-        # positions in ``sub`` differ from those in ``groups``: re-map on the join side
-        remap = F.create_map(*[x for j, g in enumerate(large) for x in (F.lit(gid[g]), F.lit(j))])
-        big = sizes.where(F.col("g").isin([gid[g] for g in large])).select(
-            F.element_at(remap, F.col("g")).alias("g"), "k", "n", *(["t"] if trades else []))
-        hit = _long(df, sub, [key]).join(big, ["g", "k"], "inner")
-        # fold a row's sizes back into columns: one code-generated aggregate
-        aggs = [F.max(F.when(F.col("g") == j, F.col("n"))).alias(f"__n{j}") for j in range(len(large))]
-        aggs += [F.max(F.when(F.col("g") == j, F.col("t"))).alias(f"__t{j}")
-                 for j, g in enumerate(large) if g in trades]
-        folded = hit.groupBy(key).agg(*aggs)
-        out = out.join(folded, key, "left")
-        for j, g in enumerate(large):
-            lookups[g] = F.col(f"__n{j}")
-            if g in trades:
-                lookups[trades[g]] = F.col(f"__t{j}")
-    extra = [trades[g] for g in groups if g in trades]
-    return out.select(*df.columns, *[lookups[g].cast("bigint").alias(g) for g in groups],
-                      *[lookups[t].cast("bigint").alias(t) for t in extra])
-
-
-def add_group_sizes_by_join(df: DataFrame, groups: dict[str, list[str]],
-                            population: DataFrame | None = None) -> DataFrame:
-    """Reference-shaped alternative: one ``groupBy`` + left join per grouping.
-
-    Needs no unique row key; costs one exchange of ``df`` per grouping unless
-    AQE turns the joins into broadcasts.
-    """
-    pop = df if population is None else population
-    out = df
-    for g, ks in groups.items():
-        t = pop.where(F.coalesce(*[F.col(k).isNotNull() for k in ks])).groupBy(*ks).agg(
-            F.count(F.lit(1)).alias(g))
-        for k in ks:
-            t = t.where(F.col(k).isNotNull())
-        out = out.join(t, ks, "left")
-    return out.select(*df.columns, *[F.col(g).cast("bigint").alias(g) for g in groups])
+    own = user_specs(groups) if population is None and not trades else {}
+    rest = {g: k for g, k in groups.items() if f"__size_{g}" not in own}
+    out = _join_sizes(df, rest, df if population is None else population, label, trades or {}) if rest else df
+    if own:
+        order = ts if ts in df.columns else key
+        wide = add_scopes(out, own, order, key, chunk_rows=max_group_rows)
+        out = wide.select(*out.columns, *[size_column(g, groups[g]) for g in groups if f"__size_{g}" in own])
+    return out.select(*df.columns, *groups, *[t for g, t in (trades or {}).items() if g in groups])

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from clickfeat.session import ensure_checkpoint_dir
 
-# Code tables with at most this many distinct values are broadcast to the
-# join (the count is measured while numbering, so the bound is proven).
-BROADCAST_MAX_CODES = 1_000_000
+# A code table is broadcast up to so many measured bytes.
+BROADCAST_BYTES = 16 << 20
 _POS_BITS = 33  # monotonically_increasing_id: partition index << 33 | row position
 
 
@@ -16,33 +15,27 @@ def consecutive_index(df: DataFrame, order: list, name: str = "idx") -> DataFram
     """Number the rows 1..n in ``order`` without a single-partition window.
 
     ``orderBy`` range-partitions and sorts in parallel; within a partition
-    ``monotonically_increasing_id`` is ``pid << 33 | position``; the row
-    count of every partition (one small row per partition, bounded by the
-    partition count) gives the offsets.  The sorted frame is checkpointed to
+    ``monotonically_increasing_id`` is ``pid << 33 | position``; the rows
+    before every partition are joined on the partition number.  The sorted frame is checkpointed to
     the shared folder first so both passes see the same partitioning.
     """
     ensure_checkpoint_dir(df.sparkSession)
     s = df.orderBy(*order).select("*", F.monotonically_increasing_id().alias("__mid")).checkpoint(eager=True)
     pid = F.shiftright(F.col("__mid"), _POS_BITS)
-    sizes = s.groupBy(pid.alias("__pid")).agg(F.count(F.lit(1)).alias("__n")).collect()
-    offset, acc = {}, 0
-    for r in sorted(sizes, key=lambda r: r["__pid"]):
-        offset[r["__pid"]] = acc
-        acc += r["__n"]
-    if not offset:
-        return s.drop("__mid").withColumn(name, F.lit(None).cast("bigint"))
-    off = F.lit(0).cast("bigint")
-    m = F.create_map(*[x for p, o in offset.items() for x in (F.lit(p), F.lit(o).cast("bigint"))])
-    off = F.element_at(m, pid)
+    # rows before each partition: one row a partition
+    sizes = s.groupBy(pid.alias("__pid")).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("__pid", F.coalesce(before, F.lit(0)).alias("__before"))
     pos = F.col("__mid").bitwiseAND(F.lit((1 << _POS_BITS) - 1))
-    return s.select(*[c for c in s.columns if c != "__mid"], (off + pos + 1).cast("bigint").alias(name))
+    return (s.withColumn("__pid", pid).join(sizes, "__pid")
+             .select(*[c for c in s.columns if c != "__mid"], (F.col("__before") + pos + 1).cast("bigint").alias(name)))
 
 
-def code_tables(pop: DataFrame, cols: list[str], order: list[str]) -> tuple[DataFrame, dict, dict]:
+def code_tables(pop: DataFrame, cols: list[str], order: list[str]) -> tuple[DataFrame, dict]:
     """First-appearance codes of the distinct values of every column, in one pass.
 
     ``(g, v, code)`` rows (``g`` = column position, ``v`` = value as string,
-    NULL kept as a value) plus per-column distinct counts.  One unpivot ->
+    NULL kept as a value) plus the bytes of every column's table.  One unpivot ->
     one ``groupBy(g, v).agg(min(order))`` (partial aggregation: a value
     holding a third of the rows is one row per task) -> one distributed
     numbering over ``(g, first)``; a column's codes are its numbers minus the
@@ -53,17 +46,13 @@ def code_tables(pop: DataFrame, cols: list[str], order: list[str]) -> tuple[Data
     long = pop.select(first, F.expr(f"stack({len(cols)}, {args}) AS (g, v)"))
     dv = long.groupBy("g", "v").agg(F.min("__o").alias("__first"))
     num = consecutive_index(dv, ["g", "__first"], "__idx")
-    stats = num.groupBy("g").agg(F.min("__idx").alias("start"), F.count(F.lit(1)).alias("n")).collect()
-    start = {r["g"]: r["start"] for r in stats}
-    counts = {cols[r["g"]]: r["n"] for r in stats}
-    m = F.create_map(*[x for g, st in start.items() for x in (F.lit(g), F.lit(st))])
+    width = F.coalesce(F.octet_length("v"), F.lit(0)) + F.lit(24)
+    stats = num.groupBy("g").agg(F.min("__idx").alias("start"), F.sum(width).alias("b")).collect()
+    start, nbytes = {r["g"]: r["start"] for r in stats}, {r["g"]: r["b"] for r in stats}
+    m = (F.create_map(*[x for g, st in start.items() for x in (F.lit(g), F.lit(st))]) if start
+         else F.create_map().cast("map<int,bigint>"))
     codes = num.select("g", "v", (F.col("__idx") - F.element_at(m, F.col("g")) + 1).cast("bigint").alias("code"))
-    return codes, counts, {c: i for i, c in enumerate(cols)}
-
-
-# A column with at most this many distinct values is looked up in a literal
-# map inside the projection (count measured while numbering).
-LITERAL_MAX_CODES = 256
+    return codes, nbytes
 
 
 def first_seen_codes(df: DataFrame, cols: list[str], order: list[str], suffix: str = "",
@@ -72,45 +61,25 @@ def first_seen_codes(df: DataFrame, cols: list[str], order: list[str], suffix: s
     appearance in ``order``; NULL is a value and gets its own code.
 
     All columns share one distinct-value pass and one numbering
-    (``code_tables``).  Small domains become literal-map lookups; larger ones
-    are joined back null-safely, broadcast only when the measured count is
-    below ``BROADCAST_MAX_CODES``.
+    (``code_tables``); each is joined back null-safely, broadcast where the
+    measured bytes of its codes allow it.
     """
     if not cols:
         return df
     pop = df if population is None else population
     ensure_checkpoint_dir(df.sparkSession)
-    codes, counts, gid = code_tables(pop, cols, order)
+    codes, nbytes = code_tables(pop, cols, order)
     codes = codes.checkpoint(eager=True)
-    tiny = [c for c in cols if counts.get(c, 0) <= LITERAL_MAX_CODES]
-    out_cols = {}
-    if tiny:
-        rows = codes.where(F.col("g").isin([gid[c] for c in tiny])).collect()
-        per = {c: {} for c in tiny}
-        for r in rows:
-            per[cols[r["g"]]][r["v"]] = r["code"]
-        for c in tiny:
-            d = per[c]
-            null_code = d.pop(None, None)
-            v = F.col(c).cast("string")
-            look = (F.element_at(F.map_from_arrays(F.array(*[F.lit(k) for k in d]),
-                                                   F.array(*[F.lit(x) for x in d.values()])), v)
-                    if d else F.lit(None).cast("bigint"))
-            out_cols[c] = F.when(v.isNull(), F.lit(null_code).cast("bigint")).otherwise(look)
-    out = df
-    for c in cols:
-        if c in out_cols:
-            continue
-        t = codes.where(F.col("g") == gid[c]).select(F.col("v").alias(f"__v_{c}"), F.col("code").alias(f"__c_{c}"))
-        if counts.get(c, 0) <= BROADCAST_MAX_CODES:
+    out, code = df, {}
+    for i, c in enumerate(cols):
+        t = codes.where(F.col("g") == i).select(F.col("v").alias(f"__v{i}"), F.col("code").alias(f"__c{i}"))
+        if nbytes.get(i, 0) <= BROADCAST_BYTES:
             t = F.broadcast(t)
-        out = out.join(t, F.col(c).cast("string").eqNullSafe(F.col(f"__v_{c}")), "left").drop(f"__v_{c}")
-        out_cols[c] = F.col(f"__c_{c}")
-    keep = [c for c in df.columns if suffix or c not in cols]
-    res = out.select(*[F.col(c) for c in keep], *[out_cols[c].alias(f"{c}{suffix}") for c in cols])
-    if not suffix:
-        res = res.select(*[c for c in df.columns])
-    return res
+        out = out.join(t, F.col(c).cast("string").eqNullSafe(F.col(f"__v{i}")), "left")
+        code[c] = F.col(f"__c{i}")
+    if suffix:
+        return out.select(*df.columns, *[code[c].alias(f"{c}{suffix}") for c in cols])
+    return out.select(*[code[c].alias(c) if c in code else F.col(c) for c in df.columns])
 
 
 def _minmax(df: DataFrame, cols: list[str]):

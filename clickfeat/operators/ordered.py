@@ -1,209 +1,145 @@
-"""Skew-safe ordered features for one scope: ordinal, previous/next time,
-group size / first / last time (W1, W2, W4, W5).
-
-A window ``partitionBy(user)`` puts every row of a user into one task; if
-one user holds a third of the log, so does one task.  ``ordered_features``
-measures the largest group first (one partial aggregate, one number to the
-driver) and
-
-* keeps native windows when the largest group is small
-  (``max_group_rows``): one exchange, whole-stage codegen;
-* otherwise range-partitions the narrow ``(row key, scope keys, ts)`` frame
-  on ``(scope keys, ts, row key)``: the sampled range bounds cut a hot group
-  into many partitions.  Each partition is sorted and processed by an
-  Arrow-batched ``mapInPandas`` (local ordinal, local previous/next time).
-  The first/last row of every partition (two rows per partition, bounded by
-  the partition count) go to the driver, which turns them into per-partition
-  offsets and boundary times; those are applied as literals.  Group
-  size/min/max come from an ordinary partial aggregate.
-
-Both paths return ``row key, {rn}, {prev}, {next}, {n}, {first}, {last}``
-and agree exactly (tested).
+"""Per-group order features and sizes of many scopes over one exchange
+(W1, W2, W4, W5, and the user groupings of G2-G7).
+
+Every scope contains an anchor key (the user), so a frame dealt out by the
+anchor serves all of them.  An anchor with more than ``chunk_rows`` rows (the
+NULL anchor included) is cut into chunks: its rows are range-partitioned on
+(anchor, time, row key) and the partition number, written to the shared folder,
+is the chunk.  All windows run inside (anchor, chunk).  A small summary - rows,
+first and last time of each scope group in each chunk - then carries counts
+and neighbouring times from chunk to chunk by running aggregates, and is joined
+back on (scope keys, chunk).  An anchor that is not cut has one chunk, so its
+rows need no summary; the formula is the same.
+
+NULL keys group together, NULL times come first; no Python touches a row.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark import TaskContext
+import uuid
+
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from clickfeat.session import ensure_checkpoint_dir
-
-MAX_GROUP_ROWS = 2_000_000
-# Rows per range partition on the split path: one partition is handled as
-# one pandas frame of ~7 narrow columns (~100 MB at this size).
-ROWS_PER_PARTITION = 2_000_000
-
-
-def _window_path(df, keys, ts, key):
-    w = Window.partitionBy(*keys).orderBy(ts, key)
-    g = Window.partitionBy(*keys)
-    t = F.col(ts)
-    return df.select(key, t.alias("value"), F.row_number().over(w).cast("bigint").alias("rn"),
-                     F.lag(t).over(w).alias("prev_ts"), F.lead(t).over(w).alias("next_ts"),
-                     F.count(F.lit(1)).over(g).cast("bigint").alias("n"),
-                     F.min(t).over(g).alias("first_ts"), F.max(t).over(g).alias("last_ts"))
-
-
-def _local_pass(keys, ts, key):
-    def run(batches):
-        pdf = pd.concat(list(batches), ignore_index=True)  # one range partition (bounded), not one group
-        pid = TaskContext.get().partitionId()
-        m = len(pdf)
-        if m == 0:
-            return
-        same = np.zeros(m, dtype=bool)
-        if m > 1:
-            s = np.ones(m - 1, dtype=bool)
-            for k in keys:
-                v = pdf[k]
-                cur, prev = v.iloc[1:].to_numpy(), v.iloc[:-1].to_numpy()
-                both_null = v.iloc[1:].isna().to_numpy() & v.iloc[:-1].isna().to_numpy()
-                s &= (cur == prev) | both_null
-            same[1:] = s
-        start = ~same
-        run_id = np.cumsum(start) - 1
-        first_pos = np.flatnonzero(start)
-        pos = np.arange(m)
-        local_rn = pos - first_pos[run_id] + 1
-        t = pdf[ts].to_numpy(dtype="int64")
-        prev_ts = np.where(same, np.roll(t, 1), np.iinfo(np.int64).min)
-        nxt_same = np.zeros(m, dtype=bool)
-        nxt_same[:-1] = same[1:]
-        next_ts = np.where(nxt_same, np.roll(t, -1), np.iinfo(np.int64).min)
-        out = pd.DataFrame({key: pdf[key].to_numpy(), "pid": np.full(m, pid, dtype="int32"),
-                            "pos": pos.astype("int64"), "local_rn": local_rn.astype("int64"),
-                            "prev_ts": pd.array(prev_ts, dtype="Int64"), "next_ts": pd.array(next_ts, dtype="Int64"),
-                            "is_first_run": (run_id == 0), "is_last_run": (run_id == run_id[-1]),
-                            "ts": t})
-        out.loc[out["prev_ts"] == np.iinfo(np.int64).min, "prev_ts"] = pd.NA
-        out.loc[out["next_ts"] == np.iinfo(np.int64).min, "next_ts"] = pd.NA
-        for k in keys:
-            out[f"__k_{k}"] = pdf[k].to_numpy()
-        yield out
-    return run
-
-
-def _split_path(df, keys, ts, key, partitions):
-    narrow = df.select(key, *keys, F.col(ts).cast("bigint").alias(ts))
-    ranged = narrow.repartitionByRange(partitions, *keys, ts, key).sortWithinPartitions(*keys, ts, key)
-    kt = {f.name: f.dataType for f in narrow.schema.fields}
-    schema = T.StructType(
-        [T.StructField(key, kt[key]), T.StructField("pid", T.IntegerType()), T.StructField("pos", T.LongType()),
-         T.StructField("local_rn", T.LongType()), T.StructField("prev_ts", T.LongType()),
-         T.StructField("next_ts", T.LongType()), T.StructField("is_first_run", T.BooleanType()),
-         T.StructField("is_last_run", T.BooleanType()), T.StructField("ts", T.LongType())]
-        + [T.StructField(f"__k_{k}", kt[k]) for k in keys])
-    ensure_checkpoint_dir(df.sparkSession)
-    local = ranged.mapInPandas(_local_pass(keys, ts, key), schema).checkpoint(eager=True)
-    kcols = [f"__k_{k}" for k in keys]
-    # first and last row of every partition: 2 x #partitions rows
-    firsts = local.where("pos = 0").select("pid", "ts", *kcols).collect()
-    lasts = (local.where("is_last_run").groupBy("pid")
-                  .agg(F.max_by(F.struct("ts", "local_rn", *kcols), "pos").alias("r")).collect())
-    first = {r["pid"]: r for r in firsts}
-    last = {r["pid"]: r["r"] for r in lasts}
-    offset, prev_fix, next_fix = {}, {}, {}
-    pids = sorted(first)
-    carry = None  # (group keys, ts, global ordinal) of the last row so far
-    for i, p in enumerate(pids):
-        fk = tuple(first[p][c] for c in kcols)
-        if carry is not None and carry[0] == fk:
-            offset[p] = carry[2]
-            prev_fix[p] = carry[1]
-        lr = last[p]
-        lk = tuple(lr[c] for c in kcols)
-        glob = lr["local_rn"] + (offset.get(p, 0) if lk == fk else 0)
-        carry = (lk, lr["ts"], glob)
-        if i + 1 < len(pids):
-            nf = first[pids[i + 1]]
-            if tuple(nf[c] for c in kcols) == lk:
-                next_fix[p] = nf["ts"]
-
-    def lit_map(d, typ):
-        if not d:
-            return F.lit(None).cast(typ)
-        return F.element_at(F.create_map(*[x for k, v in d.items() for x in (F.lit(k), F.lit(v))]), F.col("pid"))
-
-    off = F.coalesce(lit_map(offset, "bigint"), F.lit(0))
-    rn = F.col("local_rn") + F.when(F.col("is_first_run"), off).otherwise(F.lit(0))
-    prev = F.coalesce(F.col("prev_ts"), F.when(F.col("pos") == 0, lit_map(prev_fix, "bigint")))
-    nxt = F.coalesce(F.col("next_ts"), F.when(F.col("is_last_run"), lit_map(next_fix, "bigint")))
-    fixed = local.select(key, F.col("ts").alias("value"), *[F.col(f"__k_{k}").alias(k) for k in keys],
-                         rn.cast("bigint").alias("rn"), prev.alias("prev_ts"), nxt.alias("next_ts"))
-    stats = narrow.groupBy(*keys).agg(F.count(F.lit(1)).cast("bigint").alias("n"),
-                                      F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
-    cond = [fixed[k].eqNullSafe(stats[k]) for k in keys]
-    j = fixed.join(stats, cond, "left")
-    return j.select(fixed[key], "value", "rn", "prev_ts", "next_ts", "n", "first_ts", "last_ts")
-
-
-def largest_group(df: DataFrame, keys: list[str]) -> tuple[int, int]:
-    """(rows of the largest group, total rows): one partial aggregate."""
-    r = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c"), F.sum("c")).first()
-    return int(r[0] or 0), int(r[1] or 0)
+from clickfeat.session import scratch_path
+
+# Rows of one anchor that one task sorts.
+CHUNK_ROWS = 2_000_000
+
+ORDER = ("rn", "prev", "next", "n", "first", "last")
+
+
+def _same(a: DataFrame, b: DataFrame, keys) -> list:
+    return [a[k].eqNullSafe(b[k]) for k in keys]
+
+
+def split_anchors(df: DataFrame, anchor: str, ts: str, key: str, chunk_rows: int):
+    """``(rows of ordinary anchors, rows of cut anchors with their __chunk or None)``."""
+    sizes = df.groupBy(anchor).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > chunk_rows)
+    total = sizes.agg(F.sum("__rows")).first()[0]
+    if not total:
+        return df, None
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "cut-anchors")
+    sizes.select(anchor).write.parquet(path)
+    cut = spark.read.schema(sizes.select(anchor).schema).parquet(path)
+    rows, path = df.join(cut, _same(df, cut, [anchor]), "left_semi"), scratch_path(spark, "chunks")
+    (rows.repartitionByRange(int(total // max(1, chunk_rows)) + 1, anchor, ts, key)
+         .withColumn("__chunk", F.spark_partition_id()).write.parquet(path))
+    chunked = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("__chunk", T.IntegerType())])).parquet(path)
+    return df.join(cut, _same(df, cut, [anchor]), "left_anti"), chunked
+
+
+def _local(df: DataFrame, specs, ts, key, extra):
+    cols = []
+    for name, (keys, wanted) in specs.items():
+        group = Window.partitionBy(*keys, *extra)
+        w, t = group.orderBy(ts, key), F.col(ts)
+        make = {"rn": lambda: F.row_number().over(w).cast("bigint"), "prev": lambda: F.lag(t).over(w),
+                "next": lambda: F.lead(t).over(w), "n": lambda: F.count(F.lit(1)).over(group).cast("bigint"),
+                "first": lambda: F.min(t).over(group), "last": lambda: F.max(t).over(group)}
+        cols += [make[c]().alias(f"{name}__{c}") for c in wanted]
+    return df.select("*", *cols)
+
+
+def _carried(chunked: DataFrame, keys, ts, key):
+    """Of every scope group and chunk: rows and last time before it, first time
+    after it, and the whole group's size, first and last time."""
+    at = F.struct(ts, key)
+    s = chunked.groupBy(*keys, "__chunk").agg(
+        F.count(F.lit(1)).alias("c"), F.min(ts).alias("lo"), F.max(ts).alias("hi"),
+        F.min_by(ts, at).alias("head"), F.max_by(ts, at).alias("tail"))
+    group = Window.partitionBy(*keys)
+    w = group.orderBy("__chunk")
+    before = F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return s.select(*keys, "__chunk", F.coalesce(before, F.lit(0)).alias("__before"), F.col("c").alias("__here"),
+                    F.lag("tail").over(w).alias("__prev"), F.lead("head").over(w).alias("__next"),
+                    F.sum("c").over(group).cast("bigint").alias("__n"), F.min("lo").over(group).alias("__first"),
+                    F.max("hi").over(group).alias("__last"))
+
+
+def add_scopes(df: DataFrame, specs: dict[str, tuple[list[str], tuple]], ts: str = "context_timestamp",
+               key: str = "instance_id", anchor: str = "user_id", chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
+    """``df`` and a column ``{name}__{what}`` for each spec ``name -> (scope keys,
+    what)``; ``what`` out of ``ORDER``: ordinal, previous and next time, size, first
+    and last time of the row's group.  Every scope must contain ``anchor``;
+    ``chunk_rows=None`` cuts no anchor."""
+    if not specs:
+        return df
+    if any(anchor not in keys for keys, _ in specs.values()):
+        raise ValueError(f"every scope must contain {anchor}")
+    plain, chunked = (df, None) if chunk_rows is None else split_anchors(df, anchor, ts, key, chunk_rows)
+    out = _local(plain.repartition(F.col(anchor)), specs, ts, key, [])
+    if chunked is None:
+        return out
+    inner = {n: (k, tuple(dict.fromkeys([*w, *(["rn", "n"] if {"rn", "prev", "next"} & set(w) else [])]))) for n, (k, w) in specs.items()}
+    hot = _local(chunked.repartition(F.col(anchor), F.col("__chunk")), inner, ts, key, ["__chunk"])
+    for name, (keys, wanted) in specs.items():
+        tag = uuid.uuid4().hex[:6]
+        s = _carried(chunked, keys, ts, key)
+        s = s.select(*[F.col(c).alias(f"{tag}{c}") for c in s.columns])
+        on = [hot[k].eqNullSafe(s[tag + k]) for k in keys] + [hot["__chunk"] == s[f"{tag}__chunk"]]
+        rn = F.col(f"{name}__rn") if "rn" in inner[name][1] else None
+        new = {"rn": lambda: rn + F.col(f"{tag}__before"),
+               "prev": lambda: F.when(rn == 1, F.col(f"{tag}__prev")).otherwise(F.col(f"{name}__prev")),
+               "next": lambda: F.when(rn == F.col(f"{tag}__here"), F.col(f"{tag}__next")).otherwise(F.col(f"{name}__next")),
+               "n": lambda: F.col(f"{tag}__n"), "first": lambda: F.col(f"{tag}__first"), "last": lambda: F.col(f"{tag}__last")}
+        kept = [c for c in hot.columns if not c.startswith(f"{name}__")]
+        hot = hot.join(s, on, "left").select(*[hot[c] for c in kept], *[new[c]().alias(f"{name}__{c}") for c in wanted])
+    return out.unionByName(hot.select(*out.columns))
 
 
 def ordered_features(df: DataFrame, keys: list[str], ts: str = "context_timestamp", key: str = "instance_id",
-                     max_group_rows: int | None = MAX_GROUP_ROWS, partitions: int | None = None) -> DataFrame:
-    """``key, value, rn, prev_ts, next_ts, n, first_ts, last_ts`` for scope ``keys``
-    (``value`` is the row's ordering value ``ts``).
-
-    ``max_group_rows=None`` forces windows; ``0`` forces the split path.  The
-    split path uses ``partitions`` range partitions, by default enough for
-    ``ROWS_PER_PARTITION`` rows each (and at least the shuffle partitions).
-    """
-    if max_group_rows is None:
-        return _window_path(df, keys, ts, key)
-    biggest, total = largest_group(df, keys)
-    if biggest <= max_group_rows:
-        return _window_path(df, keys, ts, key)
-    n = partitions or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),
-                          -(-total // ROWS_PER_PARTITION))
-    return _split_path(df, keys, ts, key, n)
-
-
-def add_gaps_ordinals(df: DataFrame, keys: list[str], prefix: str = "", ordinal: str | None = None,
-                      ts: str = "context_timestamp", key: str = "instance_id", **kw) -> DataFrame:
-    """W1/W2 ``{prefix}diff_1..4`` (and W4/W5 when ``ordinal`` is named) via
-    ``ordered_features``, joined back on the row key."""
-    o = ordered_features(df, keys, ts, key, **kw)
-    t = F.col(ts)
-    cols = [(F.abs(t - F.col("__o.prev_ts")) / 60.0).alias(f"{prefix}diff_1"),
-            (F.abs(t - F.col("__o.next_ts")) / 60.0).alias(f"{prefix}diff_2"),
-            ((F.col("__o.last_ts") - t) / 60.0).alias(f"{prefix}diff_3"),
-            ((t - F.col("__o.first_ts")) / 60.0).alias(f"{prefix}diff_4")]
-    if ordinal:
-        cols.append(F.col("__o.rn").alias(ordinal))
-        if ordinal.endswith("_day"):
-            base = ordinal[:-4]
-            cols.append((F.col("__o.rn") == 1).cast("int").alias(f"{base}_first_day"))
-            cols.append((F.col("__o.rn") == F.col("__o.n")).cast("int").alias(f"{base}_last_day"))
-    return df.join(o.alias("__o"), key, "left").select(*[df[c] for c in df.columns], *cols)
+                     max_group_rows: int | None = CHUNK_ROWS, anchor: str | None = None) -> DataFrame:
+    """``key, value, rn, prev_ts, next_ts, n, first_ts, last_ts`` of one scope
+    (``value`` is the row's ordering value ``ts``)."""
+    o = add_scopes(df, {"o": (list(keys), ORDER)}, ts, key, anchor or keys[0], max_group_rows)
+    names = ("rn", "prev_ts", "next_ts", "n", "first_ts", "last_ts")
+    return o.select(key, F.col(ts).alias("value"), *[F.col(f"o__{a}").alias(b) for a, b in zip(ORDER, names)])
 
 
 def recent_counts(df: DataFrame, keys: list[str], seconds: int, ts: str = "context_timestamp",
                   key: str = "instance_id", name: str = "recent", **kw) -> DataFrame:
     """Rows of the row's group with time in ``[t - seconds, t]`` (a RANGE frame,
-    ties included) without a window over the group: ``key, name``.
-
-    Merge the rows with query points in one sort per bound and read ranks:
-    with values ``2t+1`` for rows and ``2(t-w)`` for queries, a query's rank
-    minus its rank among queries (its ordinal) counts rows with time
-    ``< t-w``; with ``2t`` for rows and ``2t+1`` for queries it counts rows
-    with time ``<= t``.  The ordinals cancel, so the count is the difference
-    of the two merged ranks.  Both merges use ``ordered_features`` (skew-safe
-    split path for hot groups, windows otherwise).
+    ties included; a NULL time counts its group's NULL times) without a window
+    over the group: ``key, name``.
+
+    Rows are merged with query points in one order per bound and ranks are
+    read: with values ``2t+1`` for rows and ``2(t-w)`` for queries, a query's rank
+    minus its rank among queries (its ordinal) counts rows with time ``< t-w``;
+    with ``2t`` for rows and ``2t+1`` for queries it counts rows with time
+    ``<= t``.  The ordinals cancel, so the count is the difference of the two
+    merged ranks.
     """
     base = df.select(key, *keys, F.col(ts).cast("bigint").alias("__t"))
-    t = F.col("__t")
+    t, timed = F.col("__t"), base.where("__t is not null")
 
     def merged(data_v, query_v, query_parity):
-        u = base.select(key, *keys, data_v.alias("__v")).unionByName(base.select(key, *keys, query_v.alias("__v")))
+        u = timed.select(key, *keys, data_v.alias("__v")).unionByName(timed.select(key, *keys, query_v.alias("__v")))
         o = ordered_features(u, keys, "__v", key, **kw)
         return o.where(F.pmod(F.col("value"), F.lit(2)) == query_parity).select(key, "rn")
 
     lower = merged(t * 2 + 1, (t - seconds) * 2, 0).withColumnRenamed("rn", "__lo")
     upper = merged(t * 2, t * 2 + 1, 1).withColumnRenamed("rn", "__hi")
-    return lower.join(upper, key).select(key, (F.col("__hi") - F.col("__lo")).cast("bigint").alias(name))
+    found = lower.join(upper, key).select(key, (F.col("__hi") - F.col("__lo")).cast("bigint").alias(name))
+    untimed = base.where("__t is null")
+    size = untimed.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    return found.unionByName(untimed.join(size, _same(untimed, size, keys)).select(key, name))

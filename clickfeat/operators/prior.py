@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from clickfeat.operators.ordered import CHUNK_ROWS, add_scopes
+
 # name -> (pair keys, show column, flag column)
 PRIOR_PAIRS = {
     "cat": (["category_1", "user_id"], "cat_1_user_show", "cat_1_trade_no"),
@@ -23,7 +25,13 @@ PRIOR_PAIRS = {
 
 
 def prior_trade(df: DataFrame, stats: DataFrame, pair: list[str], show: str, flag: str,
-                ts: str = "context_timestamp", label: str = "is_trade") -> DataFrame:
+                ts: str = "context_timestamp", label: str = "is_trade", strict: bool = False,
+                key: str = "instance_id", max_group_rows: int | None = CHUNK_ROWS) -> DataFrame:
+    """``strict``: a row sees only the clicks and trades of ``stats`` strictly
+    before it (by time, then key), so no training row sees its own label or a
+    later one: the flag is 0 once the pair has traded before, else 1."""
+    if strict:
+        return _strict(df, stats, pair, show, flag, ts, label, key, max_group_rows)
     t = (stats.groupBy(*pair)
               .agg(F.count(F.lit(1)).alias(show),
                    F.max(F.when(F.col(label) == 1, F.col(ts))).alias("__trade_time")))
@@ -40,18 +48,22 @@ def add_prior_trades(df: DataFrame, stats: DataFrame, pairs=("cat", "shop", "ite
     return df
 
 
-def prior_trade_windowed(df: DataFrame, pair: list[str], show: str, flag: str, in_stats,
-                         ts: str = "context_timestamp", label: str = "is_trade") -> DataFrame:
-    """``prior_trade`` when the statistics rows are a subset of ``df`` given by
-    the boolean column ``in_stats`` (e.g. ``day < 24``): two conditional
-    window aggregates over the pair - no join, and on a frame already
-    hash-partitioned by a key of the pair, no exchange.  Use it only when the
-    largest pair group is known to be small (the join form is skew-safe).
-    """
-    from pyspark.sql import Window
-    w = Window.partitionBy(*pair)
-    n = F.count(F.when(in_stats, F.lit(1))).over(w)
-    tt = F.max(F.when(in_stats & (F.col(label) == 1), F.col(ts))).over(w)
-    fl = F.when(tt.isNull() | (F.col(ts) <= tt), F.lit(1)).otherwise(F.lit(0))
-    # a pair absent from the statistics has no size (NULL), as the left join gives
-    return df.select("*", F.when(n > 0, n).cast("bigint").alias(show), fl.alias(flag))
+def _strict(df, stats, pair, show, flag, ts, label, key, max_group_rows):
+    """All rows and the statistics' rows in one order per pair (a row of both
+    comes first as the row, then as the statistic): a row's ordinal less its
+    ordinal among the rows is the number of statistics before it, and the
+    earliest trade decides the flag."""
+    anchor = "user_id" if "user_id" in pair else pair[0]
+    rows = df.select(key, *pair, ts, F.lit(0).alias("__s"))
+    seen = stats.select(key, *pair, ts, F.lit(1).alias("__s"))
+    both = rows.unionByName(seen).withColumn("__at", F.struct(F.col(key), F.col("__s")))
+    every = add_scopes(both, {"__a": (pair, ("rn",))}, ts, "__at", anchor, max_group_rows).where("__s = 0")
+    own = add_scopes(rows, {"__b": (pair, ("rn",))}, ts, key, anchor, max_group_rows)
+    before = every.select(key, "__a__rn").join(own.select(key, "__b__rn"), key).select(
+        F.col(key).alias("__key"), (F.col("__a__rn") - F.col("__b__rn")).alias("__before"))
+    first = (stats.where(F.col(label) == 1).groupBy(*[F.col(p).alias(f"__{p}") for p in pair])
+                  .agg(F.min(F.struct(ts, key)).alias("__first")))
+    out = df.join(before, df[key] == before["__key"], "left").join(first, [df[p] == first[f"__{p}"] for p in pair], "left")
+    traded = F.col("__first") < F.struct(df[ts], df[key])
+    return out.select(*[df[c] for c in df.columns], F.nullif(F.col("__before"), F.lit(0)).cast("bigint").alias(show),
+                      F.when(traded, F.lit(0)).otherwise(F.lit(1)).alias(flag))

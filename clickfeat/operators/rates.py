@@ -58,25 +58,25 @@ def bayes_smoothed_rate(df: DataFrame, key: str, label: str = "is_trade") -> Dat
                     ((F.col("trades") + F.lit(a)) / (F.col("clicks") + F.lit(a + b))).alias("bayes_ctr"))
 
 
+def _named(field: str):
+    def pair(v):
+        return F.struct(F.lit(field).alias("Field"), v.cast("string").alias("Value"))
+    return pair
+
+
 def feature_value_table(df: DataFrame, scalar_fields: list[str], list_fields: list[str] | None = None,
                         label: str = "is_trade", min_total: int = 10) -> DataFrame:
     """``Field Value Neg Pos Total Ratio`` for every field value.
 
-    Scalar fields are unpivoted, list (array) fields exploded (every element
-    counts), then one ``groupBy(Field, Value)`` with map-side combine; rows
+    Scalar fields and the elements of list (array) fields are exploded in one
+    scan, then one ``groupBy(Field, Value)`` with map-side combine; rows
     with ``Total < min_total`` are dropped, ``Ratio = round(Pos/Total, 5)``.
     """
-    y = F.col(label)
-    parts = []
-    if scalar_fields:
-        s = df.select(y.alias("__y"), *[F.col(c).cast("string").alias(c) for c in scalar_fields])
-        parts.append(s.unpivot(["__y"], scalar_fields, "Field", "Value"))
+    pairs = F.array(*[_named(c)(F.col(c)) for c in scalar_fields]) if scalar_fields else None
     for c in list_fields or []:
-        e = df.select(y.alias("__y"), F.lit(c).alias("Field"), F.explode(F.col(c)).alias("Value"))
-        parts.append(e.withColumn("Value", F.col("Value").cast("string")))
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
+        own = F.coalesce(F.transform(c, _named(c)), F.array().cast("array<struct<Field:string,Value:string>>"))
+        pairs = own if pairs is None else F.concat(pairs, own)
+    long = df.select(F.col(label).alias("__y"), F.explode(pairs).alias("__f")).select("__y", "__f.Field", "__f.Value")
     g = long.groupBy("Field", "Value").agg(
         F.sum(F.when(F.col("__y") == 1, 0).otherwise(1)).cast("bigint").alias("Neg"),
         F.sum(F.when(F.col("__y") == 1, 1).otherwise(0)).cast("bigint").alias("Pos"),

@@ -4,10 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-# An explicit id list longer than this becomes a broadcast anti-join
-# instead of an IN-list literal (its size is known: it is the list).
-INLIST_MAX = 10_000
-
 
 def dedup_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per key, the first by ``order`` (ties: remaining columns).
@@ -48,12 +44,8 @@ def exclude_ids(df: DataFrame, ids, key: str = "instance_id") -> DataFrame:
     """P5: drop rows whose key is in an explicit id list (or id DataFrame)."""
     if isinstance(ids, DataFrame):
         return df.join(ids.select(F.col(ids.columns[0]).alias(key)), key, "left_anti")
-    ids = list(ids)
-    if len(ids) <= INLIST_MAX:
-        return df.where(~F.col(key).isin(ids))
-    spark = df.sparkSession
-    lst = spark.createDataFrame([(i,) for i in ids], [key])
-    return df.join(F.broadcast(lst), key, "left_anti")
+    lst = df.sparkSession.createDataFrame([(i,) for i in ids], df.select(key).schema)
+    return df.join(lst, key, "left_anti")  # Spark knows the bytes of a local list
 
 
 def anti_by_key(df: DataFrame, other: DataFrame, keys) -> DataFrame:
@@ -61,11 +53,6 @@ def anti_by_key(df: DataFrame, other: DataFrame, keys) -> DataFrame:
     return df.join(other.select(*([keys] if isinstance(keys, str) else keys)), keys, "left_anti")
 
 
-def semi_by_key(df: DataFrame, other: DataFrame, keys) -> DataFrame:
-    """Rows of ``df`` whose key occurs in ``other``."""
-    return df.join(other.select(*([keys] if isinstance(keys, str) else keys)), keys, "left_semi")
-
-
 def split_by_label_null(df: DataFrame, label: str = "is_trade") -> tuple[DataFrame, DataFrame]:
     """(labelled, unlabelled)."""
     return df.where(F.col(label).isNotNull()), df.where(F.col(label).isNull())

@@ -14,9 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-VOCAB_MAX = 100_000
-TOPK_BUCKETS = 64
-
+from clickfeat.session import scratch_path
 
 def topk_tokens(df: DataFrame, tokens_col, k: int, positives_only: bool = False,
                 label: str = "is_trade") -> DataFrame:
@@ -39,10 +37,9 @@ def vocabularies(df: DataFrame, specs: dict, label: str = "is_trade") -> dict[st
 
     ``specs``: name -> (token array column, k, positives_only).  All token
     lists are exploded with their name, counted in one ``groupBy(name,
-    token)`` (map-side combine), and the k best of every name are ranked on
-    the aggregated counts (at most #distinct tokens rows, never the log).
+    token)`` (map-side combine), written once, and every name's k best are a
+    top-k of its counts.
     """
-    from pyspark.sql import Window
     if not specs:
         return {}
     parts = []
@@ -51,27 +48,18 @@ def vocabularies(df: DataFrame, specs: dict, label: str = "is_trade") -> dict[st
         parts.append(F.struct(F.lit(name).alias("v"), arr.alias("t")))
     e = df.select(F.explode(F.array(*parts)).alias("s")).select("s.v", F.explode("s.t").alias("token"))
     c = e.groupBy("v", "token").agg(F.count(F.lit(1)).alias("cnt"))
-    ks = F.create_map(*[x for n, (_c, k, _p) in specs.items() for x in (F.lit(n), F.lit(k))])
-    kmax = F.element_at(ks, F.col("v"))
-    order = [F.col("cnt").desc(), F.col("token")]
-    # exact two-phase top-k: the k best of each of TOPK_BUCKETS hash buckets
-    # of a vocabulary contain its k best, so no task ranks all distinct
-    # tokens of one vocabulary (an open token space can be huge)
-    b = F.pmod(F.xxhash64("token"), F.lit(TOPK_BUCKETS))
-    w1 = Window.partitionBy("v", b).orderBy(*order)
-    pre = c.select("v", "token", "cnt", F.row_number().over(w1).alias("r1")).where(F.col("r1") <= kmax)
-    w2 = Window.partitionBy("v").orderBy(*order)
-    top = pre.select("v", "token", F.row_number().over(w2).alias("r")).where(F.col("r") <= kmax)
-    out = {n: [] for n in specs}
-    for r in sorted(top.collect(), key=lambda r: (r["v"], r["r"])):  # <= sum(k) rows
-        out[r["v"]].append(r["token"])
-    return out
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "token-counts")
+    c.write.parquet(path)
+    c = spark.read.schema(c.schema).parquet(path)
+    # k best per task, then a k-row merge: no task ranks all tokens of a list
+    return {n: vocabulary(c.where(F.col("v") == n).orderBy(F.col("cnt").desc(), F.col("token")).limit(k))
+            for n, (_c, k, _p) in specs.items()}
 
 
 def vocabulary(top: DataFrame) -> list[str]:
     """Tokens of a top-k frame in rank order (bounded by k)."""
-    rows = top.orderBy(F.col("cnt").desc(), F.col("token")).limit(VOCAB_MAX).collect()
-    return [r["token"] for r in rows]
+    rows = top.collect()
+    return [r["token"] for r in sorted(rows, key=lambda r: (-r["cnt"], r["token"]))]
 
 
 def _lit_array(vocab: list[str]) -> Column:

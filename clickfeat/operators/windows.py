@@ -11,15 +11,16 @@ key (the reference used file order and an unstable sort).  Frames:
 * W4 ordinals (running count of the group's clicks) and W5 first/last-of-day
   flags; "last" is per group (the reference compared with a global maximum).
 
-All columns are added in a single ``select`` so Catalyst plans one Window
-operator per distinct partition spec and shares sorts/exchanges between
-specs with the same keys.
+All scopes of a call run over one exchange by user, and a user with very many
+rows is cut into chunks (``clickfeat.operators.ordered``).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from clickfeat.operators.ordered import CHUNK_ROWS, add_scopes, recent_counts, split_anchors
+
 # Scope -> (partition keys, column prefix, history column).
 SCOPES = {
     "day": (["user_id", "day"], "", "history"),
@@ -46,150 +47,104 @@ def label_mask(label: str = "is_trade", day: str = "day", mask_day: int = 24) ->
     return F.when(F.col(day) < mask_day, F.col(label).cast("string")).otherwise(F.lit("0"))
 
 
-def gap_history_columns(keys, prefix: str = "", history: str | None = "history",
-                        ts: str = "context_timestamp", key: str = "instance_id",
-                        label: str = "is_trade", day: str = "day", mask_day: int = 24) -> list[Column]:
-    """Columns ``{prefix}diff_1..4`` and the history string for one scope."""
-    w = Window.partitionBy(*keys).orderBy(ts, key)
-    wg = Window.partitionBy(*keys)
-    t = F.col(ts)
-    cols = [
-        (F.abs(t - F.lag(t).over(w)) / 60.0).alias(f"{prefix}diff_1"),
-        (F.abs(t - F.lead(t).over(w)) / 60.0).alias(f"{prefix}diff_2"),
-        ((F.max(t).over(wg) - t) / 60.0).alias(f"{prefix}diff_3"),
-        ((t - F.min(t).over(wg)) / 60.0).alias(f"{prefix}diff_4"),
-    ]
-    if history:
-        prev = w.rowsBetween(Window.unboundedPreceding, -1)
-        cols.append(F.array_join(F.collect_list(label_mask(label, day, mask_day)).over(prev), "")
-                    .alias(history))
-    return cols
-
-
-def largest_groups(df: DataFrame, scopes: dict[str, list[str]]) -> dict[str, int]:
-    """Row count of the largest group of every scope - one aggregation for
-    all scopes (unpivot + partial aggregate), one row per scope to the driver."""
-    from clickfeat.operators.counts import group_size_table
-    names = list(scopes)
-    t = group_size_table(df, scopes).groupBy("g").agg(F.max("n").alias("m")).collect()
-    return {names[r["g"]]: int(r["m"]) for r in t}
-
-
-def _hot(df, scopes: dict[str, list[str]], max_group_rows):
-    if max_group_rows is None or not scopes:
-        return set()
-    big = largest_groups(df, scopes)
-    return {s for s, m in big.items() if m > max_group_rows}
+def add_history(df: DataFrame, scopes, mask_day: int = 24, ts: str = "context_timestamp", key: str = "instance_id",
+                label: str = "is_trade", scope_defs: dict | None = None, chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
+    """W3 for the named scopes.  The rows of a cut user are strung together
+    chunk by chunk, behind the labels of the chunks before; the text itself
+    grows with the rows before it, as asked for."""
+    defs = scope_defs or SCOPES
+    plain, chunked = (df, None) if chunk_rows is None else split_anchors(df, "user_id", ts, key, chunk_rows)
+    lab = label_mask(label, "day", mask_day)
+
+    def local(d, extra):
+        def prior(keys):
+            w = Window.partitionBy(*keys, *extra).orderBy(ts, key).rowsBetween(Window.unboundedPreceding, -1)
+            return F.array_join(F.collect_list(lab).over(w), "")
+        return d.select("*", *[prior(defs[s][0]).alias(defs[s][2]) for s in scopes])
+
+    out = local(plain.repartition(F.col("user_id")), [])
+    if chunked is None:
+        return out
+    hot = local(chunked.repartition(F.col("user_id"), F.col("__chunk")), ["__chunk"])
+    for i, scope in enumerate(scopes):
+        keys, _, name = defs[scope]
+        texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(ts), F.col(key), lab.alias("l")))), lambda x: x["l"]), "")
+        each = chunked.groupBy(*keys, "__chunk").agg(texts.alias("__text"))
+        w = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+        each = each.select(*[F.col(c).alias(f"__{i}{c}") for c in (*keys, "__chunk")],
+                           F.array_join(F.collect_list("__text").over(w), "").alias(f"__{i}before"))
+        on = [hot[k].eqNullSafe(each[f"__{i}{k}"]) for k in (*keys, "__chunk")]
+        hot = hot.join(each, on, "left").select(*[F.concat(F.coalesce(f"__{i}before", F.lit("")), name).alias(name) if c == name else hot[c]
+                                                  for c in hot.columns])
+    return out.unionByName(hot.select(*out.columns))
 
 
 def add_gaps(df: DataFrame, scopes=("day", "all", "item", "cat1"), mask_day: int = 24,
              ts: str = "context_timestamp", key: str = "instance_id", label: str = "is_trade",
              with_history: bool = True, scope_defs: dict | None = None,
-             max_group_rows: int | None = None) -> DataFrame:
-    """W1-W3 for the named scopes (default: all four of the reference).
-
-    With ``max_group_rows`` set, the largest group of every scope is measured
-    first; scopes whose largest group exceeds it get W1/W2 from the
-    skew-safe range-split operator (``clickfeat.operators.ordered``) instead
-    of a window.  The history (W3) always uses a window: its output is
-    quadratic in the group size, so it is only meaningful for bounded groups.
-    """
+             max_group_rows: int | None = CHUNK_ROWS) -> DataFrame:
+    """W1-W3 for the named scopes (default: all four of the reference).  A user
+    with more than ``max_group_rows`` rows is cut into chunks (see
+    ``clickfeat.operators.ordered``)."""
     defs = scope_defs or SCOPES
-    hot = _hot(df, {s: defs[s][0] for s in scopes}, max_group_rows)
+    specs = {f"__{s}": (defs[s][0], ("prev", "next", "last", "first")) for s in scopes}
+    out = add_scopes(df, specs, ts, key, chunk_rows=max_group_rows)
+    names = []
+    if with_history:
+        names = [defs[s][2] for s in scopes]
+        out = add_history(out, scopes, mask_day, ts, key, label, defs, max_group_rows)
     cols = []
     for s in scopes:
-        keys, prefix, hist = defs[s]
-        h = hist if with_history else None
-        if s in hot:
-            # history only: W1/W2 of a hot scope come from the split operator below
-            cols += gap_history_columns(keys, prefix, h, ts=ts, key=key, label=label, mask_day=mask_day)[4:]
-        else:
-            cols += gap_history_columns(keys, prefix, h, ts=ts, key=key, label=label, mask_day=mask_day)
-    out = df.select("*", *cols)
-    if hot:
-        from clickfeat.operators.ordered import add_gaps_ordinals
-        for s in scopes:
-            if s in hot:
-                keys, prefix, _ = defs[s]
-                out = add_gaps_ordinals(out, keys, prefix, None, ts=ts, key=key, max_group_rows=0)
-        order = list(df.columns)
-        for s in scopes:
-            keys, prefix, hist = defs[s]
-            order += [f"{prefix}diff_{i}" for i in range(1, 5)] + ([hist] if with_history else [])
-        out = out.select(*order)
+        cols += gap_columns(f"__{s}", defs[s][1], ts) + ([F.col(defs[s][2])] if names else [])
+    return out.select(*df.columns, *cols)
+
+
+def gap_columns(name: str, prefix: str, ts: str = "context_timestamp") -> list[Column]:
+    """``{prefix}diff_1..4`` out of the scope columns of ``name``."""
+    t, c = F.col(ts), lambda x: F.col(f"{name}__{x}")
+    return [(F.abs(t - c("prev")) / 60.0).alias(f"{prefix}diff_1"), (F.abs(t - c("next")) / 60.0).alias(f"{prefix}diff_2"),
+            ((c("last") - t) / 60.0).alias(f"{prefix}diff_3"), ((t - c("first")) / 60.0).alias(f"{prefix}diff_4")]
+
+
+def ordinal_columns(name: str, spec: str) -> list[Column]:
+    """The ordinal ``name`` and, for ``*_day`` ones, the first/last flags."""
+    rn, out = F.col(f"{spec}__rn"), [F.col(f"{spec}__rn").alias(name)]
+    if name.endswith("_day"):
+        out += [(rn == 1).cast("int").alias(f"{name[:-4]}_first_day"),
+                (rn == F.col(f"{spec}__n")).cast("int").alias(f"{name[:-4]}_last_day")]
     return out
 
 
-def add_ordinals(df: DataFrame, ordinals: dict | None = None, ts: str = "context_timestamp",
-                 key: str = "instance_id", max_group_rows: int | None = None) -> DataFrame:
-    """W4 ordinals and W5 first/last flags (for every ``*_day`` ordinal).
+def ordinal_specs(ordinals: dict) -> dict:
+    return {f"__{n}": (keys, ("rn", "n") if n.endswith("_day") else ("rn",)) for n, keys in ordinals.items()}
+
 
-    ``max_group_rows``: as in ``add_gaps`` - hot scopes use the range-split
-    operator, the others windows."""
+def add_ordinals(df: DataFrame, ordinals: dict | None = None, ts: str = "context_timestamp",
+                 key: str = "instance_id", max_group_rows: int | None = CHUNK_ROWS) -> DataFrame:
+    """W4 ordinals and W5 first/last flags (for every ``*_day`` ordinal)."""
     ords = ordinals or ORDINALS
-    hot = _hot(df, dict(ords), max_group_rows)
-    if hot:
-        from clickfeat.operators.ordered import ordered_features
-        out = add_ordinals(df, {n: k for n, k in ords.items() if n not in hot}, ts, key) \
-            if len(hot) < len(ords) else df
-        for name in ords:
-            if name not in hot:
-                continue
-            o = ordered_features(df, ords[name], ts, key, max_group_rows=0).alias("__o")
-            cols = [F.col("__o.rn").alias(name)]
-            if name.endswith("_day"):
-                base = name[: -len("_day")]
-                cols += [(F.col("__o.rn") == 1).cast("int").alias(f"{base}_first_day"),
-                         (F.col("__o.rn") == F.col("__o.n")).cast("int").alias(f"{base}_last_day")]
-            out = out.join(o, key, "left").select(*[out[c] for c in out.columns], *cols)
-        order = list(df.columns)
-        for name in ords:
-            order.append(name)
-            if name.endswith("_day"):
-                order += [f"{name[:-4]}_first_day", f"{name[:-4]}_last_day"]
-        return out.select(*order)
-    cols = []
-    for name, keys in ords.items():
-        w = Window.partitionBy(*keys).orderBy(ts, key)
-        rn = F.row_number().over(w)
-        cols.append(rn.cast("bigint").alias(name))
-        if name.endswith("_day"):
-            base = name[: -len("_day")]
-            n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-            cols.append((rn == 1).cast("int").alias(f"{base}_first_day"))
-            cols.append((rn == n).cast("int").alias(f"{base}_last_day"))
-    return df.select("*", *cols)
+    out = add_scopes(df, ordinal_specs(ords), ts, key, chunk_rows=max_group_rows)
+    return out.select(*df.columns, *[c for n in ords for c in ordinal_columns(n, f"__{n}")])
 
 
 def add_recent_clicks(df: DataFrame, seconds: int = 3600, ts: str = "context_timestamp",
-                      key: str = "instance_id", max_group_rows: int | None = None) -> DataFrame:
+                      key: str = "instance_id", max_group_rows: int | None = CHUNK_ROWS) -> DataFrame:
     """Notes' idea: clicks repeated within a short time (RANGE frame on the
-    epoch seconds, ties included) and the duration of the day's clicks.
-
-    With ``max_group_rows`` set, scopes whose largest group exceeds it use the
-    merge-and-rank form (``clickfeat.operators.ordered.recent_counts``) and a
-    partial aggregate for the day span instead of windows."""
-    t = F.col(ts)
-    scopes = {"clicks_last_hour": ["user_id"], "item_clicks_last_hour": ["user_id", "item_id"],
-              "day_span_minutes": ["user_id", "day"]}
-    hot = _hot(df, scopes, max_group_rows)
+    epoch seconds, ties included) and the duration of the day's clicks.  The
+    rows of a cut user get the counts by merged ranks."""
+    t, cols = F.col(ts), list(df.columns)
+    plain, chunked = (df, None) if max_group_rows is None else split_anchors(df, "user_id", ts, key, max_group_rows)
     rng = lambda *k: Window.partitionBy(*k).orderBy(t).rangeBetween(-seconds, 0)
-    cols = {}
-    if "clicks_last_hour" not in hot:
-        cols["clicks_last_hour"] = F.count(F.lit(1)).over(rng("user_id")).cast("bigint")
-    if "item_clicks_last_hour" not in hot:
-        cols["item_clicks_last_hour"] = F.count(F.lit(1)).over(rng("user_id", "item_id")).cast("bigint")
-    if "day_span_minutes" not in hot:
-        day = Window.partitionBy("user_id", "day")
-        cols["day_span_minutes"] = (F.max(t).over(day) - F.min(t).over(day)) / 60.0
-    out = df.select("*", *[c.alias(n) for n, c in cols.items()])
-    if hot:
-        from clickfeat.operators.ordered import recent_counts
-        for n in ("clicks_last_hour", "item_clicks_last_hour"):
-            if n in hot:
-                out = out.join(recent_counts(df, scopes[n], seconds, ts, key, n, max_group_rows=0), key, "left")
-        if "day_span_minutes" in hot:
-            span = df.groupBy("user_id", "day").agg(((F.max(t) - F.min(t)) / 60.0).alias("day_span_minutes"))
-            out = out.join(span, ["user_id", "day"], "left")
-        out = out.select(*df.columns, *scopes)
-    return out
+    day = Window.partitionBy("user_id", "day")
+    out = plain.repartition(F.col("user_id")).select(
+        "*", F.count(F.lit(1)).over(rng("user_id")).cast("bigint").alias("clicks_last_hour"),
+        F.count(F.lit(1)).over(rng("user_id", "item_id")).cast("bigint").alias("item_clicks_last_hour"),
+        ((F.max(t).over(day) - F.min(t).over(day)) / 60.0).alias("day_span_minutes"))
+    if chunked is None:
+        return out
+    hot = chunked.drop("__chunk")
+    for name, keys in (("clicks_last_hour", ["user_id"]), ("item_clicks_last_hour", ["user_id", "item_id"])):
+        hot = hot.join(recent_counts(chunked, keys, seconds, ts, key, name, max_group_rows=max_group_rows), key, "left")
+    span = chunked.groupBy(F.col("user_id").alias("__u"), F.col("day").alias("__d")).agg(((F.max(t) - F.min(t)) / 60.0).alias("day_span_minutes"))
+    hot = hot.join(span, hot["user_id"].eqNullSafe(span["__u"]) & hot["day"].eqNullSafe(span["__d"]), "left")
+    return out.unionByName(hot.select(*cols, "clicks_last_hour", "item_clicks_last_hour", "day_span_minutes"))

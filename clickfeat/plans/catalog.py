@@ -83,12 +83,12 @@ def _make_gap(scope):
     keys, prefix, hist = W.SCOPES[scope]
 
     def q(spark, sf):
-        df = click_log(spark, sf)
-        return df.select("instance_id", *W.gap_history_columns(keys, prefix, None))
+        df = click_log(spark, sf).select("instance_id", "context_timestamp", *keys)
+        out = W.add_gaps(df, scopes=(scope,), with_history=False)
+        return out.select("instance_id", *[f"{prefix}diff_{i}" for i in range(1, 5)])
 
     def h(spark, sf):
-        df = click_log(spark, sf)
-        return df.select("instance_id", *W.gap_history_columns(keys, prefix, hist)).select("instance_id", hist)
+        return W.add_history(click_log(spark, sf), (scope,)).select("instance_id", hist)
 
     register(f"gap_{scope}", _gap_sql(keys, prefix))(q)
     register(f"history_{scope}", _hist_sql(keys, hist))(h)
@@ -253,12 +253,12 @@ def q_replace_sentinel(spark, sf):
         "instance_id", "shop_review_positive_rate")
 
 
-_NOT_FEATURES = ["time", "context_timestamp", "context_id", "item_category_list", "item_property_list",
+_NOT_FEATURES = ["instance_id", "user_id", "time", "context_timestamp", "context_id", "item_category_list", "item_property_list",
                  "predict_category_property", "minute", "is_trade"]
 
 
 @register("feature_columns", EV + """
-SELECT * EXCLUDE (time, context_timestamp, context_id, item_category_list, item_property_list,
+SELECT * EXCLUDE (instance_id, user_id, time, context_timestamp, context_id, item_category_list, item_property_list,
                   predict_category_property, minute, is_trade) FROM flog""")
 def q_feature_columns(spark, sf):
     df = click_log(spark, sf)
@@ -277,7 +277,7 @@ def q_union_train_test(spark, sf):
 
 
 # ------------------------------------------------------- prior trades
-def _prior_sql(pair, show, flag, rows_where="a.day <= 24"):
+def _prior_sql(pair, show, flag):
     on = " AND ".join(f"a.{k} = s.{k}" for k in pair)
     return EV + f""",
 st AS (SELECT {_in(pair)}, count(*) AS n,
@@ -285,18 +285,30 @@ st AS (SELECT {_in(pair)}, count(*) AS n,
        FROM flog WHERE day < 24 GROUP BY {_in(pair)})
 SELECT a.instance_id, CAST(s.n AS BIGINT) AS {show},
        CASE WHEN s.tt IS NULL OR a.context_timestamp <= s.tt THEN 1 ELSE 0 END AS {flag}
-FROM flog a LEFT JOIN st s ON {on}
-WHERE {rows_where}"""
+FROM flog a LEFT JOIN st s ON {on}"""
+
+
+def _prior_strict_sql(pair, show, flag):
+    w = (f"(PARTITION BY {_in(pair)} ORDER BY context_timestamp, instance_id "
+         "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+    return EV + f"""
+SELECT instance_id, CAST(nullif(count(*) FILTER (WHERE day < 24) OVER {w}, 0) AS BIGINT) AS {show},
+       CASE WHEN coalesce(sum(CASE WHEN day < 24 THEN is_trade END) OVER {w}, 0) > 0 THEN 0 ELSE 1 END AS {flag}
+FROM flog"""
 
 
 def _make_prior(name):
     pair, show, flag = PR.PRIOR_PAIRS[name]
 
     def q(spark, sf):
-        df = click_log(spark, sf).where("day <= 24")
-        train = df.where("day < 24")
-        return PR.prior_trade(df, train, pair, show, flag).select("instance_id", show, flag)
+        df = click_log(spark, sf)
+        return PR.prior_trade(df, df.where("day < 24"), pair, show, flag).select("instance_id", show, flag)
+
+    def strict(spark, sf):
+        df = click_log(spark, sf)
+        return PR.prior_trade(df, df.where("day < 24"), pair, show, flag, strict=True).select("instance_id", show, flag)
     register(f"prior_trade_{name}", _prior_sql(pair, show, flag))(q)
+    register(f"prior_trade_strict_{name}", _prior_strict_sql(pair, show, flag))(strict)
 
 
 for _p in PR.PRIOR_PAIRS:
@@ -313,39 +325,80 @@ def _rate_sql():
                  f"r{i}.t / (r{i}.n + 10.0) AS {stem}_ctr"]
         joins.append(f"LEFT JOIN r{i} ON a.{k} = r{i}.{k}")
     return (EV + ",\n" + ",\n".join(ctes) + "\nSELECT a.instance_id, " + ", ".join(cols)
-            + "\nFROM flog a " + "\n".join(joins) + "\nWHERE a.day <= 24")
+            + "\nFROM flog a " + "\n".join(joins))
 
 
 @register("rate_smoothed", _rate_sql())
 def q_rate_smoothed(spark, sf):
-    df = click_log(spark, sf).where("day <= 24")
+    df = click_log(spark, sf)
     out = RT.add_smoothed_rates(df, df.where("day < 24"))
     cols = [c for s in RT.RATE_KEYS.values() for c in (f"{s}_count", f"trade_{s}_count", f"{s}_ctr")]
     return out.select("instance_id", *cols)
 
 
 # ------------------------------------------------------- frequency table
-FREQ_SCALARS = ["item_id", "item_brand_id", "item_city_id", "item_price_level", "item_sales_level",
-                "item_collected_level", "item_pv_level", "user_id", "user_gender_id", "user_age_level",
-                "user_occupation_id", "user_star_level", "context_page_id", "is_week", "hour", "shop_id",
-                "shop_review_num_level", "shop_star_level", "category_1"]
+from clickfeat.plans import entrypoints as EP  # noqa: E402
 
 
-def _freq_frame(spark, sf):
-    from clickfeat.functions.lists import predict_categories, tokens
-    df = click_log(spark, sf)
-    return df.select(*FREQ_SCALARS, "is_trade",
-                     tokens("item_property_list").alias("property_list"),
-                     predict_categories("predict_category_property").alias("predict_cat"))
+def _first_seen_sql(src, col, name):
+    return f"""SELECT {col} AS v, CAST(row_number() OVER (ORDER BY context_timestamp, instance_id) AS BIGINT) AS {name}
+FROM (SELECT {col}, context_timestamp, instance_id,
+             row_number() OVER (PARTITION BY {col} ORDER BY context_timestamp, instance_id) AS r FROM {src})
+WHERE r = 1"""
+
+
+def _bins_sql(cols, suffix):
+    """``b1``: the log with equal-width bins of the rate and score columns."""
+    mm = "mm AS (SELECT " + ", ".join(f"min({c}) AS mn_{c}, max({c}) AS mx_{c}" for c in cols) + " FROM b0)"
+    bins = ", ".join(
+        f"CASE WHEN {c} IS NULL THEN NULL WHEN mx_{c} = mn_{c} THEN 4 ELSE CAST(least(greatest("
+        f"ceil(({c} - mn_{c}) / ((mx_{c} - mn_{c}) / 10.0)) - 1, 0), 9) AS INTEGER) END AS {c}{suffix}"
+        for c in cols)
+    return f"""b0 AS (SELECT * REPLACE (CASE WHEN shop_review_positive_rate = -1 THEN 0.0 ELSE shop_review_positive_rate END
+                  AS shop_review_positive_rate) FROM flog),
+{mm},
+b1 AS (SELECT b0.*, {bins} FROM b0, mm)"""
+
+
+def _codes_sql(src, cols, keep, name):
+    """CTE ``name``: the columns ``keep`` of ``src`` and the codes of ``cols``."""
+    ctes = [f"{name}_{i} AS ({_first_seen_sql(src, c, 'code')})" for i, c in enumerate(cols)]
+    joins = " ".join(f"JOIN {name}_{i} ON a.{c} IS NOT DISTINCT FROM {name}_{i}.v" for i, c in enumerate(cols))
+    out = ", ".join([f"a.{c}" for c in keep] + [f"{name}_{i}.code AS {c}" for i, c in enumerate(cols)])
+    return ",\n".join([*ctes, f"{name} AS (SELECT {out} FROM {src} a {joins})"])
+
+
+def _topk_cte(name, tokens_sql, k):
+    return f"""{name} AS (SELECT token, row_number() OVER (ORDER BY cnt DESC, token) - 1 AS rnk FROM (
+  SELECT token, count(*) AS cnt FROM ({tokens_sql}) GROUP BY token ORDER BY cnt DESC, token LIMIT {k}))"""
+
+
+_PCAT = """list_transform(list_filter(string_split(predict_category_property, ';'), lambda t: len(string_split(t, ':')) > 1),
+                      lambda t: string_split(t, ':')[1])"""
+_PPRO = """flatten(list_transform(list_filter(string_split(predict_category_property, ';'), lambda t: len(string_split(t, ':')) > 1),
+    lambda t: CASE WHEN string_split(t, ':')[2] = '-1' THEN []::VARCHAR[] ELSE string_split(string_split(t, ':')[2], ',') END))"""
+
+
+def _ffm_ctes():
+    """``enc`` (codes of all scalar fields) and ``rk`` (ranks of the list tokens)."""
+    lists = ["string_split(item_property_list, ';')", _PCAT, _PPRO]
+    vocabs = [_topk_cte(f"v{i}", f"SELECT unnest({x}) AS token FROM flog", k) for i, (x, k) in enumerate(zip(lists, (1000, 30, 25)))]
+    toks = "\n  UNION ALL ".join(f"SELECT instance_id, is_trade, {i} AS f, unnest(list_distinct({x})) AS tok FROM flog" for i, x in enumerate(lists))
+    ranks = "\n  UNION ALL ".join(f"SELECT instance_id, is_trade, f, rnk FROM tk JOIN v{i} ON f = {i} AND tok = v{i}.token" for i in range(3))
+    return (EV + ",\n" + _bins_sql(EP.BUCKETED, "_buck") + ",\n"
+            + _codes_sql("b1", EP.FFM_SCALARS, ["instance_id", "is_trade", "day"], "enc") + ",\n" + ",\n".join(vocabs)
+            + f",\ntk AS ({toks}),\nrk AS ({ranks})")
+
+
+def _freq_table(spark, sf):
+    df, scalars = EP.ffm_frame(click_log(spark, sf))
+    return RT.feature_value_table(df, scalars, EP.LISTS)
 
 
 def _freq_sql():
-    parts = [f"SELECT '{c}' AS Field, CAST({c} AS VARCHAR) AS Value, is_trade AS y FROM flog" for c in FREQ_SCALARS]
-    parts.append("SELECT 'property_list', unnest(string_split(item_property_list, ';')), is_trade FROM flog")
-    parts.append("""SELECT 'predict_cat', split_part(t, ':', 1), is_trade
-        FROM (SELECT unnest(string_split(predict_category_property, ';')) AS t, is_trade FROM flog)
-        WHERE len(string_split(t, ':')) > 1""")
-    return EV + ",\nlong AS (" + "\nUNION ALL\n".join(parts) + """),
+    parts = [f"SELECT '{c}' AS Field, CAST({c} AS VARCHAR) AS Value, is_trade AS y FROM enc" for c in EP.FFM_SCALARS]
+    parts += [f"SELECT '{c}', CAST(rnk AS VARCHAR), is_trade FROM rk WHERE f = {i}" for i, c in enumerate(EP.LISTS)]
+    return _ffm_ctes() + ",\nlong AS (" + "\nUNION ALL\n".join(parts) + """),
 ft AS (SELECT Field, Value, CAST(sum(1 - y) AS BIGINT) AS Neg, CAST(sum(y) AS BIGINT) AS Pos,
               CAST(count(*) AS BIGINT) AS Total
        FROM long GROUP BY Field, Value)
@@ -355,22 +408,22 @@ ft AS (SELECT Field, Value, CAST(sum(1 - y) AS BIGINT) AS Neg, CAST(sum(y) AS BI
 @register("freq_feature_stats", _freq_sql() + """
 SELECT Field, Value, Neg, Pos, Total, round(Pos / Total, 5) AS Ratio FROM ft WHERE Total >= 10""")
 def q_freq_feature_stats(spark, sf):
-    t = RT.feature_value_table(_freq_frame(spark, sf), FREQ_SCALARS, ["property_list", "predict_cat"])
+    t = _freq_table(spark, sf)
     return t.orderBy("Total", "Field", "Value")
 
 
 @register("freq_frequent", _freq_sql() + """
-SELECT Field || '-' || Value AS feature, Total, round(Pos / Total, 5) AS Ratio FROM ft WHERE Total >= 50""")
+SELECT Field || '-' || Value AS feature, Total, round(Pos / Total, 5) AS Ratio FROM ft WHERE Total >= 10""")
 def q_freq_frequent(spark, sf):
-    t = RT.feature_value_table(_freq_frame(spark, sf), FREQ_SCALARS, ["property_list", "predict_cat"])
-    return RT.frequent_features(t, 50)
+    t = _freq_table(spark, sf)
+    return RT.frequent_features(t, 10)
 
 
 @register("freq_high_ratio", _freq_sql() + """
 SELECT Field || '-' || Value AS feature, Total, round(Pos / Total, 5) AS Ratio FROM ft WHERE Total >= 10
 ORDER BY Ratio DESC, feature LIMIT 100""")
 def q_freq_high_ratio(spark, sf):
-    t = RT.feature_value_table(_freq_frame(spark, sf), FREQ_SCALARS, ["property_list", "predict_cat"])
+    t = _freq_table(spark, sf)
     return RT.high_ratio_features(t, 100, 10)
 
 
@@ -520,7 +573,7 @@ def _vocab_cte(name, k, positives=False):
     GROUP BY token ORDER BY cnt DESC, token LIMIT {k}))"""
 
 
-@register("list_vocab_overlap", EV + ",\n" + _vocab_cte("va", 5) + ",\n" + _vocab_cte("vp", 5, True) + """,
+@register("list_vocab_overlap", EV + ",\n" + _vocab_cte("va", 100) + ",\n" + _vocab_cte("vp", 100, True) + """,
 toks AS (SELECT instance_id, list_distinct(string_split(item_property_list, ';')) AS t FROM flog)
 SELECT instance_id,
   CAST(len(list_intersect(t, (SELECT list(token) FROM va))) AS BIGINT) AS most_property_num,
@@ -532,8 +585,8 @@ def q_list_vocab_overlap(spark, sf):
     df = click_log(spark, sf)
     train = df.where("day < 24")
     tok = L.tokens("item_property_list")
-    va = V.vocabulary(V.topk_tokens(train, tok, 5))
-    vp = V.vocabulary(V.topk_tokens(train, tok, 5, positives_only=True))
+    va = V.vocabulary(V.topk_tokens(train, tok, 100))
+    vp = V.vocabulary(V.topk_tokens(train, tok, 100, positives_only=True))
     return df.select("instance_id",
                      V.overlap_count(tok, va).cast("bigint").alias("most_property_num"),
                      V.overlap_string(tok, va).alias("most_property"),
@@ -541,7 +594,7 @@ def q_list_vocab_overlap(spark, sf):
                      V.overlap_string(tok, vp).alias("trade_most_property"))
 
 
-@register("list_vocab_ranks", EV + ",\n" + _vocab_cte("va", 8) + """,
+@register("list_vocab_ranks", EV + ",\n" + _vocab_cte("va", 1000) + """,
 x AS (SELECT instance_id, unnest(list_distinct(string_split(item_property_list, ';'))) AS tok FROM flog),
 y AS (SELECT x.instance_id, string_agg(CAST(va.rnk AS VARCHAR), ',' ORDER BY va.rnk) AS s
       FROM x JOIN va ON x.tok = va.token GROUP BY x.instance_id)
@@ -549,7 +602,7 @@ SELECT f.instance_id, coalesce(y.s, '') AS most_proerty FROM flog f LEFT JOIN y
 def q_list_vocab_ranks(spark, sf):
     df = click_log(spark, sf)
     tok = L.tokens("item_property_list")
-    va = V.vocabulary(V.topk_tokens(df.where("day < 24"), tok, 8))
+    va = V.vocabulary(V.topk_tokens(df.where("day < 24"), tok, 1000))
     return df.select("instance_id", F.array_join(V.overlap_ranks(tok, va), ",").alias("most_proerty"))
 
 
@@ -596,13 +649,6 @@ def q_list_multi_hot(spark, sf):
 
 
 # ------------------------------------------------------- encoders
-def _first_seen_sql(src, col, name):
-    return f"""SELECT {col} AS v, CAST(row_number() OVER (ORDER BY context_timestamp, instance_id) AS BIGINT) AS {name}
-FROM (SELECT {col}, context_timestamp, instance_id,
-             row_number() OVER (PARTITION BY {col} ORDER BY context_timestamp, instance_id) AS r FROM {src})
-WHERE r = 1"""
-
-
 @register("enc_first_seen", EV + f""",
 c1 AS ({_first_seen_sql('flog', 'item_property_list', 'code')}),
 c2 AS ({_first_seen_sql('flog', 'user_id', 'code')})
@@ -616,44 +662,34 @@ def q_enc_first_seen(spark, sf):
 
 
 _JOINT = ["item_id", "user_id", "item_brand_id", "item_city_id", "user_occupation_id", "context_page_id",
-          "shop_id", "category_0", "category_1", "category_2", "hour"]
-
-
-def _joint_sql():
-    ctes = [f"j{i} AS ({_first_seen_sql('u', c, 'code')})" for i, c in enumerate(_JOINT)]
-    joins = " ".join(f"JOIN j{i} ON u.{c} IS NOT DISTINCT FROM j{i}.v" for i, c in enumerate(_JOINT))
-    cols = ", ".join(f"j{i}.code AS {c}" for i, c in enumerate(_JOINT))
-    return (EV + ",\nu AS (SELECT * FROM flog WHERE day <= 24),\n" + ",\n".join(ctes)
-            + f"\nSELECT u.instance_id, CASE WHEN u.day < 24 THEN 'train' ELSE 'holdout' END AS part, {cols}"
-            + f"\nFROM u {joins}")
+          "shop_id", "category_0", "category_1", "category_2", "predict_category_0", "predict_category_1",
+          "predict_category_2", "hour", "item_price_level", "item_sales_level", "item_collected_level", "item_pv_level",
+          "user_gender_id", "user_age_level", "user_star_level", "is_week", "shop_review_num_level", "shop_star_level"]
+_PREDICTED = ", ".join(f"""TRY_CAST(coalesce(split_part(string_split(predict_category_property, ';')[{i + 1}], ':', 1), '-1') AS BIGINT)
+    AS predict_category_{i}""" for i in range(3))
+_PART = "CASE WHEN day < 24 THEN 'train' WHEN day = 24 THEN 'holdout' ELSE 'test' END"
 
 
-@register("enc_joint", _joint_sql())
+@register("enc_joint", EV + f",\nu AS (SELECT *, {_PREDICTED} FROM flog),\n"
+          + _codes_sql("u", _JOINT, ["instance_id", "day"], "enc") + f"""
+SELECT instance_id, {_PART} AS part, {", ".join(_JOINT)} FROM enc""")
 def q_enc_joint(spark, sf):
-    df = click_log(spark, sf)
-    train, hold = R.split_by_day(df, 24)
-    both = R.union_train_test(train, hold, None)
-    enc = EN.first_seen_codes(both, _JOINT, ["context_timestamp", "instance_id"])
-    return R.tag_split(enc, 24).select("instance_id", "part", *_JOINT)
+    df = click_log(spark, sf).select("*", *[L.predicted_category("predict_category_property", i).alias(f"predict_category_{i}")
+                                            for i in range(3)])
+    train, rest = df.where("day < 24"), df.where("day >= 24")
+    both = R.union_train_test(train, rest, None)
+    enc = EN.first_seen_codes(both.select("instance_id", "day", "context_timestamp", *_JOINT), _JOINT, ["context_timestamp", "instance_id"])
+    return enc.select("instance_id", F.expr(_PART).alias("part"), *_JOINT)
 
 
 _BUCK = ["shop_review_positive_rate", "shop_score_service", "shop_score_delivery", "shop_score_description"]
 
 
 def _buck_sql():
-    rate = "CASE WHEN shop_review_positive_rate = -1 THEN 0.0 ELSE shop_review_positive_rate END"
-    base = (f"b0 AS (SELECT instance_id, context_timestamp, {rate} AS shop_review_positive_rate, "
-            "shop_score_service, shop_score_delivery, shop_score_description FROM flog)")
-    mm = "mm AS (SELECT " + ", ".join(f"min({c}) AS mn_{c}, max({c}) AS mx_{c}" for c in _BUCK) + " FROM b0)"
-    bins = ", ".join(
-        f"CASE WHEN {c} IS NULL THEN NULL WHEN mx_{c} = mn_{c} THEN 4 ELSE CAST(least(greatest("
-        f"ceil(({c} - mn_{c}) / ((mx_{c} - mn_{c}) / 10.0)) - 1, 0), 9) AS INTEGER) END AS {c}_bin"
-        for c in _BUCK)
-    b1 = f"b1 AS (SELECT b0.*, {bins} FROM b0, mm)"
     ctes = [f"k{i} AS ({_first_seen_sql('b1', c + '_bin', 'code')})" for i, c in enumerate(_BUCK)]
     joins = " ".join(f"JOIN k{i} ON b1.{c}_bin IS NOT DISTINCT FROM k{i}.v" for i, c in enumerate(_BUCK))
     cols = ", ".join(f"b1.{c}_bin, k{i}.code AS {c}_buck" for i, c in enumerate(_BUCK))
-    return EV + ",\n" + base + ",\n" + mm + ",\n" + b1 + ",\n" + ",\n".join(ctes) + \
+    return EV + ",\n" + _bins_sql(_BUCK, "_bin") + ",\n" + ",\n".join(ctes) + \
         f"\nSELECT b1.instance_id, {cols} FROM b1 {joins}"
 
 
@@ -666,16 +702,20 @@ def q_enc_equal_width(spark, sf):
                                       (F.col(f"{c}_bin"), F.col(f"{c}_bin_code").alias(f"{c}_buck"))])
 
 
-_STD = ["shop_review_positive_rate", "shop_score_service", "shop_score_delivery", "shop_score_description",
-        "item_price_level", "item_sales_level", "user_age_level", "user_star_level"]
+_STD = ["item_price_level", "item_sales_level", "item_collected_level", "item_pv_level", "user_age_level",
+        "user_star_level", "shop_review_num_level", "shop_review_positive_rate", "shop_star_level", "shop_score_service",
+        "shop_score_delivery", "shop_score_description", "hour", "user_query_day", "user_query_day_hour"]
 
 
 @register("enc_standardize", EV + """,
-mm AS (SELECT """ + ", ".join(f"avg({c}) AS mu_{c}, stddev_pop({c}) AS sd_{c}" for c in _STD) + """ FROM flog)
+st AS (SELECT *, count(*) OVER (PARTITION BY user_id, day) AS user_query_day,
+              count(*) OVER (PARTITION BY user_id, day, hour) AS user_query_day_hour FROM flog),
+mm AS (SELECT """ + ", ".join(f"avg({c}) AS mu_{c}, stddev_pop({c}) AS sd_{c}" for c in _STD) + """ FROM st)
 SELECT instance_id, """ + ", ".join(f"round(({c} - mu_{c}) / sd_{c}, 6) AS {c}_std" for c in _STD) + """
-FROM flog, mm""")
+FROM st, mm""")
 def q_enc_standardize(spark, sf):
-    df = EN.standardize(click_log(spark, sf), _STD)
+    df = C.add_group_sizes(click_log(spark, sf), {g: C.USER_QUERY_COUNTS[g] for g in ("user_query_day", "user_query_day_hour")})
+    df = EN.standardize(df, _STD)
     return df.select("instance_id", *[F.round(f"{c}_std", 6).alias(f"{c}_std") for c in _STD])
 
 
@@ -684,65 +724,32 @@ from clickfeat.operators import ffm as FF  # noqa: E402
 from clickfeat.operators import evaluate as EVL  # noqa: E402
 from clickfeat.operators import sample as SMP  # noqa: E402
 
-_FFM_SCALARS = ["item_id", "user_id", "shop_id", "item_brand_id", "hour", "is_week", "category_1"]
-_FFM_LISTS = ["most_proerty", "most_predict_cat", "most_predict_pro"]
 
 
-def _ffm_sql():
-    codes = [f"c{i} AS ({_first_seen_sql('flog', c, 'code')})" for i, c in enumerate(_FFM_SCALARS)]
-    vocabs = [
-        """v0 AS (SELECT token, row_number() OVER (ORDER BY cnt DESC, token) - 1 AS rnk FROM (
-  SELECT token, count(*) AS cnt FROM (SELECT unnest(string_split(item_property_list, ';')) AS token FROM flog)
-  GROUP BY token ORDER BY cnt DESC, token LIMIT 1000))""",
-        """v1 AS (SELECT token, row_number() OVER (ORDER BY cnt DESC, token) - 1 AS rnk FROM (
-  SELECT token, count(*) AS cnt FROM (SELECT string_split(t, ':')[1] AS token
-    FROM (SELECT unnest(string_split(predict_category_property, ';')) AS t FROM flog)
-    WHERE len(string_split(t, ':')) > 1) GROUP BY token ORDER BY cnt DESC, token LIMIT 30))""",
-        """v2 AS (SELECT token, row_number() OVER (ORDER BY cnt DESC, token) - 1 AS rnk FROM (
-  SELECT token, count(*) AS cnt FROM (SELECT unnest(string_split(string_split(t, ':')[2], ',')) AS token
-    FROM (SELECT unnest(string_split(predict_category_property, ';')) AS t FROM flog)
-    WHERE len(string_split(t, ':')) > 1 AND string_split(t, ':')[2] <> '-1')
-  GROUP BY token ORDER BY cnt DESC, token LIMIT 25))"""]
-    toks = """tk AS (
-  SELECT instance_id, 0 AS f, unnest(list_distinct(string_split(item_property_list, ';'))) AS tok FROM flog
-  UNION ALL
-  SELECT instance_id, 1, unnest(list_distinct(list_transform(list_filter(string_split(predict_category_property, ';'),
-      lambda t: len(string_split(t, ':')) > 1), lambda t: string_split(t, ':')[1]))) FROM flog
-  UNION ALL
-  SELECT instance_id, 2, unnest(list_distinct(flatten(list_transform(list_filter(
-      string_split(predict_category_property, ';'), lambda t: len(string_split(t, ':')) > 1),
-      lambda t: CASE WHEN string_split(t, ':')[2] = '-1' THEN []::VARCHAR[]
-                     ELSE string_split(string_split(t, ':')[2], ',') END)))) FROM flog),
-rk AS (
-  SELECT instance_id, f, rnk FROM tk JOIN v0 ON f = 0 AND tok = v0.token
-  UNION ALL SELECT instance_id, f, rnk FROM tk JOIN v1 ON f = 1 AND tok = v1.token
-  UNION ALL SELECT instance_id, f, rnk FROM tk JOIN v2 ON f = 2 AND tok = v2.token),
-ls AS (SELECT instance_id, f, string_agg(CAST(f AS VARCHAR) || ':' || CAST(rnk AS VARCHAR) || ':1 ', ''
-                                          ORDER BY rnk) AS s
-       FROM rk GROUP BY instance_id, f)"""
-    lists = " || ".join(f"coalesce((SELECT s FROM ls WHERE ls.instance_id = a.instance_id AND ls.f = {i}), '')"
-                        for i in range(3))
-    scal = " || ".join(f"'{3 + i}:' || CAST(c{i}.code AS VARCHAR) || ':1 '" for i in range(len(_FFM_SCALARS)))
-    joins = " ".join(f"JOIN c{i} ON a.{c} IS NOT DISTINCT FROM c{i}.v" for i, c in enumerate(_FFM_SCALARS))
-    return (EV + ",\n" + ",\n".join(codes + vocabs) + ",\n" + toks
-            + f"\nSELECT a.instance_id, CAST(a.is_trade AS VARCHAR) || ' ' || {lists} || {scal} AS line"
-            + f"\nFROM flog a {joins}")
-
-
-@register("ffm_rows", _ffm_sql())
+def _ffm_line_sql():
+    """``lines``: one field-aware text row per log row."""
+    lists = " || ".join(f"coalesce((SELECT s FROM ls WHERE ls.instance_id = a.instance_id AND ls.f = {i}), '')" for i in range(3))
+    scal = " || ".join(f"'{3 + i}:' || CAST({c} AS VARCHAR) || ':1 '" for i, c in enumerate(EP.FFM_SCALARS))
+    return _ffm_ctes() + f""",
+ls AS (SELECT instance_id, f, string_agg(CAST(f AS VARCHAR) || ':' || CAST(rnk AS VARCHAR) || ':1 ', '' ORDER BY rnk) AS s
+       FROM rk GROUP BY instance_id, f),
+lines AS (SELECT a.instance_id, a.day, CAST(a.is_trade AS VARCHAR) || ' ' || {lists} || {scal} AS line FROM enc a)
+"""
+
+
+@register("ffm_rows", _ffm_line_sql() + "SELECT instance_id, line FROM lines")
 def q_ffm_rows(spark, sf):
-    df = click_log(spark, sf)
-    props = L.tokens("item_property_list")
-    pcat = L.predict_categories("predict_category_property")
-    ppro = L.predict_properties("predict_category_property")
-    voc = V.vocabularies(df, {"p": (props, 1000, False), "c": (pcat, 30, False), "r": (ppro, 25, False)})
-    v0, v1, v2 = voc["p"], voc["c"], voc["r"]
-    df = df.select("instance_id", "is_trade", *_FFM_SCALARS, "context_timestamp",
-                   V.overlap_ranks(props, v0).alias("most_proerty"),
-                   V.overlap_ranks(pcat, v1).alias("most_predict_cat"),
-                   V.overlap_ranks(ppro, v2).alias("most_predict_pro"))
-    df = EN.first_seen_codes(df, _FFM_SCALARS, ["context_timestamp", "instance_id"])
-    return FF.ffm_rows(df, "is_trade", _FFM_LISTS, _FFM_SCALARS)
+    df, scalars = EP.ffm_frame(click_log(spark, sf))
+    return FF.ffm_rows(df, "is_trade", EP.LISTS, scalars)
+
+
+@register("ffm_export", _ffm_line_sql() + """SELECT CASE WHEN day < 24 THEN 'tr' ELSE 'va' END AS part, line FROM lines WHERE day <= 24""")
+def q_ffm_export(spark, sf):
+    """The reference's export: train and holdout files, read back."""
+    out = scratch_path(spark, "ffm")
+    EP.export_ffm(click_log(spark, sf), out)
+    parts = [spark.read.text(f"{out}/{p}").select(F.lit(p).alias("part"), F.col("value").alias("line")) for p in ("tr", "va")]
+    return parts[0].unionByName(parts[1])
 
 
 @register("ffm_hash", """
@@ -762,7 +769,6 @@ def q_ffm_hash(spark, sf):
 _P1 = "CAST((instance_id * 37) % 97 + 1 AS DOUBLE) / 99.0"
 _P2 = "CAST((instance_id * 53) % 89 + 1 AS DOUBLE) / 91.0"
 _P3 = "CAST((instance_id * 11) % 83 + 1 AS DOUBLE) / 85.0"
-_PART = "CASE WHEN day < 24 THEN 'train' WHEN day = 24 THEN 'holdout' ELSE 'test' END"
 
 
 def _scored(spark, sf, expr=_P1):
@@ -852,15 +858,14 @@ st AS (SELECT instance_id, day,
                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS all_history,
   CAST(count(*) OVER (PARTITION BY user_id, day, half_hour) AS BIGINT) AS user_query_day_half_hour
 FROM flog)
-SELECT * FROM st WHERE day < 24""")
+SELECT * FROM st""")
 def q_sink_stage_roundtrip(spark, sf):
     df = click_log(spark, sf)
     df = W.add_gaps(df, scopes=("day", "all"))
     df = C.add_group_sizes(df, {"user_query_day_half_hour": ["user_id", "day", "half_hour"]})
     path = scratch_path(spark, "stage")
     IO.write_stage(df.select("instance_id", "day", "history", "all_history", "user_query_day_half_hour"), path)
-    train, _ = R.split_by_day(IO.read_stage(spark, path), 24)
-    return train.select("instance_id", "day", "history", "all_history", "user_query_day_half_hour")
+    return IO.read_stage(spark, path).select("instance_id", "day", "history", "all_history", "user_query_day_half_hour")
 
 
 @register("sink_predictions", EV + f"""
@@ -877,7 +882,7 @@ def q_sink_predictions(spark, sf):
 @register("sink_freq_table", _freq_sql() + """
 SELECT Field, Value, Neg, Pos, Total, round(Pos / Total, 5) AS Ratio FROM ft WHERE Total >= 10""")
 def q_sink_freq_table(spark, sf):
-    t = RT.feature_value_table(_freq_frame(spark, sf), FREQ_SCALARS, ["property_list", "predict_cat"])
+    t = _freq_table(spark, sf)
     path = scratch_path(spark, "freq")
     IO.write_freq_table(t, path)
     return IO.read_freq_table(spark, path)
@@ -896,19 +901,22 @@ def _oracle_join(names):
 
 
 def _compact_sql():
-    subs = [ORACLE["list_vocab_overlap"], ORACLE["list_predicted_category"],
-            _count_sql({"user_query_day": ["user_id", "day"], "user_query_day_hour": ["user_id", "day", "hour"]},
-                       "day <= 24"),
-            ORACLE["rate_smoothed"], ORACLE["prior_trade_item"],
-            EV + """
+    counts = _count_sql({"user_query_day": ["user_id", "day"], "user_query_day_hour": ["user_id", "day", "hour"]})
+    more = EV + """
 SELECT instance_id, CAST(len(string_split(item_property_list, ';')) AS BIGINT) AS item_property_num,
        CAST(row_number() OVER (PARTITION BY item_id, user_id ORDER BY context_timestamp, instance_id) AS BIGINT)
          AS sum_Times
-FROM flog WHERE day <= 24"""]
-    parts = [f"(\n{q}\n) q{i}" for i, q in enumerate(subs)]
-    sql = "SELECT q0.instance_id, q0.most_property_num, q0.trade_most_property_num, q1.* EXCLUDE (instance_id), " \
-          "q2.* EXCLUDE (instance_id), q3.* EXCLUDE (instance_id), q4.* EXCLUDE (instance_id), " \
-          "q5.* EXCLUDE (instance_id)\nFROM " + parts[0]
+FROM flog"""
+    subs = [ORACLE["list_vocab_overlap"], ORACLE["list_predicted_category"], counts, ORACLE["rate_smoothed"],
+            ORACLE["prior_trade_item"], more]
+    ids = EV + f""",
+base AS (SELECT f.*, o.most_property, o.trade_most_property, {_PREDICTED}
+         FROM flog f JOIN ({ORACLE["list_vocab_overlap"]}) o USING (instance_id)),
+""" + _codes_sql("base", FT.ID_COLUMNS, ["instance_id"], "enc") + "\nSELECT instance_id, " + \
+        ", ".join(f"{c} AS {c}_code" for c in FT.ID_COLUMNS) + " FROM enc"
+    parts = [f"(\n{q}\n) q{i}" for i, q in enumerate([*subs, ids])]
+    sql = "SELECT q0.instance_id, q0.most_property_num, q0.trade_most_property_num, " + \
+        ", ".join(f"q{i}.* EXCLUDE (instance_id)" for i in range(1, len(parts))) + "\nFROM " + parts[0]
     for i, p in enumerate(parts[1:], 1):
         sql += f"\nJOIN {p} ON q0.instance_id = q{i}.instance_id"
     return sql
@@ -917,19 +925,30 @@ FROM flog WHERE day <= 24"""]
 _COMPACT_OUT = ["instance_id", "most_property_num", "trade_most_property_num", "predict_category_0",
                 "predict_category_1", "predict_category_2", "user_query_day", "user_query_day_hour",
                 *[c for st in RT.RATE_KEYS.values() for c in (f"{st}_count", f"trade_{st}_count", f"{st}_ctr")],
-                "show", "trade_no", "item_property_num", "sum_Times"]
+                "show", "trade_no", "item_property_num", "sum_Times", *[f"{c}_code" for c in FT.ID_COLUMNS]]
 
 
 @register("features_compact", _compact_sql())
 def q_features_compact(spark, sf):
-    out = FT.compact_features(click_log(spark, sf), vocab_k=5)
+    out = FT.compact_features(click_log(spark, sf))
     return out.select(*_COMPACT_OUT)
 
 
+def _hist4_sql():
+    cols = []
+    for sc in W.SCOPES.values():
+        keys, _, hist = sc
+        cols.append(f"""coalesce(string_agg(CASE WHEN day < 24 THEN CAST(is_trade AS VARCHAR) ELSE '0' END, ''
+                      ORDER BY context_timestamp, instance_id)
+           OVER (PARTITION BY {_in(keys)} ORDER BY context_timestamp, instance_id
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS {hist}""")
+    return EV + "\nSELECT instance_id, day, " + ",\n ".join(cols) + "\nFROM flog"
+
+
 def _full_out(df):
     keep = ["instance_id"]
     for s in W.SCOPES.values():
-        keep += [f"{s[1]}diff_{i}" for i in range(1, 5)] + [s[2]]
+        keep += [f"{s[1]}diff_{i}" for i in range(1, 5)] + [s[2], f"{s[2]}_code"]
     keep += list(FT.ALL_COUNTS) + ["user_day", "cat_1_user_show", "cat_1_trade_no", "shop_user_show", "shop_trade_no"]
     keep += list(W.ORDINALS) + [c for c in df.columns if c.endswith("_first_day") or c.endswith("_last_day")]
     keep += [c for c in df.columns if c.startswith("most_")]
@@ -942,8 +961,12 @@ def _full_sql():
         subs += [ORACLE[f"gap_{sc}"], ORACLE[f"history_{sc}"]]
     subs.append(_count_sql({**FT.ALL_COUNTS, "user_day": ["user_id", "day"]}))
     for name in ("cat", "shop"):
-        subs.append(_prior_sql(*PR.PRIOR_PAIRS[name], rows_where="TRUE"))
+        subs.append(ORACLE[f"prior_trade_{name}"])
     subs += [ORACLE["ordinal_click"], ORACLE["ordinal_first_last"], ORACLE["list_multi_hot"]]
+    texts = [sc[2] for sc in W.SCOPES.values()]
+    subs.append(EV + f""",
+h4 AS (SELECT h.*, f.context_timestamp FROM ({_hist4_sql()}) h JOIN flog f USING (instance_id)),
+""" + _codes_sql("h4", texts, ["instance_id"], "enc") + "\nSELECT instance_id, " + ", ".join(f"{c} AS {c}_code" for c in texts) + " FROM enc")
     parts = [f"(\n{q}\n) q{i}" for i, q in enumerate(subs)]
     sql = "SELECT q0.instance_id, " + ", ".join(f"q{i}.* EXCLUDE (instance_id)" for i in range(len(parts))) + \
           "\nFROM " + parts[0]
@@ -954,7 +977,8 @@ def _full_sql():
 
 @register("features_full", _full_sql())
 def q_features_full(spark, sf):
-    return _full_out(FT.full_features(click_log(spark, sf)))
+    df = FT.full_features(click_log(spark, sf))
+    return _full_out(EN.first_seen_codes(df, EP.HISTORIES, ["context_timestamp", "instance_id"], "_code"))
 
 
 # ------------------------------------------------------- pyspark.ml jobs (rows-only checks)
@@ -962,7 +986,7 @@ from clickfeat.operators import learn as ML  # noqa: E402
 
 
 def _ml_frame(spark, sf):
-    df = FT.full_features(click_log(spark, sf), with_history=False, multi_hot=False).where("day <= 24")
+    df = FT.full_features(click_log(spark, sf), with_history=False, multi_hot=False)
     feats = FT.numeric_features(df)
     return df, feats
 
@@ -979,7 +1003,7 @@ def q_ml_temporal_eval(spark, sf):
     df, feats = _ml_frame(spark, sf)
     model = ML.fit_gbt(df.where("day < 24"), feats, max_iter=20, max_depth=4)
     s = ML.score(model, df, feats, keep=["day"])
-    s = s.withColumn("part", F.when(F.col("day") < 24, "train").otherwise("holdout"))
+    s = s.withColumn("part", F.expr(_PART))
     return EVL.log_loss(s, by=["part"])
 
 
@@ -1003,6 +1027,27 @@ def q_ml_fm_score(spark, sf):
     return ML.score(model, df, feats, keep=["day"])
 
 
+_CHECKED = ("ml_gbt_score", "ml_fm_score")
+
+
+@register("ml_score_check", EV + f"""
+SELECT m.job, {_PART} AS part, CAST(count(*) AS BIGINT) AS rows, CAST(sum(is_trade) AS BIGINT) AS trades,
+       CAST(count(DISTINCT instance_id) AS BIGINT) AS keys, CAST(0 AS BIGINT) AS bad_scores
+FROM flog, (VALUES {", ".join(f"('{j}')" for j in _CHECKED)}) m(job) GROUP BY 1, 2""")
+def q_ml_score_check(spark, sf):
+    """What can be known of the scored frames without the model: every row once,
+    its label and part, a score within [0, 1]."""
+    out = None
+    for job in _CHECKED:
+        s = QUERIES[job](spark, sf)
+        good = F.coalesce(F.col("predicted_score").between(0, 1), F.lit(False))
+        g = s.groupBy(F.lit(job).alias("job"), F.expr(_PART).alias("part")).agg(
+            F.count(F.lit(1)).alias("rows"), F.sum("is_trade").alias("trades"), F.countDistinct("instance_id").alias("keys"),
+            F.sum((~good).cast("long")).alias("bad_scores"))
+        out = g if out is None else out.unionByName(g)
+    return out
+
+
 # ------------------------------------------------------- streaming (incremental G10)
 from clickfeat.streaming import stats as ST  # noqa: E402
 from clickfeat.sources.standin import events_to_log  # noqa: E402
@@ -1028,17 +1073,6 @@ STAGE_SCHEMA = T.StructType([T.StructField("instance_id", T.LongType()), T.Struc
                              T.StructField("cat1_history", T.StringType())])
 
 
-def _hist4_sql():
-    cols = []
-    for sc in W.SCOPES.values():
-        keys, _, hist = sc
-        cols.append(f"""coalesce(string_agg(CASE WHEN day < 24 THEN CAST(is_trade AS VARCHAR) ELSE '0' END, ''
-                      ORDER BY context_timestamp, instance_id)
-           OVER (PARTITION BY {_in(keys)} ORDER BY context_timestamp, instance_id
-                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS {hist}""")
-    return EV + "\nSELECT instance_id, day, " + ",\n ".join(cols) + "\nFROM flog"
-
-
 @register("src_read_stage", _hist4_sql())
 def q_src_read_stage(spark, sf):
     """The reference's text stage: histories like ``0010`` must come back as

@@ -53,7 +53,7 @@ def stage_features(log: DataFrame, stage_path: str, holdout_day: int = 24) -> No
 def train_and_score(spark: SparkSession, stage_path: str, out_path: str | None = None,
                     holdout_day: int = 24, max_iter: int = 50, max_depth: int = 5) -> DataFrame:
     """Second phase.  Returns ``part, log_loss, rows`` (train / holdout)."""
-    stage = IO.read_stage(spark, stage_path).where(F.col("day") <= holdout_day)
+    stage = IO.read_stage(spark, stage_path)
     df = FT.full_features(stage, holdout_day=holdout_day, with_gaps=False)
     df = EN.first_seen_codes(df, HISTORIES, ["context_timestamp", "instance_id"])  # joint codes (D6)
     feats = FT.numeric_features(df) + HISTORIES
@@ -63,6 +63,7 @@ def train_and_score(spark: SparkSession, stage_path: str, out_path: str | None =
     if out_path:
         IO.write_predictions(scored.where(F.col("day") == holdout_day), out_path)
     part = F.when(F.col("day") < holdout_day, "train").otherwise("holdout").alias("part")
+    scored = scored.where(F.col("day") <= holdout_day)  # the days with labels
     return EVL.log_loss(scored.select("is_trade", "predicted_score", part), by=["part"])
 
 
@@ -74,9 +75,13 @@ BUCKETED = ["shop_review_positive_rate", "shop_score_service", "shop_score_deliv
 LISTS = ["most_proerty", "most_predict_cat", "most_predict_pro"]
 
 
-def export_ffm(log: DataFrame, out_dir: str, holdout_day: int = 24, min_total: int = 10) -> DataFrame:
-    """Field-aware rows for train (``tr``) and holdout (``va``); returns the
-    Field/Value frequency table (also written as ``count_frequent_feature``)."""
+FFM_SCALARS = NO_LIST + [f"{c}_buck" for c in BUCKETED]
+
+
+def ffm_frame(log: DataFrame, leaves: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
+    """The log with list ranks, buckets and joint codes of all scalar fields,
+    and the scalar fields in order.  ``leaves`` (``instance_id``, one column per
+    tree) adds the tree-leaf fields, joined by key and encoded like the others."""
     log = R.replace_sentinel(log, "shop_review_positive_rate", -1, 0.0)
     props = L.tokens("item_property_list")
     pcat = L.predict_categories("predict_category_property")
@@ -86,13 +91,24 @@ def export_ffm(log: DataFrame, out_dir: str, holdout_day: int = 24, min_total: i
                     V.overlap_ranks(pcat, voc["c"]).alias("most_predict_cat"),
                     V.overlap_ranks(ppro, voc["r"]).alias("most_predict_pro"))
     df = EN.equal_width_bins(df, BUCKETED, 10, "_buck")
-    scal = NO_LIST + [f"{c}_buck" for c in BUCKETED]
-    df = EN.first_seen_codes(df, scal, ["context_timestamp", "instance_id"])
-    table = RT.feature_value_table(df, scal, LISTS, min_total=min_total)
+    scalars = list(FFM_SCALARS)
+    if leaves is not None:
+        own = [c for c in leaves.columns if c != "instance_id"]
+        df, scalars = df.join(leaves, "instance_id", "left"), scalars + own
+    df = df.select("instance_id", "is_trade", "day", "context_timestamp", *LISTS, *scalars)
+    return EN.first_seen_codes(df, scalars, ["context_timestamp", "instance_id"]), scalars
+
+
+def export_ffm(log: DataFrame, out_dir: str, holdout_day: int = 24, min_total: int = 10,
+               leaves: DataFrame | None = None) -> DataFrame:
+    """Field-aware rows for train (``tr``) and holdout (``va``); returns the
+    Field/Value frequency table (also written as ``count_frequent_feature``)."""
+    df, scalars = ffm_frame(log, leaves)
+    table = RT.feature_value_table(df, scalars, LISTS, min_total=min_total)
     IO.write_freq_table(table, f"{out_dir}/count_frequent_feature")
     train, hold = R.split_by_day(df, holdout_day)
-    FF.write_ffm(FF.ffm_rows(train, "is_trade", LISTS, scal), f"{out_dir}/tr")
-    FF.write_ffm(FF.ffm_rows(hold, "is_trade", LISTS, scal), f"{out_dir}/va")
+    FF.write_ffm(FF.ffm_rows(train, "is_trade", LISTS, scalars), f"{out_dir}/tr")
+    FF.write_ffm(FF.ffm_rows(hold, "is_trade", LISTS, scalars), f"{out_dir}/va")
     return table
 
 

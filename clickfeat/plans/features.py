@@ -21,7 +21,7 @@ from clickfeat.operators import prior as PR
 from clickfeat.operators import rates as RT
 from clickfeat.operators import vocab as V
 from clickfeat.operators import windows as W
-from clickfeat.operators.ordered import MAX_GROUP_ROWS
+from clickfeat.operators.ordered import CHUNK_ROWS, add_scopes
 
 ALL_COUNTS = {**C.USER_QUERY_COUNTS, **C.USER_CROSS_COUNTS, **C.USER_DAY_COUNTS, **C.USER_HOUR_COUNTS,
               **C.USER_HALF_HOUR_COUNTS, **C.GLOBAL_COUNTS}
@@ -30,47 +30,38 @@ ALL_COUNTS.pop("user_day")
 
 
 def full_features(df: DataFrame, holdout_day: int = 24, with_history: bool = True,
-                  multi_hot: bool = True, max_group_rows: int | None = MAX_GROUP_ROWS,
-                  with_gaps: bool = True, narrow: bool = True) -> DataFrame:
-    """Entry A.  ``df``: the log with calendar and category columns.
+                  multi_hot: bool = True, max_group_rows: int | None = CHUNK_ROWS,
+                  with_gaps: bool = True, strict: bool = False) -> DataFrame:
+    """Entry A.  ``df``: the log with calendar and category columns; with
+    ``with_gaps=False`` it is a stage that carries gaps and histories already.
 
-    Scopes whose largest group exceeds ``max_group_rows`` (measured) use the
-    skew-safe range-split operator instead of windows.
+    Everything that is grouped by user - gaps, ordinals, and the sizes of the
+    user groupings - runs on a narrow projection over one exchange by user, and
+    is attached to the wide log by row key; the other sizes are joined by their
+    own keys.  ``strict``: see ``prior.prior_trade``.
     """
     train = df.where(F.col("day") < holdout_day)
-    # Every group size, once; every scope of the gaps and ordinals is one of
-    # these groupings, so the skew measurement reads the same table.
-    sizes = C.materialized_sizes(df, ALL_COUNTS)
-    if max_group_rows is not None:
-        scope_keys = [W.SCOPES[s][0] for s in W.SCOPES] + list(W.ORDINALS.values())
-        measured = C.largest_sizes(sizes, ALL_COUNTS)
-        by_keys = {frozenset(ks): measured.get(g, 0) for g, ks in ALL_COUNTS.items()}
-        if all(frozenset(k) in by_keys for k in scope_keys) and \
-                max(by_keys[frozenset(k)] for k in scope_keys) <= max_group_rows:
-            max_group_rows = None  # every group is small: plain windows everywhere
-    key = "instance_id"
-    if narrow:
-        # Order-dependent features on a narrow projection: its exchange and
-        # its ~12 sorts move only the scope keys, time and label; the results
-        # are attached to the wide log by key together with the folded group
-        # sizes, so the wide log is shuffled once and never sorted.
-        scope_cols = sorted({c for s in W.SCOPES.values() for c in s[0]}
-                            | {c for ks in W.ORDINALS.values() for c in ks} | {"day"})
-        base = df.select(key, *scope_cols, "context_timestamp", "is_trade")
-        win = W.add_gaps(base, mask_day=holdout_day, with_history=with_history,
-                         max_group_rows=max_group_rows) if with_gaps else base
-        win = PR.add_prior_trades(win, base.where(F.col("day") < holdout_day), pairs=("cat", "shop"))
-        win = W.add_ordinals(win, max_group_rows=max_group_rows)
-        win_cols = [c for c in win.columns if c not in base.columns]
-        out = C.add_group_sizes(df, ALL_COUNTS, sizes=sizes)
-        out = out.join(win.select(key, *win_cols), key, "left")
-    else:
-        # ``with_gaps=False``: ``df`` is a stage that already carries gaps/histories
-        out = W.add_gaps(df, mask_day=holdout_day, with_history=with_history,
-                         max_group_rows=max_group_rows) if with_gaps else df
-        out = C.add_group_sizes(out, ALL_COUNTS, sizes=sizes)
-        out = PR.add_prior_trades(out, train, pairs=("cat", "shop"))
-        out = W.add_ordinals(out, max_group_rows=max_group_rows)
+    key, ts = "instance_id", "context_timestamp"
+    by_user = C.user_specs(ALL_COUNTS)
+    gaps = {f"__{s}": (W.SCOPES[s][0], ("prev", "next", "last", "first")) for s in W.SCOPES} if with_gaps else {}
+    specs = {**gaps, **W.ordinal_specs(W.ORDINALS), **by_user}
+    need = sorted({c for keys, _ in specs.values() for c in keys} | {"day"})
+    base = df.select(key, *need, ts, "is_trade")
+    win = add_scopes(base, specs, ts, key, chunk_rows=max_group_rows)
+    cols = []
+    if with_gaps:
+        if with_history:
+            win = W.add_history(win, list(W.SCOPES), holdout_day, ts, key, chunk_rows=max_group_rows)
+        for s, (_, prefix, history) in W.SCOPES.items():
+            cols += W.gap_columns(f"__{s}", prefix, ts) + ([F.col(history)] if with_history else [])
+    cols += [C.size_column(g, ALL_COUNTS[g]) for g in ALL_COUNTS if f"__size_{g}" in by_user]
+    cols += [c for n in W.ORDINALS for c in W.ordinal_columns(n, f"__{n}")]
+    win = win.select(key, *need, ts, "is_trade", *cols)
+    win = PR.add_prior_trades(win, base.where(F.col("day") < holdout_day), pairs=("cat", "shop"), strict=strict,
+                              max_group_rows=max_group_rows)
+    out = C.add_group_sizes(df, {g: k for g, k in ALL_COUNTS.items() if f"__size_{g}" not in by_user},
+                            max_group_rows=max_group_rows)
+    out = out.join(win.drop(*need, ts, "is_trade"), key, "left")
     out = out.withColumn("user_day", F.col("user_query_day"))
     if multi_hot:
         props = L.tokens("item_property_list")
@@ -84,9 +75,16 @@ def full_features(df: DataFrame, holdout_day: int = 24, with_history: bool = Tru
     return out
 
 
+# Entry C's jointly encoded id columns.
+ID_COLUMNS = ["item_id", "user_id", "item_brand_id", "item_city_id", "user_occupation_id", "context_page_id", "shop_id",
+              "category_0", "category_1", "category_2", "predict_category_0", "predict_category_1", "predict_category_2",
+              "most_property", "trade_most_property", "hour"]
+
+
 def compact_features(df: DataFrame, holdout_day: int = 24, vocab_k: int = 100) -> DataFrame:
-    """Entry C: statistics from ``day < holdout_day`` only, applied to train and holdout."""
-    rows = df.where(F.col("day") <= holdout_day)
+    """Entry C: statistics from ``day < holdout_day`` only, applied to every row.
+    The id columns leave as joint first-seen codes ``*_code``."""
+    rows = df
     train = rows.where(F.col("day") < holdout_day)
     props = L.tokens("item_property_list")
     voc = V.vocabularies(train, {"a": (props, vocab_k, False), "p": (props, vocab_k, True)})
@@ -103,12 +101,11 @@ def compact_features(df: DataFrame, holdout_day: int = 24, vocab_k: int = 100) -
                                   "user_query_day_hour": ["user_id", "day", "hour"]})
     out = RT.add_smoothed_rates(out, train)
     out = PR.add_prior_trades(out, train, pairs=("item",))
-    out = EN.first_seen_codes(out, ["most_property", "trade_most_property"], ["context_timestamp", "instance_id"])
     out = W.add_ordinals(out, {"sum_Times": ["item_id", "user_id"]})
-    return out
+    return EN.first_seen_codes(out, ID_COLUMNS, ["context_timestamp", "instance_id"], "_code")
 
 
-NOT_FEATURES = ["instance_id", "is_trade", "time", "context_id", "context_timestamp", "item_category_list",
+NOT_FEATURES = ["instance_id", "user_id", "is_trade", "time", "context_id", "context_timestamp", "item_category_list",
                 "item_property_list", "predict_category_property", "minute", "history", "all_history",
                 "item_history", "cat1_history", "most_property", "trade_most_property"]
 

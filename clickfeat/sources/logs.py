@@ -68,7 +68,3 @@ def read_leaf_features(spark: SparkSession, path: str, n_trees: int) -> DataFram
     schema = T.StructType([T.StructField("instance_id", T.LongType()), T.StructField("is_trade", T.IntegerType())]
                           + [T.StructField(f"xgb_{i}", T.IntegerType()) for i in range(1, n_trees + 1)])
     return read_log(spark, path, schema).drop("is_trade")
-
-
-def label_as_int(df: DataFrame, label: str = "is_trade") -> DataFrame:
-    return df.withColumn(label, F.coalesce(F.col(label), F.lit(0)).cast("int"))

@@ -4,7 +4,7 @@ The reference reads one wide impression/click log (27 columns, see
 ``clickfeat.schema.RAW_LOG``).  The test tables carry no such log, so every
 column is *derived* from them with plain expressions (``FIXTURES.md`` §3):
 the work of every query therefore grows with the tables.  The same
-derivations exist as DuckDB SQL in ``clickfeat.plans.oracle``.
+derivations exist as DuckDB SQL in ``clickfeat.plans.oracle_base``.
 """
 
 from __future__ import annotations
@@ -22,21 +22,9 @@ def _s(c):
     return c.cast("string")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Distribute a table stored in fewer files than the cluster has task
-    slots (the test tables are single files with one row group each, so a
-    scan is one task) by its natural key.  Tables in many files - any real
-    log - are left as they are: no exchange is added."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) < slots:
-        return df.repartition(slots, *keys)
-    return df
-
-
 def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` as the raw click log (one row per event, key ``instance_id``),
-    spread by ``user_id`` - the key every per-user window later partitions by."""
-    return events_to_log(spread(table(spark, sf_dir, "events"), "user_id"))
+    """``events`` as the raw click log (one row per event, key ``instance_id``)."""
+    return events_to_log(table(spark, sf_dir, "events"))
 
 
 def events_to_log(ev: DataFrame) -> DataFrame:

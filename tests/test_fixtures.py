@@ -54,21 +54,21 @@ def _clicks(spark, rows):
 
 def test_history(spark):
     df = _clicks(spark, [(1, 1, 20, 10, 0), (2, 1, 20, 20, 1), (3, 1, 20, 30, 0)])
-    out = df.select("instance_id", *W.gap_history_columns(["user_id", "day"], "", "history"))
+    out = W.add_history(df, ("day",))
     got = {r["instance_id"]: r["history"] for r in out.collect()}
     assert got == {1: "", 2: "0", 3: "01"}
 
 
 def test_history_masked_day(spark):
     df = _clicks(spark, [(1, 1, 24, 10, 1), (2, 1, 24, 20, 1)])
-    out = df.select("instance_id", *W.gap_history_columns(["user_id", "day"], "", "history", mask_day=24))
+    out = W.add_history(df, ("day",), mask_day=24)
     assert {r["instance_id"]: r["history"] for r in out.collect()} == {1: "", 2: "0"}
 
 
 def test_gaps(spark):
     df = _clicks(spark, [(1, 1, 20, 60, 0), (2, 1, 20, 180, 0), (3, 1, 20, 600, 0)])
-    out = df.select("instance_id", *W.gap_history_columns(["user_id", "day"], "", None)).orderBy("instance_id")
-    r = [tuple(x[1:]) for x in out.collect()]
+    out = W.add_gaps(df, scopes=("day",), with_history=False).orderBy("instance_id")
+    r = [tuple(x[-4:]) for x in out.collect()]
     assert r == [(None, 2.0, 9.0, 0.0), (2.0, 7.0, 7.0, 2.0), (7.0, None, 0.0, 9.0)]
 
 
@@ -115,7 +115,7 @@ def test_first_seen_codes(spark):
 
 
 def test_first_seen_codes_join_path(spark, monkeypatch):
-    monkeypatch.setattr(EN, "LITERAL_MAX_CODES", 0)
+    monkeypatch.setattr(EN, "BROADCAST_BYTES", 0)  # no broadcast hint
     df = spark.createDataFrame([(1, "b"), (2, "a"), (3, "b"), (4, None)], "t long, v string")
     out = EN.first_seen_codes(df, ["v"], ["t"], "_code").orderBy("t")
     assert [r["v_code"] for r in out.collect()] == [1, 2, 1, 3]
@@ -136,17 +136,18 @@ def test_negative_chunks(spark):
     assert sizes == [4, 4, 3]
 
 
-def test_group_sizes_paths_agree(spark):
+def test_group_sizes_paths_agree(spark, monkeypatch):
     rows = [(i, i % 3, i % 5, None if i == 7 else i % 2) for i in range(40)]
     df = spark.createDataFrame(rows, "instance_id long, user_id long, item_id long, lvl int")
     groups = {"a": ["user_id"], "b": ["user_id", "item_id"], "c": ["lvl"]}
-    lit = {r["instance_id"]: tuple(r[1:]) for r in
-           C.add_group_sizes(df, groups).select("instance_id", *groups).collect()}
-    big = {r["instance_id"]: tuple(r[1:]) for r in
-           C.add_group_sizes(df, groups, literal_max_keys=0).select("instance_id", *groups).collect()}
-    assert lit == big
-    assert lit[7][2] is None  # NULL key -> NULL size
-    assert lit[0] == (14, 3, 20)
+
+    def sizes(**kw):
+        return {r["instance_id"]: tuple(r[1:]) for r in C.add_group_sizes(df, groups, **kw).select("instance_id", *groups).collect()}
+    windows, cut, joined = sizes(), sizes(max_group_rows=4), sizes(population=df)
+    monkeypatch.setattr(C, "BROADCAST_BYTES", 0)
+    assert windows == cut == joined == sizes(population=df)
+    assert windows[7][2] is None  # NULL key -> NULL size
+    assert windows[0] == (14, 3, 20)
 
 
 def _skewed_log(spark):
@@ -156,13 +157,60 @@ def _skewed_log(spark):
     return df.withColumn("user_id", F.when(F.col("instance_id") % 3 == 0, F.lit(-1)).otherwise(F.col("user_id")))
 
 
+def _equal(a, b):
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
 def test_split_path_equals_windows_on_skew(spark):
     from clickfeat.operators import ordered as O
     df = _skewed_log(spark)
     for keys in (["user_id"], ["user_id", "day"], ["item_id", "user_id"]):
-        a = O.ordered_features(df, keys, max_group_rows=None)
-        b = O.ordered_features(df, keys, max_group_rows=0, partitions=7)
-        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+        _equal(O.ordered_features(df, keys, max_group_rows=None, anchor="user_id"),
+               O.ordered_features(df, keys, max_group_rows=20, anchor="user_id"))
+
+
+def test_split_path_null_keys_and_large_ids(spark):
+    """Ids near 2^62 beside NULL users stay apart; NULL users are one group."""
+    from clickfeat.operators import ordered as O
+    big = 1 << 62
+    rows = [(i, None if i % 14 == 0 else big + i % 4, i // 5, i % 3) for i in range(43)]
+    df = spark.createDataFrame(rows, "instance_id long, user_id long, context_timestamp long, day int")
+    for keys in (["user_id"], ["user_id", "day"]):
+        for cut in (0, 2, 5):
+            _equal(O.ordered_features(df, keys, max_group_rows=None), O.ordered_features(df, keys, max_group_rows=cut))
+
+
+def test_split_path_null_times(spark):
+    from clickfeat.operators import ordered as O
+    rows = [(i, i % 3, None if i % 10 == 3 else 100 - i // 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "instance_id long, user_id long, context_timestamp long")
+    for cut in (0, 3, 13):
+        _equal(O.ordered_features(df, ["user_id"], max_group_rows=None), O.ordered_features(df, ["user_id"], max_group_rows=cut))
+    day = df.withColumn("day", F.lit(1)).withColumn("item_id", F.lit(1))
+    _equal(W.add_recent_clicks(day, 5, max_group_rows=None), W.add_recent_clicks(day, 5, max_group_rows=3))
+
+
+def test_hot_null_user_is_cut(spark):
+    """100 rows, 90 of them without a user: the NULL group is measured and cut."""
+    from clickfeat.operators import ordered as O
+    df = spark.createDataFrame([(i, i if i < 10 else None, i) for i in range(100)], "instance_id long, user_id long, context_timestamp long")
+    _, chunked = O.split_anchors(df, "user_id", "context_timestamp", "instance_id", 20)
+    assert chunked.count() == 90 and chunked.select("__chunk").distinct().count() > 1
+
+
+def test_history_of_a_cut_user(spark):
+    df = _skewed_log(spark)
+    scopes = ("day", "all", "item")
+    _equal(W.add_history(df, scopes, chunk_rows=None), W.add_history(df, scopes, chunk_rows=20))
+
+
+def test_strict_prior_trade(spark):
+    rows = [(1, 7, 1, 10, 0), (2, 7, 1, 20, 1), (3, 7, 1, 20, 0), (4, 7, 1, 30, 1), (5, 8, 1, 5, 0), (6, None, 1, 9, 1), (7, 7, 2, 40, 0)]
+    df = spark.createDataFrame(rows, "instance_id long, user_id long, item_id long, context_timestamp long, is_trade int")
+    for cut in (None, 1):
+        out = PR.prior_trade(df, df, ["item_id", "user_id"], "show", "flag", strict=True, max_group_rows=cut)
+        got = {r["instance_id"]: (r["show"], r["flag"]) for r in out.collect()}
+        assert got == {1: (None, 1), 2: (1, 1), 3: (2, 0), 4: (3, 0), 5: (None, 1), 6: (None, 1), 7: (None, 1)}
 
 
 def test_gaps_and_ordinals_hot_scopes(spark):
@@ -174,24 +222,15 @@ def test_gaps_and_ordinals_hot_scopes(spark):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
-def test_prior_trade_windowed_equals_join(spark):
-    from clickfeat.plans.base import click_log
-    df = click_log(spark, "/root/testdata/sf0.001")
-    for p in ("cat", "shop", "item"):
-        keys, show, flag = PR.PRIOR_PAIRS[p]
-        a = PR.prior_trade(df, df.where("day < 24"), keys, show, flag).select("instance_id", show, flag)
-        b = PR.prior_trade_windowed(df, keys, show, flag, F.col("day") < 24).select("instance_id", show, flag)
-        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
-
-
-def test_group_trades_paths_agree(spark):
+def test_group_trades_paths_agree(spark, monkeypatch):
     rows = [(i, i % 3, i % 5, 1 if i % 7 == 0 else 0) for i in range(60)]
     df = spark.createDataFrame(rows, "instance_id long, user_id long, item_id long, is_trade int")
     groups = {"u": ["user_id"], "ui": ["user_id", "item_id"]}
     trades = {"u": "t_u", "ui": "t_ui"}
     cols = ["instance_id", "u", "ui", "t_u", "t_ui"]
     a = C.add_group_sizes(df, groups, label="is_trade", trades=trades).select(*cols)
-    b = C.add_group_sizes(df, groups, label="is_trade", trades=trades, literal_max_keys=0).select(*cols)
+    monkeypatch.setattr(C, "BROADCAST_BYTES", 0)
+    b = C.add_group_sizes(df, groups, label="is_trade", trades=trades).select(*cols)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     r = {x["instance_id"]: tuple(x[1:]) for x in a.collect()}
     # user 0: rows 0,3,…,57 (20); trades where i % 21 == 0 -> 0, 21, 42 (3)
@@ -221,7 +260,7 @@ def test_recent_counts_ties(spark):
     rows = [(1, 7, 100), (2, 7, 100), (3, 7, 3700), (4, 7, 3701), (5, 7, 9000)]
     df = spark.createDataFrame(rows, "instance_id long, user_id long, context_timestamp long")
     got = {r["instance_id"]: r["recent"] for r in
-           O.recent_counts(df, ["user_id"], 3600, max_group_rows=0, partitions=3).collect()}
+           O.recent_counts(df, ["user_id"], 3600, max_group_rows=1).collect()}
     # [t-3600, t]: 100 -> both ties; 3700 -> 100,100,3700; 3701 -> 3700,3701 (100 < 101)
     assert got == {1: 2, 2: 2, 3: 3, 4: 2, 5: 1}
 
@@ -236,21 +275,11 @@ def test_distinct_counts_exact_and_approx(spark):
     assert approx["b"] == 7 and approx["c"] == 3 and abs(approx["a"] - 200) <= 10
 
 
-def test_exclude_ids_paths(spark, monkeypatch):
+def test_exclude_ids_paths(spark):
     from clickfeat.operators import rows as R
     df = spark.createDataFrame([(i,) for i in range(50)], "instance_id long")
     ids = [1, 2, 3, 49]
     a = {r[0] for r in R.exclude_ids(df, ids).collect()}
-    monkeypatch.setattr(R, "INLIST_MAX", 2)  # force the broadcast anti-join
-    b = {r[0] for r in R.exclude_ids(df, ids).collect()}
     c = {r[0] for r in R.exclude_ids(df, spark.createDataFrame([(i,) for i in ids], "x long")).collect()}
-    assert a == b == c == set(range(50)) - set(ids)
-
-
-def test_group_sizes_by_join_equals_one_pass(spark):
-    rows = [(i, i % 3, i % 5, None if i == 7 else i % 2) for i in range(40)]
-    df = spark.createDataFrame(rows, "instance_id long, user_id long, item_id long, lvl int")
-    groups = {"a": ["user_id"], "b": ["user_id", "item_id"], "c": ["lvl"]}
-    x = C.add_group_sizes(df, groups).select("instance_id", *groups)
-    y = C.add_group_sizes_by_join(df, groups).select("instance_id", *groups)
-    assert x.exceptAll(y).count() == 0 and y.exceptAll(x).count() == 0
+    assert a == c == set(range(50)) - set(ids)
+    assert R.exclude_ids(df, []).count() == 50
