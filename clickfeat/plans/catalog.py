@@ -357,7 +357,7 @@ def _bins_sql(cols, suffix):
     return f"""b0 AS (SELECT * REPLACE (CASE WHEN shop_review_positive_rate = -1 THEN 0.0 ELSE shop_review_positive_rate END
                   AS shop_review_positive_rate) FROM flog),
 {mm},
-b1 AS (SELECT b0.*, {bins} FROM b0, mm)"""
+b1 AS MATERIALIZED (SELECT b0.*, {bins} FROM b0, mm)"""
 
 
 def _codes_sql(src, cols, keep, name):
@@ -365,7 +365,7 @@ def _codes_sql(src, cols, keep, name):
     ctes = [f"{name}_{i} AS ({_first_seen_sql(src, c, 'code')})" for i, c in enumerate(cols)]
     joins = " ".join(f"JOIN {name}_{i} ON a.{c} IS NOT DISTINCT FROM {name}_{i}.v" for i, c in enumerate(cols))
     out = ", ".join([f"a.{c}" for c in keep] + [f"{name}_{i}.code AS {c}" for i, c in enumerate(cols)])
-    return ",\n".join([*ctes, f"{name} AS (SELECT {out} FROM {src} a {joins})"])
+    return ",\n".join([*ctes, f"{name} AS MATERIALIZED (SELECT {out} FROM {src} a {joins})"])
 
 
 def _topk_cte(name, tokens_sql, k):
