@@ -215,8 +215,8 @@ KINDS = [
     ("ssn", r"(?<![\d-])\d{3}-\d\d-\d{4}(?!-?\d)", _ssn),
     ("phone", r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![-.]?\d)", _phone),
     ("phone", r"(?<!\d)\+\d{11,13}(?!\d)", _phone),
-    ("card", r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d]|[.-]\d)", _card),
-    ("card", r"(?<![\d.-])\d{13,19}(?!\d|[.-]\d)", _card),  # where a longer run of numbers is none
+    ("card", r"(?<!\d)(?<!\d[.-])\d{13,19}(?![.-]?\d)", _card),
+    ("card", r"(?<!\d)(?<!\d[.-])(?:\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?![ .-]?\d)", _card),
 ]
 _FIRST = re.compile(r"@[A-Za-z0-9]|\d[\d ().+/-]{6}|[0-9a-fA-F]{32}")
 

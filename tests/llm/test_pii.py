@@ -37,6 +37,14 @@ def test_values_change_within_their_format():
     assert [s[0] for s in P.pseudonymise(new)[1]] == kinds
 
 
+def test_neighbouring_numbers_are_told_apart():
+    good, bad = "4845168114407329", "7536784127813051"
+    assert P.luhn(good) and not P.luhn(bad)
+    new = P.pseudonymise(good)[0]
+    for t in (f"{bad} {good}", f"{good} {bad}", f"{good} 484", f"{bad}\n{good} {good}"):
+        assert P.pseudonymise(t)[0] == t.replace(good, new), t
+
+
 def test_same_value_same_pseudonym_other_key_another():
     a, b = P.pseudonymise("x 4485275742308327 y")[0], P.pseudonymise("4485275742308327")[0]
     assert a[2:18] == b and P.pseudonymise("4485275742308327", b"other")[0] != b
