@@ -127,7 +127,7 @@ def materialized_sizes(df: DataFrame, groups: dict[str, list[str]], label: str |
     """``group_size_table`` written once to the shared folder."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, "sizes")
     t = group_size_table(df, groups, label)
-    t.write.parquet(path)
+    t.sortWithinPartitions("g").write.parquet(path)
     return spark.read.schema(t.schema).parquet(path)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from clickfeat.session import ensure_checkpoint_dir
+from clickfeat.session import ensure_checkpoint_dir, scratch_path
 
 # A code table is broadcast up to so many measured bytes.
 BROADCAST_BYTES = 16 << 20
@@ -67,9 +67,11 @@ def first_seen_codes(df: DataFrame, cols: list[str], order: list[str], suffix: s
     if not cols:
         return df
     pop = df if population is None else population
-    ensure_checkpoint_dir(df.sparkSession)
     codes, nbytes = code_tables(pop, cols, order)
-    codes = codes.checkpoint(eager=True)
+    # numbered in (g, first) order: the files keep it, and each column's scan skips the others
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "codes")
+    codes.write.parquet(path)
+    codes = spark.read.schema(codes.schema).parquet(path)
     out, code = df, {}
     for i, c in enumerate(cols):
         t = codes.where(F.col("g") == i).select(F.col("v").alias(f"__v{i}"), F.col("code").alias(f"__c{i}"))

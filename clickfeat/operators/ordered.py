@@ -32,6 +32,13 @@ def _same(a: DataFrame, b: DataFrame, keys) -> list:
     return [a[k].eqNullSafe(b[k]) for k in keys]
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Dealt by ``keys`` into ``spark.sql.shuffle.partitions``: the many windows that
+    follow cost far more than their bytes suggest, so the partitions are not to
+    be merged by size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def split_anchors(df: DataFrame, anchor: str, ts: str, key: str, chunk_rows: int):
     """``(rows of ordinary anchors, rows of cut anchors with their __chunk or None)``."""
     sizes = df.groupBy(anchor).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > chunk_rows)
@@ -87,11 +94,11 @@ def add_scopes(df: DataFrame, specs: dict[str, tuple[list[str], tuple]], ts: str
     if any(anchor not in keys for keys, _ in specs.values()):
         raise ValueError(f"every scope must contain {anchor}")
     plain, chunked = (df, None) if chunk_rows is None else split_anchors(df, anchor, ts, key, chunk_rows)
-    out = _local(plain.repartition(F.col(anchor)), specs, ts, key, [])
+    out = _local(dealt(plain, anchor), specs, ts, key, [])
     if chunked is None:
         return out
     inner = {n: (k, tuple(dict.fromkeys([*w, *(["rn", "n"] if {"rn", "prev", "next"} & set(w) else [])]))) for n, (k, w) in specs.items()}
-    hot = _local(chunked.repartition(F.col(anchor), F.col("__chunk")), inner, ts, key, ["__chunk"])
+    hot = _local(dealt(chunked, anchor, "__chunk"), inner, ts, key, ["__chunk"])
     for name, (keys, wanted) in specs.items():
         tag = uuid.uuid4().hex[:6]
         s = _carried(chunked, keys, ts, key)

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from clickfeat.operators.ordered import CHUNK_ROWS, add_scopes, recent_counts, split_anchors
+from clickfeat.operators.ordered import CHUNK_ROWS, add_scopes, dealt, recent_counts, split_anchors
 
 # Scope -> (partition keys, column prefix, history column).
 SCOPES = {
@@ -62,10 +62,10 @@ def add_history(df: DataFrame, scopes, mask_day: int = 24, ts: str = "context_ti
             return F.array_join(F.collect_list(lab).over(w), "")
         return d.select("*", *[prior(defs[s][0]).alias(defs[s][2]) for s in scopes])
 
-    out = local(plain.repartition(F.col("user_id")), [])
+    out = local(dealt(plain, "user_id"), [])
     if chunked is None:
         return out
-    hot = local(chunked.repartition(F.col("user_id"), F.col("__chunk")), ["__chunk"])
+    hot = local(dealt(chunked, "user_id", "__chunk"), ["__chunk"])
     for i, scope in enumerate(scopes):
         keys, _, name = defs[scope]
         texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(ts), F.col(key), lab.alias("l")))), lambda x: x["l"]), "")
@@ -136,7 +136,7 @@ def add_recent_clicks(df: DataFrame, seconds: int = 3600, ts: str = "context_tim
     plain, chunked = (df, None) if max_group_rows is None else split_anchors(df, "user_id", ts, key, max_group_rows)
     rng = lambda *k: Window.partitionBy(*k).orderBy(t).rangeBetween(-seconds, 0)
     day = Window.partitionBy("user_id", "day")
-    out = plain.repartition(F.col("user_id")).select(
+    out = dealt(plain, "user_id").select(
         "*", F.count(F.lit(1)).over(rng("user_id")).cast("bigint").alias("clicks_last_hour"),
         F.count(F.lit(1)).over(rng("user_id", "item_id")).cast("bigint").alias("item_clicks_last_hour"),
         ((F.max(t).over(day) - F.min(t).over(day)) / 60.0).alias("day_span_minutes"))
