@@ -149,7 +149,7 @@ class _Pool:
     """Ids of the pieces that this worker process has met, by hash; forgotten
     all at once when there are too many.  A matter of speed only."""
 
-    LARGEST = 2_000_000
+    LARGEST = 1_000_000
 
     def __init__(self):
         self.hashes, self.order = np.zeros(0, np.uint64), np.zeros(0, np.int64)
