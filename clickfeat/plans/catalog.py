@@ -977,8 +977,11 @@ h4 AS (SELECT h.*, f.context_timestamp FROM ({_hist4_sql()}) h JOIN flog f USING
 
 @register("features_full", _full_sql())
 def q_features_full(spark, sf):
-    df = FT.full_features(click_log(spark, sf))
-    return _full_out(EN.first_seen_codes(df, EP.HISTORIES, ["context_timestamp", "instance_id"], "_code"))
+    log = click_log(spark, sf)
+    keys = sorted({k for sc in W.SCOPES.values() for k in sc[0]})
+    texts = W.add_history(log.select("instance_id", "context_timestamp", "is_trade", *keys), list(W.SCOPES))
+    df = EN.first_seen_codes(FT.full_features(log), EP.HISTORIES, ["context_timestamp", "instance_id"], "_code", population=texts)
+    return _full_out(df)
 
 
 # ------------------------------------------------------- pyspark.ml jobs (rows-only checks)

@@ -46,12 +46,12 @@ def full_features(df: DataFrame, holdout_day: int = 24, with_history: bool = Tru
     gaps = {f"__{s}": (W.SCOPES[s][0], ("prev", "next", "last", "first")) for s in W.SCOPES} if with_gaps else {}
     specs = {**gaps, **W.ordinal_specs(W.ORDINALS), **by_user}
     need = sorted({c for keys, _ in specs.values() for c in keys} | {"day"})
-    base = df.select(key, *need, ts, "is_trade")
-    win = add_scopes(base, specs, ts, key, chunk_rows=max_group_rows)
+    base = win = df.select(key, *need, ts, "is_trade")
+    if with_gaps and with_history:
+        win = W.add_history(win, list(W.SCOPES), holdout_day, ts, key, chunk_rows=max_group_rows)
+    win = add_scopes(win, specs, ts, key, chunk_rows=max_group_rows)
     cols = []
     if with_gaps:
-        if with_history:
-            win = W.add_history(win, list(W.SCOPES), holdout_day, ts, key, chunk_rows=max_group_rows)
         for s, (_, prefix, history) in W.SCOPES.items():
             cols += W.gap_columns(f"__{s}", prefix, ts) + ([F.col(history)] if with_history else [])
     cols += [C.size_column(g, ALL_COUNTS[g]) for g in ALL_COUNTS if f"__size_{g}" in by_user]
