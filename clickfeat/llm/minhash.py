@@ -231,7 +231,7 @@ def near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
     cells = staged(met.select("band", "node").join(hubs, "band").select("hub", "node").distinct(), "cells")
     # the full sets of all that met: their texts are read again
     wanted = classes.select("node", "doc_id", "n").join(central.select("node"), "node", "left_semi")
-    ids = wanted.select(F.col("doc_id").alias("__id")).distinct()
+    ids = wanted.select(F.col("doc_id").alias("__id")).distinct().hint("merge")  # the same plan at every size
     texts = docs.join(ids, docs["doc_id"] == ids["__id"], "left_semi").select("text")
     sets = texts.mapInArrow(_sets(k), "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles"))
     sets = staged(sets.join(wanted.select("node", "n"), "node"), "sets")
@@ -257,9 +257,10 @@ def one_of_each(docs: DataFrame, k: int = 5) -> DataFrame:
     they are.  Rows repeated under one ``doc_id`` are one document: the row with
     the least text hash stays.  Rows without a ``doc_id`` stay."""
     found = near_duplicates(docs, k).where("doc_id is not null")
+    # merge joins: the ids grow with the corpus, so the plan is the same at every size
     state = staged(found.groupBy(F.col("doc_id").alias("__id"))
                         .agg(F.max("kept").alias("__kept"), F.count(F.lit(1)).alias("__rows")), "kept")
-    once = docs.join(state.where("not __kept or __rows > 1").select("__id"), docs["doc_id"] == F.col("__id"), "left_anti")
+    once = docs.join(state.where("not __kept or __rows > 1").select("__id").hint("merge"), docs["doc_id"] == F.col("__id"), "left_anti")
     again = docs.join(state.where("__kept and __rows > 1").select("__id"), docs["doc_id"] == F.col("__id"), "left_semi")
     again = (again.groupBy(docs["doc_id"].alias("__id")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("__row"))
                   .select("__row.*"))
