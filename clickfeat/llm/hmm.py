@@ -52,7 +52,7 @@ def _batch_words(column):
 
 
 def _counted(batches):
-    for b in batches:
+    for b in (x.slice(lo, 4000) for x in batches for lo in range(0, x.num_rows, 4000)):
         low, s, e, h, _ = _batch_words(b.column(0))
         code, distinct = pd.factorize(h)
         some = np.empty(len(distinct), np.int64)
