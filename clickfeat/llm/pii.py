@@ -8,6 +8,12 @@ the result is valid), so the pseudonym has the same layout, passes the same chec
 is equal wherever the value is equal, in any document, while distinct values of a
 format stay distinct.  The network is its own inverse under the reversed rounds.
 
+A pattern finds where a value may begin; its admissible ends are tried (account
+numbers by their country's length, cards longest first, phone numbers by their
+country's usual length, then longest first), and what is no value may still hold
+one.  Not read: cards in other groups than fours, 4-6-4 and 4-6-5, national phone
+numbers in other groups than 3-3-4.
+
 Only rows that could hold anything are looked at closely; nothing is shuffled.
 """
 
@@ -23,6 +29,17 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 KEY = b"clickfeat pseudonyms"
 ROUNDS = 8
+#: characters of an account number by country; other countries may have 15 to 34
+IBAN_LENGTH = {c: n for n, cs in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU"}.items() for c in cs.split()}
+#: country codes of fewer than three digits
+CODES = {"1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
+#: digits after the country code, where (nearly) all numbers have as many
+OWN_DIGITS = {"1": 10, "7": 10, "27": 9, "30": 10, "31": 9, "33": 9, "34": 9, "41": 9, "44": 10, "45": 8, "47": 8, "48": 9, "52": 10, "61": 9,
+              "90": 10, "91": 10, "351": 9, "353": 9, "420": 9, "421": 9}
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("length", pa.int64())])
 
 
@@ -94,7 +111,7 @@ def _card(text, key, back):
 def _iban(text, key, back):
     t = text.replace(" ", "")
     value = lambda s: int("".join(str(int(c, 36)) for c in s[4:] + s[:4]))
-    if not 15 <= len(t) <= 34 or value(t) % 97 != 1:
+    if not 15 <= len(t) <= 34 or len(t) != IBAN_LENGTH.get(t[:2], len(t)) or value(t) % 97 != 1:
         return None
     body = t[4:]
     places = [i for i, c in enumerate(body) if c.isdigit()]
@@ -114,12 +131,21 @@ def _ssn(text, key, back):
     return _refill(text, f"{_walk(x, 10 ** 9, key, 'ssn', ok, back):09d}") if ok(x) else None
 
 
+def _code(digits: str) -> str:
+    """The country code at the head of an international number."""
+    return next((digits[:n] for n in (1, 2) if digits[:n] in CODES), digits[:3])
+
+
 def _phone(text, key, back):
-    d = _digits(text)
-    if not 10 <= len(d) <= 13:
+    a, zero, b = text.partition("(0)")  # which is not dialled from abroad and stays
+    d = _digits(a + b)
+    code = _code(d) if text[0] == "+" else ""  # stays
+    own = d[len(code):]
+    if not (8 <= len(d) <= 15 if code else len(d) == 10):
         return None
-    own = d[-10:]  # the country code stays
-    return _refill(text, d[:-10] + f"{permute(int(own), 10 ** 10, key, 'phone' + d[:-10], back):010d}")
+    fresh = code + f"{permute(int(own), 10 ** len(own), key, 'phone' + code, back):0{len(own)}d}"
+    n = len(_digits(a))
+    return _refill(a, fresh[:n]) + zero + _refill(b, fresh[n:])
 
 
 def _ipv4(text, key, back):
@@ -205,7 +231,11 @@ def _secret(text, key, back):
     return x if low else x.upper()
 
 
-#: kind, pattern, change; tried in this order at each place of a text
+NATIONAL = r"(?<![\d+])(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![-.]?\d)"
+GROUPED = r"(?<!\d)(?<!\d[.-])\d{4}(?:([ -])\d{4}(?:\1\d{1,7}){2,3}|([ -])\d{6}\2\d{4,5})"
+_LAYOUT = re.compile(r"\d{4}([ -])(?:\d{4}\1\d{4}\1(?:\d{1,7}|\d{4}\1\d{1,3})|\d{6}\1\d{4,5})")
+#: kind, pattern, change; tried in this order at each place of a text.  A value
+#: may end before its pattern does (``_ends``)
 KINDS = [
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])", _email),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
@@ -213,12 +243,53 @@ KINDS = [
     ("date", r"(?<![\d./-])(?:\d{4}([-/.])\d\d\1\d\d|\d\d([-/.])\d\d\2\d{4})(?![\d]|[./-]\d)", _date),
     ("ipv4", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)", _ipv4),
     ("ssn", r"(?<![\d-])\d{3}-\d\d-\d{4}(?!-?\d)", _ssn),
-    ("phone", r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![-.]?\d)", _phone),
-    ("phone", r"(?<!\d)\+\d{11,13}(?!\d)", _phone),
+    ("phone", r"(?<![\d+])\+[1-9]\d{0,14}(?:[ ./-]?(?:\(0\)|\(\d{2,5}\)|\d{1,14})){0,14}", _phone),
+    ("phone", NATIONAL, _phone),
     ("card", r"(?<!\d)(?<!\d[.-])\d{13,19}(?![.-]?\d)", _card),
-    ("card", r"(?<!\d)(?<!\d[.-])(?:\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?![ .-]?\d)", _card),
+    ("card", GROUPED, _card),
 ]
-_FIRST = re.compile(r"@[A-Za-z0-9]|\d[\d ().+/-]{6}|[0-9a-fA-F]{32}")
+_FIRST = re.compile(r"@[A-Za-z0-9]|\d[\d ().+/-]{6}|[0-9a-fA-F]{32}|[A-Z]{2}\d\d ?[A-Z0-9]{4}")
+_SEARCH = [(kind, re.compile(pattern), change) for kind, pattern, change in KINDS]
+_NATIONAL, _GROUPED = re.compile(NATIONAL), re.compile(GROUPED)
+
+
+def _iban_ends(text, a, b):
+    return [e for e in range(b, a + 14, -1) if text[e - 1] != " " and not (text[e:e + 1].isascii() and text[e:e + 1].isalnum())]
+
+
+def _card_ends(text, a, b):
+    # a card in groups of hyphens is not followed by one more, or by a fraction
+    after = re.compile(r"\d|[.-]\d" if text[a + 4] == "-" else r"\d|\.\d")
+    return [e for e in range(b, a + 14, -1) if text[e - 1].isdigit() and not after.match(text, e) and _LAYOUT.fullmatch(text, a, e)]
+
+
+def _phone_ends(text, a, b):
+    """Ends after 8 to 15 digits that do not cut another number; the country's
+    usual length first."""
+    digit = lambda i: text[i:i + 1].isdecimal()
+    starts = [i for i in range(a + 2, b) if (digit(i) or text[i] == "(") and not digit(i - 1) and text[i - 1] != "("]
+    others = [(m.start(), m.end()) for i in starts if (m := _NATIONAL.match(text, i))]
+    others += [(i, e) for i in starts if (m := _GROUPED.match(text, i))
+               for e in _card_ends(text, i, m.end()) if _card(text[i:e], KEY, False)]
+    found = []
+    for e in range(b, a + 7, -1):
+        d = _digits(text[a:e].replace("(0)", "", 1))
+        if (digit(e - 1) or text[e - 1] == ")") and text.count("(", a, e) == text.count(")", a, e) and not digit(e) and 8 <= len(d) <= 15:
+            if not any(i < e < end for i, end in others):
+                code = _code(d)
+                found.append((OWN_DIGITS.get(code) != len(d) - len(code), -e))
+    return [-e for _, e in sorted(found)]
+
+
+def _ends(kind, text, a, b):
+    """Where a value that begins at ``a`` may end, best first."""
+    if kind == "iban":
+        return _iban_ends(text, a, b)
+    if kind == "card" and not text[a:a + 5].isdigit():
+        return _card_ends(text, a, b)
+    if kind == "phone" and text[a] == "+":
+        return _phone_ends(text, a, b)
+    return [b]
 
 
 def pseudonymise(text: str, key: bytes = KEY, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
@@ -227,14 +298,21 @@ def pseudonymise(text: str, key: bytes = KEY, back: bool = False) -> tuple[str,
     if not _FIRST.search(text):
         return text, []
     new: list[tuple] = []  # sorted, without overlaps
-    for kind, pattern, change in KINDS:
-        for m in re.finditer(pattern, text):
-            i = bisect.bisect(new, (m.start(),))
-            if i < len(new) and new[i][0] < m.end() or i and new[i - 1][1] > m.start():
+    for kind, pattern, change in _SEARCH:
+        at = 0
+        while m := pattern.search(text, at):
+            a, at = m.start(), m.start() + 1  # what is no value may hold one
+            i = bisect.bisect(new, (a,))
+            if i and new[i - 1][1] > a:
                 continue
-            value = change(m[0], key, back)
-            if value is not None:
-                new.insert(i, (m.start(), m.end(), value, kind))
+            for end in _ends(kind, text, a, m.end()):
+                if i < len(new) and new[i][0] < end:
+                    continue
+                value = change(text[a:end], key, back)
+                if value is not None:
+                    new.insert(i, (a, end, value, kind))
+                    at = end
+                    break
     parts, at, spans = [], 0, []
     for a, b, value, kind in new:
         parts += [text[at:a], value]

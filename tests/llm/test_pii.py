@@ -45,6 +45,41 @@ def test_neighbouring_numbers_are_told_apart():
         assert P.pseudonymise(t)[0] == t.replace(good, new), t
 
 
+@pytest.mark.parametrize("value, kind, others", [
+    ("ES91 2100 0418 4502 0005 1332", "iban", ["{} BIC", "AB12 {} 1234 X", "{}"]),
+    ("BE68 5390 0754 7034", "iban", ["{} EUR", "{} 1234"]),
+    ("NO9386011117947", "iban", ["{} EUR", "{} {}"]),
+    ("4111 1111 1111 1111", "card", ["{} 12/26", "{} 123", "1234 {} 5", "{} 974 555", "{}"]),
+    ("4111-1111-1111-1111", "card", ["{} 12-26", "{}"]),
+    ("3782 822463 10005", "card", ["{} 12/26"]),
+    ("3056 930902 5904", "card", ["{}"]),
+    ("6304 0000 0000 0000 000", "card", ["{}"]),
+    ("+33 1 23 45 67 89", "phone", ["{}", "{} 12 rue", "{},"]),
+    ("+44 (0)20 7946 0958", "phone", ["{}", "({})"]),
+    ("+44 20 794 609 5800", "phone", ["{}"]),
+    ("+49 30 123456", "phone", ["{}", "{} x"]),
+    ("+4930123456", "phone", ["{}"]),
+    ("+35312345", "phone", ["{}"]),
+])
+def test_a_value_is_found_whatever_follows(value, kind, others):
+    new, spans = P.pseudonymise(value)
+    assert spans == [(kind, 0, len(value))] and new != value
+    for t in others:
+        assert P.pseudonymise(t.format(value, value))[0] == t.format(new, new), t
+        assert P.pseudonymise(t.format(new, new), back=True)[0] == t.format(value, value), t
+
+
+def test_two_values_in_a_row():
+    values = ["4111 1111 1111 1111", "5500 0000 0000 0004", "974 555 3436", "+49 30 1234567", "ES91 2100 0418 4502 0005 1332"]
+    for a in values:
+        for b in values:
+            assert P.pseudonymise(f"{a} {b}")[0] == f"{P.pseudonymise(a)[0]} {P.pseudonymise(b)[0]}", (a, b)
+    a, b = "+44 20 7946 0958", "+442079460958"
+    assert P._digits(P.pseudonymise(a)[0]) == P._digits(P.pseudonymise(b)[0])
+    for t in ("+1234567", "+1234567890123456", "ES91 2100 0418 4502 0005 1333 BIC", "4111 1111 1111 1112 12/26"):
+        assert P.pseudonymise(t) == (t, []), t
+
+
 def test_same_value_same_pseudonym_other_key_another():
     a, b = P.pseudonymise("x 4485275742308327 y")[0], P.pseudonymise("4485275742308327")[0]
     assert a[2:18] == b and P.pseudonymise("4485275742308327", b"other")[0] != b
