@@ -26,6 +26,7 @@ hashes); nothing is capped.
 from __future__ import annotations
 
 import hashlib
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -93,10 +94,10 @@ def _signed(k: int):
                     node.append(_node(s) if len(s) else None)
                     keys.append(band_keys(signature(s)) if len(s) else np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(node, pa.int64()), pa.array(n, pa.int64()),
+                    [part.column(0), part.column(2), pa.array(node, pa.int64()), pa.array(n, pa.int64()),
                      pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32),
                                               pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))],
-                    ["doc_id", "node", "n", "bands"])
+                    ["doc_id", "h", "node", "n", "bands"])
     return run
 
 
@@ -209,18 +210,16 @@ def _across(cells: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
              .sortWithinPartitions("hub", "i", "j").mapInArrow(_cells, "u long, v long"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
-    """``docs (doc_id, text, ...)`` -> one row per document: ``doc_id,
-    n_shingles, component_id, kept``.
-
-    Null and wordless texts have an empty set and no link.  A null ``doc_id``
-    is kept and belongs to no component (``component_id`` null); rows repeated
-    under one ``doc_id`` each get a row.  Other columns are ignored; an empty
-    table gives an empty result."""
-    docs = docs.select("doc_id", "text")
-    rows = staged(docs.mapInArrow(_signed(k), "doc_id long, node long, n long, bands array<long>"), "signed")
-    classes = staged(rows.where("n > 0 and doc_id is not null").groupBy("node")
-                         .agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands")),
+def _grouped(docs: DataFrame, k: int, linked) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``docs (doc_id, text)`` -> its rows (``doc_id``, text hash ``h``, ``node``,
+    ``n``), the classes of those where ``linked`` (a condition) holds with the
+    ``first`` of their rows by (id, text hash), null ids last, and the roots of
+    all classes that have a link."""
+    rows = staged(docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+                      .mapInArrow(_signed(k), "doc_id long, h long, node long, n long, bands array<long>"), "signed")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "h")
+    classes = staged(rows.where((F.col("n") > 0) & linked).groupBy("node")
+                         .agg(F.min(first).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands")),
                      "classes")
     banded = classes.select("node", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -230,9 +229,9 @@ def near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
     hubs = ranked.groupBy("band").agg(F.max("rank").alias("hub")).select("band", F.col("hub.node").alias("hub"))
     cells = staged(met.select("band", "node").join(hubs, "band").select("hub", "node").distinct(), "cells")
     # the full sets of all that met: their texts are read again
-    wanted = classes.select("node", "doc_id", "n").join(central.select("node"), "node", "left_semi")
-    ids = wanted.select(F.col("doc_id").alias("__id")).distinct().hint("merge")  # the same plan at every size
-    texts = docs.join(ids, docs["doc_id"] == ids["__id"], "left_semi").select("text")
+    wanted = classes.select("node", "first", "n").join(central.select("node"), "node", "left_semi")
+    named = wanted.select("first.id", "first.h").distinct().hint("merge")  # the same plan at every size
+    texts = docs.join(named, docs["doc_id"].eqNullSafe(named["id"]) & (F.xxhash64(docs["text"]) == named["h"]), "left_semi").select("text")
     sets = texts.mapInArrow(_sets(k), "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles"))
     sets = staged(sets.join(wanted.select("node", "n"), "node"), "sets")
     links = staged(_similar(cells.where("hub <> node").toDF("u", "v"), sets), "links")
@@ -240,6 +239,19 @@ def near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
     more = staged(_across(cells, roots, sets), "links")
     if not more.isEmpty():
         roots = staged(components(links.unionByName(more)), "roots")
+    return rows, classes, roots
+
+
+def near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
+    """``docs (doc_id, text, ...)`` -> one row per document: ``doc_id,
+    n_shingles, component_id, kept``.
+
+    Null and wordless texts have an empty set and no link.  A null ``doc_id``
+    is kept and belongs to no component (``component_id`` null); rows repeated
+    under one ``doc_id`` each get a row.  Other columns are ignored; an empty
+    table gives an empty result."""
+    rows, classes, roots = _grouped(docs.select("doc_id", "text"), k, F.col("doc_id").isNotNull())
+    classes = classes.select("node", F.col("first.id").alias("doc_id"))
     linked = classes.select("node", "doc_id").join(roots, "node")
     least = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     # every class with its component: a class without links is its own
@@ -253,15 +265,24 @@ def near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, k: int = 5) -> DataFrame:
-    """The rows of the documents that ``near_duplicates`` keeps, all columns as
-    they are.  Rows repeated under one ``doc_id`` are one document: the row with
-    the least text hash stays.  Rows without a ``doc_id`` stay."""
-    found = near_duplicates(docs, k).where("doc_id is not null")
-    # merge joins: the ids grow with the corpus, so the plan is the same at every size
-    state = staged(found.groupBy(F.col("doc_id").alias("__id"))
-                        .agg(F.max("kept").alias("__kept"), F.count(F.lit(1)).alias("__rows")), "kept")
-    once = docs.join(state.where("not __kept or __rows > 1").select("__id").hint("merge"), docs["doc_id"] == F.col("__id"), "left_anti")
-    again = docs.join(state.where("__kept and __rows > 1").select("__id"), docs["doc_id"] == F.col("__id"), "left_semi")
-    again = (again.groupBy(docs["doc_id"].alias("__id")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("__row"))
-                  .select("__row.*"))
+    """One row of each group of near-duplicate texts, all columns as they are:
+    the first by (``doc_id``, text hash), null ids last.
+
+    Rows are compared by their texts alone: a shared ``doc_id`` neither groups
+    nor removes rows, and rows without one are compared as all others.  Of rows
+    with equal id and text one stays, by a hash of its columns (maps and variants
+    left out).  Null and wordless texts have no near-duplicate and all stay."""
+    rows, classes, roots = _grouped(docs.select("doc_id", "text"), k, F.lit(True))
+    firsts = (classes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+                     .select(F.col("first.id").alias("__own"), F.col("first.h").alias("__first")))
+    texts = rows.where("n > 0").groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).agg(F.count(F.lit(1)).alias("__rows"))
+    # merge joins: the texts grow with the corpus, so the plan is the same at every size
+    own = F.col("__id").eqNullSafe(F.col("__own")) & (F.col("__h") == F.col("__first"))
+    state = staged(texts.join(firsts.hint("merge"), own, "left").select("__id", "__h", "__rows", F.col("__first").isNotNull().alias("__kept")), "kept")
+    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__h"))
+    once = docs.join(state.where("not __kept or __rows > 1").select("__id", "__h").hint("merge"), same, "left_anti")
+    again = docs.join(state.where("__kept and __rows > 1").select("__id", "__h"), same, "left_semi")
+    plain = [f.name for f in docs.schema if not {"map", "variant"} & set(re.findall(r"\w+", f.dataType.simpleString()))]
+    again = (again.groupBy(docs["doc_id"].alias("__id"), F.xxhash64(docs["text"]).alias("__h"))
+                  .agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*plain)).alias("__row")).select("__row.*"))
     return once.unionByName(again)

@@ -9,8 +9,8 @@ operators in a row, each stage written to the shared folder and read by the next
 5. packing: the pieces of all that is left, in sequences of 2048 tokens.
 
 Stages 1 to 4 return the columns of ``documents``.  Null texts, empty tables and
-extra columns go through; rows are named by ``doc_id``, so rows repeated under one
-id are one document to stage 2, which keeps rows without an id.
+extra columns go through.  Stage 2 compares rows by their texts alone: rows that
+share an id, or have none, are documents of their own.
 """
 
 from __future__ import annotations

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clickfeat.llm.components import components
-from clickfeat.llm.minhash import near_duplicates
+from clickfeat.llm.minhash import near_duplicates, one_of_each
 
 
 def lowered(t):
@@ -101,3 +101,24 @@ def test_a_cloud_of_near_copies(spark, monkeypatch, block):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute(rows, 4)
     assert result(df, 4) == want and 20 < len({v[1] for v in want.values()}) < 140
+
+
+def test_one_row_of_each_group_whatever_the_ids(spark):
+    text = lambda i: " ".join(f"t{i}w{j}" for j in range(60))
+    near = lambda i: text(i) + " tail"
+    rows = [(0, text(i)) for i in range(100)]  # a placeholder id: nothing in common
+    rows += [(1, text(200)), (7, text(200)), (7, text(201)), (8, near(201))]  # 7 holds a copy and a text of its own
+    rows += [(None, text(300)), (None, near(300)), (None, text(300)), (None, text(301)), (None, near(5)), (9, near(301))]
+    rows += [(10, text(400)), (10, text(400)), (10, near(400)), (11, None), (11, None), (None, ""), (None, "")]
+    df = spark.createDataFrame([(*r, {"a": i}, str(i)) for i, r in enumerate(rows)], "doc_id long, text string, node map<string,int>, __v string")
+    out = one_of_each(df, 5)
+    assert out.columns == df.columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    key = lambda r: (str(r[0]), str(r[1]))
+    of_400 = [r for r in got if r[0] == 10]
+    assert len(of_400) == 1
+    of_300 = [r for r in got if r[1] in (text(300), near(300))]
+    assert len(of_300) == 1
+    want = rows[:100] + [(1, text(200)), (7, text(201)), (9, near(301)), (11, None), (11, None), (None, ""), (None, ""), *of_400, *of_300]
+    assert sorted(got, key=key) == sorted(want, key=key)
+    assert one_of_each(df.limit(0), 5).count() == 0
