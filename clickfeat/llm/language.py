@@ -8,20 +8,25 @@ the text costs a coder that knows the language, and the cheapest language wins.
 Automata become one dense transition table, so a batch is parsed in lock step:
 every step moves all segments through all languages by one table lookup.  Texts
 are parsed whole, in segments of ``SEGMENT`` symbols; a phrase ends with its
-segment.  The reference is a bounded sample: at most ``REFERENCE`` bytes a
-language, ``TOTAL`` bytes in all, from documents in order of a hash of their id
-(short ones first, so that they enter whole).
+segment.  The reference is a bounded sample: ``REFERENCE`` symbols a language as
+far as its texts go, ``TOTAL`` in all (a symbol is a byte, or a run of ASCII other
+than letters).  Texts are cut into pieces of ``PIECE`` bytes; distinct pieces with a
+letter enter in order of a hash of their content, all first pieces before any
+second one, so that no long or repeated text fills it alone.  Of a text, the first
+``REFERENCE`` characters can enter.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from clickfeat.llm.text import raw
 
-REFERENCE, TOTAL, SAMPLE_DOCS = 16_384, 131_072, 64
+REFERENCE, TOTAL, PIECE = 16_384, 131_072, 1024
 SEGMENT = 2048
 GAP, BREAK, SYMBOLS = 26, 91, 92  # any run of other ASCII; between reference texts
 NEW = 1 << 30  # set in a transition that begins a phrase
@@ -125,24 +130,6 @@ class Model:
         return out
 
 
-def learn(docs: DataFrame) -> Model:
-    """The model of ``docs (doc_id, text, lang)``; rows without text or lang are
-    left out."""
-    some = docs.where("text is not null and lang is not null and length(text) > 0")
-    w = Window.partitionBy("lang").orderBy(F.octet_length("text") > REFERENCE // 16, F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    rows = (some.select("lang", "text", F.row_number().over(w).alias("r")).where(F.col("r") <= SAMPLE_DOCS)
-                .select("lang", "r", F.encode(F.substring("text", 1, REFERENCE), "utf-8").alias("text")).orderBy("lang", "r").toArrow())
-    found: dict[str, list] = {}
-    share = min(REFERENCE, TOTAL // max(1, len(set(rows["lang"].to_pylist()))))
-    for language, text in zip(rows["lang"].to_pylist(), rows["text"].to_pylist()):
-        own = found.setdefault(language, [])
-        left = share - sum(len(x) for x in own)
-        b = np.frombuffer(text, np.uint8)
-        if left > 0:
-            own.append(symbols(b, np.array([0, len(b)]))[0][:left])
-    return Model(found)
-
-
 def _has_letter(buf, offsets):
     ascii_ = np.concatenate([[0], np.cumsum(((buf | 32) >= 97) & ((buf | 32) <= 122))])[offsets]
     high = np.concatenate([[0], np.cumsum(buf >= 0x80)])[offsets]
@@ -152,6 +139,88 @@ def _has_letter(buf, offsets):
     return found
 
 
+class _Sample:
+    """The first distinct pieces of every language by (number in its text, hash)
+    up to its share of symbols.  Those of all rows are among those of any parts."""
+
+    def __init__(self):
+        self.pieces: dict[str, set] = {}
+        self.last: dict[str, tuple] = {}  # of a full language
+
+    def add(self, language: str, number: int, piece: bytes) -> bool:
+        """False where neither this piece nor a later one of its text can enter."""
+        last = self.last.get(language)
+        if last is not None and number > last[0]:
+            return False
+        key = (number, hashlib.blake2b(piece, digest_size=8).digest(), piece)
+        if last is None or key < last:
+            self.pieces.setdefault(language, set()).add(key)
+        return True
+
+    def cut(self) -> dict[str, list[np.ndarray]]:
+        """Drops what is beyond the share; the references."""
+        out = {}
+        for language in sorted(self.pieces):
+            kept, known, texts, size = [], set(), [], 0
+            for key in sorted(self.pieces[language]):
+                b = np.frombuffer(key[2], np.uint8)
+                bounds = np.array([0, len(b)])
+                if key[2] in known or not _has_letter(b, bounds)[0]:
+                    continue
+                known.add(key[2])
+                texts.append(symbols(b, bounds)[0])
+                kept.append(key)
+                size += len(texts[-1])
+                if size >= REFERENCE:
+                    self.last[language] = key
+                    break
+            self.pieces[language] = set(kept)
+            if texts:
+                out[language] = texts
+        self.pieces = {k: v for k, v in self.pieces.items() if v}
+        share = max(1, min(REFERENCE, TOTAL // max(1, len(out))))
+        for language, texts in out.items():
+            size = np.cumsum([len(x) for x in texts])
+            n = int(np.searchsorted(size, share)) + 1
+            if n <= len(texts):
+                key = sorted(self.pieces[language])[n - 1]
+                self.pieces[language] = {k for k in self.pieces[language] if k <= key}
+                self.last[language] = key
+                out[language] = [*texts[:n - 1], texts[n - 1][:share - (int(size[n - 2]) if n > 1 else 0)]]
+        return out
+
+
+def _sampled(batches):
+    """Rows ``(lang, number, text)``: whole texts (number null) or their pieces."""
+    sample = _Sample()
+    for b in batches:
+        for lo in range(0, b.num_rows, 2000):
+            for language, number, text in zip(*(c.to_pylist() for c in b.slice(lo, 2000).columns)):
+                if number is not None:
+                    sample.add(language, number, text)
+                    continue
+                for i in range(0, len(text), PIECE):
+                    if not sample.add(language, i // PIECE, text[i:i + PIECE]):
+                        break
+            sample.cut()
+    rows = [(language, key[0], key[2]) for language, keys in sample.pieces.items() for key in keys]
+    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.binary()))],
+                                     ["lang", "number", "text"])
+
+
+def learn(docs: DataFrame) -> Model:
+    """The model of ``docs (doc_id, text, lang)``; rows without text or lang and
+    pieces without a letter are left out."""
+    texts = docs.where("text is not null and lang is not null").select(
+        "lang", F.lit(None).cast("int").alias("number"), F.encode(F.substring("text", 1, REFERENCE), "utf-8").alias("text"))
+    names = "lang string, number int, text binary"
+    rows = texts.mapInArrow(_sampled, names).repartition("lang").mapInArrow(_sampled, names).toArrow()  # at most the references
+    sample = _Sample()
+    for row in zip(*(rows[c].to_pylist() for c in ("lang", "number", "text"))):
+        sample.add(*row)
+    return Model(sample.cut())
+
+
 def _predicted(model):
     def run(batches):
         m: Model = model.value

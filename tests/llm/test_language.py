@@ -52,3 +52,19 @@ def test_edges(spark):
 def test_any_bytes_have_symbols():
     s, _ = L.symbols(np.arange(256, dtype=np.uint8), np.array([0, 256]))
     assert s.max() < L.BREAK
+
+
+def test_the_reference_is_filled_whatever_the_texts(spark):
+    """Short texts, one of them copied most often, letterless ones and one long text."""
+    word = lambda i: "".join(chr(97 + i // 26 ** j % 26) for j in range(4))
+    short = [" ".join(word(i * 7 + j * 131) for j in range(6)) for i in range(2000)]
+    rows = [("aa", short[0])] * 3000 + [("aa", t) for t in short] + [("aa", f"{i} 12 !") for i in range(500)]
+    rows += [("bb", " ".join(short)), ("bb", "kurz und gut"), ("cc", "nur dies"), ("cc", "nur dies"), ("dd", "12 34")]
+    df = spark.createDataFrame([(i, t, l) for i, (l, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    a, b = (L.learn(df.repartition(n)) for n in (1, 5))
+    assert a.languages == ["aa", "bb", "cc"] and (a.table == b.table).all()
+    # the length is counted with a break after each text
+    assert all(2 ** bits >= L.REFERENCE for bits in a.bits[:2]) and round(2 ** a.bits[2]) == len("nur dies") + 1
+    held = [t for t in short[1:]]
+    aa = a.phrases(*L.symbols(*raw(pa.array(held))))[:, 0]
+    assert (aa == 1).sum() > 400  # whole texts that the reference holds
