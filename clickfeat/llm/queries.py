@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
-from clickfeat.llm import chat, hmm, language, pii, toxicity, urls, vafile
+from clickfeat.llm import chat, hmm, language, pii, structure, toxicity, urls, vafile
 from clickfeat.llm.common import fold, read
 from clickfeat.llm.decontaminate import decontaminate, joined_digest
 from clickfeat.llm.minhash import near_duplicates
@@ -84,6 +86,16 @@ def op10_minhash(spark, sf_dir):
     return near_duplicates(read(spark, sf_dir, "documents"), k=4).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_structure(spark, sf_dir):
+    """All conversations, damaged by rule and repaired."""
+    rows = read(spark, sf_dir, "conversations")
+    done = structure.digests(structure.repair(structure.damaged(rows)))
+    every = rows.select(F.col("conv_id").alias("id")).distinct()
+    zero = {**{c: 0 for c in structure.NUMBERS}, "audit": "", "repaired_sha256": hashlib.sha256().hexdigest()}
+    return every.join(done, F.col("id").eqNullSafe(F.col("conv_id")), "left").select(
+        F.col("id").alias("conv_id"), *[F.coalesce(c, F.lit(v)).alias(c) for c, v in zero.items()])
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_topk": op2_topk,
@@ -95,4 +107,5 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_decontaminate": op9_decontaminate,
     "op10_minhash": op10_minhash,
+    "op11_structure": op11_structure,
 }
