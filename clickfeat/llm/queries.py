@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from clickfeat.llm import chat, hmm, language, pii, structure, toxicity, urls, vafile
 from clickfeat.llm.common import fold, read
 from clickfeat.llm.decontaminate import decontaminate, joined_digest
+from clickfeat.llm.divergence import divergence
 from clickfeat.llm.minhash import near_duplicates
 from clickfeat.llm.packing import pack
 
@@ -96,6 +97,11 @@ def op11_structure(spark, sf_dir):
         F.col("id").alias("conv_id"), *[F.coalesce(c, F.lit(v)).alias(c) for c, v in zero.items()])
 
 
+def op12_divergence(spark, sf_dir):
+    """Each source of each language against the others, and its own terms."""
+    return divergence(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_topk": op2_topk,
@@ -108,4 +114,5 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_minhash": op10_minhash,
     "op11_structure": op11_structure,
+    "op12_divergence": op12_divergence,
 }

@@ -30,6 +30,8 @@ def _table(separators) -> np.ndarray:
 SPACED = _table([0x20, *range(0x09, 0x0E)])
 #: ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z
 ALNUM = _table([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
+#: ``[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+``
+LETTERS = _table([*range(0x00, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
