@@ -12,6 +12,7 @@ from clickfeat.llm.decontaminate import decontaminate, joined_digest
 from clickfeat.llm.divergence import divergence
 from clickfeat.llm.minhash import near_duplicates
 from clickfeat.llm.packing import pack
+from clickfeat.llm.repeats import remove_repeats
 
 
 def byte_bpe() -> str:
@@ -102,6 +103,14 @@ def op12_divergence(spark, sf_dir):
     return divergence(read(spark, sf_dir, "documents"))
 
 
+def op13_repeats(spark, sf_dir):
+    """All documents without what repeats over 200 bytes."""
+    left = F.length("kept").cast("long")
+    return remove_repeats(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - left).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_topk": op2_topk,
@@ -115,4 +124,5 @@ QUERIES = {
     "op10_minhash": op10_minhash,
     "op11_structure": op11_structure,
     "op12_divergence": op12_divergence,
+    "op13_repeats": op13_repeats,
 }
