@@ -33,6 +33,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from clickfeat.llm.collection import repeated
@@ -201,26 +202,31 @@ def _spans(length: int):
     """Texts and the repeated windows of their pieces -> what goes and what stays."""
     def remove(batches):
         for batch in batches:
-            out = []
-            texts, marks = batch.column("bytes"), batch.column("marks")
-            for k in range(batch.num_rows):
-                text, spans = texts[k].as_py(), []
-                size = len(text)
-                if marks[k].is_valid:
-                    items = marks.slice(k, 1).flatten()
-                    hit = np.zeros(size + 1, np.int32)
-                    for at, bits in zip(items.field("at").to_numpy(), items.field("bits").to_pylist()):
-                        s = int(at) + np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little"))
-                        hit[s] += 1
-                        hit[s + length] -= 1
-                    gone = np.cumsum(hit[:-1]) > 0
-                    edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
-                    spans = [{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2])]
-                    text = np.frombuffer(text, np.uint8)[~gone].tobytes()
-                out.append((size, spans, text))
-            n, spans, kept = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                                              pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+            for part in _slices(batch, "bytes"):
+                buf, offsets = raw(part.column("bytes"))
+                marks = part.column("marks")
+                item, row = marks.flatten(), np.repeat(np.arange(part.num_rows), pc.fill_null(pc.list_value_length(marks), 0).to_numpy(zero_copy_only=False))
+                bits, ends = raw(item.field("bits"))
+                hit = np.flatnonzero(np.unpackbits(bits, bitorder="little"))
+                of = np.searchsorted(ends * 8, hit, "right") - 1
+                at = (offsets[:-1][row] + item.field("at").to_numpy())[of] + hit - ends[of] * 8
+                n = len(buf) + 1
+                gone = np.cumsum(np.bincount(at, minlength=n) - np.bincount(at + length, minlength=n)) > 0
+                total = np.concatenate([[0], np.cumsum(gone)])
+                first, last = gone[:-1].copy(), gone[:-1].copy()
+                first[1:] &= ~gone[:-2]
+                last[:-1] &= ~gone[1:-1]
+                inner = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(buf))]
+                first[inner] = gone[inner]
+                last[inner - 1] = gone[inner - 1]
+                start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+                cut = np.searchsorted(start, offsets)
+                shift = np.repeat(offsets[:-1], np.diff(cut))
+                spans = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.StructArray.from_arrays([pa.array(start - shift), pa.array(end - shift)], ["start", "end"]))
+                left = (offsets - total[offsets]).astype(np.int64)
+                kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(left), pa.py_buffer(buf[~gone[:-1]])])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets)), spans, kept.cast(pa.binary())],
+                                                 names=["doc_id", "n_bytes", "spans", "kept"])
     return remove
 
 
@@ -232,7 +238,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     marks, found = None, texts.select("rid", F.lit(0).cast("long").alias("base"), "bytes").mapInArrow(_cutter(length, WIDTHS[0]), PIECE)
     for width, finer in zip(WIDTHS, [*WIDTHS[1:], None]):
         found = staged(found, "pieces")
-        keys = found.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+        # a table of its own, so that the join is between two plain shuffles and hot keys are split
+        keys = staged(found.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "keys")
         found = staged(found.join(keys, "key", "left_semi"), "repeated-keys")
         one = F.struct("rid", "at", "n")
         classes = staged(found.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("count"), F.min(one).alias("one")), "classes")
