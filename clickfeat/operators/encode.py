@@ -2,25 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from clickfeat.session import ensure_checkpoint_dir, scratch_path
+from clickfeat.session import scratch_path
 
 # A code table is broadcast up to so many measured bytes.
 BROADCAST_BYTES = 16 << 20
+# The codes of a column with at most so many values are written into the plan.
+LITERAL_CODES = 128
 _POS_BITS = 33  # monotonically_increasing_id: partition index << 33 | row position
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """The rows written once to the shared scratch folder and read back."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def consecutive_index(df: DataFrame, order: list, name: str = "idx") -> DataFrame:
     """Number the rows 1..n in ``order`` without a single-partition window.
 
     ``orderBy`` range-partitions and sorts in parallel; within a partition
     ``monotonically_increasing_id`` is ``pid << 33 | position``; the rows
-    before every partition are joined on the partition number.  The sorted frame is checkpointed to
-    the shared folder first so both passes see the same partitioning.
+    before every partition are joined on the partition number.  The sorted frame
+    is written to the shared folder first so both passes see the same
+    partitioning.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    s = df.orderBy(*order).select("*", F.monotonically_increasing_id().alias("__mid")).checkpoint(eager=True)
+    s = staged(df.orderBy(*order).select("*", F.monotonically_increasing_id().alias("__mid")), "sorted")
     pid = F.shiftright(F.col("__mid"), _POS_BITS)
     # rows before each partition: one row a partition
     sizes = s.groupBy(pid.alias("__pid")).agg(F.count(F.lit(1)).alias("__n"))
@@ -31,51 +40,105 @@ def consecutive_index(df: DataFrame, order: list, name: str = "idx") -> DataFram
              .select(*[c for c in s.columns if c != "__mid"], (F.col("__before") + pos + 1).cast("bigint").alias(name)))
 
 
-def code_tables(pop: DataFrame, cols: list[str], order: list[str]) -> tuple[DataFrame, dict]:
-    """First-appearance codes of the distinct values of every column, in one pass.
+def value_table(pop: DataFrame, cols: list[str], order: list[str], label: str | None = None) -> DataFrame:
+    """The distinct values of every column, in one pass: ``(g, v, first)`` - column
+    position, value as string (NULL kept as a value), least ``order`` - and with
+    ``label`` its rows ``Neg`` and ``Pos``.
 
-    ``(g, v, code)`` rows (``g`` = column position, ``v`` = value as string,
-    NULL kept as a value) plus the bytes of every column's table.  One unpivot ->
-    one ``groupBy(g, v).agg(min(order))`` (partial aggregation: a value
-    holding a third of the rows is one row per task) -> one distributed
-    numbering over ``(g, first)``; a column's codes are its numbers minus the
-    column's first number.  Only #columns rows reach the driver.
+    One unpivot -> one ``groupBy(g, v)`` (partial aggregation: a value holding a
+    third of the rows is one row per task), written to the shared folder.
     """
     args = ", ".join(f"{i}, CAST(`{c}` AS STRING)" for i, c in enumerate(cols))
-    first = F.struct(*[F.col(o) for o in order]).alias("__o")
-    long = pop.select(first, F.expr(f"stack({len(cols)}, {args}) AS (g, v)"))
-    dv = long.groupBy("g", "v").agg(F.min("__o").alias("__first"))
-    num = consecutive_index(dv, ["g", "__first"], "__idx")
+    long = pop.select(_one_order(pop, order).alias("__o"), *([F.col(label).alias("__y")] if label else []),
+                      F.expr(f"stack({len(cols)}, {args}) AS (g, v)"))
+    counts = []
+    if label:
+        counts = [F.sum(F.when(F.col("__y") == 1, 0).otherwise(1)).cast("bigint").alias("Neg"),
+                  F.sum(F.when(F.col("__y") == 1, 1).otherwise(0)).cast("bigint").alias("Pos")]
+    return staged(long.groupBy("g", "v").agg(F.min("__o").alias("first"), *counts), "values")
+
+
+def _one_order(df: DataFrame, order: list[str]) -> Column:
+    """``order`` as one value.  The least struct of a group is found by sorting, the
+    least decimal by hashing, so up to two integers become a decimal (NULL first);
+    the first of two must be below 10^18, which overflow would report."""
+    kinds = dict(df.dtypes)
+    if len(order) > 2 or any(kinds.get(o) not in ("tinyint", "smallint", "int", "bigint") for o in order):
+        return F.struct(*[F.col(o) for o in order])
+    above = 1 << 63  # 64-bit integers from 1 on, 0 for NULL
+    place = [F.coalesce(F.col(o).cast("decimal(20,0)") + F.lit(str(above + 1)).cast("decimal(20,0)"), F.lit(0).cast("decimal(21,0)")) for o in order]
+    if len(place) == 1:
+        return place[0].cast("decimal(38,0)")
+    # times are small: 18 digits; the second takes 20
+    head = F.coalesce(F.col(order[0]).cast("decimal(18,0)"), F.lit("-" + "9" * 18).cast("decimal(18,0)"))
+    return (head * F.lit("1" + "0" * 20).cast("decimal(21,0)") + place[1]).cast("decimal(38,0)")
+
+
+def _sizes(values: DataFrame) -> dict:
+    """Number of values and bytes of the codes of every column."""
     width = F.coalesce(F.octet_length("v"), F.lit(0)) + F.lit(24)
-    stats = num.groupBy("g").agg(F.min("__idx").alias("start"), F.sum(width).alias("b")).collect()
-    start, nbytes = {r["g"]: r["start"] for r in stats}, {r["g"]: r["b"] for r in stats}
-    m = (F.create_map(*[x for g, st in start.items() for x in (F.lit(g), F.lit(st))]) if start
-         else F.create_map().cast("map<int,bigint>"))
-    codes = num.select("g", "v", (F.col("__idx") - F.element_at(m, F.col("g")) + 1).cast("bigint").alias("code"))
-    return codes, nbytes
+    return {r["g"]: r for r in values.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("b")).collect()}
+
+
+def numbered_values(values: DataFrame, sizes: dict | None = None) -> DataFrame:
+    """``code``: the place of every value in the first-appearance order of its
+    column.  The values of a column of up to ``BROADCAST_BYTES`` (measured) are
+    ranked in one task; those of the others by one distributed numbering over
+    ``(g, first)``, a column's codes being its numbers minus the column's first."""
+    sizes = _sizes(values) if sizes is None else sizes
+    wide = [g for g, r in sizes.items() if r["b"] > BROADCAST_BYTES]
+    rank = F.row_number().over(Window.partitionBy("g").orderBy("first")).cast("bigint")
+    near = values.where(~F.col("g").isin(wide) if wide else F.lit(True)).withColumn("code", rank)
+    if not wide:
+        return near
+    num = consecutive_index(values.where(F.col("g").isin(wide)), ["g", "first"], "__idx")
+    start = {r["g"]: r["s"] for r in num.groupBy("g").agg(F.min("__idx").alias("s")).collect()}
+    m = F.create_map(*[x for g, st in start.items() for x in (F.lit(g), F.lit(st))])
+    return near.unionByName(num.withColumn("code", (F.col("__idx") - F.element_at(m, F.col("g")) + 1).cast("bigint")).drop("__idx"))
+
+
+def _looked_up(column: str, kind: str, codes: dict) -> Column:
+    """``column``'s code by a constant map inside the projection."""
+    exact, c = kind in ("tinyint", "smallint", "int", "bigint"), F.col(column)
+    known = [(v, n) for v, n in codes.items() if v is not None]
+    found = F.lit(None).cast("bigint")
+    if known and exact:
+        found = F.element_at(F.expr("map(" + ", ".join(f"{v}L, {n}L" for v, n in known) + ")"), c.cast("bigint"))
+    elif known:
+        found = F.element_at(F.create_map(*[F.lit(x) for pair in known for x in pair]), c.cast("string")).cast("bigint")
+    return F.when(c.isNull(), F.lit(codes.get(None)).cast("bigint")).otherwise(found)
 
 
 def first_seen_codes(df: DataFrame, cols: list[str], order: list[str], suffix: str = "",
-                     population: DataFrame | None = None) -> DataFrame:
+                     population: DataFrame | None = None, values: DataFrame | None = None) -> DataFrame:
     """E1 (and E2 with ``population`` = train ∪ test): values -> 1..n by first
     appearance in ``order``; NULL is a value and gets its own code.
 
-    All columns share one distinct-value pass and one numbering
-    (``code_tables``); each is joined back null-safely, broadcast where the
-    measured bytes of its codes allow it.
+    All columns share one distinct-value pass (``value_table``, or the one given).
+    Columns of at most ``LITERAL_CODES`` values - most are levels - are looked up
+    in constant maps in one projection.  The others share one numbering, and
+    each is joined null-safely, broadcast where the measured bytes of its codes
+    allow it.
     """
     if not cols:
         return df
-    pop = df if population is None else population
-    codes, nbytes = code_tables(pop, cols, order)
-    # numbered in (g, first) order: the files keep it, and each column's scan skips the others
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, "codes")
-    codes.write.parquet(path)
-    codes = spark.read.schema(codes.schema).parquet(path)
-    out, code = df, {}
+    values = value_table(df if population is None else population, cols, order) if values is None else values
+    sizes = _sizes(values)
+    small = [g for g in range(len(cols)) if g not in sizes or sizes[g]["n"] <= LITERAL_CODES]
+    of = {g: {} for g in small}
+    if small:  # at most LITERAL_CODES rows a column
+        few = values.where(F.col("g").isin(small)).select("g", "v", "first")
+        for r in numbered_values(few, {g: r for g, r in sizes.items() if g in of}).collect():
+            of[r["g"]][r["v"]] = r["code"]
+    left = {g: r for g, r in sizes.items() if g not in of}
+    codes = numbered_values(values.where(F.col("g").isin(list(left))).select("g", "v", "first"), left).drop("first") if left else None
+    out, code, kinds = df, {}, dict(df.dtypes)
     for i, c in enumerate(cols):
+        if i in of:
+            code[c] = _looked_up(c, kinds[c], of[i])
+            continue
         t = codes.where(F.col("g") == i).select(F.col("v").alias(f"__v{i}"), F.col("code").alias(f"__c{i}"))
-        if nbytes.get(i, 0) <= BROADCAST_BYTES:
+        if sizes[i]["b"] <= BROADCAST_BYTES:
             t = F.broadcast(t)
         out = out.join(t, F.col(c).cast("string").eqNullSafe(F.col(f"__v{i}")), "left")
         code[c] = F.col(f"__c{i}")

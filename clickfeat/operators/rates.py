@@ -86,6 +86,21 @@ def feature_value_table(df: DataFrame, scalar_fields: list[str], list_fields: li
                      F.round(F.col("Pos") / F.col("Total"), 5).alias("Ratio")))
 
 
+def coded_value_table(values: DataFrame, df: DataFrame, scalar_fields: list[str], list_fields: list[str] | None = None,
+                      label: str = "is_trade", min_total: int = 10) -> DataFrame:
+    """G8/K3 for first-seen codes, out of the fields' raw values: the statistics of a
+    code are those of its value, so ``values`` (``encode.value_table`` with label,
+    of ``scalar_fields``) are counted first and only the distinct values are
+    numbered; no row of the log is encoded or joined.  The elements of
+    ``list_fields`` are counted in ``df`` as they are."""
+    from clickfeat.operators.encode import numbered_values
+    name = F.element_at(F.array(*[F.lit(f) for f in scalar_fields]), F.col("g") + 1)
+    total = (F.col("Neg") + F.col("Pos")).alias("Total")
+    coded = numbered_values(values).select(name.alias("Field"), F.col("code").cast("string").alias("Value"), "Neg", "Pos", total)
+    coded = coded.where(F.col("Total") >= min_total).select("*", F.round(F.col("Pos") / F.col("Total"), 5).alias("Ratio"))
+    return coded.unionByName(feature_value_table(df, [], list_fields, label, min_total)) if list_fields else coded
+
+
 def frequent_features(table: DataFrame, threshold: int = 10) -> DataFrame:
     """``Field-Value`` names of rows with ``Total >= threshold``."""
     return table.where(F.col("Total") >= threshold).select(

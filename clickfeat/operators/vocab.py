@@ -12,6 +12,8 @@ codegen with no join at all.
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clickfeat.session import scratch_path
@@ -66,21 +68,42 @@ def _lit_array(vocab: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in vocab]).cast("array<string>")
 
 
+def _members(tokens: Column, vocab: list[str]) -> Column:
+    """The row's distinct vocabulary tokens.  ``isin`` over constants is a constant
+    hash set, built once a task, so the cost of a row does not depend on the
+    vocabulary's size."""
+    if not vocab:
+        return F.array().cast("array<string>")
+    return F.array_distinct(F.filter(tokens, lambda t: t.isin(vocab)))
+
+
 def overlap_count(tokens: Column, vocab: list[str]) -> Column:
     """A5: size of (row token set ∩ vocabulary)."""
-    return F.size(F.array_intersect(tokens, _lit_array(vocab)))
+    return F.size(_members(tokens, vocab))
 
 
 def overlap_string(tokens: Column, vocab: list[str], sep: str = ";") -> Column:
     """The intersection, sorted, joined (encode it with ``first_seen_codes``)."""
-    return F.array_join(F.array_sort(F.array_intersect(tokens, _lit_array(vocab))), sep)
+    return F.array_join(F.array_sort(_members(tokens, vocab)), sep)
 
 
 def overlap_ranks(tokens: Column, vocab: list[str]) -> Column:
-    """Ascending 0-based ranks of the row's vocabulary tokens."""
-    v = _lit_array(vocab)
-    return F.array_sort(F.transform(F.array_intersect(tokens, v),
-                                    lambda t: (F.array_position(v, t) - 1).cast("int")))
+    """Ascending 0-based ranks of the row's vocabulary tokens.  The vocabulary is
+    cut into buckets by the token's hash, so a rank is looked for among a few
+    tokens only."""
+    if not vocab:
+        return F.array().cast("array<int>")
+    n = max(1, len(vocab) // 4)
+    buckets: list[list] = [[] for _ in range(n)]
+    for rank, token in enumerate(vocab):
+        buckets[zlib.crc32(token.encode()) % n].append((token, rank))
+    tokens_of = F.array(*[_lit_array([t for t, _ in b]) for b in buckets])
+    ranks_of = F.array(*[F.array(*[F.lit(r) for _, r in b]).cast("array<int>") for b in buckets])
+
+    def rank(t):
+        k = (F.crc32(t.cast("binary")) % n + 1).cast("int")
+        return F.element_at(F.element_at(ranks_of, k), F.array_position(F.element_at(tokens_of, k), t).cast("int"))
+    return F.array_sort(F.transform(_members(tokens, vocab), rank))
 
 
 def multi_hot(tokens: Column, vocab: list[str], prefix: str, width: int | None = None) -> list[Column]:

@@ -391,8 +391,7 @@ def _ffm_ctes():
 
 
 def _freq_table(spark, sf):
-    df, scalars = EP.ffm_frame(click_log(spark, sf))
-    return RT.feature_value_table(df, scalars, EP.LISTS)
+    return EP.ffm_table(click_log(spark, sf))
 
 
 def _freq_sql():

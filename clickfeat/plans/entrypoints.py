@@ -78,10 +78,14 @@ LISTS = ["most_proerty", "most_predict_cat", "most_predict_pro"]
 FFM_SCALARS = NO_LIST + [f"{c}_buck" for c in BUCKETED]
 
 
-def ffm_frame(log: DataFrame, leaves: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
-    """The log with list ranks, buckets and joint codes of all scalar fields,
-    and the scalar fields in order.  ``leaves`` (``instance_id``, one column per
-    tree) adds the tree-leaf fields, joined by key and encoded like the others."""
+ORDER = ["context_timestamp", "instance_id"]
+
+
+def ffm_raw(log: DataFrame, leaves: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
+    """The log with list ranks, buckets and the raw values of all scalar fields,
+    and the scalar fields in order; written once, as it is read for the values
+    and for the rows.  ``leaves`` (``instance_id``, one column per tree) adds the
+    tree-leaf fields, joined by key."""
     log = R.replace_sentinel(log, "shop_review_positive_rate", -1, 0.0)
     props = L.tokens("item_property_list")
     pcat = L.predict_categories("predict_category_property")
@@ -95,17 +99,30 @@ def ffm_frame(log: DataFrame, leaves: DataFrame | None = None) -> tuple[DataFram
     if leaves is not None:
         own = [c for c in leaves.columns if c != "instance_id"]
         df, scalars = df.join(leaves, "instance_id", "left"), scalars + own
-    df = df.select("instance_id", "is_trade", "day", "context_timestamp", *LISTS, *scalars)
-    return EN.first_seen_codes(df, scalars, ["context_timestamp", "instance_id"]), scalars
+    return EN.staged(df.select("instance_id", "is_trade", "day", "context_timestamp", *LISTS, *scalars), "ffm-raw"), scalars
+
+
+def ffm_frame(log: DataFrame, leaves: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
+    """``ffm_raw`` with joint codes of all scalar fields."""
+    df, scalars = ffm_raw(log, leaves)
+    return EN.first_seen_codes(df, scalars, ORDER), scalars
+
+
+def ffm_table(log: DataFrame, leaves: DataFrame | None = None, min_total: int = 10) -> DataFrame:
+    """The Field/Value frequency table of the coded fields and the list ranks."""
+    df, scalars = ffm_raw(log, leaves)
+    return RT.coded_value_table(EN.value_table(df, scalars, ORDER, "is_trade"), df, scalars, LISTS, min_total=min_total)
 
 
 def export_ffm(log: DataFrame, out_dir: str, holdout_day: int = 24, min_total: int = 10,
                leaves: DataFrame | None = None) -> DataFrame:
     """Field-aware rows for train (``tr``) and holdout (``va``); returns the
     Field/Value frequency table (also written as ``count_frequent_feature``)."""
-    df, scalars = ffm_frame(log, leaves)
-    table = RT.feature_value_table(df, scalars, LISTS, min_total=min_total)
+    raw, scalars = ffm_raw(log, leaves)
+    values = EN.value_table(raw, scalars, ORDER, "is_trade")
+    table = RT.coded_value_table(values, raw, scalars, LISTS, min_total=min_total)
     IO.write_freq_table(table, f"{out_dir}/count_frequent_feature")
+    df = EN.first_seen_codes(raw, scalars, ORDER, values=values)
     train, hold = R.split_by_day(df, holdout_day)
     FF.write_ffm(FF.ffm_rows(train, "is_trade", LISTS, scalars), f"{out_dir}/tr")
     FF.write_ffm(FF.ffm_rows(hold, "is_trade", LISTS, scalars), f"{out_dir}/va")
