@@ -17,6 +17,7 @@ rows is cut into chunks (``clickfeat.operators.ordered``).
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from clickfeat.operators.ordered import CHUNK_ROWS, add_scopes, dealt, recent_counts, split_anchors
@@ -79,6 +80,81 @@ def add_history(df: DataFrame, scopes, mask_day: int = 24, ts: str = "context_ti
     return out.unionByName(hot.select(*out.columns))
 
 
+# Moduli and bases of the two polynomials of a history's identifier (fixed values).
+_FIELDS = ((2147483647, 911382323), (2147483629, 972663749))
+_DIGIT_BITS, _DIGITS = 6, 6  # exponents below 2^36
+
+
+def _power_tables() -> list[list[Column]]:
+    """For each field and digit the powers of the digit's values, one constant each."""
+    return [[F.lit(np.array([pow(base, k << (_DIGIT_BITS * d), modulus) for k in range(1 << _DIGIT_BITS)])) for d in range(_DIGITS)]
+            for modulus, base in _FIELDS]
+
+
+def _power(n: Column, tables: list[Column], modulus: int) -> Column:
+    """``base ** n mod modulus``: the product over the digits of ``n``."""
+    out = None
+    for d, table in enumerate(tables):
+        digit = F.shiftright(n, _DIGIT_BITS * d).bitwiseAND(F.lit((1 << _DIGIT_BITS) - 1))
+        factor = F.element_at(table, (digit + 1).cast("int"))
+        out = factor if out is None else out * factor % modulus
+    return out
+
+
+def add_history_ids(df: DataFrame, scopes, mask_day: int = 24, ts: str = "context_timestamp", key: str = "instance_id",
+                    label: str = "is_trade", scope_defs: dict | None = None, chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
+    """``{history}_id`` for the named scopes: an identifier of constant size that is
+    equal where the histories of ``add_history`` are equal, for encoding them
+    without their texts.
+
+    It is the history's length and two polynomials of its labels modulo primes
+    near 2^31, all running sums, so a row costs the same wherever it stands.
+    Lengths and polynomials compose: those of a chunk, shifted by the labels
+    before it, are added up over the chunks of a cut user, and joined to its
+    rows (different histories of one length collide with a chance of 2^-62)."""
+    defs = scope_defs or SCOPES
+    need = sorted({k for s in scopes for k in defs[s][0]} | {"day"})
+    plain, chunked = (df, None) if chunk_rows is None else split_anchors(df, "user_id", ts, key, chunk_rows)
+    lab, fields = label_mask(label, "day", mask_day), [(tables, f[0]) for tables, f in zip(_power_tables(), _FIELDS)]
+
+    def local(d, extra):
+        """``__n{i}``, ``__h{i}_{f}``: labels before the row, in its chunk, and their
+        polynomials; ``__t{i}_{f}``: the row's own term."""
+        group = [Window.partitionBy(*defs[s][0], *extra).orderBy(ts, key).rowsBetween(Window.unboundedPreceding, -1) for s in scopes]
+        value = F.ascii(lab) + 1
+        d = d.select("*", *[F.count(lab).over(w).alias(f"__n{i}") for i, w in enumerate(group)])
+        terms = [(F.coalesce(value, F.lit(0)) * _power(F.col(f"__n{i}"), *f) % f[1]).alias(f"__t{i}_{k}")
+                 for i in range(len(group)) for k, f in enumerate(fields)]
+        d = d.select("*", *terms)
+        return d.select("*", *[(F.coalesce(F.sum(f"__t{i}_{k}").over(w), F.lit(0)) % f[1]).alias(f"__h{i}_{k}")
+                               for i, w in enumerate(group) for k, f in enumerate(fields)])
+
+    def named(d):
+        return d.select(*df.columns, *[F.concat_ws(":", f"__n{i}", *[f"__h{i}_{k}" for k in range(len(_FIELDS))]).alias(f"{defs[s][2]}_id")
+                                       for i, s in enumerate(scopes)])
+
+    out = named(local(dealt(plain, "user_id"), []))
+    if chunked is None:
+        return out
+    hot = local(dealt(chunked, "user_id", "__chunk"), ["__chunk"])
+    kept = hot.columns
+    for i, scope in enumerate(scopes):
+        keys = defs[scope][0]
+        along = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+        each = (local(dealt(chunked.select(key, ts, label, "__chunk", *need), "user_id", "__chunk"), ["__chunk"])
+                .groupBy(*keys, "__chunk").agg(F.count(lab).alias("n"), *[(F.sum(f"__t{i}_{k}") % f[1]).alias(f"h{k}") for k, f in enumerate(fields)]))
+        each = each.select("*", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("before"))
+        each = each.select("*", *[(F.col(f"h{k}") * _power(F.col("before"), *f) % f[1]).alias(f"s{k}") for k, f in enumerate(fields)])
+        each = each.select(*[F.col(c).alias(f"__c_{c}") for c in (*keys, "__chunk")], F.col("before").alias("__before"),
+                           *[(F.coalesce(F.sum(f"s{k}").over(along), F.lit(0)) % f[1]).alias(f"__s{k}") for k, f in enumerate(fields)])
+        on = [F.col(c).eqNullSafe(F.col(f"__c_{c}")) for c in (*keys, "__chunk")]
+        moved = {f"__n{i}": F.col("__before") + F.col(f"__n{i}")}
+        for k, f in enumerate(fields):
+            moved[f"__h{i}_{k}"] = (F.col(f"__s{k}") + F.col(f"__h{i}_{k}") * _power(F.col("__before"), *f)) % f[1]
+        hot = hot.join(each, on, "left").select(*[moved[c].alias(c) if c in moved else F.col(c) for c in kept])
+    return out.unionByName(named(hot))
+
+
 def add_gaps(df: DataFrame, scopes=("day", "all", "item", "cat1"), mask_day: int = 24,
              ts: str = "context_timestamp", key: str = "instance_id", label: str = "is_trade",
              with_history: bool = True, scope_defs: dict | None = None,

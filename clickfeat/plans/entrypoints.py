@@ -54,9 +54,8 @@ def train_and_score(spark: SparkSession, stage_path: str, out_path: str | None =
                     holdout_day: int = 24, max_iter: int = 50, max_depth: int = 5) -> DataFrame:
     """Second phase.  Returns ``part, log_loss, rows`` (train / holdout)."""
     stage = IO.read_stage(spark, stage_path)
-    df = FT.full_features(stage, holdout_day=holdout_day, with_gaps=False)
-    df = EN.first_seen_codes(df, HISTORIES, ["context_timestamp", "instance_id"])  # joint codes (D6)
-    feats = FT.numeric_features(df) + HISTORIES
+    df = FT.full_features(stage.drop(*HISTORIES), holdout_day=holdout_day, with_gaps=False)  # joint history codes (D6)
+    feats = FT.numeric_features(df)
     train, hold = R.split_by_day(df, holdout_day)
     model = ML.fit_gbt(train, feats, max_iter=max_iter, max_depth=max_depth)
     scored = ML.score(model, df, feats, keep=["day"])

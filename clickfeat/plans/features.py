@@ -33,7 +33,10 @@ def full_features(df: DataFrame, holdout_day: int = 24, with_history: bool = Tru
                   multi_hot: bool = True, max_group_rows: int | None = CHUNK_ROWS,
                   with_gaps: bool = True, strict: bool = False) -> DataFrame:
     """Entry A.  ``df``: the log with calendar and category columns; with
-    ``with_gaps=False`` it is a stage that carries gaps and histories already.
+    ``with_gaps=False`` it is a stage that carries the gaps already.
+    ``with_history`` adds the label histories of the four scopes as joint
+    first-seen codes ``*_code``; their texts, which grow with a group, are never
+    built here (``windows.add_history`` writes them).
 
     Everything that is grouped by user - gaps, ordinals, and the sizes of the
     user groupings - runs on a narrow projection over one exchange by user, and
@@ -47,16 +50,21 @@ def full_features(df: DataFrame, holdout_day: int = 24, with_history: bool = Tru
     specs = {**gaps, **W.ordinal_specs(W.ORDINALS), **by_user}
     need = sorted({c for keys, _ in specs.values() for c in keys} | {"day"})
     base = win = df.select(key, *need, ts, "is_trade")
-    if with_gaps and with_history:
-        win = W.add_history(win, list(W.SCOPES), holdout_day, ts, key, chunk_rows=max_group_rows)
+    histories = [W.SCOPES[s][2] for s in W.SCOPES] if with_history else []
+    if histories:
+        win = W.add_history_ids(win, list(W.SCOPES), holdout_day, ts, key, chunk_rows=max_group_rows)
     win = add_scopes(win, specs, ts, key, chunk_rows=max_group_rows)
     cols = []
     if with_gaps:
-        for s, (_, prefix, history) in W.SCOPES.items():
-            cols += W.gap_columns(f"__{s}", prefix, ts) + ([F.col(history)] if with_history else [])
+        for s, (_, prefix, _h) in W.SCOPES.items():
+            cols += W.gap_columns(f"__{s}", prefix, ts)
+    cols += [F.col(f"{h}_id").alias(f"{h}_code") for h in histories]
     cols += [C.size_column(g, ALL_COUNTS[g]) for g in ALL_COUNTS if f"__size_{g}" in by_user]
     cols += [c for n in W.ORDINALS for c in W.ordinal_columns(n, f"__{n}")]
     win = win.select(key, *need, ts, "is_trade", *cols)
+    if histories:  # read twice, for the distinct identifiers and for the rows
+        win = EN.staged(win, "user-features")
+        win = EN.first_seen_codes(win, [f"{h}_code" for h in histories], [ts, key])
     win = PR.add_prior_trades(win, base.where(F.col("day") < holdout_day), pairs=("cat", "shop"), strict=strict,
                               max_group_rows=max_group_rows)
     out = C.add_group_sizes(df, {g: k for g, k in ALL_COUNTS.items() if f"__size_{g}" not in by_user},

@@ -204,6 +204,39 @@ def test_history_of_a_cut_user(spark):
     _equal(W.add_history(df, scopes, chunk_rows=None), W.add_history(df, scopes, chunk_rows=20))
 
 
+def test_history_identifiers_name_the_histories(spark):
+    """Equal identifiers for equal texts and for no others; cut users like uncut ones."""
+    df = _skewed_log(spark)
+    scopes = ("day", "all", "item", "cat1") if "category_1" in df.columns else ("day", "all", "item")
+    names = [W.SCOPES[s][2] for s in scopes]
+    texts = W.add_history(df, scopes, chunk_rows=None).select("instance_id", *names)
+    whole = W.add_history_ids(df, scopes, chunk_rows=None)
+    rows = whole.join(texts, "instance_id").collect()
+    for n in names:
+        pairs = {(r[n], r[f"{n}_id"]) for r in rows}
+        assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}) and all(int(b.split(":")[0]) == len(a) for a, b in pairs)
+    _equal(whole, W.add_history_ids(df, scopes, chunk_rows=20))
+
+
+def test_history_identifier_of_a_user_with_three_million_rows(spark):
+    """The NULL user's history, cut at the production size, against the sum worked out in order."""
+    import numpy as np
+    n = 3_000_000
+    df = spark.range(n).select(F.col("id").alias("instance_id"), F.lit(None).cast("long").alias("user_id"), F.col("id").alias("context_timestamp"),
+                               F.lit(1).alias("day"), (F.col("id") * 2654435761 % 7 < 3).cast("int").alias("is_trade"))
+    got = {r.instance_id: r.all_history_id for r in W.add_history_ids(df, ("all",)).where(F.col("instance_id").isin(0, 1, 1_999_999, 2_500_000, n - 1))
+           .select("instance_id", "all_history_id").collect()}
+    value = np.where(np.arange(n) * 2654435761 % 7 < 3, ord("1"), ord("0")) + 1
+    sums, powers = [0, 0], [1, 1]
+    for i in range(n):
+        if i in got:
+            assert got[i] == f"{i}:{sums[0]}:{sums[1]}"
+        for k, (modulus, base) in enumerate(W._FIELDS):
+            sums[k] = (sums[k] + int(value[i]) * powers[k]) % modulus
+            powers[k] = powers[k] * base % modulus
+    assert len(got) == 5
+
+
 def test_strict_prior_trade(spark):
     rows = [(1, 7, 1, 10, 0), (2, 7, 1, 20, 1), (3, 7, 1, 20, 0), (4, 7, 1, 30, 1), (5, 8, 1, 5, 0), (6, None, 1, 9, 1), (7, 7, 2, 40, 0)]
     df = spark.createDataFrame(rows, "instance_id long, user_id long, item_id long, context_timestamp long, is_trade int")
