@@ -11,9 +11,10 @@ partition), never through the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from clickfeat.functions.lists import hashed_token
+from clickfeat.operators.encode import BROADCAST_BYTES, consecutive_index, staged
 
 
 def field_numbers(list_features, scalar_features, extra_features=()) -> dict[str, int]:
@@ -47,6 +48,48 @@ def ffm_rows(df: DataFrame, label: str, list_features, scalar_features, extra_fe
     return df.select(key, line) if key else df.select(line)
 
 
+def feature_dictionary(table: DataFrame, first: int, k: int = 100, threshold: int = 10) -> tuple[DataFrame, int]:
+    """E7 for fields that depend on data: ``(Field, Value, num)`` and the number of
+    fields.  Every frequent ``Field-Value`` of the frequency table is a field,
+    numbered by name from ``first`` on (a distributed numbering: there may be
+    many); behind them the ``k`` of highest ratio are fields once more, in the
+    order of the ratio."""
+    table = staged(table.where(F.col("Total") >= threshold).withColumn("feature", F.concat_ws("-", "Field", "Value")), "frequent")
+    n = table.count()
+    frequent = consecutive_index(table.select("Field", "Value", "feature"), ["feature"], "__i")
+    top = table.orderBy(F.col("Ratio").desc(), "feature").limit(k)
+    top = top.withColumn("__i", F.row_number().over(Window.orderBy(F.col("Ratio").desc(), "feature")))  # k rows
+    numbers = (frequent.select("Field", "Value", (F.col("__i") + (first - 1)).cast("bigint").alias("num"))
+               .unionByName(top.select("Field", "Value", (F.col("__i") + (first + n - 1)).cast("bigint").alias("num"))))
+    return staged(numbers, "feature-dictionary"), n + min(n, k)
+
+
+def dictionary_fields(df: DataFrame, dictionary: DataFrame, list_features, scalar_features, key: str = "instance_id") -> DataFrame:
+    """``key, fields``: the numbers of the dictionary's fields that a row has, in
+    order.  The row's (field, value) pairs are joined with the dictionary, which
+    is broadcast where its measured bytes allow it; beyond that hot values are
+    split by the skew join."""
+    pair = lambda f: lambda v: F.struct(F.lit(f).alias("Field"), v.cast("string").alias("Value"))
+    none = F.array().cast("array<struct<Field:string,Value:string>>")
+    pairs = F.concat(F.array(*[pair(f)(F.col(f)) for f in scalar_features]) if scalar_features else none,
+                     *[F.coalesce(F.transform(F.col(f), pair(f)), none) for f in list_features])
+    long = df.select(key, F.explode(pairs).alias("p")).select(key, "p.Field", "p.Value")
+    size = dictionary.agg(F.sum(F.octet_length("Field") + F.coalesce(F.octet_length("Value"), F.lit(0)) + 24)).first()[0] or 0
+    found = long.join(F.broadcast(dictionary) if size <= BROADCAST_BYTES else dictionary, ["Field", "Value"])
+    return found.groupBy(key).agg(F.array_sort(F.collect_list("num")).alias("fields"))
+
+
+def ffm_rows_online(df: DataFrame, label: str, list_features, scalar_features, fields: DataFrame, first_extra: int = 0,
+                    extra_features=(), key: str = "instance_id") -> DataFrame:
+    """Rows with the dictionary's fields behind the fixed ones (``num:1:1``) and
+    ``extra_features`` (tree leaves), numbered from ``first_extra``, at the end."""
+    of = fields.select(F.col(key).alias("__key"), "fields")
+    tokens = F.coalesce(F.transform("fields", lambda n: F.concat(n.cast("string"), F.lit(":1:1 "))), F.array().cast("array<string>"))
+    line = F.concat(ffm_line(label, list_features, scalar_features), F.array_join(tokens, ""),
+                    *[F.concat(F.lit(f"{first_extra + i}:"), F.col(f).cast("string"), F.lit(":1 ")) for i, f in enumerate(extra_features)])
+    return df.join(of, df[key] == of["__key"], "left").select(*[c for c in (key, "day") if c in df.columns], line.alias("line"))
+
+
 def hashed_tokens(fields: dict[str, str], nr_bins: int = 10 ** 6) -> Column:
     """A10: ``field:md5bucket(value):1`` for ``{field_name: column}``, space-joined."""
     return F.concat_ws(" ", *[hashed_token(F.lit(f), F.col(c), nr_bins) for f, c in fields.items()])

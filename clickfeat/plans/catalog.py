@@ -751,6 +751,36 @@ def q_ffm_export(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
+def _online_sql():
+    """``lines`` with the fields of the feature dictionary (from 3 lists + all scalars on)."""
+    first = 3 + len(EP.FFM_SCALARS)
+    pairs = [f"SELECT instance_id, '{c}' AS Field, CAST({c} AS VARCHAR) AS Value FROM enc" for c in EP.FFM_SCALARS]
+    pairs += [f"SELECT instance_id, '{c}', CAST(rnk AS VARCHAR) FROM rk WHERE f = {i}" for i, c in enumerate(EP.LISTS)]
+    freq = _freq_sql()[len(_ffm_ctes()):]
+    return _ffm_line_sql() + freq + f""",
+named AS (SELECT *, Field || '-' || Value AS feature, round(Pos / Total, 5) AS Ratio FROM ft WHERE Total >= 10),
+dict AS (
+  SELECT Field, Value, {first} - 1 + row_number() OVER (ORDER BY feature) AS num FROM named
+  UNION ALL
+  SELECT Field, Value, {first} - 1 + (SELECT count(*) FROM named) + row_number() OVER (ORDER BY Ratio DESC, feature) FROM
+    (SELECT * FROM named ORDER BY Ratio DESC, feature LIMIT 100)),
+more AS (
+  SELECT instance_id, string_agg(CAST(num AS VARCHAR) || ':1:1 ', '' ORDER BY num) AS s
+  FROM ({" UNION ALL ".join(pairs)}) JOIN dict USING (Field, Value) GROUP BY instance_id)
+"""
+
+
+@register("ffm_export_online", _online_sql() + """
+SELECT CASE WHEN day < 25 THEN 'tr' ELSE 've' END AS part, line || coalesce(s, '') AS line
+FROM lines LEFT JOIN more USING (instance_id) WHERE day <= 25""")
+def q_ffm_export_online(spark, sf):
+    """The online export: all labelled days and the test day, read back."""
+    out = scratch_path(spark, "ffm-online")
+    EP.export_ffm_online(click_log(spark, sf), out)
+    parts = [spark.read.text(f"{out}/{p}").select(F.lit(p).alias("part"), F.col("value").alias("line")) for p in ("tr", "ve")]
+    return parts[0].unionByName(parts[1])
+
+
 @register("ffm_hash", """
 SELECT doc_id,
        CAST(CAST('0x' || md5(text) AS UHUGEINT) % 999999 + 1 AS BIGINT) AS h_text,

@@ -128,6 +128,28 @@ def export_ffm(log: DataFrame, out_dir: str, holdout_day: int = 24, min_total: i
     return table
 
 
+def export_ffm_online(log: DataFrame, out_dir: str, test_day: int = 25, min_total: int = 10, top: int = 100,
+                      leaves: DataFrame | None = None) -> DataFrame:
+    """The online export: all labelled days (``tr``) and the test day (``ve``).  Behind
+    the list and scalar fields come the frequent and the high-ratio
+    ``Field-Value`` features, whose numbers depend on data (``ffm.feature_dictionary``),
+    and then the leaf fields.  Returns the dictionary."""
+    raw, scalars = ffm_raw(log, leaves)
+    values = EN.value_table(raw, scalars, ORDER, "is_trade")
+    own = scalars[len(FFM_SCALARS):]
+    table = RT.coded_value_table(values, raw, scalars, LISTS, min_total=min_total)
+    IO.write_freq_table(table, f"{out_dir}/count_frequent_feature")
+    first = len(LISTS) + len(FFM_SCALARS)
+    dictionary, n = FF.feature_dictionary(table.where(~F.col("Field").isin(own) if own else F.lit(True)), first, top, min_total)
+    df = EN.staged(EN.first_seen_codes(raw, scalars, ORDER, values=values), "ffm-coded")
+    fields = FF.dictionary_fields(df, dictionary, LISTS, FFM_SCALARS)
+    rows = FF.ffm_rows_online(df, "is_trade", LISTS, FFM_SCALARS, fields, first + n, own)
+    rows = EN.staged(rows, "ffm-online")
+    FF.write_ffm(rows.where(F.col("day") < test_day), f"{out_dir}/tr")
+    FF.write_ffm(rows.where(F.col("day") == test_day), f"{out_dir}/ve")
+    return dictionary
+
+
 def blend_files(spark: SparkSession, inputs: list[tuple[str, float]], out_path: str) -> DataFrame:
     """Weighted blend of prediction files joined on ``instance_id``."""
     tables = [(IO.read_predictions(spark, p), w) for p, w in inputs]
