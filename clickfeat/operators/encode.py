@@ -147,6 +147,37 @@ def first_seen_codes(df: DataFrame, cols: list[str], order: list[str], suffix: s
     return out.select(*[code[c].alias(c) if c in code else F.col(c) for c in df.columns])
 
 
+def extended_codes(codes: DataFrame | None, more: DataFrame, cols: list[str], order: list[str]) -> DataFrame:
+    """E1/E2 as a dictionary that grows: ``codes (field, v, code)`` and the values that
+    ``more`` (a day's rows) brings.  Old values keep their codes; new ones are
+    numbered behind their field's largest, in order of appearance, so adding
+    day by day gives the codes of all days at once."""
+    names = F.array(*[F.lit(c) for c in cols])
+    values = value_table(more, cols, order)
+    values = values.select(F.element_at(names, F.col("g") + 1).alias("field"), "g", "v", "first")
+    if codes is None:
+        return staged(numbered_values(values).select("field", "v", "code"), "code-table")
+    old = codes.select(F.col("field").alias("__f"), F.col("v").alias("__v"))
+    new = values.join(old, (F.col("field") == F.col("__f")) & F.col("v").eqNullSafe(F.col("__v")), "left_anti")
+    last = codes.groupBy(F.col("field").alias("__f")).agg(F.max("code").alias("__last"))  # one row a field
+    new = numbered_values(staged(new, "new-values")).join(F.broadcast(last), F.col("field") == F.col("__f"), "left")
+    new = new.select("field", "v", (F.col("code") + F.coalesce("__last", F.lit(0))).alias("code"))
+    return staged(codes.unionByName(new), "code-table")
+
+
+def coded(df: DataFrame, codes: DataFrame, cols: list[str], suffix: str = "_code") -> DataFrame:
+    """``{col}{suffix}`` out of a code table (NULL: a value that it does not hold);
+    each field's part is broadcast up to its measured bytes."""
+    width = F.coalesce(F.octet_length("v"), F.lit(0)) + F.lit(24)
+    size = {r["field"]: r["b"] for r in codes.groupBy("field").agg(F.sum(width).alias("b")).collect()}
+    out = df
+    for i, c in enumerate(cols):
+        t = codes.where(F.col("field") == c).select(F.col("v").alias(f"__v{i}"), F.col("code").alias(f"{c}{suffix}"))
+        t = F.broadcast(t) if size.get(c, 0) <= BROADCAST_BYTES else t
+        out = out.join(t, F.col(c).cast("string").eqNullSafe(F.col(f"__v{i}")), "left").drop(f"__v{i}")
+    return out
+
+
 def _minmax(df: DataFrame, cols: list[str]):
     aggs = []
     for c in cols:

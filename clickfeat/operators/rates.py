@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from clickfeat.operators.ordered import CHUNK_ROWS, split_anchors
 
 
 # key column -> output stem; outputs {stem}_count, trade_{stem}_count, {stem}_ctr
@@ -37,6 +39,49 @@ def add_smoothed_rates(df: DataFrame, stats: DataFrame, keys: dict | None = None
                                      (F.col(f"{stem}_count"), F.col(f"trade_{stem}_count"))], *rates)
 
 
+def _before(totals: DataFrame, key: str, ts: str, chunk_rows: int) -> DataFrame:
+    """``key, ts, n, t`` (one row each) -> with the sums ``__n``, ``__t`` over the key's
+    earlier times.  A key with more than ``chunk_rows`` times is cut into chunks
+    and the sums are carried over them."""
+    plain, chunked = split_anchors(totals, key, ts, "n", chunk_rows)
+
+    def running(d, *group):
+        w = Window.partitionBy(key, *group).orderBy(ts).rowsBetween(Window.unboundedPreceding, -1)
+        return d.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"__{c}") for c in ("n", "t")])
+
+    out = running(plain)
+    if chunked is None:
+        return out
+    each = chunked.groupBy(F.col(key).alias("__k"), F.col("__chunk").alias("__c")).agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    along = Window.partitionBy("__k").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.select("__k", "__c", *[F.coalesce(F.sum(c).over(along), F.lit(0)).alias(f"__before_{c}") for c in ("n", "t")])
+    hot = running(chunked, "__chunk").join(each, (F.col(key) == F.col("__k")) & (F.col("__chunk") == F.col("__c")))
+    return out.unionByName(hot.select(key, ts, "n", "t", *[(F.col(f"__{c}") + F.col(f"__before_{c}")).alias(f"__{c}") for c in ("n", "t")]))
+
+
+def add_strict_rates(df: DataFrame, keys: dict | None = None, label: str = "is_trade", ts: str = "context_timestamp", prior: float = 10.0,
+                     chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """G6 without leaks: ``{stem}_before``, ``trade_{stem}_before`` and
+    ``{stem}_strict_ctr`` count a key's impressions and trades at strictly earlier
+    times, so no row sees its own label or one of the same second.
+
+    Rows are first added up to one row for each key and time (a partial
+    aggregate), which is where a hot item, shop or category shrinks; running
+    sums over it are cut and carried, and joined back on (key, time), which is
+    spread even where the key is hot.  A NULL key or time has NULL counts."""
+    out = df
+    for key, stem in (keys or RATE_KEYS).items():
+        y = F.coalesce(F.col(label), F.lit(0)).cast("bigint")
+        totals = df.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).groupBy(key, ts).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("t"))
+        sums = _before(totals, key, ts, chunk_rows).select(
+            F.col(key).alias(f"__k_{stem}"), F.col(ts).alias(f"__t_{stem}"), F.col("__n").cast("bigint").alias(f"{stem}_before"),
+            F.col("__t").cast("bigint").alias(f"trade_{stem}_before"))
+        on = (F.col(key) == F.col(f"__k_{stem}")) & (F.col(ts) == F.col(f"__t_{stem}"))
+        out = out.join(sums, on, "left").drop(f"__k_{stem}", f"__t_{stem}")
+        out = out.withColumn(f"{stem}_strict_ctr", F.col(f"trade_{stem}_before") / (F.col(f"{stem}_before") + F.lit(prior)))
+    return out
+
+
 def bayes_smoothed_rate(df: DataFrame, key: str, label: str = "is_trade") -> DataFrame:
     """Method-of-moments Beta prior per the notes' idea: ``(C+α)/(I+α+β)``.
 

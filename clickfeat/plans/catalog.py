@@ -336,6 +336,24 @@ def q_rate_smoothed(spark, sf):
     return out.select("instance_id", *cols)
 
 
+_STRICT = {"item_id": "item", "shop_id": "shop", "category_1": "cat_1"}
+
+
+def _strict_sql():
+    cols = []
+    for key, stem in _STRICT.items():
+        w = f"(PARTITION BY {key} ORDER BY context_timestamp RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        n, t = f"CAST(count(*) OVER {w} AS BIGINT)", f"CAST(coalesce(sum(is_trade) OVER {w}, 0) AS BIGINT)"
+        cols += [f"{n} AS {stem}_before", f"{t} AS trade_{stem}_before", f"{t} / ({n} + 10.0) AS {stem}_strict_ctr"]
+    return EV + "\nSELECT instance_id, " + ",\n ".join(cols) + "\nFROM flog"
+
+
+@register("rate_strict", _strict_sql())
+def q_rate_strict(spark, sf):
+    out = RT.add_strict_rates(click_log(spark, sf), _STRICT)
+    return out.select("instance_id", *[c for s in _STRICT.values() for c in (f"{s}_before", f"trade_{s}_before", f"{s}_strict_ctr")])
+
+
 # ------------------------------------------------------- frequency table
 from clickfeat.plans import entrypoints as EP  # noqa: E402
 
@@ -660,6 +678,19 @@ def q_enc_first_seen(spark, sf):
     return out.select("instance_id", "item_property_list_code", "user_id_code")
 
 
+_GROWING = ["item_property_list", "user_id", "shop_id"]
+
+
+@register("enc_incremental", EV + ",\n" + _codes_sql("flog", _GROWING, ["instance_id"], "enc") + "\nSELECT instance_id, "
+          + ", ".join(f"{c} AS {c}_code" for c in _GROWING) + " FROM enc")
+def q_enc_incremental(spark, sf):
+    """A code table built in three batches of days, then used for all rows."""
+    df, codes = click_log(spark, sf), None
+    for days in ("day < 8", "day >= 8 AND day < 24", "day >= 24"):
+        codes = EN.extended_codes(codes, df.where(days), _GROWING, ["context_timestamp", "instance_id"])
+    return EN.coded(df, codes, _GROWING).select("instance_id", *[f"{c}_code" for c in _GROWING])
+
+
 _JOINT = ["item_id", "user_id", "item_brand_id", "item_city_id", "user_occupation_id", "context_page_id",
           "shop_id", "category_0", "category_1", "category_2", "predict_category_0", "predict_category_1",
           "predict_category_2", "hour", "item_price_level", "item_sales_level", "item_collected_level", "item_pv_level",
@@ -720,7 +751,9 @@ def q_enc_standardize(spark, sf):
 
 # ------------------------------------------------------- sparse text rows
 from clickfeat.operators import ffm as FF  # noqa: E402
+from pyspark.sql import types as T  # noqa: E402
 from clickfeat.operators import evaluate as EVL  # noqa: E402
+from clickfeat.sources import positions as POS  # noqa: E402
 from clickfeat.operators import sample as SMP  # noqa: E402
 
 
@@ -908,6 +941,25 @@ def q_sink_predictions(spark, sf):
     return IO.read_predictions(spark, path)
 
 
+_SHUFFLED = "instance_id * 7919 % 1009, instance_id"
+
+
+@register("sink_ordered", EV + f"""
+SELECT instance_id, {_P1} AS predicted_score, row_number() OVER (ORDER BY {_SHUFFLED}) - 1 AS position FROM flog WHERE day >= 25""")
+def q_sink_ordered(spark, sf):
+    """Scores in the order of a submission of several files: its rows' positions are
+    read off the files, and the written predictions hold the same ones."""
+    order = [F.expr(e) for e in _SHUFFLED.split(", ")]
+    path = scratch_path(spark, "submission")
+    asked = click_log(spark, sf).where("day >= 25").select("instance_id", *[e.alias(f"o{i}") for i, e in enumerate(order)])
+    IO.write_log(asked.repartitionByRange(5, "o0", "o1").sortWithinPartitions("o0", "o1").select("instance_id"), path)
+    sub = POS.with_positions(IO.read_log(spark, path, T.StructType([T.StructField("instance_id", T.LongType())])))
+    scored = _scored(spark, sf).select("instance_id", "predicted_score")
+    out = scratch_path(spark, "ordered-predictions")
+    IO.write_predictions(POS.in_order(EVL.attach_scores(sub, scored)).select("instance_id", "predicted_score"), out)
+    return POS.with_positions(IO.read_predictions(spark, out)).select("instance_id", "predicted_score", "position")
+
+
 @register("sink_freq_table", _freq_sql() + """
 SELECT Field, Value, Neg, Pos, Total, round(Pos / Total, 5) AS Ratio FROM ft WHERE Total >= 10""")
 def q_sink_freq_table(spark, sf):
@@ -1008,13 +1060,16 @@ def q_features_full(spark, sf):
 
 
 # ------------------------------------------------------- pyspark.ml jobs (rows-only checks)
+from clickfeat.operators import fieldaware as FFA  # noqa: E402
 from clickfeat.operators import learn as ML  # noqa: E402
+from clickfeat.operators import trees as TR  # noqa: E402
 
 
 def _ml_frame(spark, sf):
+    """The model's frame, built once and written: fitting reads it many times."""
     df = FT.full_features(click_log(spark, sf), with_history=False, multi_hot=False)
     feats = FT.numeric_features(df)
-    return df, feats
+    return EN.staged(df, "model-frame"), feats
 
 
 @register("ml_gbt_score")
@@ -1053,7 +1108,96 @@ def q_ml_fm_score(spark, sf):
     return ML.score(model, df, feats, keep=["day"])
 
 
-_CHECKED = ("ml_gbt_score", "ml_fm_score")
+@register("ml_ffm_score")
+def q_ml_ffm_score(spark, sf):
+    """Field-aware factorisation over the rows of the offline export, learnt before day 24."""
+    df, scalars = EP.ffm_frame(click_log(spark, sf))
+    rows = EN.staged(df.select("instance_id", "is_trade", "day", FFA.features(EP.LISTS, scalars).alias("features")), "ffm-features")
+    n = len(EP.LISTS) + len(scalars)
+    params, _ = FFA.fit(rows.where("day < 24"), n, rounds=4)
+    return FFA.predict(rows, params, n).join(rows.select("instance_id", "day"), "instance_id")
+
+
+@register("ml_early_stop")
+def q_ml_early_stop(spark, sf):
+    """Losses of every iteration up to the number of trees that day 24 chooses."""
+    df, feats = _ml_frame(spark, sf)
+    return ML.fit_gbt_early(df.where("day <= 24"), F.col("day") == 24, feats, max_iter=12, max_depth=3)[1]
+
+
+@register("ml_early_stop_check", EV + """
+SELECT CAST(1 AS BIGINT) AS chosen, CAST(0 AS BIGINT) AS gaps, TRUE AS chosen_is_last, TRUE AS chosen_is_best,
+       (SELECT count(*) FROM flog WHERE day < 24) AS fitted, (SELECT count(*) FROM flog WHERE day = 24) AS judged""")
+def q_ml_early_stop_check(spark, sf):
+    """What holds for any model: iterations without gaps, one chosen, the last, whose
+    holdout loss no earlier iteration undercuts; and the rows of either part."""
+    t, days = q_ml_early_stop(spark, sf), click_log(spark, sf)
+    best = F.min_by("iteration", F.struct("holdout_loss", F.col("iteration")))
+    out = t.agg(F.count(F.when(F.col("chosen"), 1)).alias("chosen"), (F.max("iteration") - F.count(F.lit(1))).cast("bigint").alias("gaps"),
+                F.max_by("chosen", "iteration").alias("chosen_is_last"),
+                (best == F.max(F.when(F.col("chosen"), F.col("iteration")))).alias("chosen_is_best"))
+    parts = days.agg(F.count(F.when(F.col("day") < 24, 1)).alias("fitted"), F.count(F.when(F.col("day") == 24, 1)).alias("judged"))
+    return out.withColumn("one", F.lit(1)).join(parts.withColumn("one", F.lit(1)), "one").drop("one")
+
+
+@register("ml_leaf_check", EV + """
+SELECT CAST(8 AS BIGINT) AS trees, CAST(count(*) AS BIGINT) AS rows, CAST(0 AS BIGINT) AS other_leaves, CAST(0 AS BIGINT) AS other_paths,
+       CAST(0 AS BIGINT) AS other_scores FROM flog""")
+def q_ml_leaf_check(spark, sf):
+    """The trainer's leaves and scores against the tree table: the CASE form of every
+    tree, and the path of every reported leaf."""
+    df, feats = _ml_frame(spark, sf)
+    model = ML.fit_gbt(df.where("day < 24"), feats, max_iter=8, max_depth=3, leaf_col="leaves")
+    own = ML.leaf_features(model, df, feats)
+    names = [c for c in own.columns if c.startswith("xgb_")]
+    scored = ML.score(model, df, feats).select("instance_id", F.col("predicted_score").alias("own_score"))
+    both = (df.select("instance_id", *feats, *[c.alias(f"__{n}") for n, c in zip(names, TR.leaf_columns(model, feats))],
+                      TR.score_column(model, feats)).join(own.drop("is_trade"), "instance_id").join(scored, "instance_id"))
+    apart = sum((F.col(n) != F.col(f"__{n}")).cast("int") for n in names)
+    # every path predicate of the leaf that the trainer reports
+    table = F.broadcast(TR.tree_table(spark, model, feats))  # trees x 2^depth rows
+    values = F.create_map(*[x for f in feats for x in (F.lit(f), F.coalesce(F.col(f).cast("double"), F.lit(-1.0)))])
+    long = both.select(values.alias("x"), F.posexplode(F.array(*names)).alias("tree", "leaf"))
+    broken = F.expr("exists(path, p -> (x[p.feature] <= p.threshold) != (p.op = '<='))")
+    paths = long.join(table, ["tree", "leaf"], "left").agg(F.count(F.when(F.col("path").isNull() | broken, 1)).alias("other_paths"))
+    return both.agg(F.lit(len(names)).cast("bigint").alias("trees"), F.count(F.lit(1)).alias("rows"),
+                    F.coalesce(F.sum(apart), F.lit(0)).cast("bigint").alias("other_leaves"),
+                    F.count(F.when(F.abs(F.col("own_score") - F.col("predicted_score")) > 1e-9, 1)).alias("other_scores"),
+                    F.lit(1).alias("one")).join(paths.withColumn("one", F.lit(1)), "one").drop("one")
+
+
+@register("ffm_export_leaves", _online_sql() + """
+SELECT CASE WHEN day < 25 THEN 'tr' ELSE 've' END AS part, line || coalesce(s, '') AS line, CAST(6 AS BIGINT) AS leaf_fields
+FROM lines LEFT JOIN more USING (instance_id) WHERE day <= 25""")
+def q_ffm_export_leaves(spark, sf):
+    """The online export with the leaf fields of a model fitted before day 25: how
+    many a row has behind the dictionary's fields, and the row without them."""
+    df, feats = _ml_frame(spark, sf)
+    model = ML.fit_gbt(df.where("day < 25"), feats, max_iter=6, max_depth=3)
+    leaves = df.select("instance_id", *TR.leaf_columns(model, feats))
+    out = scratch_path(spark, "ffm-leaves")
+    dictionary = EP.export_ffm_online(click_log(spark, sf), out, leaves=leaves)
+    last = dictionary.agg(F.max("num")).first()[0]
+    first = len(EP.LISTS) + len(EP.FFM_SCALARS) - 1 if last is None else last
+    rows = [spark.read.text(f"{out}/{p}").select(F.lit(p).alias("part"), "value") for p in ("tr", "ve")]
+    tokens = F.filter(F.slice(F.split("value", " "), 2, 1 << 20), lambda t: (t != "") & (F.substring_index(t, ":", 1).try_cast("int") > first))
+    return rows[0].unionByName(rows[1]).select("part", F.regexp_replace("value", r"([0-9]+:[0-9]+:1 ){6}$", "").alias("line"),
+                                               F.size(tokens).cast("bigint").alias("leaf_fields"))
+
+
+@register("ml_online_score", EV + """
+SELECT instance_id, TRUE AS in_range FROM flog WHERE day = 25""")
+def q_ml_online_score(spark, sf):
+    """The second split: fitted on all labelled days (< 25), day 25 scored, written
+    and read back as the submission is."""
+    df, feats = _ml_frame(spark, sf)
+    model = ML.fit_gbt(df.where("day < 25"), feats, max_iter=10, max_depth=4)
+    path = scratch_path(spark, "online-predictions")
+    IO.write_predictions(ML.score(model, df.where("day = 25"), feats).select("instance_id", "predicted_score"), path)
+    return IO.read_predictions(spark, path).select("instance_id", F.col("predicted_score").between(0, 1).alias("in_range"))
+
+
+_CHECKED = ("ml_gbt_score", "ml_fm_score", "ml_ffm_score")
 
 
 @register("ml_score_check", EV + f"""
