@@ -386,8 +386,8 @@ def _codes_sql(src, cols, keep, name):
     return ",\n".join([*ctes, f"{name} AS MATERIALIZED (SELECT {out} FROM {src} a {joins})"])
 
 
-def _topk_cte(name, tokens_sql, k):
-    return f"""{name} AS (SELECT token, row_number() OVER (ORDER BY cnt DESC, token) - 1 AS rnk FROM (
+def _topk_cte(name, tokens_sql, k, more=""):
+    return f"""{name} AS (SELECT token, {more and more + ", "}row_number() OVER (ORDER BY cnt DESC, token) - 1 AS rnk FROM (
   SELECT token, count(*) AS cnt FROM ({tokens_sql}) GROUP BY token ORDER BY cnt DESC, token LIMIT {k}))"""
 
 
@@ -580,6 +580,26 @@ def q_vocab_topk_predict(spark, sf):
              .unionByName(p.select(F.lit("pro").alias("kind"), "token", "cnt")))
 
 
+def _heavy_sql():
+    where = {"q": ("string_split(item_property_list, ';')", 10, "WHERE is_trade = 1"), "a": ("string_split(item_property_list, ';')", 1000, ""),
+             "c": (_PCAT, 30, ""), "r": (_PPRO, 25, "")}
+    vocabs = [_topk_cte(f"t_{v}", f"SELECT unnest({x}) AS token, is_trade FROM flog {w}", k, "cnt") for v, (x, k, w) in where.items()]
+    vocabs.append(_topk_cte("t_text", "SELECT unnest(string_split(text, ' ')) AS token FROM documents", 100, "cnt"))
+    return EV + ",\n" + ",\n".join(vocabs) + "\n" + "\nUNION ALL\n".join(
+        f"SELECT '{v}' AS v, token, cnt, rnk, TRUE AS certain FROM t_{v}" for v in [*where, "text"])
+
+
+@register("vocab_heavy", _heavy_sql())
+def q_vocab_heavy(spark, sf):
+    """The top-k of the log's lists and of the documents' words by sketch and certificate."""
+    log = click_log(spark, sf)
+    props, cats, pros = L.tokens("item_property_list"), L.predict_categories("predict_category_property"), L.predict_properties("predict_category_property")
+    out = V.heavy_tokens(log, {"q": (props, 10, True), "a": (props, 1000, False), "c": (cats, 30, False), "r": (pros, 25, False)})
+    docs = table(spark, sf, "documents").select("text")
+    words = V.heavy_tokens(docs, {"text": (L.tokens("text", " "), 100, False)})
+    return out.unionByName(words).select("v", "token", "cnt", "rnk", (F.col("cnt") >= F.col("others_below")).alias("certain"))
+
+
 # ------------------------------------------------------- membership
 def _vocab_cte(name, k, positives=False):
     where = "WHERE is_trade = 1 AND day < 24" if positives else "WHERE day < 24"

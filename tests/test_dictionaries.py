@@ -106,3 +106,37 @@ def test_ranks_in_a_large_vocabulary(spark):
     got = df.select(V.overlap_ranks(F.col("t"), vocab).alias("r"), V.overlap_count(F.col("t"), vocab).alias("n")).collect()
     assert [r.r for r in got] == [sorted([vocab.index("t5"), 2999, 0]), [], None, [17]] and [r.n for r in got][:2] == [3, 0]
     assert df.select(V.overlap_ranks(F.col("t"), []).alias("r")).first().r == []
+
+
+def _words(spark, rows):
+    return spark.createDataFrame(rows, "t array<string>, is_trade int").repartition(6)
+
+
+def test_heavy_tokens_equal_exact_counts_and_count_few_on_zipf_data(spark):
+    # word i some 60,000 / (i + 1) times: a long tail of words that occur once or twice
+    words = [f"w{i:05d}" for i in range(30000) for _ in range(max(1, 60000 // (i + 1) // 8))]
+    random.Random(5).shuffle(words)
+    df = _words(spark, [(words[i:i + 50], i % 3 == 0 and 1 or 0) for i in range(0, len(words), 50)])
+    specs = {"a": (F.col("t"), 20, False), "p": (F.col("t"), 5, True)}
+    got = V.heavy_tokens(df, specs).collect()
+    for v, (col, k, pos) in specs.items():
+        exact = [tuple(r) for r in V.topk_tokens(df, col, k, pos).collect()]
+        own = sorted((r for r in got if r["v"] == v), key=lambda r: r["rnk"])
+        assert [(r["token"], r["cnt"]) for r in own] == exact and [r["rnk"] for r in own] == list(range(k))
+        assert all(r["cnt"] >= r["others_below"] > 0 for r in own)
+        assert own[0]["counted"] < 3000  # a tenth of the words at most
+
+
+def test_heavy_tokens_fall_back_to_exact_counts_on_flat_data_and_ties(spark):
+    df = _words(spark, [([f"w{i:04d}", f"w{(i * 7) % 3000:04d}"], 0) for i in range(3000)])
+    got = sorted(V.heavy_tokens(df, {"a": (F.col("t"), 40, False)}).collect(), key=lambda r: r["rnk"])
+    assert [(r["token"], r["cnt"]) for r in got] == [(f"w{i:04d}", 2) for i in range(40)]  # all tied: by token
+    assert got[0]["counted"] == 3000
+
+
+def test_heavy_tokens_of_short_null_and_empty_lists(spark):
+    df = _words(spark, [(["x", None, "x"], 1), (None, 1), ([], 0), (["y", None, None], 0)])
+    specs = {"a": (F.col("t"), 10, False), "p": (F.col("t"), 1, True), "none": (F.when(F.lit(False), F.col("t")), 3, False)}
+    got = sorted((r["v"], r["rnk"], r["token"], r["cnt"]) for r in V.heavy_tokens(df, specs).collect())
+    assert got == [("a", 0, None, 3), ("a", 1, "x", 2), ("a", 2, "y", 1), ("p", 0, "x", 2)]
+    assert V.heavy_tokens(df.limit(0), specs).count() == 0
