@@ -1082,6 +1082,7 @@ def q_features_full(spark, sf):
 # ------------------------------------------------------- pyspark.ml jobs (rows-only checks)
 from clickfeat.operators import fieldaware as FFA  # noqa: E402
 from clickfeat.operators import learn as ML  # noqa: E402
+from clickfeat.operators import rounds as RO  # noqa: E402
 from clickfeat.operators import trees as TR  # noqa: E402
 
 
@@ -1217,6 +1218,36 @@ def q_ml_online_score(spark, sf):
     return IO.read_predictions(spark, path).select("instance_id", F.col("predicted_score").between(0, 1).alias("in_range"))
 
 
+def _rounds(spark, sf):
+    """The frame, its numeric features and the labelled days (< 25) in rounds."""
+    df, feats = _ml_frame(spark, sf)
+    return df, feats, RO.chunks(df.where("day < 25"), ["context_timestamp", "instance_id"])
+
+
+@register("ml_rounds_score", EV + """
+SELECT instance_id, day, TRUE AS in_range FROM flog WHERE day = 25""")
+def q_ml_rounds_score(spark, sf):
+    """One model a round of balanced negative chunks, fitted together on the labelled
+    days; day 25 gets the mean of their scores, written and read back."""
+    df, feats, chunked = _rounds(spark, sf)
+    scored = RO.score(RO.fit(chunked, feats), df.where("day = 25"))
+    path = scratch_path(spark, "rounds-predictions")
+    IO.write_predictions(scored, path)
+    back = IO.read_predictions(spark, path)
+    return back.select("instance_id", F.lit(25).alias("day"), F.col("predicted_score").between(0, 1).alias("in_range"))
+
+
+@register("ml_rounds_sizes", EV + f""",
+n AS (SELECT CAST(sum(coalesce(is_trade, 0)) AS BIGINT) AS pos, CAST(count(*) - sum(coalesce(is_trade, 0)) AS BIGINT) AS neg FROM flog WHERE day < 25),
+z AS (SELECT pos, neg, greatest(1, pos, CAST(ceil(neg / {RO.MAX_ROUNDS}.0) AS BIGINT)) AS size FROM n)
+SELECT CAST(k AS BIGINT) AS chunk, pos AS positives, CAST(least(size, neg - k * size) AS BIGINT) AS negatives
+FROM z, range({RO.MAX_ROUNDS}) r(k) WHERE k * size < neg""")
+def q_ml_rounds_sizes(spark, sf):
+    """Rows of every round: each positive in each, each negative in one."""
+    log = click_log(spark, sf).where("day < 25").select("instance_id", "is_trade", "context_timestamp")
+    return RO.round_sizes(RO.chunks(log, ["context_timestamp", "instance_id"]))
+
+
 _CHECKED = ("ml_gbt_score", "ml_fm_score", "ml_ffm_score")
 
 
