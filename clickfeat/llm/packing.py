@@ -119,9 +119,11 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Data
     columns are ignored and an empty table packs nothing."""
     spark = docs.sparkSession
     names = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-    pieces = staged(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_cut(tokenizer_path, capacity), names), "pieces")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
+    # a piece's bucket is by its place, not by its id: pieces of one id, or of copies, are spread too
+    bucket = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(buckets)).alias("bucket")
+    cut = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_cut(tokenizer_path, capacity), names)
+    pieces = staged(cut.select("*", bucket), "pieces")
     counts = staged(pieces.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("c")), "lengths")
     histogram = {r["length"]: r["c"] for r in counts.groupBy("length").agg(F.sum("c").alias("c")).collect()}  # <= capacity rows
     before = (F.sum("c").over(Window.partitionBy("length").orderBy("bucket")) - F.col("c")).alias("before")

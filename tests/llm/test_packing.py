@@ -5,6 +5,8 @@ import numpy as np
 import public_tokenizers
 from hypothesis import given, settings, strategies as st
 
+from clickfeat.llm import packing
+from clickfeat.llm.common import staged
 from clickfeat.llm.packing import pack, patterns, places
 from clickfeat.llm.tokens import tokenizer
 
@@ -85,3 +87,14 @@ def test_edges(spark):
     df = spark.createDataFrame([(*r, 1, 2) for r in data], "doc_id long, text string, length int, rank int")
     check(pack(df, PATH).collect(), data)
     assert pack(df.limit(0), PATH).count() == 0
+
+
+def test_one_id_of_many_copies_uses_all_buckets(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(packing, "staged", lambda df, name: seen.append(staged(df, name)) or seen[-1])
+    rows = [(7, "the same text in every row")] * 20_000 + [(None, "no id")] * 500
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    n = check(pack(df, PATH).collect(), rows)
+    per_bucket = [r["count"] for r in seen[0].where("doc_id = 7").groupBy("bucket").count().collect()]
+    assert len(per_bucket) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(per_bucket) < 1.2 * 20_000 / len(per_bucket)
+    assert n < 1.02 * (20_000 * 7 + 500 * 4) / 2048 + 1
