@@ -28,6 +28,7 @@ from clickfeat.llm.text import raw
 
 REFERENCE, TOTAL, PIECE = 16_384, 131_072, 1024
 SEGMENT = 2048
+FAN = 1024  # samples that a task merges: about the root of a large table's partitions
 GAP, BREAK, SYMBOLS = 26, 91, 92  # any run of other ASCII; between reference texts
 NEW = 1 << 30  # set in a transition that begins a phrase
 
@@ -214,7 +215,11 @@ def learn(docs: DataFrame) -> Model:
     texts = docs.where("text is not null and lang is not null").select(
         "lang", F.lit(None).cast("int").alias("number"), F.encode(F.substring("text", 1, REFERENCE), "utf-8").alias("text"))
     names = "lang string, number int, text binary"
-    rows = texts.mapInArrow(_sampled, names).repartition("lang").mapInArrow(_sampled, names).toArrow()  # at most the references
+    # samples of samples: first by groups of partitions, so that a language of all
+    # partitions sends one task the samples of FAN groups and no more
+    group = F.pmod(F.spark_partition_id(), F.lit(FAN)).alias("part")
+    rows = texts.mapInArrow(_sampled, names).select("*", group).repartition("lang", "part").drop("part").mapInArrow(_sampled, names)
+    rows = rows.repartition("lang").mapInArrow(_sampled, names).toArrow()  # at most the references
     sample = _Sample()
     for row in zip(*(rows[c].to_pylist() for c in ("lang", "number", "text"))):
         sample.add(*row)

@@ -68,3 +68,12 @@ def test_the_reference_is_filled_whatever_the_texts(spark):
     held = [t for t in short[1:]]
     aa = a.phrases(*L.symbols(*raw(pa.array(held))))[:, 0]
     assert (aa == 1).sum() > 400  # whole texts that the reference holds
+
+
+def test_samples_merged_in_two_rounds_are_those_of_one_task(spark, monkeypatch):
+    monkeypatch.setattr(L, "FAN", 3)
+    word = lambda i: "".join(chr(97 + i // 26 ** j % 26) for j in range(4))
+    rows = [(i, " ".join(word(i * 7 + j * 131) for j in range(9)), "aa" if i % 4 else "bb") for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    a, b = (L.learn(df.repartition(n)) for n in (1, 13))
+    assert a.languages == b.languages and (a.table == b.table).all()
