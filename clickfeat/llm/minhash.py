@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from clickfeat.llm.common import staged
 from clickfeat.llm.components import components
-from clickfeat.llm.text import SPACED, chain, mix, raw, words
+from clickfeat.llm.text import SPACED, chain, mix, parts, raw, words
 
 CIRCLE = 1 << 20
 ROWS, BANDS = 5, 40
@@ -86,8 +86,7 @@ def _node(s: np.ndarray) -> int:
 def _signed(k: int):
     def run(batches):
         for b in batches:
-            for lo in range(0, b.num_rows, 2000):
-                part = b.slice(lo, 2000)
+            for part in parts(b, 1):
                 node, n, keys = [], [], []
                 for s in shingle_sets(part.column(1), k):
                     n.append(len(s))
@@ -104,9 +103,9 @@ def _signed(k: int):
 def _sets(k: int):
     def run(batches):
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
+            for part in parts(b, 0, 500):
                 node, sets = [], []
-                for s in shingle_sets(b.column(0).slice(lo, 500), k):
+                for s in shingle_sets(part.column(0), k):
                     if len(s):
                         node.append(_node(s))
                         sets.append(s.view(np.int64))

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from clickfeat.llm.common import staged
+from clickfeat.llm.text import parts
 from clickfeat.llm.tokens import token_ids
 
 CAPACITY = 2048
@@ -81,7 +82,7 @@ def places(pattern_list) -> dict[str, np.ndarray]:
 
 def _cut(path: str, capacity: int):
     def run(batches):
-        for b in (x.slice(lo, 2500) for x in batches for lo in range(0, x.num_rows, 2500)):
+        for b in (part for x in batches for part in parts(x, 1)):
             out = []
             for doc, ids in zip(b.column(0).to_pylist(), token_ids(b.column(1), path)):
                 data, n = np.append(ids, np.uint32(END)).astype("<u4"), len(ids) + 1

@@ -27,6 +27,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from clickfeat.llm.text import parts
+
 KEY = b"clickfeat pseudonyms"
 ROUNDS = 8
 #: characters of an account number by country; other countries may have 15 to 34
@@ -323,7 +325,7 @@ def pseudonymise(text: str, key: bytes = KEY, back: bool = False) -> tuple[str,
 
 def _replaced(key: bytes, at: int):
     def run(batches):
-        for x in batches:
+        for x in (part for b in batches for part in parts(b, at)):
             texts, spans = [], []
             for t in x.column(at).to_pylist():
                 new, found = (None, []) if t is None else pseudonymise(t, key)

@@ -14,6 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
@@ -68,6 +69,17 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return b[o[0]:o[-1]], o - o[0]
 
 
+def parts(batch: pa.RecordBatch, at: int, rows: int = 2000, size: int = CHUNK):
+    """Slices of the batch, of at most ``rows`` rows and about ``size`` bytes of
+    the texts in column ``at``; a longer text is in a slice of its own."""
+    upto = np.concatenate([[0], np.cumsum(pc.binary_length(batch.column(at)).fill_null(0).to_numpy(), dtype=np.int64)])
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, min(lo + rows, int(np.searchsorted(upto, upto[lo] + size, "right")) - 1))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def words(buf: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, chunk: int = CHUNK):
     """``(start, end, hash, first)``: byte bounds and hash of every word in
     order, and for each row the index of its first word (one more at the end)."""

@@ -9,6 +9,7 @@ are settled here is encoded whole by the library.
 
 from __future__ import annotations
 
+import os
 import unicodedata
 from functools import lru_cache
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 
 from clickfeat.llm.text import _powers, mix, raw
 
-SLICE = 1 << 20
+SLICE = 1 << 18
 SETTLED = 0x0530
 JOINED = 200
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
@@ -41,6 +42,7 @@ def _unsettled() -> np.ndarray:
 
 @lru_cache(maxsize=4)
 def tokenizer(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True  # their strings in a text are ordinary text
