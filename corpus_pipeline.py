@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clickfeat.llm import decontaminate, minhash, packing, pii, toxicity
 from clickfeat.llm.common import fold, read, staged
-from clickfeat.llm.queries import byte_bpe
+from clickfeat.llm.queries import byte_bpe, pseudonym_key
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.pseudonymised(docs, spans="__found").select(docs.columns)
+    return pii.pseudonymised(docs, pseudonym_key(spark), spans="__found").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
