@@ -9,10 +9,14 @@ first three words begin no benchmark suffix - stay out of the array, which
 changes no answer and keeps the array small.
 
 The benchmark is dealt into blocks of at most ``BLOCK_BYTES`` of text on
-average by a hash of the item; each block is one broadcast and one pass over
-the partition's stream of batches, so neither the driver nor a task ever holds
-more than one block's index, however large the benchmark is.  Documents are
-not shuffled.
+average by a hash of the item and its text; each block is indexed on the driver,
+broadcast, and searched in a pass over the documents.  One block needs one pass
+and no shuffle.  Several have a pass, and a written table of what it found, each:
+neither the driver nor a task ever holds more than one block's index, however
+large the benchmark is, and texts are read, not written again, for a pass.
+
+A passage that many items and many documents share is expanded to its pairs in
+portions of ``PAIRS``, each cut down to the starts of longest matches at once.
 """
 
 from __future__ import annotations
@@ -21,10 +25,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from clickfeat.llm.text import ALNUM, chain, raw, words
+from clickfeat.llm.common import staged
+from clickfeat.llm.text import ALNUM, chain, parts, raw, words
 
 BLOCK_BYTES = 16 << 20
-SHARD_ROWS = 2000
+SHARD_ROWS, SHARD_BYTES = 2000, 8 << 20
+PAIRS = 1 << 20
 UNKNOWN = np.uint32(0x7FFFFFFF)
 MATCH = pa.struct([("item_id", pa.int64()), ("item_word", pa.int64()), ("doc_word", pa.int64()), ("length", pa.int64())])
 MATCHES = "array<struct<item_id:long,item_word:long,doc_word:long,length:long>>"
@@ -88,9 +94,9 @@ class TestIndex:
     def _prefix(seq, at, m):
         return chain_rows(seq[at[:, None] + np.arange(m)]) if len(at) else np.zeros(0, np.uint64)
 
-    def search(self, seq: np.ndarray):
-        """Longest matches with the text ``seq``: positions there, positions in
-        the block, lengths."""
+    def _runs(self, seq: np.ndarray):
+        """The suffix array of the text ``seq`` and, for each kind of test suffix,
+        its positions in the block, the bounds of its run in the array, and its length."""
         w = self.window
         known = np.flatnonzero((seq != 0) & (seq != UNKNOWN))
         chosen = [known[members.find(self._prefix(seq, known, m))[0]] for m, members in self.begin.items()]
@@ -98,18 +104,46 @@ class TestIndex:
         keys = _keys(seq, suffix, w)
         order = np.argsort(keys, kind="stable")
         keys, suffix = keys[order], suffix[order]
-        found = [self._ranges(keys, suffix, self.full_keys, self.full_keys, self.full, w)]
+        ends = [(self.full, self.full_keys, self.full_keys, w)]
         for c, at in self.short.items():
             low = self.seq[at[:, None] + np.arange(w)]
             low[:, c:] = 0
             high = low.copy()
             high[:, c:] = 0xFFFFFFFF
-            zero = np.arange(len(at))
-            a, b = (_keys(x.reshape(-1), zero * w, w) for x in (low, high))
-            found.append(self._ranges(keys, suffix, a, b, at, c))
+            ends.append((at, *(_keys(x.reshape(-1), np.arange(len(at)) * w, w) for x in (low, high)), c))
+        runs = []
+        for at, low, high, length in ends:
+            a, b = np.searchsorted(keys, low, "left"), np.searchsorted(keys, high, "right")
+            some = np.flatnonzero(b > a)
+            runs.append((at[some], a[some], b[some], length))
+        return suffix, runs
+
+    def hits(self, seq: np.ndarray) -> np.ndarray:
+        """The positions in the text where any window of the block begins."""
+        suffix, runs = self._runs(seq)
+        edge = np.zeros(len(suffix) + 1, np.int64)
+        for _, a, b, _ in runs:
+            np.add.at(edge, a, 1)
+            np.add.at(edge, b, -1)
+        return suffix[np.cumsum(edge[:-1]) > 0]
+
+    def search(self, seq: np.ndarray):
+        """Longest matches with the text ``seq``: positions there, positions in
+        the block, lengths."""
+        suffix, runs = self._runs(seq)
+        found = [(np.zeros(0, np.int64),) * 3]
+        for at, a, b, length in runs:
+            upto = np.concatenate([[0], np.cumsum(b - a)])
+            lo = 0
+            while lo < len(at):
+                hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + PAIRS, "right")) - 1)
+                c = b[lo:hi] - a[lo:hi]
+                t = np.repeat(at[lo:hi], c)
+                p = suffix[np.arange(len(t)) + np.repeat(a[lo:hi] - upto[lo:hi] + upto[lo], c)]
+                fresh = (seq[p - 1] != self.seq[t - 1]) | (seq[p - 1] == 0)  # else part of a match that begins one word before
+                found.append((p[fresh], t[fresh], np.full(int(fresh.sum()), length, np.int64)))
+                lo = hi
         p, t, n = (np.concatenate(x) for x in zip(*found))
-        fresh = (seq[p - 1] != self.seq[t - 1]) | (seq[p - 1] == 0)  # else part of a match that begins one word before
-        p, t, n = p[fresh], t[fresh], n[fresh]
         grow = np.arange(len(p))
         while len(grow):
             x = seq[p[grow] + n[grow]]
@@ -117,14 +151,6 @@ class TestIndex:
             n[grow] += 1
         return p, t, n
 
-    @staticmethod
-    def _ranges(keys, suffix, low, high, at, length):
-        a, b = np.searchsorted(keys, low, "left"), np.searchsorted(keys, high, "right")
-        c = np.maximum(b - a, 0)
-        t = np.repeat(at, c)
-        inside = np.arange(len(t)) - np.repeat(np.cumsum(c) - c, c)
-        return suffix[np.repeat(a, c) + inside], t, np.full(len(t), length, np.int64)
-
 
 def chain_rows(ids: np.ndarray) -> np.ndarray:
     """One hash for each row of a matrix of word ids."""
@@ -149,35 +175,28 @@ def _numbered(texts: pa.Array, block: TestIndex):
 
 
 def _scan(index):
-    """One pass: the document rows with this block's matches added to theirs."""
+    """Rows ``(id, text)`` -> ``id, n_words, n_hit, matches`` with this block."""
     def run(batches):
         block: TestIndex = index.value
-        for batch in batches:
-            for lo in range(0, batch.num_rows, SHARD_ROWS):
-                part = batch.slice(lo, SHARD_ROWS)
-                first, seq, start = _numbered(part.column("text"), block)
-                p, t, n = block.search(seq)
-                doc = np.searchsorted(start, p, "right") - 1
-                item = np.searchsorted(block.row_start, t, "right") - 1
-                new = [block.items[item], t - block.row_start[item], p - start[doc], n]
-                old = part.column("matches")
-                kept = old.flatten()
-                doc = np.concatenate([np.repeat(np.arange(part.num_rows), np.diff(old.offsets.to_numpy())), doc])
-                new = [np.concatenate([kept.field(j).to_numpy(zero_copy_only=False), x]) for j, x in enumerate(new)]
-                order = np.lexsort((new[1], new[0], new[2], doc))
-                doc, new = doc[order], [x[order].astype(np.int64) for x in new]
-                edge = np.zeros(len(seq) + 1, np.int64)
-                np.add.at(edge, start[doc] + new[2], 1)
-                np.add.at(edge, start[doc] + new[2] + new[3], -1)
-                hit = np.concatenate([[0], np.cumsum(np.cumsum(edge) > 0)])
-                n_words = np.diff(first)
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.searchsorted(doc, np.arange(part.num_rows + 1)), pa.int32()),
-                    pa.StructArray.from_arrays([pa.array(x) for x in new], fields=list(MATCH)))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("text"), pa.array(n_words, pa.int64()),
-                     pa.array(hit[start + n_words] - hit[start], pa.int64()), lists],
-                    ["doc_id", "text", "n_words", "n_hit", "matches"])
+        for part in (x for b in batches for x in parts(b, 1, SHARD_ROWS, SHARD_BYTES)):
+            first, seq, start = _numbered(part.column(1), block)
+            p, t, n = block.search(seq)
+            doc = np.searchsorted(start, p, "right") - 1
+            item = np.searchsorted(block.row_start, t, "right") - 1
+            new = [block.items[item], t - block.row_start[item], p - start[doc], n]
+            order = np.lexsort((new[1], new[0], new[2], doc))
+            doc, new = doc[order], [x[order].astype(np.int64) for x in new]
+            edge = np.zeros(len(seq) + 1, np.int64)
+            np.add.at(edge, start[doc] + new[2], 1)
+            np.add.at(edge, start[doc] + new[2] + new[3], -1)
+            hit = np.concatenate([[0], np.cumsum(np.cumsum(edge) > 0)])
+            n_words = np.diff(first)
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.searchsorted(doc, np.arange(part.num_rows + 1)), pa.int32()),
+                pa.StructArray.from_arrays([pa.array(x) for x in new], fields=list(MATCH)))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(n_words, pa.int64()), pa.array(hit[start + n_words] - hit[start], pa.int64()), lists],
+                ["id", "n_words", "n_hit", "matches"])
     return run
 
 
@@ -190,45 +209,87 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     ``n_hit`` counts the document words inside any; ``items`` are the distinct
     items with one.  An item shorter than the window is one window.  Null texts
     have no words; items without an id or words match nothing; repeated rows
-    count each (documents) or as one item (benchmark); an empty benchmark
+    count each (documents) or once (benchmark); an empty benchmark
     leaves every document clean."""
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("n_words"),
-                      F.lit(0).cast("long").alias("n_hit"), F.array().cast(MATCHES).alias("matches"))
-    for index in _blocks(benchmark, window):
-        out = out.mapInArrow(_scan(index), f"doc_id long, text string, n_words long, n_hit long, matches {MATCHES}")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    names = f"id long, n_words long, n_hit long, matches {MATCHES}"
+    blocks, indexes = _blocks(benchmark, window)
+    if blocks == 1:
+        out = own.mapInArrow(_scan(next(indexes)), names).withColumnRenamed("id", "doc_id")
+    else:
+        rows = staged(own.withColumn("id", F.monotonically_increasing_id()), "numbered")
+        passes = None
+        for index in indexes:
+            found = rows.select("id", "text").mapInArrow(_scan(index), names)
+            found = staged(found if passes is None else found.where("n_hit > 0"), "matches")
+            passes = found if passes is None else passes.unionByName(found)
+        merged = passes.groupBy("id").agg(F.max("n_words").alias("n_words"), _in_order(F.flatten(F.collect_list("matches"))).alias("matches"))
+        out = rows.select("id", "doc_id").join(merged, "id").withColumn("n_hit", _covered(F.col("matches")))
     return out.select("doc_id", "n_words", "n_hit", "matches", F.array_distinct("matches.item_id").alias("items"))
 
 
+def _in_order(matches: Column) -> Column:
+    """By place in the document, then by item."""
+    order = ("doc_word", "item_id", "item_word", "length")
+    keyed = F.array_sort(F.transform(matches, lambda m: F.struct(*[m[c].alias(c) for c in order])))
+    return F.transform(keyed, lambda m: F.struct(*[m[c].alias(c) for c in MATCH.names]))
+
+
+def _covered(matches: Column) -> Column:
+    """Words inside any of the matches, which are ordered by place."""
+    zero = F.lit(0).cast("long")
+
+    def more(acc, m):
+        end = m["doc_word"] + m["length"]
+        return F.struct(F.greatest(acc["end"], end).alias("end"),
+                        (acc["n"] + F.greatest(zero, end - F.greatest(acc["end"], m["doc_word"]))).alias("n"))
+    return F.aggregate(matches, F.struct(zero.alias("end"), zero.alias("n")), more, lambda acc: acc["n"])
+
+
 def _blocks(benchmark: DataFrame, window: int):
-    """The benchmark's blocks, indexed and broadcast one by one."""
+    """How many blocks the benchmark has, and the blocks, indexed and broadcast one by one."""
     spark = benchmark.sparkSession
-    items = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = int(size // BLOCK_BYTES) + 1
-    for i in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i).toArrow()
-        yield spark.sparkContext.broadcast(TestIndex(block["item_id"].to_numpy().astype(np.int64), block["text"], window))
+    items = benchmark.select("item_id", "text").where("item_id is not null and text is not null").distinct()
+    blocks = int((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES) + 1
 
+    def indexes():
+        for i in range(blocks):
+            block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i).toArrow()
+            yield spark.sparkContext.broadcast(TestIndex(block["item_id"].to_numpy().astype(np.int64), block["text"], window))
+    return blocks, indexes()
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """The document rows without any hit, all columns kept as they are: a row
-    filter for each block, without a join."""
-    at = docs.columns.index("text")
 
-    def without(index):
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+    """The document rows without any hit, all columns kept as they are.  With one
+    block this is a row filter; with several, each pass writes the rows it hit, and
+    an anti-join by row number follows."""
+    def hits(index, at):
         def run(batches):
             block: TestIndex = index.value
-            for batch in batches:
-                for lo in range(0, batch.num_rows, SHARD_ROWS):
-                    part = batch.slice(lo, SHARD_ROWS)
-                    _, seq, start = _numbered(part.column(at), block)
-                    hit = np.zeros(part.num_rows, bool)
-                    hit[np.searchsorted(start, block.search(seq)[0], "right") - 1] = True
-                    yield part.filter(pa.array(~hit))
+            for part in (x for b in batches for x in parts(b, at, SHARD_ROWS, SHARD_BYTES)):
+                _, seq, start = _numbered(part.column(at), block)
+                hit = np.zeros(part.num_rows, bool)
+                hit[np.searchsorted(start, block.hits(seq), "right") - 1] = True
+                yield part, hit
         return run
-    for index in _blocks(benchmark, window):
-        docs = docs.mapInArrow(without(index), docs.schema)
-    return docs
+
+    def without(index, at):
+        return lambda batches: (part.filter(pa.array(~hit)) for part, hit in hits(index, at)(batches))
+
+    def hit_rows(index):
+        return lambda batches: (part.select([0]).filter(pa.array(hit)) for part, hit in hits(index, 1)(batches))
+
+    blocks, indexes = _blocks(benchmark, window)
+    if blocks == 1:
+        return docs.mapInArrow(without(next(indexes), docs.columns.index("text")), docs.schema)
+    row = "__row"
+    while row in docs.columns:
+        row += "_"
+    rows, bad = staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), None
+    for index in indexes:
+        found = staged(rows.select(row, "text").mapInArrow(hit_rows(index), f"`{row}` long"), "hits")
+        bad = found if bad is None else bad.unionByName(found)
+    return rows.join(bad, row, "left_anti").select(docs.columns)
 
 
 def joined_digest(items: str) -> Column:

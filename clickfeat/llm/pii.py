@@ -29,7 +29,6 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from clickfeat.llm.text import parts
 
-KEY = b"clickfeat pseudonyms"
 ROUNDS = 8
 #: characters of an account number by country; other countries may have 15 to 34
 IBAN_LENGTH = {c: n for n, cs in {
@@ -272,7 +271,7 @@ def _phone_ends(text, a, b):
     starts = [i for i in range(a + 2, b) if (digit(i) or text[i] == "(") and not digit(i - 1) and text[i - 1] != "("]
     others = [(m.start(), m.end()) for i in starts if (m := _NATIONAL.match(text, i))]
     others += [(i, e) for i in starts if (m := _GROUPED.match(text, i))
-               for e in _card_ends(text, i, m.end()) if _card(text[i:e], KEY, False)]
+               for e in _card_ends(text, i, m.end()) if _card(text[i:e], b"any", False)]
     found = []
     for e in range(b, a + 7, -1):
         d = _digits(text[a:e].replace("(0)", "", 1))
@@ -294,7 +293,7 @@ def _ends(kind, text, a, b):
     return [b]
 
 
-def pseudonymise(text: str, key: bytes = KEY, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
+def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with every validated value replaced, and where they are.  An
     earlier kind goes first where two overlap."""
     if not _FIRST.search(text):
@@ -337,12 +336,16 @@ def _replaced(key: bytes, at: int):
     return run
 
 
-def pseudonymised(docs: DataFrame, key: bytes = KEY, spans: str = "spans") -> DataFrame:
+def pseudonymised(docs: DataFrame, key: bytes, spans: str = "spans") -> DataFrame:
     """The rows with ``text`` replaced and a column of spans (code points of the
     text: kind, start, length; layouts keep their lengths).
 
     Null and empty texts stay; repeated rows change alike; all other columns are
-    kept as they are, whatever their names (``spans`` names the new one)."""
+    kept as they are, whatever their names (``spans`` names the new one).  The
+    ``key`` (64 bytes count) is the caller's secret: with it pseudonyms can be
+    undone, so there is none by default and an empty one is refused."""
+    if not key:
+        raise ValueError("pseudonyms need a secret key")
     at = docs.columns.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField("__spans", T.ArrayType(T.StructType([T.StructField('kind', T.StringType()), T.StructField('start', T.LongType()), T.StructField('length', T.LongType())])))])
     return docs.mapInArrow(_replaced(key, at), schema).withColumnRenamed("__spans", spans)

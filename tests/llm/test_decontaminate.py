@@ -52,13 +52,32 @@ def test_edges(spark, monkeypatch):
     items = rows(spark, ITEMS, "item_id long, text string")
     want = brute(DOCS, [(i, t) for i, t in ITEMS if i is not None])
     assert result(docs, items) == want
+    one = {str(r) for r in D.decontaminate(docs, items).collect()}
+    left = sorted(map(str, D.clean(docs, items).collect()))
+    monkeypatch.setattr(D, "PAIRS", 3)
+    assert {str(r) for r in D.decontaminate(docs, items).collect()} == one
     monkeypatch.setattr(D, "BLOCK_BYTES", 40)  # several blocks give the same
-    assert result(docs, items) == want
+    several = D.decontaminate(docs, items)
+    assert D._blocks(items, 10)[0] > 3 and result(docs, items) == want
+    assert {str(r) for r in several.collect()} == one
+    assert sorted(map(str, D.clean(docs, items).collect())) == left
+    assert "MapInArrow" not in several._jdf.queryExecution().optimizedPlan().toString()  # no pass hangs on another
     assert D.clean(docs, items).columns == docs.columns
     assert {r[2] for r in result(docs, items.limit(0))} == {0}
     assert result(docs.limit(0), items) == []
 
 
+def test_a_passage_of_many_items_and_documents(spark, monkeypatch):
+    """40 words in 60 items and 80 documents: 31 windows of each meet, and one match of each stays."""
+    passage = " ".join(f"w{i}" for i in range(40))
+    docs = rows(spark, [(i, f"d{i} {passage} e{i}") for i in range(80)], "doc_id long, text string")
+    items = rows(spark, [(i, f"i{i} {passage}") for i in range(60)] * 2, "item_id long, text string")
+    monkeypatch.setattr(D, "PAIRS", 500)
+    got = D.decontaminate(docs, items).collect()
+    assert all(r.n_hit == 40 and sorted(r["items"]) == list(range(60)) and {tuple(m)[1:] for m in r.matches} == {(1, 1, 40)} and len(r.matches) == 60 for r in got)
+    assert len(got) == 80 and D.clean(docs, items).count() == 0
+
+
 def test_longest_matches_and_places(spark):
     docs = rows(spark, DOCS, "doc_id long, text string")
     got = {r.doc_id: [tuple(m) for m in r.matches] for r in D.decontaminate(docs, rows(spark, ITEMS[:1], "item_id long, text string")).collect()}

@@ -1,7 +1,7 @@
 import corpus_pipeline as P
 from clickfeat.llm import toxicity
 from clickfeat.llm.common import fold, read
-from clickfeat.llm.queries import byte_bpe
+from clickfeat.llm.queries import PUBLIC_KEY, byte_bpe
 from tests.llm.test_decontaminate import brute as brute_hits
 from tests.llm.test_minhash import brute as brute_groups
 from tests.llm.test_packing import check as check_packing
@@ -32,7 +32,7 @@ def test_every_stage_against_brute_force(spark):
     want = {d: r for d, r in want.items() if not brute_hits([(d, r[1])], items)[0][2]}
     three, got = stage(2, two)
     assert got == want
-    want = {d: (r[0], pseudonymise(r[1])[0], *r[2:]) for d, r in want.items()}
+    want = {d: (r[0], pseudonymise(r[1], PUBLIC_KEY)[0], *r[2:]) for d, r in want.items()}
     four, got = stage(3, three)
     assert got == want
     check_packing(P.STAGES[4][1](spark, four, D).collect(), [(d, r[1]) for d, r in want.items()])
