@@ -5,25 +5,32 @@ Every scope contains an anchor key (the user), so a frame dealt out by the
 anchor serves all of them.  An anchor with more than ``chunk_rows`` rows (the
 NULL anchor included) is cut into chunks: its rows are range-partitioned on
 (anchor, time, row key) and the partition number, written to the shared folder,
-is the chunk.  All windows run inside (anchor, chunk).  A small summary - rows,
+is the chunk.  All order features are taken inside (anchor, chunk), with numpy over
+rows that Spark has dealt out and sorted.  A small summary - rows,
 first and last time of each scope group in each chunk - then carries counts
 and neighbouring times from chunk to chunk by running aggregates, and is joined
 back on (scope keys, chunk).  An anchor that is not cut has one chunk, so its
 rows need no summary; the formula is the same.
 
-NULL keys group together, NULL times come first; no Python touches a row.
+NULL keys group together, NULL times come first.  Keys are single values of any
+type; the order of the rows is Spark's, whatever the time's and row key's types.
 """
 
 from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from clickfeat.session import scratch_path
 
-# Rows of one anchor that one task sorts.
-CHUNK_ROWS = 2_000_000
+# Rows of one anchor that one task sorts and holds at once.
+CHUNK_ROWS = 500_000
+# Rows that a task takes off its sorted rows at a time (more for a larger anchor), and hands on.
+BATCH_ROWS, OUT_ROWS = 1 << 16, 1 << 13
 
 ORDER = ("rn", "prev", "next", "n", "first", "last")
 
@@ -55,16 +62,111 @@ def split_anchors(df: DataFrame, anchor: str, ts: str, key: str, chunk_rows: int
     return df.join(cut, _same(df, cut, [anchor]), "left_anti"), chunked
 
 
-def _local(df: DataFrame, specs, ts, key, extra):
-    cols = []
-    for name, (keys, wanted) in specs.items():
-        group = Window.partitionBy(*keys, *extra)
-        w, t = group.orderBy(ts, key), F.col(ts)
-        make = {"rn": lambda: F.row_number().over(w).cast("bigint"), "prev": lambda: F.lag(t).over(w),
-                "next": lambda: F.lead(t).over(w), "n": lambda: F.count(F.lit(1)).over(group).cast("bigint"),
-                "first": lambda: F.min(t).over(group), "last": lambda: F.max(t).over(group)}
-        cols += [make[c]().alias(f"{name}__{c}") for c in wanted]
-    return df.select("*", *cols)
+def _local(df: DataFrame, specs, ts, key, extra, anchor):
+    """The order features of rows dealt by ``anchor`` (and ``extra``).  One sort by
+    (anchor, time, row key) serves all scopes: a task takes whole anchors off its
+    sorted rows and groups them by codes of the scopes' keys; a window for each
+    scope would sort the rows once more for each."""
+    rows = df.sortWithinPartitions(anchor, *extra, ts, key)
+    kinds = {"rn": T.LongType(), "n": T.LongType()}
+    more = [T.StructField(f"{name}__{c}", kinds.get(c, df.schema[ts].dataType)) for name, (_, wanted) in specs.items() for c in wanted]
+    return rows.mapInArrow(_scoped(specs, ts, [anchor, *extra]), T.StructType([*df.schema.fields, *more]))
+
+
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    """Equal values, NULLs included, have equal codes from 0 on."""
+    if pa.types.is_floating(column.type):  # 0.0 and -0.0 are one value
+        column = pc.add(column, pa.scalar(0.0, column.type))
+    return column.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+
+
+def _groups(parts: list[np.ndarray]) -> np.ndarray:
+    """One code for each combination of the parts' codes."""
+    out, size = parts[0].astype(np.int64), int(parts[0].max()) + 1
+    for p in parts[1:]:
+        n = int(p.max()) + 1
+        if size * n >= 1 << 62:
+            found, out = np.unique(out, return_inverse=True)
+            size = len(found)
+        out, size = out * n + p, size * n
+    return out
+
+
+def _features(t: pa.Table, specs, ts, alone: np.ndarray) -> list[pa.Array]:
+    """The columns of ``specs`` for whole anchors in order (``alone``: the anchor's code)."""
+    n, at = t.num_rows, t.column(ts).combine_chunks()
+    timed = at.is_valid().to_numpy(zero_copy_only=False)
+    codes, scopes, out = {}, {}, []
+    for keys, wanted in specs.values():
+        scope = tuple(sorted(keys))
+        if scope not in scopes:
+            for k in scope:
+                if k not in codes:
+                    codes[k] = _codes(t.column(k))
+            group = _groups([alone, *[codes[k] for k in scope]])
+            order = np.argsort(group, kind="stable")
+            cut = np.flatnonzero(np.diff(group[order])) + 1
+            begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [n]])
+            size = end - begin
+            scopes[scope] = order, begin, end, size, np.arange(n) - np.repeat(begin, size)
+        order, begin, end, size, place = scopes[scope]
+
+        def back(values, there=None):
+            """Values in the groups' order put back to the rows; with ``there`` places of times."""
+            own = np.empty(n, np.int64)
+            own[order] = values
+            if there is None:
+                return pa.array(own)
+            some = np.empty(n, bool)
+            some[order] = there
+            return at.take(pa.array(own, mask=~some))
+        for w in wanted:
+            if w == "rn":
+                out.append(back(place + 1))
+            elif w == "n":
+                out.append(back(np.repeat(size, size)))
+            elif w == "prev":
+                out.append(back(np.concatenate([[0], order[:-1]]), place > 0))
+            elif w == "next":
+                out.append(back(np.concatenate([order[1:], [0]]), place < np.repeat(size, size) - 1))
+            elif w == "last":  # NULL times come first: NULL only if all are
+                out.append(back(np.repeat(order[end - 1], size), np.ones(n, bool)))
+            else:  # the first time that is not NULL
+                untimed = np.add.reduceat((~timed[order]).astype(np.int64), begin)
+                first = order[np.minimum(begin + untimed, end - 1)]
+                out.append(back(np.repeat(first, size), np.ones(n, bool)))
+    return out
+
+
+def _scoped(specs, ts, together):
+    """Rows sorted by ``together`` to rows with the columns of ``specs``: whole groups
+    of ``together`` at a time, some ``BATCH_ROWS`` rows."""
+    def run(batches):
+        held, rows, least = [], 0, BATCH_ROWS
+
+        def done(t, code):
+            columns = [*t.columns, *_features(t, specs, ts, code)]
+            names = [*t.schema.names, *[f"{name}__{c}" for name, (_, wanted) in specs.items() for c in wanted]]
+            for b in pa.table(columns, names=names).to_batches(max_chunksize=OUT_ROWS):
+                yield b
+
+        for b in batches:
+            held.append(b)
+            rows += b.num_rows
+            if rows < least:
+                continue
+            t = pa.Table.from_batches(held).combine_chunks()
+            code = _groups([_codes(t.column(c)) for c in together])
+            other = np.flatnonzero(code != code[-1])
+            if len(other):  # the last group may go on
+                upto = int(other[-1]) + 1
+                yield from done(t.slice(0, upto), code[:upto])
+                held, rows, least = t.slice(upto).to_batches(), t.num_rows - upto, BATCH_ROWS
+            least = max(least, 2 * rows)
+        if rows:
+            t = pa.Table.from_batches(held).combine_chunks()
+            yield from done(t, _groups([_codes(t.column(c)) for c in together]))
+    return run
 
 
 def _carried(chunked: DataFrame, keys, ts, key):
@@ -94,11 +196,11 @@ def add_scopes(df: DataFrame, specs: dict[str, tuple[list[str], tuple]], ts: str
     if any(anchor not in keys for keys, _ in specs.values()):
         raise ValueError(f"every scope must contain {anchor}")
     plain, chunked = (df, None) if chunk_rows is None else split_anchors(df, anchor, ts, key, chunk_rows)
-    out = _local(dealt(plain, anchor), specs, ts, key, [])
+    out = _local(dealt(plain, anchor), specs, ts, key, [], anchor)
     if chunked is None:
         return out
     inner = {n: (k, tuple(dict.fromkeys([*w, *(["rn", "n"] if {"rn", "prev", "next"} & set(w) else [])]))) for n, (k, w) in specs.items()}
-    hot = _local(dealt(chunked, anchor, "__chunk"), inner, ts, key, ["__chunk"])
+    hot = _local(dealt(chunked, anchor, "__chunk"), inner, ts, key, ["__chunk"], anchor)
     for name, (keys, wanted) in specs.items():
         tag = uuid.uuid4().hex[:6]
         s = _carried(chunked, keys, ts, key)

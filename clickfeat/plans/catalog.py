@@ -1087,10 +1087,12 @@ from clickfeat.operators import trees as TR  # noqa: E402
 
 
 def _ml_frame(spark, sf):
-    """The model's frame, built once and written: fitting reads it many times."""
+    """The model's frame, built once and written: fitting reads it many times.  The
+    log's texts, which no model reads, are not built for it."""
     df = FT.full_features(click_log(spark, sf), with_history=False, multi_hot=False)
     feats = FT.numeric_features(df)
-    return EN.staged(df, "model-frame"), feats
+    keep = [c for c in ("instance_id", "is_trade", "day", "context_timestamp") if c not in feats]
+    return EN.staged(df.select(*keep, *feats), "model-frame"), feats
 
 
 @register("ml_gbt_score")
