@@ -6,13 +6,20 @@ features ``a, b`` of ``<v[a, field of b], v[b, field of a]>``, divided by the
 number of its features.  The mean logistic loss plus ``reg / 2`` times the squared
 vectors is minimised by AdaGrad on the full gradient.
 
-Parameters are a table of one row for each (feature, other field); nothing of
-it is ever on the driver.  Rows are dealt into blocks of bounded size; a block
-gets the parameters of the features it holds (one join a round, on the
-distinct features of the blocks), computes its part of the gradient with
-numpy, sums it by parameter, and an aggregate adds the parts up.  A feature in
-a third of all rows is a row a block.  Each round's table is written to the
-shared folder, so a lost executor costs its tasks only.
+Parameters are a table of one row for each feature, with its vectors for all
+fields; nothing of it is ever on the driver.  Rows are dealt into blocks of
+bounded size, in the order of the field with the most values, so that a value
+is in few blocks, and each block is packed once.  A block gets the parameters
+of the features it holds (one join a round, on the distinct features of the
+blocks), computes its part of the gradient with numpy, sums it by feature, and
+an aggregate adds the parts up.  A feature in a third of all rows is a row a
+block.  Each round's table is written to the shared folder, so a lost executor
+costs its tasks only.
+
+Pairs are not listed: with ``S[f, g]`` the sum of a row's vectors of field ``f`` for
+field ``g``, the sum over its pairs is half of ``sum <S[f, g], S[g, f]>`` less what
+each feature makes with itself, and the slope of a feature of field ``f`` for ``g``
+is ``S[g, f]`` less its own vector where ``g`` is ``f``.
 
 NULL labels count as 0; NULL feature lists are empty and score 0.5; a feature
 that training never saw adds nothing; repeated features count as often as they
@@ -22,12 +29,14 @@ stand there; rows may share a key when training.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clickfeat.operators.encode import staged
 
 BLOCK_ROWS = 20_000
+SLICE_ROWS = 256  # rows of a block worked at a time
 FEATURE = "array<struct<field:int,index:string>>"
 
 
@@ -40,65 +49,141 @@ def features(list_features, scalar_features) -> Column:
     return F.concat(*parts).cast(FEATURE)
 
 
-def _blocks(rows: DataFrame, label: str | None, key: str) -> DataFrame:
+def _seen(rows: DataFrame) -> DataFrame:
+    """The distinct features."""
+    return rows.select(F.explode("features").alias("f")).select("f.field", "f.index").distinct()
+
+
+def _most(seen: DataFrame) -> int | None:
+    """The field with the most values (a row a field)."""
+    top = seen.groupBy("field").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "field").first()
+    return None if top is None else top["field"]
+
+
+def _blocks(rows: DataFrame, label: str | None, key: str, near: int | None = None) -> DataFrame:
+    """Rows with their ``block``: those of one value of field ``near`` together."""
     n = max(1, -(-rows.count() // BLOCK_ROWS))
     cols = [F.col(key).alias("key"), F.coalesce("features", F.array().cast(FEATURE)).alias("features")]
     cols.append(F.coalesce(F.col(label).cast("int"), F.lit(0)).alias("y") if label else F.lit(0).alias("y"))
-    # by position, not by key: equal keys are spread too
-    block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
-    return staged(rows.select(*cols, block.alias("block")), "ffm-blocks")
+    # by position, not by key: equal keys are spread too, and a value of too many rows is cut
+    rows = rows.select(*cols, F.xxhash64(F.monotonically_increasing_id()).alias("__at"))
+    if near is None:
+        return staged(rows.withColumn("block", F.pmod("__at", F.lit(n)).cast("int")).drop("__at"), "ffm-blocks")
+    rows = rows.withColumn("__near", F.get(F.filter("features", lambda f: f["field"] == near), F.lit(0))["index"])
+    return staged(rows.repartitionByRange(n, "__near", "__at").withColumn("block", F.spark_partition_id()).drop("__near", "__at"), "ffm-blocks")
+
+
+def _packed(blocks: DataFrame) -> DataFrame:
+    """One row a block: keys, labels and numbers of features of its rows, all features
+    by code, and the features that the codes (places in their order) stand for;
+    -1 is a feature without index."""
+    kind = dict(blocks.dtypes)["key"]
+
+    def pack(rows: pa.Table) -> pa.Table:
+        items = rows.column("features").combine_chunks()
+        flat = items.flatten()
+        name = pc.binary_join_element_wise(pc.cast(pc.struct_field(flat, "field"), pa.string()), pc.struct_field(flat, "index"), ":").dictionary_encode()
+        names = name.dictionary.to_pylist()
+        order = sorted(range(len(names)), key=names.__getitem__)
+        place = np.full(len(names) + 1, -1, np.int32)  # the last is of NULLs
+        place[order] = np.arange(len(names), dtype=np.int32)
+        code = place[name.indices.fill_null(len(names)).to_numpy(zero_copy_only=False)]
+        parts = [names[i].partition(":") for i in order]
+        one = lambda v, t: pa.array([v], pa.list_(t))
+        own = pa.StructArray.from_arrays([pa.array([int(p[0]) for p in parts], pa.int32()), pa.array([p[2] for p in parts], pa.string())], ["field", "index"])
+        whole = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)
+        return pa.table({"block": rows.column("block").slice(0, 1), "key": whole(rows.column("key").combine_chunks()),
+                         "y": whole(rows.column("y").combine_chunks()), "size": one(pc.list_value_length(items).to_numpy(zero_copy_only=False), pa.int32()),
+                         "code": one(code, pa.int32()), "names": whole(own)})
+
+    schema = f"block int, key array<{kind}>, y array<int>, size array<int>, code array<int>, names {FEATURE}"
+    return blocks.select("block", "key", "y", "features").groupBy("block").applyInArrow(pack, schema)
 
 
 def _needed(blocks: DataFrame) -> DataFrame:
-    one = blocks.select("block", F.explode("features").alias("f"))
-    return staged(one.select("block", "f.field", "f.index").distinct(), "ffm-needed")
+    """The distinct features of every block, with their codes."""
+    packed = blocks if "names" in blocks.columns else _packed(blocks)
+    one = packed.select("block", F.posexplode("names").alias("code", "f"))
+    return staged(one.select("block", "code", "f.field", "f.index"), "ffm-needed")
 
 
 class _Block:
     """A block's rows and its parameters as arrays."""
 
-    def __init__(self, rows: pd.DataFrame, params: pd.DataFrame, factors: int, n_fields: int):
-        known = list(zip(params["field"], params["index"], params["other"]))
-        names = {x: i for i, x in enumerate(dict.fromkeys((f, v) for f, v, _ in known))}
-        self.fields = n_fields
-        self.at = np.array([names[f, v] * n_fields + o for f, v, o in known], np.int64)
-        self.w = np.zeros((len(names) * n_fields + 1, factors))  # the last row is of unseen features
-        if len(known):
-            self.w[self.at] = params[[f"v{i}" for i in range(factors)]].to_numpy()
-        size = [len(x) for x in rows["features"]]
-        width = max(size, default=0)
-        self.size = np.array(size)
-        self.feature = np.full((len(rows), width), -1, np.int64)
-        self.field = np.zeros((len(rows), width), np.int64)
-        for r, items in enumerate(rows["features"]):
-            for c, item in enumerate(items):
-                self.feature[r, c] = names.get((item["field"], item["index"]), -1)
-                self.field[r, c] = item["field"]
-
-    def pairs(self):
-        """For every two places the parameter of each feature for the other's field."""
-        for a in range(self.feature.shape[1]):
-            for b in range(a + 1, self.feature.shape[1]):
-                both = (self.feature[:, a] >= 0) & (self.feature[:, b] >= 0)
-                yield (np.where(both, self.feature[:, a] * self.fields + self.field[:, b], len(self.w) - 1),
-                       np.where(both, self.feature[:, b] * self.fields + self.field[:, a], len(self.w) - 1))
+    def __init__(self, packed: pa.Table, own: pa.Table, factors: int, n_fields: int):
+        flat = lambda c: packed.column(c).combine_chunks().flatten()
+        self.size = flat("size").to_numpy(zero_copy_only=False).astype(np.int64)
+        code, self.names = flat("code").to_numpy(zero_copy_only=False), flat("names")
+        known = len(self.names)
+        # the last row is of features without index or parameters
+        self.w = np.zeros((known + 1, n_fields, factors))
+        self.there = own.column("code").to_numpy()
+        if own.num_rows:
+            self.w[self.there] = own.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(own.num_rows, n_fields, factors)
+        self.code = np.where(code < 0, known, code)
+        self.field = np.append(pc.struct_field(self.names, "field").to_numpy(zero_copy_only=False), 0).astype(np.int64)[self.code]
+        self.first = np.concatenate([[0], np.cumsum(self.size)])
+
+    def _slices(self):
+        """Of some rows at a time: the rows' and their features' bounds, each feature's
+        row, and the sums of the vectors by (row, field)."""
+        fields, factors = self.w.shape[1:]
+        for lo in range(0, len(self.size), SLICE_ROWS):
+            hi = min(lo + SLICE_ROWS, len(self.size))
+            a, b = self.first[lo], self.first[hi]
+            row = np.repeat(np.arange(hi - lo), self.size[lo:hi])
+            s = np.zeros(((hi - lo) * fields, fields, factors))
+            if b > a:
+                at, code = row * fields + self.field[a:b], self.code[a:b]
+                by = np.argsort(at, kind="stable")
+                at, code = at[by], code[by]
+                begin = np.flatnonzero(np.diff(at, prepend=-1))
+                s[at[begin]] = self.w[code[begin]]
+                left = np.ones(len(at), bool)
+                left[begin] = False
+                left = np.flatnonzero(left)
+                while len(left):  # a second, third, ... feature of a field
+                    at_, code_ = at[left], code[left]
+                    begin = np.flatnonzero(np.diff(at_, prepend=-1))
+                    s[at_[begin]] += self.w[code_[begin]]
+                    left = np.delete(left, begin)
+            yield slice(lo, hi), slice(a, b), row, s.reshape(hi - lo, fields, fields, factors)
+
+    def _margin(self, items, row, s):
+        """The rows' sums over their pairs, and each feature's vector for its own field."""
+        alone = self.w[self.code[items], self.field[items]]
+        twice = (s * s.transpose(0, 2, 1, 3)).reshape(len(s), -1).sum(axis=1)
+        return (twice - np.bincount(row, (alone ** 2).sum(axis=1), len(s))) / 2, alone
 
     def margins(self) -> np.ndarray:
         out = np.zeros(len(self.size))
-        for p, q in self.pairs():
-            out += (self.w[p] * self.w[q]).sum(axis=1)
+        for rows, items, row, s in self._slices():
+            out[rows] = self._margin(items, row, s)[0]
         return out / np.maximum(self.size, 1)
 
     def gradient(self, y: np.ndarray):
-        """Summed gradient of the losses, by parameter, and the summed loss."""
-        sign = np.where(y > 0, 1.0, -1.0)
-        margin = sign * self.margins()
-        kappa = (-sign / (1 + np.exp(margin)) / np.maximum(self.size, 1))[:, None]
-        g = np.zeros_like(self.w)
-        for p, q in self.pairs():
-            np.add.at(g, p, kappa * self.w[q])
-            np.add.at(g, q, kappa * self.w[p])
-        return g, float(np.logaddexp(0, -margin).sum())
+        """Summed gradient of the losses, by feature, and the summed loss."""
+        g, loss = np.zeros_like(self.w), 0.0
+        for rows, items, row, s in self._slices():
+            size = np.maximum(self.size[rows], 1)
+            sign = np.where(y[rows] > 0, 1.0, -1.0)
+            total, alone = self._margin(items, row, s)
+            margin = sign * total / size
+            loss += float(np.logaddexp(0, -margin).sum())
+            if not len(row):
+                continue
+            kappa = (-sign / (1 + np.exp(margin)) / size)[row]
+            field, code = self.field[items], self.code[items]
+            by = np.argsort(code, kind="stable")
+            begin = np.flatnonzero(np.diff(code[by], prepend=-1))
+            # by (row, field of the feature) the sums for its field, in one run of memory
+            turned = (s.transpose(0, 2, 1, 3) * 1.0).reshape(-1, s.shape[1] * s.shape[3])
+            slope = turned[row[by] * s.shape[1] + field[by]]
+            own = slope.reshape(len(by), *s.shape[2:])
+            own[np.arange(len(by)), field[by]] -= alone[by]
+            slope *= kappa[by][:, None]
+            g[code[by][begin]] += np.add.reduceat(slope, begin, axis=0).reshape(-1, *s.shape[2:])
+        return g, loss
 
 
 _KEY = ["field", "index", "other"]
@@ -111,63 +196,93 @@ def _columns(letter: str, factors: int) -> list[str]:
 def start(rows: DataFrame, n_fields: int, factors: int, seed: int = 1) -> DataFrame:
     """First parameters: for each feature and field, ``factors`` values in
     ``[0, 1 / sqrt(factors))`` by hash, so they do not depend on partitions."""
-    seen = rows.select(F.explode("features").alias("f")).select("f.field", "f.index").distinct()
+    seen = _seen(rows) if "features" in rows.columns else rows
     grid = seen.select("field", "index", F.explode(F.sequence(F.lit(0), F.lit(n_fields - 1))).alias("other"))
     unit = lambda i: F.pmod(F.xxhash64(F.lit(seed), *_KEY, F.lit(i)), F.lit(1 << 30)) / float(1 << 30) / factors ** 0.5
     return grid.select(*_KEY, *[unit(i).alias(f"v{i}") for i in range(factors)], *[F.lit(0.0).alias(f"a{i}") for i in range(factors)])
 
 
-def gradients(blocks: DataFrame, needed: DataFrame, params: DataFrame, n_fields: int, factors: int) -> DataFrame:
-    """``field, index, other, g0.., loss``: each parameter's gradient summed over all
-    rows (and, on the row with null field, the summed loss)."""
-    v, g = _columns("v", factors), _columns("g", factors)
+def _by_feature(params: DataFrame, factors: int) -> DataFrame:
+    """``field, index, v``: the vectors of each feature for fields 0, 1, ... in one array."""
+    one = F.struct("other", F.array(*_columns("v", factors)).alias("v"))
+    vectors = F.flatten(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["v"]))
+    return params.groupBy("field", "index").agg(vectors.alias("v"))
+
 
-    def part(rows, own):
+def _summed(packed: DataFrame, needed: DataFrame, params: DataFrame, n_fields: int, factors: int) -> DataFrame:
+    """``field, index, g, loss``: each feature's gradient, summed over all rows (and, on
+    the row with null field, the summed loss)."""
+    width = n_fields * factors
+    names = [f"g{i}" for i in range(width)]
+
+    def part(rows: pa.Table, own: pa.Table) -> pa.Table:
         block = _Block(rows, own, factors, n_fields)
-        grad, loss = block.gradient(rows["y"].to_numpy())
-        out = pd.DataFrame(grad[block.at] if len(block.at) else np.zeros((0, factors)), columns=g)
-        out = pd.concat([own[_KEY].reset_index(drop=True), out], axis=1)
-        out["loss"] = 0.0
-        total = pd.DataFrame([{"field": None, "index": None, "other": None, **{c: 0.0 for c in g}, "loss": loss}])
-        return pd.concat([out.astype({"field": "Int32", "other": "Int32"}), total.astype({"field": "Int32", "other": "Int32"})])
+        grad, loss = block.gradient(rows.column("y").combine_chunks().flatten().to_numpy(zero_copy_only=False))
+        # the features with parameters, and a row for the loss
+        field = [*block.names.field("field").take(pa.array(block.there)).to_pylist(), None]
+        index = [*block.names.field("index").take(pa.array(block.there)).to_pylist(), None]
+        grad = np.vstack([grad[block.there].reshape(len(block.there), width), np.zeros((1, width))])
+        each = [pa.array(np.ascontiguousarray(grad[:, i])) for i in range(width)]
+        total = pa.array(np.append(np.zeros(len(block.there)), loss))
+        return pa.table([pa.array(field, pa.int32()), pa.array(index, pa.string()), *each, total], names=["field", "index", *names, "loss"])
+
+    own = needed.join(params.select("field", "index", "v"), ["field", "index"]).select("block", "code", "v")
+    schema = "field int, index string, " + ", ".join(f"{c} double" for c in (*names, "loss"))
+    parts = packed.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(part, schema)
+    added = parts.groupBy("field", "index").agg(*[F.sum(c).alias(c) for c in (*names, "loss")])
+    return added.select("field", "index", F.array(*names).alias("g"), "loss")
+
 
-    own = needed.join(params.select(*_KEY, *v), ["field", "index"])
-    schema = "field int, index string, other int, " + ", ".join(f"{c} double" for c in g) + ", loss double"
-    parts = blocks.groupBy("block").cogroup(own.groupBy("block")).applyInPandas(part, schema)
-    return parts.groupBy(*_KEY).agg(*[F.sum(c).alias(c) for c in (*g, "loss")])
+def gradients(blocks: DataFrame, needed: DataFrame, params: DataFrame, n_fields: int, factors: int) -> DataFrame:
+    """``field, index, other, g0.., loss``: each parameter's gradient summed over all
+    rows (and, on the row with null field, the summed loss)."""
+    g = _summed(_packed(blocks), needed, _by_feature(params, factors), n_fields, factors)
+    each = g.where("field is not null").select("field", "index", F.explode(F.sequence(F.lit(0), F.lit(n_fields - 1))).alias("other"), "g", "loss")
+    long = each.select(*_KEY, *[F.get("g", F.col("other") * factors + i).alias(f"g{i}") for i in range(factors)], "loss")
+    none = g.where("field is null").select("field", "index", F.lit(None).cast("int").alias("other"), *[F.lit(0.0).alias(f"g{i}") for i in range(factors)], "loss")
+    return long.unionByName(none)
 
 
 def fit(rows: DataFrame, n_fields: int, label: str = "is_trade", key: str = "instance_id", factors: int = 4, rounds: int = 10,
         rate: float = 0.3, reg: float = 1e-5, seed: int = 1) -> tuple[DataFrame, list[float]]:
-    """``rows (key, label, features)`` -> the parameter table and the mean loss before
-    every round."""
-    blocks = _blocks(rows, label, key)
+    """``rows (key, label, features)`` -> the parameter table (``field, index``, vectors
+    ``v``, squares ``a``) and the mean loss before every round."""
+    seen = staged(_seen(rows), "ffm-seen")
+    blocks = _blocks(rows, label, key, _most(seen))
     n = blocks.count()
-    needed, params = _needed(blocks), staged(start(blocks, n_fields, factors, seed), "ffm-parameters")
+    packed = staged(_packed(blocks), "ffm-packed")
+    needed = _needed(packed)
+    params = _by_feature(start(seen, n_fields, factors, seed), factors).withColumn("a", F.transform("v", lambda _: F.lit(0.0)))
+    params = staged(params, "ffm-parameters")
     losses = []
     for _ in range(rounds if n else 0):
-        g = staged(gradients(blocks, needed, params, n_fields, factors), "ffm-gradients")
+        g = staged(_summed(packed, needed, params, n_fields, factors), "ffm-gradients")
         losses.append(g.where("field is null").first()["loss"] / n)
-        both = params.join(g.where("field is not null").drop("loss"), _KEY, "left")
-        new = []
-        for i in range(factors):
-            slope = F.coalesce(F.col(f"g{i}") / n, F.lit(0.0)) + F.col(f"v{i}") * reg
-            square = F.col(f"a{i}") + slope * slope
-            new += [(F.col(f"v{i}") - rate * slope / F.sqrt(square + 1e-12)).alias(f"v{i}"), square.alias(f"a{i}")]
-        params = staged(both.select(*_KEY, *new), "ffm-parameters")
+        own = g.where("field is not null").drop("loss")
+        both = params.join(own, ["field", "index"], "left")
+        slope = F.zip_with("v", F.coalesce("g", F.transform("v", lambda _: F.lit(0.0))), lambda v, x: x / n + v * reg)
+        both = both.select("field", "index", "v", "a", slope.alias("s"))
+        both = both.select("field", "index", "v", "s", F.zip_with("a", "s", lambda a, x: a + x * x).alias("a"))
+        move = F.zip_with("s", "a", lambda x, a: rate * x / F.sqrt(a + 1e-12))
+        both = both.select("field", "index", "v", "a", move.alias("m"))
+        params = staged(both.select("field", "index", F.zip_with("v", "m", lambda v, m: v - m).alias("v"), "a"), "ffm-parameters")
     return params, losses
 
 
 def predict(rows: DataFrame, params: DataFrame, n_fields: int, label: str | None = "is_trade", key: str = "instance_id") -> DataFrame:
     """``key [label] predicted_score``."""
-    factors = sum(c.startswith("v") for c in params.columns)
-    blocks = _blocks(rows, label, key)
+    factors = (params.agg(F.max(F.size("v"))).first()[0] or n_fields) // n_fields
+    blocks = _blocks(rows, label, key, _most(params))
     kind = dict(blocks.dtypes)["key"]
 
-    def part(own_rows, own):
-        margin = _Block(own_rows, own, factors, n_fields).margins()
-        return pd.DataFrame({"key": own_rows["key"], "y": own_rows["y"], "p": 1 / (1 + np.exp(-margin))})
+    def part(rows: pa.Table, own: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return pa.table({"key": rows.column("key").combine_chunks().flatten(), "y": pa.array([], pa.int32()), "p": pa.array([], pa.float64())})
+        margin = _Block(rows, own, factors, n_fields).margins()
+        flat = lambda c: rows.column(c).combine_chunks().flatten()
+        return pa.table({"key": flat("key"), "y": flat("y"), "p": pa.array(1 / (1 + np.exp(-margin)))})
 
-    own = _needed(blocks).join(params.select(*_KEY, *_columns("v", factors)), ["field", "index"])
-    out = blocks.groupBy("block").cogroup(own.groupBy("block")).applyInPandas(part, f"key {kind}, y int, p double")
+    packed = staged(_packed(blocks), "ffm-packed")
+    own = _needed(packed).join(params.select("field", "index", "v"), ["field", "index"]).select("block", "code", "v")
+    out = packed.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(part, f"key {kind}, y int, p double")
     return out.select(F.col("key").alias(key), *([F.col("y").alias(label)] if label else []), F.col("p").alias("predicted_score"))

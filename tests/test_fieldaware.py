@@ -84,3 +84,14 @@ def test_odd_rows(spark):
     assert {r.instance_id: r.predicted_score for r in FA.predict(new, params, 2).collect()} == {5: 0.5, 6: 0.5}
     assert FA.predict(df, params, 2).count() == 4 and len(losses) == 2
     assert FA.fit(df.limit(0), 2, rounds=2)[1] == [] and FA.predict(df.limit(0), params, 2).count() == 0
+
+
+def test_a_value_is_in_few_blocks_and_a_hot_one_is_cut(spark, monkeypatch):
+    monkeypatch.setattr(FA, "BLOCK_ROWS", 100)
+    rows = [(i, i % 2, [(0, str(i % 3)), (1, str(i % 200) if i < 1000 else "hot")]) for i in range(2000)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    blocks = FA._blocks(df, "is_trade", "instance_id", FA._most(FA._seen(df)))
+    sizes = [r["count"] for r in blocks.groupBy("block").count().collect()]
+    assert sum(sizes) == 2000 and len(sizes) > 5 and max(sizes) < 1000
+    # 201 values, and one more for each cut; dealt at random each of the 20 blocks has nearly 50
+    assert FA._needed(blocks).where("field = 1").count() <= 201 + len(sizes)
