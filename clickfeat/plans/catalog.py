@@ -1049,7 +1049,7 @@ def _hist4_sql():
 def _full_out(df):
     keep = ["instance_id"]
     for s in W.SCOPES.values():
-        keep += [f"{s[1]}diff_{i}" for i in range(1, 5)] + [f"{s[2]}_code"]
+        keep += [f"{s[1]}diff_{i}" for i in range(1, 5)] + [s[2], f"{s[2]}_code"]
     keep += list(FT.ALL_COUNTS) + ["user_day", "cat_1_user_show", "cat_1_trade_no", "shop_user_show", "shop_trade_no"]
     keep += list(W.ORDINALS) + [c for c in df.columns if c.endswith("_first_day") or c.endswith("_last_day")]
     keep += [c for c in df.columns if c.startswith("most_")]
@@ -1057,7 +1057,9 @@ def _full_out(df):
 
 
 def _full_sql():
-    subs = [ORACLE[f"gap_{sc}"] for sc in W.SCOPES]
+    subs = []
+    for sc in W.SCOPES:
+        subs += [ORACLE[f"gap_{sc}"], ORACLE[f"history_{sc}"]]
     subs.append(_count_sql({**FT.ALL_COUNTS, "user_day": ["user_id", "day"]}))
     for name in ("cat", "shop"):
         subs.append(ORACLE[f"prior_trade_{name}"])
@@ -1076,7 +1078,7 @@ h4 AS (SELECT h.*, f.context_timestamp FROM ({_hist4_sql()}) h JOIN flog f USING
 
 @register("features_full", _full_sql())
 def q_features_full(spark, sf):
-    return _full_out(FT.full_features(click_log(spark, sf)))
+    return _full_out(FT.full_features(click_log(spark, sf), history_texts=True))
 
 
 # ------------------------------------------------------- pyspark.ml jobs (rows-only checks)

@@ -58,3 +58,12 @@ def test_shuffled_input_same_result(log):
     a = W.add_ordinals(log).select("instance_id", *W.ORDINALS)
     b = W.add_ordinals(log.repartition(7).orderBy(F.rand(3))).select("instance_id", *W.ORDINALS)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_full_features_hold_the_history_texts(spark):
+    from clickfeat.plans.catalog import QUERIES
+    sf = "/root/testdata/sf0.001"
+    full = QUERIES["features_full"](spark, sf)
+    for scope, (_, _, name) in W.SCOPES.items():
+        texts = {r["instance_id"]: r[name] for r in QUERIES[f"history_{scope}"](spark, sf).collect()}
+        assert {r["instance_id"]: r[name] for r in full.select("instance_id", name).collect()} == texts
