@@ -76,3 +76,52 @@ def test_the_sample_is_bounded_by_ids_and_words_not_rows(spark, monkeypatch):
         words = [len(r.code) for r in few if r.toxic == t]
         assert words and sum(words) <= 200
     assert T.sample(docs.limit(0), own).count() == 0
+
+
+def test_learns_from_all_rows_not_from_a_sample(spark, monkeypatch):
+    # the words that tell are only in documents that a bounded sample leaves out: beyond its ids, and in long texts
+    for name, bound in (("SAMPLE", 20), ("SAMPLE_BYTES", 300), ("SAMPLE_WORDS", 400)):
+        monkeypatch.setattr(T, name, bound)
+    monkeypatch.setattr(T, "TASK_ROWS", 150)  # several tasks
+    texts, y = toy(900, 4)
+    texts = [x if i % 2 else x + " pad" * 200 for i, x in enumerate(texts)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(6)
+    labels = spark.createDataFrame(list(enumerate(y)), "doc_id long, toxic int")
+    model = T.learn(docs, labels, F.col("doc_id") % 3 != 0)
+    rows = T.toxicity(docs, model).where("doc_id % 3 = 0").collect()
+    assert np.mean([r.predicted == y[r.doc_id] for r in rows]) > 0.95
+
+
+def test_counts_are_of_all_rows(spark):
+    texts, y = toy(80)
+    rows = spark.createDataFrame([(t, True, "en" if i % 2 else "de", x) for i, (x, t) in enumerate(zip(texts, y))],
+                                 "toxic int, calibrates boolean, lang string, text string").repartition(5)
+    seen, by_language = T.counted(rows.mapInArrow(T._coded, "toxic int, calibrates boolean, lang string, code array<int>"), ["de", "en"])
+    code, first = T._hashed(pa.array(texts))
+    want, words = np.zeros(seen.shape), np.zeros((T.BUCKETS, 2))
+    for d, t in enumerate(y):
+        a, b = T._pair(code[first[d]:first[d + 1]])
+        want[t, np.unique(a)] += 1
+        want[t, np.unique(b)] += 1
+        np.add.at(words[:, d % 2], a, 1)
+    assert (seen == want).all() and (by_language == words).all()
+
+
+def test_thresholds_over_a_table_are_the_best_cuts(spark):
+    r = np.random.default_rng(2)
+    rows = [(int(g), float(np.round(r.normal(), d)), int(r.random() < 0.3)) for g, d in ((0, 1), (1, 3), (2, 6)) for _ in range(400)]
+    rows += [(3, 1.0, 0)] * 5 + [(4, 100.0 + i, int(i % 3 == 0)) for i in range(9)] + [(5, 0.5, 1)] * 3
+    got = T.thresholds(spark.createDataFrame(rows, "own long, z double, y int").repartition(7))
+    for g in range(6):
+        z, y = (np.array([x[i] for x in rows if x[0] == g], float) for i in (1, 2))
+        assert got.get(g, 7.0) == T.best_threshold(z, y, np.ones(len(z)), 7.0)
+
+
+def test_a_long_text_is_worked_in_parts(monkeypatch):
+    model, (code, first) = T.Model(3), T._hashed(pa.array(["a b c d e f g h i j " * 7 + "k"]))
+    model.emb[:] = np.random.default_rng(1).normal(0, 1, model.emb.shape)
+    whole = model._pooled(code, first)
+    monkeypatch.setattr(T, "LONG", 8)
+    parts = model._pooled(code, first)
+    np.testing.assert_allclose(parts[0], whole[0], rtol=1e-5)
+    assert (parts[1] == whole[1]).all()
