@@ -37,8 +37,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from clickfeat.llm.collection import repeated
-from clickfeat.llm.common import staged
+from clickfeat.llm.common import staged, staged_at
 from clickfeat.llm.text import mix, raw
+from clickfeat.session import drop_scratch
 
 LENGTH = 200
 GRAM = 9
@@ -236,13 +237,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     which starts at another place of the corpus too."""
     texts = staged(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("bytes")), "texts")
     marks, found = None, texts.select("rid", F.lit(0).cast("long").alias("base"), "bytes").mapInArrow(_cutter(length, WIDTHS[0]), PIECE)
+    spark, done = docs.sparkSession, []  # folders that nothing reads any more
     for width, finer in zip(WIDTHS, [*WIDTHS[1:], None]):
-        found = staged(found, "pieces")
+        found, pieces_at = staged_at(found, "pieces")
+        for path in done:
+            drop_scratch(spark, path)
         # a table of its own, so that the join is between two plain shuffles and hot keys are split
-        keys = staged(found.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "keys")
-        found = staged(found.join(keys, "key", "left_semi"), "repeated-keys")
+        keys, keys_at = staged_at(found.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "keys")
+        found, found_at = staged_at(found.join(keys, "key", "left_semi"), "repeated-keys")
+        for path in (pieces_at, keys_at):
+            drop_scratch(spark, path)
         one = F.struct("rid", "at", "n")
-        classes = staged(found.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("count"), F.min(one).alias("one")), "classes")
+        classes, classes_at = staged_at(found.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("count"), F.min(one).alias("one")), "classes")
         hot = None
         if finer:
             hot = staged(classes.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT).select("key"), "hot-keys")
@@ -253,8 +259,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         bits = strings.mapInArrow(_compared(length), "key long, digest long, bits binary")
         mine = staged(found.join(bits, ["key", "digest"]).select("rid", "at", "bits"), "repeated-windows")
         marks = mine if marks is None else marks.unionByName(mine)
+        drop_scratch(spark, classes_at)
         if hot is None:
+            drop_scratch(spark, found_at)
             break
+        done = [found_at]  # the next pieces are cut from it
         again = found.join(hot, "key", "left_semi").withColumn("count", F.lit(1).cast("long"))
         found = _bytes(texts, again, length).select("rid", "base", "bytes").mapInArrow(_cutter(length, finer), PIECE)
     marks = marks.groupBy(F.col("rid").alias("of")).agg(F.collect_list(F.struct("at", "bits")).alias("marks"))

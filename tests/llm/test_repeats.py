@@ -104,3 +104,19 @@ def test_odd_rows_and_clashing_columns(spark, monkeypatch):
     df = spark.createDataFrame([(*r, b"1", 2, 3) for r in ODD], SCHEMA + ", bytes binary, rid int, key int")
     assert query(spark, monkeypatch, df) == brute(ODD)
     assert query(spark, monkeypatch, df.limit(0)) == []
+
+
+def test_staged_tables_go_once_they_are_read(spark, monkeypatch):
+    import os
+
+    from clickfeat.llm import repeats
+    from clickfeat.session import ensure_checkpoint_dir
+    monkeypatch.setattr(repeats, "HOT", 3)  # so that keys are cut again
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:") + "/clickfeat-stage"
+    before = set(os.listdir(folder)) if os.path.exists(folder) else set()
+    common = "".join(chr(97 + i * i % 23) for i in range(230))
+    docs = spark.createDataFrame([(i, f"{i * 7919} " * 9 + common + f" {i * 104729}" * 9) for i in range(12)], "doc_id long, text string")
+    out = repeats.remove_repeats(docs)
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before}
+    assert left <= {"texts", "hot-keys", "repeated-windows"} and "texts" in left
+    assert all(r.n_bytes - len(r.kept) >= 230 for r in out.collect())
