@@ -1,3 +1,5 @@
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -125,3 +127,26 @@ def test_a_long_text_is_worked_in_parts(monkeypatch):
     parts = model._pooled(code, first)
     np.testing.assert_allclose(parts[0], whole[0], rtol=1e-5)
     assert (parts[1] == whole[1]).all()
+
+
+def test_the_driver_gets_means_of_met_buckets_only(spark):
+    texts, y = toy(90)
+    rows = spark.createDataFrame([(t, False, "en", x) for x, t in zip(texts, y)], "toxic int, calibrates boolean, lang string, text string").repartition(3)
+    rows = rows.mapInArrow(T._coded, "toxic int, calibrates boolean, lang string, code array<int>")
+    model, last = T.Model(3), 2 * T.BUCKETS // T.BLOCK
+    shared = spark.sparkContext.broadcast(model)
+    sums = {k: np.frombuffer(v) for k, v in T._added(rows, T._descent(shared, 0), np.float32).items()}
+    means = T._added(rows, T._descent(shared, 0), np.float32, T._averaged)
+    met = sum(int((v.reshape(T.BLOCK, -1)[:, -1] > 0).sum()) for k, v in sums.items() if k < last)
+    assert 0 < met < 1000
+    assert sum(len(v) for k, v in means.items() if k < last) == met * 4 * (2 * T.DIM + 1)
+    emb, squares = model.emb.copy(), model.squares.copy()
+    for k, v in sums.items():
+        if k < last:
+            v, at = v.reshape(T.BLOCK, -1), slice(k * T.BLOCK, (k + 1) * T.BLOCK)
+            emb[at] += (v[:, :T.DIM] / np.maximum(v[:, -1:], 1)).astype(np.float32)
+            squares[at] += (v[:, T.DIM:-1] / np.maximum(v[:, -1:], 1)).astype(np.float32)
+    model.merge(means)
+    assert (model.emb == emb).all() and (model.squares == squares).all()
+    assert len(pickle.dumps(model.fitted())) < 1.1 * model.emb.nbytes
+    assert (model.fitted().scores(*T._hashed(pa.array(texts))) == model.scores(*T._hashed(pa.array(texts)))).all()
