@@ -10,10 +10,10 @@ occurs once holds nothing that repeats.
 
 Equal pieces of a key form a class, which enters the collection as one string
 with its number of occurrences.  Batches of whole keys then go through the
-column-wise construction (``collection``): one symbol of every piece a round,
-transform and common prefixes read and rewritten front to back.  A window
-repeats if its suffix shares ``length`` symbols with a neighbour's, or if its
-class holds several pieces.  No folder of a task's machine is used: the
+column-wise construction (``collection``): one column of eight bytes of every
+piece a round, transform and common prefixes read and rewritten front to back.
+A window repeats if its suffix shares ``length`` bytes with a neighbour's, or if
+its class holds several pieces.  No folder of a task's machine is used: the
 sequential files of the construction are the bounded buffers of a batch.
 
 A key with more than ``HOT`` classes (a passage that meets many different
@@ -45,7 +45,7 @@ LENGTH = 200
 GRAM = 9
 WIDTHS = (96, 12, 1)
 HOT = 2048  # classes of a key
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 17  # the sequences of a batch stay in a core's cache
 CHUNK = 1 << 19
 SLICE_BYTES = 2 << 20
 _U = np.uint64
@@ -166,9 +166,7 @@ def _compared(length: int):
     def solved(held):
         whole = pa.Table.from_batches(held).combine_chunks()
         buf, offsets = raw(whole.column("bytes"))
-        codes, used = np.zeros(256, np.uint16), np.unique(buf)
-        codes[used] = np.arange(1, len(used) + 1)
-        flags = repeated(codes[buf].astype(np.uint8) if len(used) < 255 else codes[buf], offsets, length)
+        flags = repeated(buf, offsets, length)
         bits = [np.packbits(flags[a:b - length + 1] | (c > 1), bitorder="little").tobytes()
                 for a, b, c in zip(offsets, offsets[1:], whole.column("count").to_numpy())]
         some = np.array([any(x) for x in bits])

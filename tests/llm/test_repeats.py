@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from clickfeat.llm import repeats as R
+from clickfeat.llm import collection, repeats as R
 from clickfeat.llm.collection import construct, repeated
 from clickfeat.llm.queries import op13_repeats
 
@@ -34,6 +34,23 @@ def test_transform_common_prefixes_and_repeats(parts, cap):
     assert repeated(*strings(parts), cap).tolist() == want
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([0, 255]), max_size=60), min_size=1, max_size=5), st.sampled_from([7, 8, 11, 16, 20]))
+def test_columns_of_several_bytes(parts, length):
+    seen = Counter(tuple(s[i:i + length]) for s in parts for i in range(len(s) - length + 1))
+    assert repeated(*strings(parts), length).tolist() == [i + length <= len(s) and seen[tuple(s[i:i + length])] > 1 for s in parts for i in range(len(s))]
+
+
+def test_a_round_takes_eight_bytes_of_every_string(monkeypatch):
+    rounds, minima = [], collection._minima
+    monkeypatch.setattr(collection, "_minima", lambda *a: rounds.append(1) or minima(*a))
+    r = np.random.default_rng(5)
+    whole = r.integers(0, 256, 295)
+    got = repeated(*strings([whole, np.append(r.integers(0, 256, 3), whole[:285]), r.integers(0, 256, 290)]), 200)
+    assert np.flatnonzero(got).tolist() == [*range(86), *range(295 + 3, 295 + 3 + 86)]
+    assert len(rounds) == 295 // 8
+
+
 def brute(docs, length=200):
     seen = Counter(b[i:i + length] for _, t in docs for b in [(t or "").encode()] for i in range(len(b) - length + 1))
     out = []
