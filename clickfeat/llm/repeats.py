@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from clickfeat.llm.collection import repeated
-from clickfeat.llm.common import staged, staged_at
+from clickfeat.llm.common import staged_at
 from clickfeat.llm.text import mix, raw
 from clickfeat.session import drop_scratch
 
@@ -233,7 +233,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs (doc_id, text)`` -> ``doc_id, n_bytes, spans (array of start, end), kept
     (binary)``: without every byte that is covered by a ``length``-byte string
     which starts at another place of the corpus too."""
-    texts = staged(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("bytes")), "texts")
+    texts, _ = staged_at(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("bytes")), "texts")
     marks, found = None, texts.select("rid", F.lit(0).cast("long").alias("base"), "bytes").mapInArrow(_cutter(length, WIDTHS[0]), PIECE)
     spark, done = docs.sparkSession, []  # folders that nothing reads any more
     for width, finer in zip(WIDTHS, [*WIDTHS[1:], None]):
@@ -249,13 +249,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         classes, classes_at = staged_at(found.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("count"), F.min(one).alias("one")), "classes")
         hot = None
         if finer:
-            hot = staged(classes.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT).select("key"), "hot-keys")
+            hot, _ = staged_at(classes.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT).select("key"), "hot-keys")
             hot = None if hot.isEmpty() else hot
         cold = classes if hot is None else classes.join(hot, "key", "left_anti")
         strings = _bytes(texts, cold.select("one.rid", "one.at", "one.n", "key", "digest", "count"), length)
         strings = strings.select("key", "digest", "count", "bytes").repartition("key").sortWithinPartitions("key", "digest")
         bits = strings.mapInArrow(_compared(length), "key long, digest long, bits binary")
-        mine = staged(found.join(bits, ["key", "digest"]).select("rid", "at", "bits"), "repeated-windows")
+        mine, _ = staged_at(found.join(bits, ["key", "digest"]).select("rid", "at", "bits"), "repeated-windows")
         marks = mine if marks is None else marks.unionByName(mine)
         drop_scratch(spark, classes_at)
         if hot is None:

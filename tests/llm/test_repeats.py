@@ -137,3 +137,21 @@ def test_staged_tables_go_once_they_are_read(spark, monkeypatch):
     left = {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before}
     assert left <= {"texts", "hot-keys", "repeated-windows"} and "texts" in left
     assert all(r.n_bytes - len(r.kept) >= 230 for r in out.collect())
+
+
+def test_shuffle_files_go_with_the_staged_table(spark):
+    import glob
+    import time
+
+    from clickfeat.llm.common import SHUFFLES_GO
+    was = spark.conf.get(SHUFFLES_GO, None)
+    dirs = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {f for d in dirs for f in glob.glob(f"{d}/**/shuffle_*", recursive=True)}
+    before = files()
+    out = R.remove_repeats(spark.createDataFrame(crowd()[::4], SCHEMA))
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and spark.conf.get(SHUFFLES_GO, None) == was
+    assert result(out.selectExpr("doc_id", "n_bytes", "n_bytes - length(kept)", "size(spans)", "sha2(kept, 256)")) == brute(crowd()[::4])
