@@ -16,10 +16,13 @@ an aggregate adds the parts up.  A feature in a third of all rows is a row a
 block.  Each round's table is written to the shared folder, so a lost executor
 costs its tasks only.
 
-Pairs are not listed: with ``S[f, g]`` the sum of a row's vectors of field ``f`` for
-field ``g``, the sum over its pairs is half of ``sum <S[f, g], S[g, f]>`` less what
-each feature makes with itself, and the slope of a feature of field ``f`` for ``g``
-is ``S[g, f]`` less its own vector where ``g`` is ``f``.
+A block's pairs are worked field by field.  Of two fields with few combinations in the block
+all products ``<v[a, g], v[b, f]>`` are one small matrix product: a row's margin reads its own, and the
+gradient is the matrix of the rows' weights, added up by combination, times the vectors.  So a row
+costs one look-up and one addition a pair, not its vectors; where there are more combinations
+than that saves, the rows' vectors are multiplied.  A field of which rows have several
+features takes part feature by feature; two such fields meet by their sums, where a feature's pair
+with itself is taken off.
 
 NULL labels count as 0; NULL feature lists are empty and score 0.5; a feature
 that training never saw adds nothing; repeated features count as often as they
@@ -36,7 +39,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from clickfeat.operators.encode import staged
 
 BLOCK_ROWS = 20_000
-SLICE_ROWS = 256  # rows of a block worked at a time
+TABLE_ROWS = 8  # combinations of two fields' features for each row, up to which they are worked as a table
 FEATURE = "array<struct<field:int,index:string>>"
 
 
@@ -60,44 +63,58 @@ def _most(seen: DataFrame) -> int | None:
     return None if top is None else top["field"]
 
 
-def _blocks(rows: DataFrame, label: str | None, key: str, near: int | None = None) -> DataFrame:
-    """Rows with their ``block``: those of one value of field ``near`` together."""
+def _dealt(rows: DataFrame, label: str | None, key: str, near: int | None, keep: list[str]) -> DataFrame:
+    """Rows with their ``block``, a partition each: those of one value of field ``near`` together."""
     n = max(1, -(-rows.count() // BLOCK_ROWS))
     cols = [F.col(key).alias("key"), F.coalesce("features", F.array().cast(FEATURE)).alias("features")]
     cols.append(F.coalesce(F.col(label).cast("int"), F.lit(0)).alias("y") if label else F.lit(0).alias("y"))
+    cols += [F.col(c).alias(f"keep_{c}") for c in keep]
+    if near is None:
+        return rows.select(*cols).repartition(n).withColumn("block", F.spark_partition_id())
     # by position, not by key: equal keys are spread too, and a value of too many rows is cut
     rows = rows.select(*cols, F.xxhash64(F.monotonically_increasing_id()).alias("__at"))
-    if near is None:
-        return staged(rows.withColumn("block", F.pmod("__at", F.lit(n)).cast("int")).drop("__at"), "ffm-blocks")
     rows = rows.withColumn("__near", F.get(F.filter("features", lambda f: f["field"] == near), F.lit(0))["index"])
-    return staged(rows.repartitionByRange(n, "__near", "__at").withColumn("block", F.spark_partition_id()).drop("__near", "__at"), "ffm-blocks")
+    return rows.repartitionByRange(n, "__near", "__at").withColumn("block", F.spark_partition_id()).drop("__near", "__at")
 
 
-def _packed(blocks: DataFrame) -> DataFrame:
+def _blocks(rows: DataFrame, label: str | None, key: str, near: int | None = None) -> DataFrame:
+    """Rows with their ``block``, written."""
+    return staged(_dealt(rows, label, key, near, []), "ffm-blocks")
+
+
+def _pack(rows: pa.Table) -> pa.Table:
+    """The rows of a block as one."""
+    items = rows.column("features").combine_chunks()
+    flat = items.flatten()
+    name = pc.binary_join_element_wise(pc.cast(pc.struct_field(flat, "field"), pa.string()), pc.struct_field(flat, "index"), ":").dictionary_encode()
+    names = name.dictionary.to_pylist()
+    order = sorted(range(len(names)), key=names.__getitem__)
+    place = np.full(len(names) + 1, -1, np.int32)  # the last is of NULLs
+    place[order] = np.arange(len(names), dtype=np.int32)
+    code = place[name.indices.fill_null(len(names)).to_numpy(zero_copy_only=False)]
+    parts = [names[i].partition(":") for i in order]
+    own = pa.StructArray.from_arrays([pa.array([int(p[0]) for p in parts], pa.int32()), pa.array([p[2] for p in parts], pa.string())], ["field", "index"])
+    whole = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)
+    size = pc.list_value_length(items).to_numpy(zero_copy_only=False).astype(np.int32)
+    kept = {c: whole(rows.column(c).combine_chunks()) for c in ("key", "y", *rows.column_names) if c in ("key", "y") or c.startswith("keep_")}
+    return pa.table({"block": rows.column("block").slice(0, 1).combine_chunks(), "size": whole(pa.array(size)), "code": whole(pa.array(code, pa.int32())), "names": whole(own), **kept})
+
+
+def _packed(blocks: DataFrame, together: bool = False) -> DataFrame:
     """One row a block: keys, labels and numbers of features of its rows, all features
     by code, and the features that the codes (places in their order) stand for;
-    -1 is a feature without index."""
-    kind = dict(blocks.dtypes)["key"]
-
-    def pack(rows: pa.Table) -> pa.Table:
-        items = rows.column("features").combine_chunks()
-        flat = items.flatten()
-        name = pc.binary_join_element_wise(pc.cast(pc.struct_field(flat, "field"), pa.string()), pc.struct_field(flat, "index"), ":").dictionary_encode()
-        names = name.dictionary.to_pylist()
-        order = sorted(range(len(names)), key=names.__getitem__)
-        place = np.full(len(names) + 1, -1, np.int32)  # the last is of NULLs
-        place[order] = np.arange(len(names), dtype=np.int32)
-        code = place[name.indices.fill_null(len(names)).to_numpy(zero_copy_only=False)]
-        parts = [names[i].partition(":") for i in order]
-        one = lambda v, t: pa.array([v], pa.list_(t))
-        own = pa.StructArray.from_arrays([pa.array([int(p[0]) for p in parts], pa.int32()), pa.array([p[2] for p in parts], pa.string())], ["field", "index"])
-        whole = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)
-        return pa.table({"block": rows.column("block").slice(0, 1), "key": whole(rows.column("key").combine_chunks()),
-                         "y": whole(rows.column("y").combine_chunks()), "size": one(pc.list_value_length(items).to_numpy(zero_copy_only=False), pa.int32()),
-                         "code": one(code, pa.int32()), "names": whole(own)})
-
-    schema = f"block int, key array<{kind}>, y array<int>, size array<int>, code array<int>, names {FEATURE}"
-    return blocks.select("block", "key", "y", "features").groupBy("block").applyInArrow(pack, schema)
+    -1 is a feature without index.  ``together``: a block is a partition as it is."""
+    kinds = dict(blocks.dtypes)
+    arrays = [f"{c} array<{t}>" for c, t in kinds.items() if c in ("key", "y") or c.startswith("keep_")]
+    schema = f"block int, size array<int>, code array<int>, names {FEATURE}, " + ", ".join(arrays)
+    if not together:
+        return blocks.groupBy("block").applyInArrow(_pack, schema)
+
+    def run(batches):
+        held = [b for b in batches if b.num_rows]
+        if held:
+            yield from _pack(pa.Table.from_batches(held)).to_batches()
+    return blocks.mapInArrow(run, schema)
 
 
 def _needed(blocks: DataFrame) -> DataFrame:
@@ -108,82 +125,100 @@ def _needed(blocks: DataFrame) -> DataFrame:
 
 
 class _Block:
-    """A block's rows and its parameters as arrays."""
+    """A block's rows and its parameters as arrays, by field: ``of[f]`` is the place of each row's feature
+    among the block's features of the field (their number where a row has none), or, where rows
+    have several, the rows and places of all its features; ``w[f]`` is the vectors by place,
+    zeros for the last."""
 
     def __init__(self, packed: pa.Table, own: pa.Table, factors: int, n_fields: int):
         flat = lambda c: packed.column(c).combine_chunks().flatten()
         self.size = flat("size").to_numpy(zero_copy_only=False).astype(np.int64)
         code, self.names = flat("code").to_numpy(zero_copy_only=False), flat("names")
-        known = len(self.names)
-        # the last row is of features without index or parameters
-        self.w = np.zeros((known + 1, n_fields, factors))
+        known, n = len(self.names), len(self.size)
+        w = np.zeros((known, n_fields, factors))
         self.there = own.column("code").to_numpy()
         if own.num_rows:
-            self.w[self.there] = own.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(own.num_rows, n_fields, factors)
-        self.code = np.where(code < 0, known, code)
-        self.field = np.append(pc.struct_field(self.names, "field").to_numpy(zero_copy_only=False), 0).astype(np.int64)[self.code]
-        self.first = np.concatenate([[0], np.cumsum(self.size)])
-
-    def _slices(self):
-        """Of some rows at a time: the rows' and their features' bounds, each feature's
-        row, and the sums of the vectors by (row, field)."""
-        fields, factors = self.w.shape[1:]
-        for lo in range(0, len(self.size), SLICE_ROWS):
-            hi = min(lo + SLICE_ROWS, len(self.size))
-            a, b = self.first[lo], self.first[hi]
-            row = np.repeat(np.arange(hi - lo), self.size[lo:hi])
-            s = np.zeros(((hi - lo) * fields, fields, factors))
-            if b > a:
-                at, code = row * fields + self.field[a:b], self.code[a:b]
-                by = np.argsort(at, kind="stable")
-                at, code = at[by], code[by]
-                begin = np.flatnonzero(np.diff(at, prepend=-1))
-                s[at[begin]] = self.w[code[begin]]
-                left = np.ones(len(at), bool)
-                left[begin] = False
-                left = np.flatnonzero(left)
-                while len(left):  # a second, third, ... feature of a field
-                    at_, code_ = at[left], code[left]
-                    begin = np.flatnonzero(np.diff(at_, prepend=-1))
-                    s[at_[begin]] += self.w[code_[begin]]
-                    left = np.delete(left, begin)
-            yield slice(lo, hi), slice(a, b), row, s.reshape(hi - lo, fields, fields, factors)
-
-    def _margin(self, items, row, s):
-        """The rows' sums over their pairs, and each feature's vector for its own field."""
-        alone = self.w[self.code[items], self.field[items]]
-        twice = (s * s.transpose(0, 2, 1, 3)).reshape(len(s), -1).sum(axis=1)
-        return (twice - np.bincount(row, (alone ** 2).sum(axis=1), len(s))) / 2, alone
+            w[self.there] = own.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(own.num_rows, n_fields, factors)
+        # features without index (-1) add nothing
+        row = np.repeat(np.arange(n), self.size)[code >= 0]
+        code = code[code >= 0]
+        field = pc.struct_field(self.names, "field").to_numpy(zero_copy_only=False).astype(np.int16)
+        by = np.argsort(field[code], kind="stable")
+        row, code, cut = row[by], code[by], np.searchsorted(field[code[by]], np.arange(n_fields + 1))
+        self.own, self.w, self.of = {}, {}, {}
+        place = np.zeros(known, np.int64)
+        for f in np.unique(field).tolist():
+            self.own[f] = np.flatnonzero(field == f)
+            place[self.own[f]] = np.arange(len(self.own[f]))
+            self.w[f] = np.concatenate([w[self.own[f]], np.zeros((1, n_fields, factors))])
+            r, u = row[cut[f]:cut[f + 1]], place[code[cut[f]:cut[f + 1]]]
+            self.of[f] = r, u
+            if (np.diff(r) > 0).all():
+                self.of[f] = np.full(n, len(self.own[f]))
+                self.of[f][r] = u
+        self.single = [f for f in self.of if not isinstance(self.of[f], tuple)]
+        self.several = [f for f in self.of if isinstance(self.of[f], tuple)]
+
+    def _met(self):
+        """Of every pair of fields whose second has one feature a row: the pair, the rows of the first's
+        features (None: one a row), their places and those of the second's in the same rows, the vectors
+        of either for the other, and whether a table of all combinations costs less than the rows."""
+        for i, g in enumerate(self.single):
+            for f in [*self.single[:i], *self.several]:
+                r, u = self.of[f] if f in self.several else (None, self.of[f])
+                v, a, b = self.of[g] if r is None else self.of[g][r], np.ascontiguousarray(self.w[f][:, g]), np.ascontiguousarray(self.w[g][:, f])
+                yield f, g, r, u, v, a, b, len(a) * len(b) <= TABLE_ROWS * len(u)
+
+    def _summed(self, f, g):
+        """By row the sum of the vectors for ``g`` of its features of field ``f``."""
+        r, u = self.of[f]
+        return _scattered(r, self.w[f][u, g], len(self.size))
 
     def margins(self) -> np.ndarray:
-        out = np.zeros(len(self.size))
-        for rows, items, row, s in self._slices():
-            out[rows] = self._margin(items, row, s)[0]
-        return out / np.maximum(self.size, 1)
+        """The rows' sums over their pairs, divided by their numbers of features."""
+        n = len(self.size)
+        total = np.zeros(n)
+        for _, _, r, u, v, a, b, table in self._met():
+            x = (a @ b.T).ravel().take(u * len(b) + v) if table else np.einsum("ij,ij->i", a[u], b[v])
+            total += x if r is None else np.bincount(r, x, n)
+        for i, f in enumerate(self.several):
+            r, u = self.of[f]
+            total += ((self._summed(f, f) ** 2).sum(axis=1) - np.bincount(r, (self.w[f][u, f] ** 2).sum(axis=1), n)) / 2
+            for g in self.several[:i]:
+                total += (self._summed(f, g) * self._summed(g, f)).sum(axis=1)
+        return total / np.maximum(self.size, 1)
 
     def gradient(self, y: np.ndarray):
         """Summed gradient of the losses, by feature, and the summed loss."""
-        g, loss = np.zeros_like(self.w), 0.0
-        for rows, items, row, s in self._slices():
-            size = np.maximum(self.size[rows], 1)
-            sign = np.where(y[rows] > 0, 1.0, -1.0)
-            total, alone = self._margin(items, row, s)
-            margin = sign * total / size
-            loss += float(np.logaddexp(0, -margin).sum())
-            if not len(row):
-                continue
-            kappa = (-sign / (1 + np.exp(margin)) / size)[row]
-            field, code = self.field[items], self.code[items]
-            by = np.argsort(code, kind="stable")
-            begin = np.flatnonzero(np.diff(code[by], prepend=-1))
-            # by (row, field of the feature) the sums for its field, in one run of memory
-            turned = (s.transpose(0, 2, 1, 3) * 1.0).reshape(-1, s.shape[1] * s.shape[3])
-            slope = turned[row[by] * s.shape[1] + field[by]]
-            own = slope.reshape(len(by), *s.shape[2:])
-            own[np.arange(len(by)), field[by]] -= alone[by]
-            slope *= kappa[by][:, None]
-            g[code[by][begin]] += np.add.reduceat(slope, begin, axis=0).reshape(-1, *s.shape[2:])
-        return g, loss
+        sign = np.where(y > 0, 1.0, -1.0)
+        margin = sign * self.margins()
+        kappa = -sign / (1 + np.exp(margin)) / np.maximum(self.size, 1)
+        g_of = {f: np.zeros_like(w) for f, w in self.w.items()}
+        for f, g, r, u, v, a, b, table in self._met():
+            weight = kappa if r is None else kappa[r]
+            if table:  # the weights of every combination
+                met = np.bincount(u * len(b) + v, weight, len(a) * len(b)).reshape(len(a), len(b))
+                g_of[f][:, g] += met @ b
+                g_of[g][:, f] += met.T @ a
+            else:
+                g_of[f][:, g] += _scattered(u, weight[:, None] * b[v], len(a))
+                g_of[g][:, f] += _scattered(v, weight[:, None] * a[u], len(b))
+        for f in self.several:
+            r, u = self.of[f]
+            for g in self.several:
+                slope = self._summed(g, f)[r]
+                if f == g:  # a feature makes no pair with itself
+                    slope -= self.w[f][u, f]
+                g_of[f][:, g] += _scattered(u, kappa[r][:, None] * slope, len(self.w[f]))
+        out = np.zeros((len(self.names), *next(iter(self.w.values())).shape[1:])) if self.w else np.zeros((0, 1, 1))
+        for f, own in self.own.items():
+            out[own] = g_of[f][:-1]
+        return out, float(np.logaddexp(0, -margin).sum())
+
+
+def _scattered(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """The sums of the rows of ``values`` by their places ``at``."""
+    return np.stack([np.bincount(at, values[:, i], n) for i in range(values.shape[1])], axis=1)
 
 
 _KEY = ["field", "index", "other"]
@@ -248,9 +283,8 @@ def fit(rows: DataFrame, n_fields: int, label: str = "is_trade", key: str = "ins
     """``rows (key, label, features)`` -> the parameter table (``field, index``, vectors
     ``v``, squares ``a``) and the mean loss before every round."""
     seen = staged(_seen(rows), "ffm-seen")
-    blocks = _blocks(rows, label, key, _most(seen))
-    n = blocks.count()
-    packed = staged(_packed(blocks), "ffm-packed")
+    packed = staged(_packed(_dealt(rows, label, key, _most(seen), []), together=True), "ffm-packed")
+    n = packed.agg(F.sum(F.size("key"))).first()[0] or 0
     needed = _needed(packed)
     params = _by_feature(start(seen, n_fields, factors, seed), factors).withColumn("a", F.transform("v", lambda _: F.lit(0.0)))
     params = staged(params, "ffm-parameters")
@@ -269,20 +303,20 @@ def fit(rows: DataFrame, n_fields: int, label: str = "is_trade", key: str = "ins
     return params, losses
 
 
-def predict(rows: DataFrame, params: DataFrame, n_fields: int, label: str | None = "is_trade", key: str = "instance_id") -> DataFrame:
-    """``key [label] predicted_score``."""
+def predict(rows: DataFrame, params: DataFrame, n_fields: int, label: str | None = "is_trade", key: str = "instance_id", keep=()) -> DataFrame:
+    """``key [label] predicted_score`` and the columns ``keep``."""
     factors = (params.agg(F.max(F.size("v"))).first()[0] or n_fields) // n_fields
-    blocks = _blocks(rows, label, key, _most(params))
-    kind = dict(blocks.dtypes)["key"]
+    blocks = _dealt(rows, label, key, _most(params), list(keep))
+    kinds = dict(blocks.dtypes)
+    kept = ["key", "y", *[f"keep_{c}" for c in keep]]
 
     def part(rows: pa.Table, own: pa.Table) -> pa.Table:
-        if not rows.num_rows:
-            return pa.table({"key": rows.column("key").combine_chunks().flatten(), "y": pa.array([], pa.int32()), "p": pa.array([], pa.float64())})
-        margin = _Block(rows, own, factors, n_fields).margins()
         flat = lambda c: rows.column(c).combine_chunks().flatten()
-        return pa.table({"key": flat("key"), "y": flat("y"), "p": pa.array(1 / (1 + np.exp(-margin)))})
+        margin = _Block(rows, own, factors, n_fields).margins() if rows.num_rows else np.zeros(0)
+        return pa.table({**{c: flat(c) for c in kept}, "p": pa.array(1 / (1 + np.exp(-margin)))})
 
-    packed = staged(_packed(blocks), "ffm-packed")
+    packed = staged(_packed(blocks, together=True), "ffm-packed")
     own = _needed(packed).join(params.select("field", "index", "v"), ["field", "index"]).select("block", "code", "v")
-    out = packed.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(part, f"key {kind}, y int, p double")
-    return out.select(F.col("key").alias(key), *([F.col("y").alias(label)] if label else []), F.col("p").alias("predicted_score"))
+    out = packed.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(part, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", p double")
+    return out.select(F.col("key").alias(key), *([F.col("y").alias(label)] if label else []), F.col("p").alias("predicted_score"),
+                      *[F.col(f"keep_{c}").alias(c) for c in keep])

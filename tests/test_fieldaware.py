@@ -95,3 +95,37 @@ def test_a_value_is_in_few_blocks_and_a_hot_one_is_cut(spark, monkeypatch):
     assert sum(sizes) == 2000 and len(sizes) > 5 and max(sizes) < 1000
     # 201 values, and one more for each cut; dealt at random each of the 20 blocks has nearly 50
     assert FA._needed(blocks).where("field = 1").count() <= 201 + len(sizes)
+
+
+def test_tables_of_combinations_and_rows_give_one_gradient(spark, monkeypatch):
+    import pyarrow as pa
+    rng = random.Random(7)
+    rows = []
+    for i in range(300):  # two fields of one feature, two of up to four, some missing or without index
+        f = [(0, str(rng.randrange(40))), (3, str(rng.randrange(3)))][rng.randrange(-1, 1) if i % 9 else 2:]
+        f += [(n, rng.choice(["a", "b", "c", None])) for n in (1, 2) for _ in range(rng.randrange(4))]
+        rows.append({"block": 0, "key": i, "y": i % 2, "features": [dict(field=a, index=b) for a, b in f]})
+    kind = pa.list_(pa.struct([("field", pa.int32()), ("index", pa.string())]))
+    table = pa.Table.from_pylist(rows, pa.schema([("block", pa.int32()), ("key", pa.int64()), ("y", pa.int32()), ("features", kind)]))
+    packed = FA._pack(table)
+    names = packed.column("names").combine_chunks().flatten().to_pylist()
+    w = np.random.default_rng(2).normal(size=(len(names), 4, 2))
+    own = pa.table({"code": pa.array(range(len(names)), pa.int32()), "v": pa.array([list(x.ravel()) for x in w], pa.list_(pa.float64()))})
+    y = np.array([r["y"] for r in rows])
+    found = []
+    for table_rows in (0, 1e9):
+        monkeypatch.setattr(FA, "TABLE_ROWS", table_rows)
+        block = FA._Block(packed, own, 2, 4)
+        found.append((block.margins(), *block.gradient(y)))
+    assert all(np.allclose(a, b, rtol=0, atol=1e-12) for a, b in zip(*found))
+    vectors = {(n["field"], n["index"], g): w[i, g] for i, n in enumerate(names) for g in range(4)} | {(f, None, g): np.zeros(2) for f in range(4) for g in range(4)}
+    want = loss([(r["key"], r["y"], [(f["field"], f["index"]) for f in r["features"]]) for r in rows], vectors, 2)
+    assert abs(found[0][2] - want) < 1e-9
+
+
+def test_scores_keep_columns_and_rows_of_equal_keys(spark):
+    rows = [(i // 2, i % 2, [(0, str(i % 3))], 20 + i % 5) for i in range(50)]
+    df = spark.createDataFrame(rows, SCHEMA + ", day int")
+    params, _ = FA.fit(df, 1, factors=2, rounds=1)
+    got = FA.predict(df, params, 1, keep=["day"])
+    assert sorted((r.instance_id, r.is_trade, r.day) for r in got.collect()) == sorted((r[0], r[1], r[3]) for r in rows)
