@@ -13,6 +13,8 @@ set by its parameters, and only it is walked on the driver.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -67,3 +69,41 @@ def score_column(model: PipelineModel, features: list[str]) -> Column:
     """The ensemble's probability of class 1."""
     margin = " + ".join(f"{w!r}D * ({_case(tree, lambda _, p: f'{p!r}D')})" for w, tree in leaves(model, features))
     return (1 / (1 + F.exp(-2 * F.expr(f"({margin})")))).alias("predicted_score")
+
+
+def path_checks(df: DataFrame, table: DataFrame, leaf_names: list[str], keep=()) -> DataFrame:
+    """``keep`` and ``other_paths``: for each row, of the leaves in ``leaf_names`` (a column a tree) those that ``table``
+    (``tree_table``) does not have, or whose path has a predicate that the row breaks.
+
+    The table has trees x 2^depth rows, a bound set by the model's parameters; a task gets it as arrays, so a
+    row costs a look-up for each tree and step, and only the features that the table names are read."""
+    found = table.collect()
+    names = sorted({p["feature"] for r in found for p in r["path"]})
+    place = {n: i for i, n in enumerate(names)}
+    shape = len(leaf_names), 1 + max((r["leaf"] for r in found), default=0)
+    deep = max((len(r["path"]) for r in found), default=0)
+    known, steps = np.zeros(shape, bool), np.zeros(shape, np.int64)
+    feature, threshold, left = (np.zeros((*shape, deep), t) for t in (np.int64, np.float64, bool))
+    for r in found:
+        at = r["tree"], r["leaf"]
+        known[at], steps[at] = True, len(r["path"])
+        for i, p in enumerate(r["path"]):
+            feature[(*at, i)], threshold[(*at, i)], left[(*at, i)] = place[p["feature"]], p["threshold"], p["op"] == "<="
+
+    def run(batches):
+        for b in batches:
+            n = b.num_rows
+            x = np.array([b.column(f"__x{i}").to_numpy(zero_copy_only=False) for i in range(len(names))], np.float64).reshape(len(names), n)
+            x, row, bad = np.where(np.isnan(x), np.inf, x), np.arange(n), np.zeros(n, np.int64)  # NaN is above all numbers
+            for t, name in enumerate(leaf_names):
+                leaf = b.column(name).fill_null(-1).to_numpy(zero_copy_only=False)
+                own = np.clip(leaf, 0, shape[1] - 1)
+                broken = (leaf != own) | ~known[t, own]
+                for i in range(deep):
+                    broken |= (i < steps[t, own]) & ((x[feature[t, own, i], row] <= threshold[t, own, i]) != left[t, own, i])
+                bad += broken
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(bad)], [*keep, "other_paths"])
+
+    values = [F.coalesce(F.col(n).cast("double"), F.lit(-1.0)).alias(f"__x{i}") for i, n in enumerate(names)]
+    rows = df.select(*keep, *[c for c in leaf_names if c not in keep], *values)
+    return rows.mapInArrow(run, df.select(*keep, F.lit(0).cast("bigint").alias("other_paths")).schema)
