@@ -98,7 +98,7 @@ def ffm_raw(log: DataFrame, leaves: DataFrame | None = None) -> tuple[DataFrame,
     if leaves is not None:
         own = [c for c in leaves.columns if c != "instance_id"]
         df, scalars = df.join(leaves, "instance_id", "left"), scalars + own
-    return EN.staged(df.select("instance_id", "is_trade", "day", "context_timestamp", *LISTS, *scalars), "ffm-raw"), scalars
+    return EN.staged(df.select("instance_id", "is_trade", "day", "context_timestamp", *LISTS, *scalars), "ffm-raw", wide=True), scalars
 
 
 def ffm_frame(log: DataFrame, leaves: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
@@ -119,7 +119,7 @@ def export_ffm(log: DataFrame, out_dir: str, holdout_day: int = 24, min_total: i
     Field/Value frequency table (also written as ``count_frequent_feature``)."""
     raw, scalars = ffm_raw(log, leaves)
     values = EN.value_table(raw, scalars, ORDER, "is_trade")
-    table = RT.coded_value_table(values, raw, scalars, LISTS, min_total=min_total)
+    table = EN.staged(RT.coded_value_table(values, raw, scalars, LISTS, min_total=min_total), "frequency-table")  # read more than once
     IO.write_freq_table(table, f"{out_dir}/count_frequent_feature")
     df = EN.first_seen_codes(raw, scalars, ORDER, values=values)
     train, hold = R.split_by_day(df, holdout_day)
@@ -137,13 +137,13 @@ def export_ffm_online(log: DataFrame, out_dir: str, test_day: int = 25, min_tota
     raw, scalars = ffm_raw(log, leaves)
     values = EN.value_table(raw, scalars, ORDER, "is_trade")
     own = scalars[len(FFM_SCALARS):]
-    table = RT.coded_value_table(values, raw, scalars, LISTS, min_total=min_total)
+    table = EN.staged(RT.coded_value_table(values, raw, scalars, LISTS, min_total=min_total), "frequency-table")  # read more than once
     IO.write_freq_table(table, f"{out_dir}/count_frequent_feature")
     first = len(LISTS) + len(FFM_SCALARS)
     dictionary, n = FF.feature_dictionary(table.where(~F.col("Field").isin(own) if own else F.lit(True)), first, top, min_total)
-    df = EN.staged(EN.first_seen_codes(raw, scalars, ORDER, values=values), "ffm-coded")
-    fields = FF.dictionary_fields(df, dictionary, LISTS, FFM_SCALARS)
-    rows = FF.ffm_rows_online(df, "is_trade", LISTS, FFM_SCALARS, fields, first + n, own)
+    df = EN.staged(EN.first_seen_codes(raw, scalars, ORDER, values=values), "ffm-coded", wide=True)
+    df = FF.with_dictionary_fields(df, dictionary, LISTS, FFM_SCALARS)
+    rows = FF.ffm_rows_online(df, "is_trade", LISTS, FFM_SCALARS, first + n, own)
     rows = EN.staged(rows, "ffm-online")
     FF.write_ffm(rows.where(F.col("day") < test_day), f"{out_dir}/tr")
     FF.write_ffm(rows.where(F.col("day") == test_day), f"{out_dir}/ve")

@@ -140,3 +140,59 @@ def test_heavy_tokens_of_short_null_and_empty_lists(spark):
     got = sorted((r["v"], r["rnk"], r["token"], r["cnt"]) for r in V.heavy_tokens(df, specs).collect())
     assert got == [("a", 0, None, 3), ("a", 1, "x", 2), ("a", 2, "y", 1), ("p", 0, "x", 2)]
     assert V.heavy_tokens(df.limit(0), specs).count() == 0
+
+
+@pytest.mark.parametrize("literal,broadcast", [(4096, 16 << 20), (0, 16 << 20), (0, 0)])
+def test_dictionary_fields_without_listing_pairs(spark, monkeypatch, literal, broadcast):
+    monkeypatch.setattr(FF, "LITERAL_VALUES", literal)
+    monkeypatch.setattr(FF, "BROADCAST_BYTES", broadcast)
+    rng = random.Random(3)
+    rows = [(i, rng.choice([None, *range(1, 30)]), rng.choice([None, "x", "07", "7", ""]), rng.choice([None, [], [1, 2], [5, 900], [3, None]])) for i in range(200)]
+    df = spark.createDataFrame(rows, "instance_id long, a long, b string, l array<int>")
+    known = [("a", str(v), 10 + v) for v in range(0, 40, 2)] + [("a", "4", 99), ("b", "x", 60), ("b", "07", 61), ("l", "2", 70), ("l", "900", 71), ("l", "2", 98), ("z", "1", 5)]
+    dictionary = spark.createDataFrame(known, "Field string, Value string, num long")
+    want = {}
+    for i, a, b, ls in rows:
+        met = [("a", str(a))] * (a is not None) + [("b", b)] * (b is not None) + [("l", str(x)) for x in ls or [] if x is not None]
+        want[i] = sorted(n for f, v, n in known if (f, v) in met)
+    out = FF.with_dictionary_fields(df, dictionary, ["l"], ["a", "b"])
+    assert {r.instance_id: r.fields for r in out.collect()} == want and out.columns == [*df.columns, "fields"]
+    codes = FF.with_dictionary_fields(df.drop("b"), dictionary, ["l"], ["a"])
+    if literal:  # constants of the plan: nothing is listed, joined or grouped
+        plan = codes._jdf.queryExecution().optimizedPlan().toString()
+        assert not any(x in plan for x in ("Generate", "Join", "Aggregate"))
+    assert FF.with_dictionary_fields(df, dictionary.limit(0), ["l"], ["a", "b"]).where("size(fields) = 0").count() == 200
+
+
+def test_online_lines_and_the_count_of_their_last_fields(spark):
+    rows = [(1, 0, [3, 4], 7, [30, 41], 2), (2, 1, [], None, [], 5), (3, 1, None, 9, [30], None), (4, 0, [None], 1, [31], 0)]
+    df = spark.createDataFrame(rows, "instance_id long, y int, l array<int>, a long, fields array<bigint>, leaf int")
+    lines = FF.ffm_rows_online(df, "y", ["l"], ["a"], 50, ["leaf"])
+    assert [r.line for r in lines.orderBy("instance_id").collect()] == [
+        "0 0:3:1 0:4:1 1:7:1 30:1:1 41:1:1 50:2:1 ", "1 50:5:1 ", "1 1:9:1 30:1:1 ", "0 1:1:1 31:1:1 50:0:1 "]
+    texts = ["", "99", "1 50:2:1 ", "0 1:1:1  51:1:1 x50:1:1 60 70", "0 50:5:1 51:1:1", "1 99999999999:1:1 4294967296:1:1 2147483647:1:1 :1:1 5a:1:1 ", None, "é 61:ü:1 62:1:1 "]
+    t = spark.createDataFrame([(i, s) for i, s in enumerate(texts)], "i int, value string").coalesce(1)
+    found = {r.i: r.n for r in FF.fields_above(t, "value", 50, "n").collect()}
+    tokens = F.filter(F.slice(F.split("value", " "), 2, 1 << 20), lambda x: (x != "") & (F.substring_index(x, ":", 1).try_cast("int") > 50))
+    assert found == {r.i: max(r.n, 0) for r in t.select("i", F.coalesce(F.size(tokens), F.lit(0)).alias("n")).collect()}
+    assert FF.fields_above(t.limit(0), "value", 50, "n").collect() == []
+
+
+def test_sizes_of_few_integers_are_looked_up_and_others_joined(spark, monkeypatch):
+    from clickfeat.operators import counts as C
+    rng = random.Random(9)
+    rows = [(i, rng.choice([None, -3, 0, 2000]), rng.choice([None, 1 << 40, -(1 << 40), 5]), rng.choice([None, "a", "b"]), i % 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "instance_id long, a int, b long, c string, is_trade int")
+    groups = {"n_a": ["a"], "n_b": ["b"], "n_c": ["c"], "n_ac": ["a", "c"]}
+    for literal in (4096, 0):
+        monkeypatch.setattr(EN, "LITERAL_RANGE", literal)
+        monkeypatch.setattr(C, "LITERAL_RANGE", literal)
+        out = C.add_group_sizes(df, groups, population=df, label="is_trade", trades={"n_a": "t_a", "n_b": "t_b"})
+        joins = out._jdf.queryExecution().optimizedPlan().toString().count("Join")
+        assert joins == (3 if literal else 4)
+        for r in out.collect():
+            same = lambda *k: [x for x in rows if all(x[i] == rows[r.instance_id][i] for i in k)] if None not in [rows[r.instance_id][i] for i in k] else None
+            for name, k in (("n_a", [1]), ("n_b", [2]), ("n_c", [3]), ("n_ac", [1, 3])):
+                assert r[name] == (None if same(*k) is None else len(same(*k)))
+            for name, k in (("t_a", 1), ("t_b", 2)):
+                assert r[name] == (None if same(k) is None else (sum(x[4] for x in same(k)) or None))

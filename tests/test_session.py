@@ -50,3 +50,20 @@ def test_staged_tables_can_be_removed(spark):
         spark.read.parquet(path).count()
     with pytest.raises(ValueError):
         S.drop_scratch(spark, "/tmp/other")
+
+
+def test_wide_plans_are_written_in_methods_that_are_compiled(spark, monkeypatch):
+    import pytest
+
+    from clickfeat.operators import encode as EN
+    from clickfeat.session import METHOD_BYTES, compiled
+    name = "spark.sql.codegen.hugeMethodLimit"
+    old, seen = spark.conf.get(name), []
+    df = spark.range(3)
+    own = type(df.write).parquet
+    monkeypatch.setattr(type(df.write), "parquet", lambda w, path: seen.append(spark.conf.get(name)) or own(w, path))
+    assert EN.staged(df, "wide-test", wide=True).count() == EN.staged(df, "wide-test").count() == 3
+    assert seen == [METHOD_BYTES, old] and spark.conf.get(name) == old
+    with pytest.raises(ZeroDivisionError), compiled(spark):
+        1 / 0
+    assert spark.conf.get(name) == old
